@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlake.llm import bpe_codec, token_counts
-from meterlake.llm.common import table
+from meterlake.llm import bpe_codec, huffman, packing, token_counts
+from meterlake.llm.common import scratch_path, table
 
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "huffman")
+    huffman.write_corpus(table(spark, sf_dir, "documents"), path, VOCABULARY, end_id=1)
+    return huffman.read_corpus(spark, path, with_ids=False)
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -20,9 +26,15 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY, end_id=0, capacity=2048)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_huffman_tokens": op1_huffman_tokens,
     "op3_bpe_codec": op3_bpe_codec,
     "op6_token_counts": op6_token_counts,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
