@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -13,8 +15,23 @@ from pyspark.sql import functions as F
 SLICE_ROWS = 256
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once for each application, as ``--py-files`` would."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        _shipped.add(sc.applicationId)
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        folder = os.path.realpath(tempfile.mkdtemp(prefix="meterlake-"))
+        sc.addPyFile(shutil.make_archive(f"{folder}/meterlake", "zip", root, "meterlake"))
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)  # Spark reads the file until the application ends
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named Parquet table under ``sf_dir``, which may be in any store that Spark reads."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
