@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlake.llm import bpe_codec, huffman, packing, token_counts
+from meterlake.llm import bpe_codec, huffman, packing, simhash, token_counts
 from meterlake.llm.common import scratch_path, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -26,6 +26,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"), words=3)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY, end_id=0, capacity=2048)
 
@@ -34,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_huffman_tokens": op1_huffman_tokens,
     "op3_bpe_codec": op3_bpe_codec,
     "op6_token_counts": op6_token_counts,
+    "op8_simhash_components": op8_simhash_components,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
