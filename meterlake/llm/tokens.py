@@ -2,57 +2,36 @@
 
 from __future__ import annotations
 
-import os
+from array import array
 
 import numpy as np
 
-from meterlake.llm.bpe import MEMO_WORDS, WordVocabulary
+from meterlake.llm.bpe import Memo, WordVocabulary
+
+#: Words kept in each of the two generations; about 100 MB a worker.
+LIBRARY_WORDS = 500_000
 
 
 class LibraryEncoder:
     """text -> ids as little-endian unsigned integers of ``width`` bytes, as ``Tokenizer.encode`` without special tokens.
 
     The file splits a text into words that are encoded independently, so each distinct word goes to the library once
-    and its ids are kept (two generations of MEMO_WORDS words). Texts with characters outside the plain set, or with
-    special strings, go to the library whole.
+    and its ids are kept. Texts with characters outside the plain set, or with special strings, go to the library whole.
     """
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.vocabulary = v = WordVocabulary(path)
-        self.library = v._library
+        self.vocabulary = WordVocabulary(path)
+        self.library = self.vocabulary._library
         self.library.no_truncation()
         self.library.no_padding()
-        self.size = len(v.pieces)
+        self.size = len(self.vocabulary.pieces)
         self.width = 2 if self.size <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
-        self._young: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        young, old = self._young, self._old
-        if len(young) + len(words) > MEMO_WORDS:
-            self._old, self._young = young, {}
-            young, old = self._young, self._old
-            words = set(words)
-        new = []
-        for w in words:
-            if (kept := old.get(w)) is not None:
-                young[w] = kept
-            elif w not in young:
-                new.append(w)
-        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            young[w] = np.array(e.ids, self.dtype).tobytes()
+        self._memo = Memo(self._library_ids, LIBRARY_WORDS)
+
+    def _library_ids(self, text: str) -> bytes:
+        return array("HI"[self.width // 4], self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [self.vocabulary.plain_words(t) for t in texts]
-        need: set[str] = set()
-        for w in words:
-            if w is not None:
-                need.update(w)
-        missing = {w for w in need if w not in self._young}
-        if missing:
-            # after a change of generation every word of this slice must be in the young one
-            self._learn(need if len(self._young) + len(missing) > MEMO_WORDS else missing)
-        get = self._young.__getitem__
-        return [b"".join(map(get, w)) if w is not None else np.array(self.library.encode(t, add_special_tokens=False).ids, self.dtype).tobytes() for w, t in zip(words, texts)]
+        get, plain = self._memo.__getitem__, self.vocabulary.plain_words
+        return [b"".join(map(get, words)) if (words := plain(t)) is not None else self._library_ids(t) for t in texts]
