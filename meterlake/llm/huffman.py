@@ -27,7 +27,7 @@ from meterlake.llm.common import id_and_text, materialize, release, slices
 from meterlake.llm.tokens import LibraryEncoder
 
 MAGIC = b"HUF1"
-#: Longest code in bits; three bytes always hold a code at any bit position.
+#: Longest code in bits; three bytes hold a code at any bit position, a 64-bit word several.
 MAX_BITS = 16
 #: Codes between two bit-offset checkpoints.
 CHECKPOINT = 128
@@ -88,18 +88,24 @@ class Code:
 
     def pack(self, ids: np.ndarray) -> tuple[np.ndarray, int, bytes]:
         """(checkpoints, number of bits, bit stream) of ``ids``."""
-        length = self.length[ids].astype(np.int64)
-        if len(ids) and not length.all():
+        length = self.length[ids].astype(np.uint64)
+        if not len(ids):
+            return np.zeros(0, "<u4"), 0, b""
+        if not length.all():
             raise ValueError("an id has no code")
         end = np.cumsum(length)
         begin = end - length
-        n_bits = int(end[-1]) if len(ids) else 0
-        n_bytes = (n_bits + 7) // 8
-        word = self.code[ids].astype(np.int64) << (24 - length - (begin & 7))
-        byte = begin >> 3
-        # codes don't overlap, so sums are unions; each of the three bytes of a 24-bit word is summed by its place
-        out = sum(np.bincount(byte + k, weights=(word >> (16 - 8 * k)) & 255, minlength=n_bytes + 3) for k in range(3)) if len(ids) else np.zeros(3)
-        return begin[::CHECKPOINT].astype("<u4"), n_bits, out[:n_bytes].astype(np.uint8).tobytes()
+        n_bits = int(end[-1])
+        word, free = begin >> 6, 64 - (begin & 63)
+        over = np.flatnonzero(length > free)  # codes that run on into the next 64-bit word
+        code = self.code[ids].astype(np.uint64)
+        place = code << (free - length)
+        place[over] = code[over] >> (length[over] - free[over])
+        out = np.zeros(n_bits // 64 + 2, np.uint64)
+        first = np.flatnonzero(np.diff(word, prepend=word[:1] - 1))  # a code is no longer than a word, so each word has a first
+        out[: len(first)] = np.bitwise_or.reduceat(place, first)
+        out[word[over] + 1] |= code[over] << (64 + free[over] - length[over])
+        return begin[::CHECKPOINT].astype("<u4"), n_bits, out.astype(">u8").tobytes()[: (n_bits + 7) // 8]
 
     def unpack(self, streams: list[bytes], checkpoints: list[np.ndarray], n_tokens: list[int]) -> list[np.ndarray]:
         """Ids of each stream; all checkpoints of all streams advance together."""
