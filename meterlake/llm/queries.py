@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlake.llm import bpe_codec, huffman, packing, simhash, token_counts
+from meterlake.llm import bpe_codec, huffman, packing, quality, simhash, token_counts
 from meterlake.llm.common import scratch_path, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -34,12 +34,19 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY, end_id=0, capacity=2048)
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return scored.select("doc_id", *(f"quality.{c}" for c in counts))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_huffman_tokens": op1_huffman_tokens,
     "op3_bpe_codec": op3_bpe_codec,
     "op6_token_counts": op6_token_counts,
     "op8_simhash_components": op8_simhash_components,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
