@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlake.llm import bpe_codec, huffman, packing, quality, simhash, token_counts
+from meterlake.llm import bpe_codec, huffman, packing, quality, simhash, token_counts, toxicity
 from meterlake.llm.common import scratch_path, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -18,6 +18,10 @@ def op1_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_corpus(spark, path, with_ids=False)
 
 
+def op2_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -42,6 +46,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_huffman_tokens": op1_huffman_tokens,
+    "op2_ftrl_toxicity": op2_ftrl_toxicity,
     "op3_bpe_codec": op3_bpe_codec,
     "op6_token_counts": op6_token_counts,
     "op8_simhash_components": op8_simhash_components,
