@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlake.llm import bpe_codec, huffman, packing, quality, simhash, token_counts, toxicity
+from meterlake.llm import bpe_codec, huffman, packing, pii, quality, simhash, token_counts, toxicity
 from meterlake.llm.common import scratch_path, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -30,6 +30,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"), words=3)
 
@@ -39,7 +43,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = quality.score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), carry=["doc_id"])
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return scored.select("doc_id", *(f"quality.{c}" for c in counts))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ftrl_toxicity": op2_ftrl_toxicity,
     "op3_bpe_codec": op3_bpe_codec,
     "op6_token_counts": op6_token_counts,
+    "op7_pii_spans": op7_pii_spans,
     "op8_simhash_components": op8_simhash_components,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
