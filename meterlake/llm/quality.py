@@ -122,14 +122,15 @@ def posterior(patterns: DataFrame, steps: int = EM_STEPS) -> DataFrame:
     return final.select(F.explode(F.arrays_zip("rows", "p")).alias("z")).select(F.col("z.rows.votes").alias("votes"), F.col("z.p").alias("p_good"))
 
 
-def score_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``quality``: a struct of the counts, votes, base_failed, p_good and kept (p_good >= 0.5 and not base_failed).
+def score_quality(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """``docs`` (its columns ``carry``; None: all) with ``quality``: a struct of the counts, votes, base_failed, p_good and kept (p_good >= 0.5 and not base_failed).
 
     Null text counts as empty: no words, so base_failed. Rows that repeat vote each. An empty table gives no rows.
     A column named ``quality`` is replaced; others stay. The counts are computed once and written to the shared folder;
     the posterior table (at most 3 to the number of rules rows) is broadcast.
     """
-    scored = materialize(measured(docs.drop("quality"), text_col), "quality")
+    own = [c for c in (docs.columns if carry is None else carry) if c != "quality"]
+    scored = materialize(measured(docs.drop("quality"), text_col).select(*own, "_q"), "quality")
     model = posterior(scored.groupBy(F.col("_q.votes").alias("votes")).agg(F.count(F.lit(1)).alias("n")))
     joined = scored.join(F.broadcast(model), F.col("_q.votes") == model["votes"]).drop(model["votes"])
     kept = ~F.col("_q.base_failed") & (F.col("p_good") >= 0.5)
@@ -139,4 +140,4 @@ def score_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with its columns unchanged."""
     own = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
-    return score_quality(own).where("quality.kept").select("row.*")
+    return score_quality(own, carry=["row"]).where("quality.kept").select("row.*")
