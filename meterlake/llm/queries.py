@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlake.llm import bpe_codec, huffman, packing, pii, quality, simhash, token_counts, toxicity
+from meterlake.llm import bpe_codec, huffman, licenses, packing, pii, quality, simhash, token_counts, toxicity
 from meterlake.llm.common import scratch_path, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -26,6 +26,10 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_huffman_tokens": op1_huffman_tokens,
     "op2_ftrl_toxicity": op2_ftrl_toxicity,
     "op3_bpe_codec": op3_bpe_codec,
+    "op5_license_scan": op5_license_scan,
     "op6_token_counts": op6_token_counts,
     "op7_pii_spans": op7_pii_spans,
     "op8_simhash_components": op8_simhash_components,
