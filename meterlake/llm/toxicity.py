@@ -100,7 +100,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
         yield pa.RecordBatch.from_arrays([pa.array([*features.tolist(), buckets], pa.int32()), pa.array([*weights.tolist(), bias], pa.float64())], ["feature", "weight"])
 
     examples = chosen.mapInArrow(hashed, "doc_id long, toxic int, features array<int>")
-    learned = examples.coalesce(1).mapInArrow(learn, "feature int, weight double").collect()
+    learned = examples.repartition(1).mapInArrow(learn, "feature int, weight double").collect()
     bias = [r.weight for r in learned if r.feature == buckets]
     weights = sorted((r.feature, r.weight) for r in learned if r.feature != buckets)
     return np.array([w[0] for w in weights], np.int64), np.array([w[1] for w in weights], np.float64), bias[0] if bias else 0.0
