@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlake.llm import bpe_codec, huffman, licenses, packing, pii, quality, simhash, token_counts, toxicity
+from meterlake.llm import bpe_codec, huffman, licenses, packing, pii, quality, simhash, token_counts, topk, toxicity
 from meterlake.llm.common import scratch_path, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -26,6 +26,10 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256.0)
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_huffman_tokens": op1_huffman_tokens,
     "op2_ftrl_toxicity": op2_ftrl_toxicity,
     "op3_bpe_codec": op3_bpe_codec,
+    "op4_exact_topk": op4_exact_topk,
     "op5_license_scan": op5_license_scan,
     "op6_token_counts": op6_token_counts,
     "op7_pii_spans": op7_pii_spans,
@@ -64,4 +69,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_exact_topk": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+            from embeddings
+            where vec_id is not null and embedding is not null
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), scored as (
+            select q.vec_id as query_id, c.vec_id,
+                   cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) as bigint) as score
+            from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v)
+            where q.vec_id % 50 = 0
+        ), ranked as (
+            select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank
+            from scored
+        )
+        select query_id, rank, vec_id, score from ranked where rank <= 5
+    """,
+}
