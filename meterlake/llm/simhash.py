@@ -16,83 +16,118 @@ from meterlake.llm.common import id_and_text, materialize, release, slices
 COUNT_SHINGLES = 1 << 15
 
 
-def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
-    """Unsigned 64-bit SimHash: a bit is 1 if it is set in over half of the XXH64 values of the text's word shingles.
+#: Smallest distinct shingle hashes kept of each document where similarities are verified.
+SKETCH = 128
+
+
+def shingle_hashes(text: str, words: int, seed: int):
+    """XXH64 values of a text's word shingles, repeats included, in runs of at most COUNT_SHINGLES.
 
     A-Z are lower-cased; words are runs of anything but blank and the control characters 9 to 13; a shingle is
-    ``words`` consecutive words with one blank between them, repeats included. Fewer words: one shingle of all; none: 0.
+    ``words`` consecutive words with one blank between them. Fewer words: one shingle of all; none: nothing.
     """
     parts = text.encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return
     k = min(words, len(parts))
     joined = b" ".join(parts)
     ends = list(accumulate((len(p) + 1 for p in parts)))
     starts = [0, *ends]
     n = len(parts) - k + 1
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
     for at in range(0, n, COUNT_SHINGLES):
-        h = np.array([digest(joined[a : b - 1], seed) for a, b in zip(starts[at : min(at + COUNT_SHINGLES, n)], ends[at + k - 1 :])], ">u8")
+        yield np.array([digest(joined[a : b - 1], seed) for a, b in zip(starts[at : min(at + COUNT_SHINGLES, n)], ends[at + k - 1 :])], ">u8")
+
+
+def fingerprint(text: str, words: int = 3, seed: int = 42, sketch: int = 0):
+    """Unsigned 64-bit SimHash: a bit is 1 if it is set in over half of the hashes of the text's shingles; no words: 0.
+
+    With ``sketch``: (SimHash, the ``sketch`` smallest distinct hashes).
+    """
+    counts, n, least = np.zeros(64, np.int64), 0, np.zeros(0, np.uint64)
+    for h in shingle_hashes(text, words, seed):
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+        n += len(h)
+        if sketch:
+            least = np.unique(np.concatenate([least, h.astype(np.uint64)]))[:sketch]
+    bits = int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big") if n else 0
+    return (bits, least) if sketch else bits
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp long, text_hash long) for every row; ``fp`` holds the 64 bits as a signed long. Narrow."""
+def fingerprints(docs: DataFrame, words: int = 3, sketch: int = 0) -> DataFrame:
+    """(doc_id, fp long, text_hash long[, sketch array<long>]) for every row; ``fp`` holds the 64 bits as a signed long. Narrow."""
 
     def run(batches):
         for batch in slices(batches):
-            fps = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), batch.column(2)], ["doc_id", "fp", "text_hash"])
+            made = [fingerprint(t, words, sketch=sketch) for t in batch.column(1).to_pylist()]
+            fps = np.array([m[0] if sketch else m for m in made], np.uint64).view(np.int64)
+            arrays, names = [batch.column(0), pa.array(fps), batch.column(2)], ["doc_id", "fp", "text_hash"]
+            if sketch:
+                arrays.append(pa.array([m[1].view(np.int64) for m in made], pa.list_(pa.int64())))
+                names.append("sketch")
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return id_and_text(docs).withColumn("text_hash", F.xxhash64("doc_id", "text")).mapInArrow(run, "doc_id long, fp long, text_hash long")
+    schema = "doc_id long, fp long, text_hash long" + ", sketch array<long>" * bool(sketch)
+    return id_and_text(docs).withColumn("text_hash", F.xxhash64("doc_id", "text")).mapInArrow(run, schema)
 
 
-#: A signature shared by more fingerprints than this is split by blocks of the other segment.
+#: A signature shared by more fingerprints than this is split by blocks of the other bits.
 HOT_SIGNATURE = 256
 
 
-def _variants(fps: DataFrame) -> DataFrame:
-    """(key, fp): the 64 one-wildcard variants of the two 32-bit segments of each fingerprint.
+def segments(bits: int) -> list[tuple[int, int]]:
+    """(first bit, width) of the fewest equal segments of 64 bits such that, at ``bits`` differing bits, one segment
+    differs by at most one."""
+    m = bits // 2 + 1
+    cuts = [64 * k // m for k in range(m + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
 
-    Two fingerprints that differ in at most two bits have a segment in which at most one differs, so they share the
-    variant of that segment whose wildcard covers the bit.
+def _variants(fps: DataFrame, bits: int) -> DataFrame:
+    """(fp, g, key): the 64 one-wildcard variants of the segments of each fingerprint; ``g`` is the bit left out.
+
+    Fingerprints whose segment differs by at most one bit share the variant of that segment that leaves the bit out.
     """
-    high = F.shiftrightunsigned("fp", 32)
-    low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
-    key = F.expr("transform(sequence(0, 63), j -> (case when j < 32 then low else high end & ~shiftleft(1L, j % 32)) | shiftleft(cast(j as bigint), 32))")
-    return fps.select("fp", low.alias("low"), high.alias("high")).select("fp", F.explode(key).alias("key"))
+    masks = {g: ((1 << w) - 1 << a) & ~(1 << g) for a, w in segments(bits) for g in range(a, a + w)}
+    signed = ", ".join(f"{m - (1 << 64) if m >> 63 else m}L" if m != 1 << 63 else "shiftleft(1L, 63)" for m in masks.values())
+    return fps.select("fp", F.posexplode(F.expr(f"transform(array({signed}), m -> fp & m)")).alias("g", "key"))
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """(a, b) with a < b: every pair of distinct fingerprints ``fp`` that differ in at most two bits, once.
+def links(fps: DataFrame, bits: int = 2) -> DataFrame:
+    """(a, b) with a < b: every pair of distinct fingerprints ``fp`` that differ in at most ``bits`` bits, once.
 
     Equality-joins the one-wildcard variants and verifies each pair. A pair that shares several variants is kept at one
-    of them only: that of the first segment with at most one differing bit, at the differing bit or else at wildcard 0.
-    Signatures with over HOT_SIGNATURE fingerprints are joined on one of three blocks of the other segment as well
-    (two differing bits leave one of three blocks equal); such a pair may come from several blocks and is made unique.
+    of them only: that of the first segment with at most one differing bit, at the differing bit or else at the
+    segment's first. Signatures with over HOT_SIGNATURE fingerprints are joined on one of ``bits`` + 1 blocks of the
+    bits outside the segment as well, one of which is equal; such a pair may come from several blocks and is made unique.
     """
-    v = _variants(fps)
-    v = materialize(v.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1"), "variants")
-    differ = "a.fp ^ b.fp"
-    x0, x1 = f"(({differ}) & 4294967295L)", f"shiftrightunsigned({differ}, 32)"
-    wildcard = "cast(shiftright(a.key, 32) as int)"
-    once = F.expr(
-        f"a.fp < b.fp and bit_count({differ}) <= 2 and case when {wildcard} < 32 "
-        f"then bit_count({x0}) = 1 or {x0} = 0 and {wildcard} = 0 "
-        f"else bit_count({x0}) > 1 and (bit_count({x1}) = 1 or {x1} = 0 and {wildcard} = 32) end"
-    )
+    v = materialize(_variants(fps, bits).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("g", "key"))).where("n > 1"), "variants")
+    parts = segments(bits)
+    x = [f"(shiftrightunsigned(a.fp ^ b.fp, {at}) & {(1 << w) - 1}L)" for at, w in parts]
+    cases = []
+    for k, (at, w) in enumerate(parts):
+        earlier = "".join(f" and bit_count({y}) > 1" for y in x[:k])
+        cases.append(f"when a.g < {at + w} then ({x[k]} <> 0 or a.g = {at}){earlier}")
+    once = F.expr(f"a.fp < b.fp and bit_count(a.fp ^ b.fp) <= {bits} and case {' '.join(cases)} end")
     few, many = v.where(F.col("n") <= HOT_SIGNATURE), v.where(F.col("n") > HOT_SIGNATURE)
-    plain = few.alias("a").join(few.alias("b"), (F.col("a.key") == F.col("b.key")) & once)
-    other = "case when shiftright(key, 32) < 32 then shiftrightunsigned(fp, 32) else fp & 4294967295L end"
-    blocks = many.withColumn("other", F.expr(other)).select("key", "fp", F.posexplode(F.expr("array(other & 2047, shiftright(other, 11) & 2047, shiftright(other, 22))")).alias("block", "bits"))
-    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.bits") == F.col("b.bits"))
-    split = blocks.alias("a").join(blocks.alias("b"), same & once)
+    same = (F.col("a.g") == F.col("b.g")) & (F.col("a.key") == F.col("b.key"))
+    plain = few.alias("a").join(few.alias("b"), same & once)
+    # the bits outside the segment, moved together: those above it come down over those below
+    other = "case " + " ".join(f"when g < {at + w} then {_outside(at, w)} end" if k == len(parts) - 1 else f"when g < {at + w} then {_outside(at, w)}" for k, (at, w) in enumerate(parts))
+    rest = 64 - max(w for _, w in parts) + 1
+    cuts = [rest * k // (bits + 1) for k in range(bits + 2)]
+    values = ", ".join(f"shiftrightunsigned(other, {a}) & {(1 << b - a) - 1}L" for a, b in zip(cuts, cuts[1:]))
+    blocks = many.withColumn("other", F.expr(other)).select("g", "key", "fp", F.posexplode(F.expr(f"array({values})")).alias("block", "value"))
+    split = blocks.alias("a").join(blocks.alias("b"), same & (F.col("a.block") == F.col("b.block")) & (F.col("a.value") == F.col("b.value")) & once)
     pair = [F.col("a.fp").alias("a"), F.col("b.fp").alias("b")]
     return plain.select(*pair).union(split.select(*pair).distinct())
 
 
+def _outside(at: int, width: int) -> str:
+    low = f"fp & {(1 << at) - 1}L"
+    return f"({low}) | shiftleft(shiftrightunsigned(fp, {at + width}), {at})" if at + width < 64 else low
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): connected components of undirected ``edges`` (a, b); ``root`` is the smallest node reachable.
 
@@ -125,36 +160,57 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, words: int = 3) -> tuple[DataFrame, DataFrame]:
+def similar(edges: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """The ``edges`` (a, b) whose shingle sets have a Jaccard similarity of at least ``least``, by their sketches.
+
+    The smallest SKETCH hashes of the union are a sample of it (all of it for short texts); the share of those that
+    both sketches hold estimates the similarity.
+    """
+    side = lambda c: sketches.select(F.col("fp").alias(c), F.col("sketch").alias(f"s{c}"))
+    # hashes are unsigned: signed order from the least negative on would be another order, so both halves are turned over
+    flip = lambda c: F.transform(c, lambda h: h.bitwiseXOR(F.lit(-(1 << 63))))
+    union = F.slice(F.sort_array(F.array_union(flip(F.col("sa")), flip(F.col("sb")))), 1, SKETCH)
+    joined = edges.join(side("a"), "a").join(side("b"), "b").withColumn("u", union)
+    both = F.array_intersect("u", F.array_intersect(flip(F.col("sa")), flip(F.col("sb"))))
+    return joined.where((F.size("u") == 0) | (F.size(both) >= least * F.size("u"))).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): rows (doc_id, fp, text_hash) of every document, classes (fp, root, component_id) of every fingerprint.
 
-    Fingerprints link at two or fewer differing bits; ``root`` is the smallest linked fingerprint and ``component_id``
-    the smallest doc_id of all documents reachable. Copies share a fingerprint and are counted once, by a
-    pre-aggregated minimum. Null and empty texts have fingerprint 0 and link like any other. Null ids never become a
-    component_id unless no document reachable has an id. Empty table: no rows.
+    Fingerprints link at ``bits`` or fewer differing bits and, with ``similarity``, only if their shingle sets are that
+    similar; ``root`` is the smallest linked fingerprint and ``component_id`` the smallest doc_id of all documents
+    reachable. Copies share a fingerprint and are counted once, by a pre-aggregated minimum. Null and empty texts have
+    fingerprint 0 and link like any other. Null ids never become a component_id unless no document reachable has an id.
+    Empty table: no rows.
     """
-    rows = materialize(fingerprints(docs, words), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct-fingerprints")
-    linked = materialize(components(links(distinct.select("fp"))), "components")
+    rows = materialize(fingerprints(docs, words, SKETCH if similarity else 0), "fingerprints")
+    sketch = [F.min("sketch").alias("sketch")] if similarity else []
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), *sketch), "distinct-fingerprints")
+    edges = links(distinct.select("fp"), bits)
+    if similarity:
+        edges = similar(materialize(edges, "candidates"), distinct.select("fp", "sketch"), similarity)
+    linked = materialize(components(edges), "components")
     members = linked.join(distinct, linked["node"] == distinct["fp"]).select("fp", "root", "doc_id")
     classes = members.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked_classes = members.join(classes, "root").select("fp", "root", "component_id")
-    alone = distinct.join(linked_classes.withColumnRenamed("root", "linked"), "fp", "left")
-    return rows, materialize(alone.select("fp", F.coalesce("linked", "fp").alias("root"), F.when(F.col("linked").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")), "classes")
+    linked_classes = members.join(classes, "root").select("fp", F.col("root").alias("linked"), "component_id")
+    alone = distinct.select("fp", "doc_id").join(linked_classes, "fp", "left")
+    component = F.when(F.col("linked").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return rows.select("doc_id", "fp", "text_hash"), materialize(alone.select("fp", F.coalesce("linked", "fp").alias("root"), component.alias("component_id")), "classes")
 
 
-def simhash_components(docs: DataFrame, words: int = 3) -> DataFrame:
+def simhash_components(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
     """(doc_id, fingerprint of 16 hex digits, component_id) for every row of ``docs``; see ``near_duplicates``."""
-    rows, classes = near_duplicates(docs, words)
+    rows, classes = near_duplicates(docs, words, bits)
     return rows.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, bits: int = 7, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id (ties: smallest text hash); nulls lose.
 
     Columns stay as they are. Rows that agree in id and text count as one. The texts are shuffled once, by their key.
     """
-    rows, classes = near_duplicates(docs, words)
+    rows, classes = near_duplicates(docs, words, bits, similarity)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
     kept = rows.join(classes, "fp").groupBy("root").agg(first.alias("k"))
     keys = kept.select(F.coalesce("k.doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("k.text_hash").alias("_hash"))
