@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ ALPHA, BETA, L1, L2, PASSES, TOXIC_WEIGHT = 2.0, 1.0, 10.0, 0.0, 6, 3.0
 _WORD = re.compile(r"[^\W_]+")
 #: Odd multipliers of the left and the right word of a unigram, a bigram and a skip-gram.
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
-_words = Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")), 300_000)
+_words = Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")), 200_000)
 
 
 def hashed_features(texts: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +54,7 @@ def train_ftrl(examples: list[tuple[np.ndarray, int]], buckets: int = BUCKETS, a
     z, n = np.zeros(buckets + 1), np.zeros(buckets + 1)
     for _ in range(passes):
         for features, label in examples:
-            at = np.append(features, buckets)
+            at = np.append(features, np.int32(buckets))
             zi, ni = z[at], n[at]
             penalty = np.full(len(at), l1)
             penalty[-1] = 0.0
@@ -93,9 +94,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     def learn(batches):
         examples = []
         for batch in batches:
-            found = (f.values.to_numpy().astype(np.int64) for f in batch.column(2))
+            found = (f.values.to_numpy() for f in batch.column(2))  # views of the batch, not copies
             examples += zip(batch.column(0).to_pylist(), found, batch.column(1).to_pylist())
-        examples.sort(key=lambda x: (xxhash.xxh64_intdigest(str(x[0])), x[0], x[1].tobytes()))
+        examples.sort(key=lambda x: (xxhash.xxh64_intdigest(str(x[0])), x[0], zlib.crc32(x[1])))
         features, weights, bias = train_ftrl([x[1:] for x in examples], buckets) if examples else (np.zeros(0, np.int64), np.zeros(0), 0.0)
         yield pa.RecordBatch.from_arrays([pa.array([*features.tolist(), buckets], pa.int32()), pa.array([*weights.tolist(), bias], pa.float64())], ["feature", "weight"])
 
@@ -125,15 +126,16 @@ def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float],
             kept["w"] = w = np.zeros(buckets)
             w[shared.value[0]] = shared.value[1]
         for batch in slices(batches):
-            found, rows = hashed_features(batch.column(0).to_pylist(), buckets)
+            texts = batch.column(0).field("text").to_pylist()
+            found, rows = hashed_features([t or "" for t in texts], buckets)
             hit = np.flatnonzero(kept["w"][found])
             pairs = np.unique(rows[hit] * buckets + found[hit])  # a feature counts once in a text
             score = bias + np.bincount(pairs // buckets, weights=kept["w"][pairs % buckets], minlength=batch.num_rows)
             p = 1.0 / (1.0 + np.exp(-np.clip(score, -35.0, 35.0)))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(p)], ["row", "toxicity"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["row", "toxicity"])
 
     inner = docs.drop("toxicity")
-    packed = inner.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), F.struct(*inner.columns).alias("row"))
+    packed = inner.select(F.struct(*inner.columns).alias("row"))
     schema = packed.schema["row"].dataType
     return packed.mapInArrow(run, StructType().add("row", schema).add("toxicity", DoubleType())).select("row.*", "toxicity")
 
