@@ -19,7 +19,7 @@ def with_stream_labels(logs: DataFrame) -> DataFrame:
 
 
 def write_logs(logs: DataFrame, path: str) -> None:
-    with_stream_labels(logs).withColumn("date", F.to_date("ts")).write.mode("append").partitionBy("service_name", "date").parquet(path)
+    with_stream_labels(logs).withColumn("date", F.to_date("ts")).write.mode("append").partitionBy(*STREAM_LABELS, "date").parquet(path)
 
 
 def write_samples(samples: DataFrame, path: str) -> None:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
 #: One attribute value; exactly one field is set. A typed bag, as a boolean false is not the text "false".
 ANY_VALUE = "struct<stringValue:string,intValue:string,boolValue:boolean,doubleValue:double>"
 ATTRIBUTES = f"array<struct<key:string,value:{ANY_VALUE}>>"
@@ -32,26 +30,26 @@ SPAN = (
 )
 
 
-def envelope(signal: str) -> StructType:
+def envelope(signal: str) -> str:
     """Schema of one OTLP JSON document of ``signal``: logs, metrics or traces. ``headers`` are the request's, if kept."""
     record, records, outer, inner = {
         "logs": (LOG, "logRecords", "resourceLogs", "scopeLogs"),
         "metrics": (METRIC, "metrics", "resourceMetrics", "scopeMetrics"),
         "traces": (SPAN, "spans", "resourceSpans", "scopeSpans"),
     }[signal]
-    return StructType.fromDDL(
+    return (
         f"{outer} array<struct<resource:{RESOURCE},{inner}:array<struct<scope:{SCOPE},{records}:array<{record}>>>>>, headers map<string,string>"
     )
 
 
 #: Hook events of the turn protocol: one flat JSON object a row. Fields not listed are never read.
-HOOK_EVENT = StructType.fromDDL(
+HOOK_EVENT = (
     "hook_event_name string, session_id string, turn_id string, tool_use_id string, tool_name string, model string, "
     "permission_mode string, prompt string, tool_response string, time_ns bigint"
 )
 
 #: Status-line snapshots.
-STATUS_LINE = StructType.fromDDL(
+STATUS_LINE = (
     "session_id string, conversation_id string, model struct<id:string,display_name:string>, version string, product string, "
     "context_window struct<total_input_tokens:bigint,total_output_tokens:bigint,context_window_size:bigint,used_percentage:double,"
     "remaining_percentage:double,current_usage:struct<input_tokens:bigint,output_tokens:bigint,cache_creation_input_tokens:bigint,"
