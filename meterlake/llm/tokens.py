@@ -8,8 +8,8 @@ import numpy as np
 
 from meterlake.llm.bpe import Memo, WordVocabulary
 
-#: Words kept in each of the two generations; about 150 MB a worker.
-LIBRARY_WORDS = 400_000
+#: Words kept in each of the two generations; about 120 MB a worker.
+LIBRARY_WORDS = 300_000
 
 
 class LibraryEncoder:

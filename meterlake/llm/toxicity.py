@@ -25,15 +25,19 @@ ALPHA, BETA, L1, L2, PASSES, TOXIC_WEIGHT = 2.0, 1.0, 10.0, 0.0, 6, 3.0
 _WORD = re.compile(r"[^\W_]+")
 #: Odd multipliers of the left and the right word of a unigram, a bigram and a skip-gram.
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
-_words = Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")), 200_000)
 
 
-def hashed_features(texts: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes() -> Memo:
+    """Hashes of words, kept for one task only, so that an idle worker holds no words."""
+    return Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")), 150_000)
+
+
+def hashed_features(texts: list[str], buckets: int = BUCKETS, words: Memo | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(feature, row) pairs of ``texts``: words, word pairs and pairs with one word left out, hashed into ``buckets``."""
-    get, parts = _words.__getitem__, []
+    get, parts = (words if words is not None else word_hashes()).__getitem__, []
     for text in texts:
-        words = _WORD.findall(text.lower())
-        parts.append(np.fromiter(map(get, words), np.uint64, len(words)))
+        found = _WORD.findall(text.lower())
+        parts.append(np.fromiter(map(get, found), np.uint64, len(found)))
     sizes = [len(p) for p in parts]
     h, row = np.concatenate([*parts, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(texts)), sizes)
     found, rows = [h * _MIX[0]], [row]
@@ -84,8 +88,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     chosen = id_and_text(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic")
 
     def hashed(batches):
+        words = word_hashes()
         for batch in slices(batches):
-            features, rows = hashed_features(batch.column(1).to_pylist(), buckets)
+            features, rows = hashed_features(batch.column(1).to_pylist(), buckets, words)
             order = np.argsort(rows, kind="stable")
             cuts = np.searchsorted(rows[order], np.arange(1, batch.num_rows))
             each = [np.unique(x).astype(np.int32) for x in np.split(features[order], cuts)]
@@ -125,9 +130,10 @@ def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float],
         if "w" not in kept:
             kept["w"] = w = np.zeros(buckets)
             w[shared.value[0]] = shared.value[1]
+        words = word_hashes()
         for batch in slices(batches):
             texts = batch.column(0).field("text").to_pylist()
-            found, rows = hashed_features([t or "" for t in texts], buckets)
+            found, rows = hashed_features([t or "" for t in texts], buckets, words)
             hit = np.flatnonzero(kept["w"][found])
             pairs = np.unique(rows[hit] * buckets + found[hit])  # a feature counts once in a text
             score = bias + np.bincount(pairs // buckets, weights=kept["w"][pairs % buckets], minlength=batch.num_rows)
