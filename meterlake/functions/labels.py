@@ -53,3 +53,8 @@ def without_fixtures(samples: DataFrame, pattern: str = FIXTURES) -> DataFrame:
 def choice(values: list[str] | None) -> str:
     """Pattern of a multi-select variable: an alternation of the values; none chosen means all that are present."""
     return "|".join(values) if values else ".+"
+
+
+def label_value_test(df: DataFrame, name: str, pattern: str) -> Column:
+    """Test of a label against the pattern of a variable."""
+    return anchored(label(df, name), pattern)

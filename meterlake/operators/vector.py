@@ -28,21 +28,26 @@ def fold(v: DataFrame, function=F.sum) -> DataFrame:
     return v.groupBy().agg(function("value").alias("value"), F.count("value").alias("_n")).where("_n > 0").select("value")
 
 
-def _match(left: DataFrame, right: DataFrame, on: list[str]) -> Column:
-    tests = [F.coalesce(left[c], F.lit("")) == F.coalesce(right[c], F.lit("")) for c in on]
+def _partners(df: DataFrame, on: list[str]) -> DataFrame:
+    """The distinct ``on`` labels of ``df`` under names of their own, missing ones as empty texts."""
+    return _with(df, on).select(*(F.coalesce(F.col(c), F.lit("")).alias(f"_r_{c}") for c in on)).distinct()
+
+
+def _match(right: DataFrame, on: list[str]) -> Column:
+    tests = [F.coalesce(F.col(c), F.lit("")) == right[f"_r_{c}"] for c in on]
     return reduce(lambda a, b: a & b, tests)
 
 
 def vec_and(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """``left`` where ``right`` has a series with the same ``on`` labels."""
-    left, right = _with(left, on), _with(right, on).select(*on).distinct().alias("r")
-    return left.join(right, _match(left, right, on), "left_semi")
+    right = _partners(right, on)
+    return _with(left, on).join(right, _match(right, on), "left_semi")
 
 
 def vec_unless(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """``left`` where ``right`` has no series with the same ``on`` labels."""
-    left, right = _with(left, on), _with(right, on).select(*on).distinct().alias("r")
-    return left.join(right, _match(left, right, on), "left_anti")
+    right = _partners(right, on)
+    return _with(left, on).join(right, _match(right, on), "left_anti")
 
 
 def vec_or(left: DataFrame, right: DataFrame, on: list[str] | None = None) -> DataFrame:
@@ -56,7 +61,7 @@ def vec_binop(left: DataFrame, right: DataFrame, on: list[str], op, keep: list[s
     """``op(left value, right value)`` of one-to-one matching series; those without a partner vanish."""
     left, right = _with(left, on), _with(right, on)
     r = right.select(*(F.coalesce(F.col(c), F.lit("")).alias(f"_r_{c}") for c in on), F.col("value").alias("_r"))
-    test = reduce(lambda a, b: a & b, [F.coalesce(left[c], F.lit("")) == r[f"_r_{c}"] for c in on])
+    test = reduce(lambda a, b: a & b, [F.coalesce(F.col(c), F.lit("")) == F.col(f"_r_{c}") for c in on])
     return left.join(r, test).select(*(keep or labels_of(left)), op(F.col("value"), F.col("_r")).alias("value"))
 
 
@@ -64,7 +69,7 @@ def group_left(left: DataFrame, one: DataFrame, on: list[str], carry: list[str],
     """Many-to-one: ``op(left, one)`` with the ``carry`` labels of the "one" side, a rate card or another table that is
     a few rows long and therefore broadcast by its size. Unmatched rows of ``left`` vanish: unknown isn't zero."""
     r = one.select(*(F.coalesce(F.col(c), F.lit("")).alias(f"_r_{c}") for c in on), *carry, F.col("value").alias("_r"))
-    test = reduce(lambda a, b: a & b, [F.coalesce(left[c], F.lit("")) == r[f"_r_{c}"] for c in on])
+    test = reduce(lambda a, b: a & b, [F.coalesce(F.col(c), F.lit("")) == F.col(f"_r_{c}") for c in on])
     return left.drop(*[c for c in carry if c in left.columns]).join(r, test).select(*[c for c in left.columns if c not in (*carry, "value")], *carry, op(F.col("value"), F.col("_r")).alias("value"))
 
 
@@ -85,6 +90,6 @@ def reconcile(left: DataFrame, right: DataFrame, on: list[str], tolerance: float
     """Keys whose two totals differ by over ``tolerance``, or that one side lacks: (on..., left_value, right_value)."""
     a = left.select(*on, F.col("value").alias("left_value"))
     b = right.select(*(F.col(c).alias(f"_r_{c}") for c in on), F.col("value").alias("right_value"))
-    test = reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[f"_r_{c}"]) for c in on])
+    test = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on])
     joined = a.join(b, test, "full_outer").select(*(F.coalesce(F.col(c), F.col(f"_r_{c}")).alias(c) for c in on), "left_value", "right_value")
     return joined.where(F.col("left_value").isNull() | F.col("right_value").isNull() | (F.abs(F.col("left_value") - F.col("right_value")) > tolerance))
