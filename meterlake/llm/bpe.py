@@ -201,10 +201,10 @@ class HeapBpe:
 _loaded: dict[tuple, object] = {}
 
 
-def loaded(kind, name: str):
+def loaded(kind, name: str, *more):
     """One instance of ``kind`` for the vocabulary file ``name`` in each worker process; ``name`` may be a path."""
-    if (kind, name) not in _loaded:
+    if (kind, name, more) not in _loaded:
         import public_tokenizers
 
-        _loaded[kind, name] = kind(name if "/" in name else public_tokenizers.path(name))
-    return _loaded[kind, name]
+        _loaded[kind, name, more] = kind(name if "/" in name else public_tokenizers.path(name), *more)
+    return _loaded[kind, name, more]

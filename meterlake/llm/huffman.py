@@ -33,6 +33,8 @@ MAX_BITS = 16
 CHECKPOINT = 128
 #: A block is closed at this many tokens; a longer document is a block of its own.
 BLOCK_TOKENS = 1 << 16
+#: Words whose ids a worker keeps, in each of two generations; about 250 MB.
+KEPT_WORDS = 600_000
 #: Blocks that one decoding step handles together.
 DECODE_BLOCKS = 24
 
@@ -159,7 +161,7 @@ def tokenise_in_order(docs: DataFrame, vocabulary: str, end_id: int | None) -> D
     tail = [] if end_id is None else [end_id]
 
     def run(batches):
-        encoder, part, before = loaded(LibraryEncoder, vocabulary), TaskContext.get().partitionId(), 0
+        encoder, part, before = loaded(LibraryEncoder, vocabulary, KEPT_WORDS), TaskContext.get().partitionId(), 0
         end = np.array(tail, encoder.dtype).tobytes()
         doc_ids, sizes, held, size = [], [], [], 0
 
@@ -191,7 +193,7 @@ def count_ids(blocks: DataFrame, vocabulary: str) -> DataFrame:
     """(id int, n long) over all blocks; each task sums first, so at most one row for each id and task is shuffled."""
 
     def run(batches):
-        encoder = loaded(LibraryEncoder, vocabulary)
+        encoder = loaded(LibraryEncoder, vocabulary, KEPT_WORDS)
         total = np.zeros(encoder.size, np.int64)
         for batch in batches:
             for ids in batch.column(0):
@@ -221,7 +223,7 @@ def write_corpus(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.jso
         starts[r.part], before = before, before + r.n
 
     def run(batches):
-        dtype, code = loaded(LibraryEncoder, vocabulary).dtype, Code(ids, lengths, int(ids.max()) + 1 if len(ids) else 1)
+        dtype, code = loaded(LibraryEncoder, vocabulary, KEPT_WORDS).dtype, Code(ids, lengths, int(ids.max()) + 1 if len(ids) else 1)
         for batch in slices(batches, 1):
             (row,) = batch.to_pylist()
             n_tokens = np.array(row["n_tokens"])

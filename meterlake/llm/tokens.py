@@ -19,7 +19,7 @@ class LibraryEncoder:
     and its ids are kept. Texts with characters outside the plain set, or with special strings, go to the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = LIBRARY_WORDS):
         self.vocabulary = WordVocabulary(path)
         self.library = self.vocabulary._library
         self.library.no_truncation()
@@ -27,7 +27,7 @@ class LibraryEncoder:
         self.size = len(self.vocabulary.pieces)
         self.width = 2 if self.size <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
-        self._memo = Memo(self._library_ids, LIBRARY_WORDS)
+        self._memo = Memo(self._library_ids, words)
 
     def _library_ids(self, text: str) -> bytes:
         return array("HI"[self.width // 4], self.library.encode(text, add_special_tokens=False).ids).tobytes()
