@@ -53,9 +53,19 @@ ROLES = ("primary", "approval_reviewer", "subagent", "unknown")
 RAW_KEYS = ("model", "tool", "tool_name", "skill", "skill.name", "mcp_server.name", "mcp_tool.name", "query_source")
 
 
+def upsert_all(bag: Column, values: dict[str, Column]) -> Column:
+    """The bag with the texts of ``values`` set; null values leave their keys as they are.
+
+    ``bag`` stands in the expression once, so chains of it don't grow by doubling when they are merged.
+    """
+    new = F.map_filter(F.create_map(*(x for k, v in values.items() for x in (F.lit(k), typed(v)))), lambda _, v: v.isNotNull())
+    given = F.array_compact(F.array(*(F.when(v.isNotNull(), F.lit(k)) for k, v in values.items())))
+    return F.map_concat(F.map_filter(bag, lambda k, _: ~F.array_contains(given, k)), new)
+
+
 def upsert(bag: Column, key: str, value: Column) -> Column:
     """The bag with ``key`` set to a text; a null value leaves the bag as it is."""
-    return F.when(value.isNull(), bag).otherwise(F.map_concat(delete_keys(bag, [key]), F.create_map(F.lit(key), typed(value))))
+    return upsert_all(bag, {key: value})
 
 
 def text(bag: Column, key: str) -> Column:
@@ -65,22 +75,16 @@ def text(bag: Column, key: str) -> Column:
 def normalise_resource(df: DataFrame, profile: str = "core") -> DataFrame:
     """Profile and environment are written over; a missing service name gets a default."""
     value, environment = PROFILE_VALUES[profile]
-    bag = F.col("resource")
-    for key, new in (("ai_context.environment.profile", value), ("ai_observability.profile", value), ("deployment.environment.name", environment)):
-        bag = upsert(bag, key, F.lit(new))
-    out = df.withColumn("resource", bag)
-    return out.withColumn("resource", upsert(F.col("resource"), "service.name", F.when(text(F.col("resource"), "service.name").isNull(), F.lit(UNKNOWN_SERVICE))))
+    service = F.when(text(F.col("resource"), "service.name").isNull(), F.lit(UNKNOWN_SERVICE))
+    fixed = {"ai_context.environment.profile": F.lit(value), "ai_observability.profile": F.lit(value), "deployment.environment.name": F.lit(environment)}
+    return df.withColumn("resource", upsert_all(F.col("resource"), fixed | {"service.name": service}))
 
 
 def derive_provider(df: DataFrame) -> DataFrame:
     """Provider, product and surface of known services; others get none."""
-    service = text(F.col("resource"), "service.name")
-    for at, key in enumerate(("ai_agent.provider", "ai_agent.product", "ai_agent.surface")):
-        value = F.lit(None).cast("string")
-        for name, known in SERVICES.items():
-            value = F.when(service == name, F.lit(known[at])).otherwise(value)
-        df = df.withColumn("resource", upsert(F.col("resource"), key, value))
-    return df
+    known = F.create_map(*(x for name, values in SERVICES.items() for x in (F.lit(name), F.array(*map(F.lit, values)))))
+    of = known[text(F.col("resource"), "service.name")]
+    return df.withColumn("resource", upsert_all(F.col("resource"), {key: F.get(of, F.lit(at)) for at, key in enumerate(("ai_agent.provider", "ai_agent.product", "ai_agent.surface"))}))
 
 
 def with_copies(points: DataFrame, copies=COPIES) -> DataFrame:

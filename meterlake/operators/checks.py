@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 
 
 def containing(table: DataFrame, sentinels: list[str]) -> DataFrame:
-    """Rows in which any column holds one of the texts, however nested."""
-    whole = F.to_json(F.struct("*"))
-    return table.where(reduce(lambda a, b: a | b, [whole.contains(s) for s in sentinels]))
+    """Rows in which any column holds one of the texts, however nested.
+
+    Each row passes through a generator as one struct, so that the test reads finished columns; pushed below the
+    projections of a long pipeline it would repeat their expressions for every column that it reads.
+    """
+    rows = table.select(F.explode(F.array(F.struct("*"))).alias("_row"))
+    whole = F.to_json("_row")
+    return rows.where(reduce(lambda a, b: a | b, [whole.contains(s) for s in sentinels])).select("_row.*")
 
 
 def forbidden_keys(table: DataFrame, bag: str, forbidden: list[str]) -> DataFrame:

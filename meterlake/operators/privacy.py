@@ -33,7 +33,7 @@ def delete_key_where(bag: Column, key: str, condition: Column) -> Column:
 
 
 def _scope(df: DataFrame, change) -> Column:
-    return F.struct(F.col("scope.name").alias("name"), F.col("scope.version").alias("version"), change(F.col("scope.attributes")).alias("attributes"))
+    return F.named_struct(F.lit("name"), F.col("scope.name"), F.lit("version"), F.col("scope.version"), F.lit("attributes"), change(F.col("scope.attributes")))
 
 
 def _events(change, name=None) -> Column:

@@ -56,7 +56,7 @@ def _flat(envelopes: DataFrame, outer: str, inner: str, records: str) -> DataFra
     headers = F.col("headers") if "headers" in envelopes.columns else F.lit(None).cast("map<string,string>")
     by_resource = envelopes.select(headers.alias("headers"), F.explode(outer).alias("r"))
     by_scope = by_resource.select("headers", bag(F.col("r.resource.attributes")).alias("resource"), F.explode(f"r.{inner}").alias("s"))
-    scope = F.struct(F.col("s.scope.name").alias("name"), F.col("s.scope.version").alias("version"), bag(F.col("s.scope.attributes")).alias("attributes"))
+    scope = F.named_struct(F.lit("name"), F.col("s.scope.name"), F.lit("version"), F.col("s.scope.version"), F.lit("attributes"), bag(F.col("s.scope.attributes")))
     return by_scope.select("headers", "resource", scope.alias("scope"), F.explode(f"s.{records}").alias("x"))
 
 
@@ -71,7 +71,7 @@ def logs(envelopes: DataFrame) -> DataFrame:
 
 def spans(envelopes: DataFrame) -> DataFrame:
     """One row a span: identity, name, times, attributes, status and nested events."""
-    event = lambda e: F.struct(e["timeUnixNano"].cast("bigint").alias("time_ns"), e["name"].alias("name"), bag(e["attributes"]).alias("attributes"))
+    event = lambda e: F.named_struct(F.lit("time_ns"), e["timeUnixNano"].cast("bigint"), F.lit("name"), e["name"], F.lit("attributes"), bag(e["attributes"]))
     start, end = F.col("x.startTimeUnixNano").cast("bigint"), F.col("x.endTimeUnixNano").cast("bigint")
     return _flat(envelopes, "resourceSpans", "scopeSpans", "spans").select(
         "headers", "resource", "scope", F.col("x.traceId").alias("trace_id"), F.col("x.spanId").alias("span_id"),
