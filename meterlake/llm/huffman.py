@@ -79,14 +79,14 @@ class Code:
 
     def __init__(self, ids: np.ndarray, lengths: np.ndarray, size: int):
         order = np.lexsort((ids, lengths))
+        ids, lengths = ids[order], lengths[order]
         self.code, self.length = np.zeros(size, np.uint32), np.zeros(size, np.uint8)
         self.table_id, self.table_length = np.zeros(1 << MAX_BITS, np.uint32), np.ones(1 << MAX_BITS, np.uint8)
-        at = 0  # the next code, left-aligned in MAX_BITS
-        for i, n in zip(ids[order].tolist(), lengths[order].tolist()):
-            width = 1 << (MAX_BITS - n)
-            self.code[i], self.length[i] = at >> (MAX_BITS - n), n
-            self.table_id[at : at + width], self.table_length[at : at + width] = i, n
-            at += width
+        width = 1 << (MAX_BITS - lengths)  # entries of the table that begin with the code
+        ends = np.cumsum(width)
+        self.code[ids], self.length[ids] = (ends - width) >> (MAX_BITS - lengths), lengths
+        used = int(ends[-1]) if len(ids) else 0
+        self.table_id[:used], self.table_length[:used] = np.repeat(ids, width), np.repeat(lengths, width)
 
     def pack(self, ids: np.ndarray) -> tuple[np.ndarray, int, bytes]:
         """(checkpoints, number of bits, bit stream) of ``ids``."""

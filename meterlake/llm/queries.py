@@ -71,7 +71,57 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
+
+
+def _quality_sql() -> str:
+    """op10 in SQL: counts, votes, and expectation-maximisation as a recursive query over vote patterns."""
+    rules = range(len(quality.RULES))
+    votes = ", ".join(f"case when {bad} then 0 when {good} then 2 else 1 end as v{j}" for j, (_, bad, good, *_) in enumerate(quality.RULES))
+    logit = " + ".join(["ln(good / (1 - good))", *(f"(v{j} - 1) * ln(acc[{j + 1}] / (1 - acc[{j + 1}]))" for j in rules)])
+    p = f"1 / (1 + exp(-({logit})))"
+    right = lambda j: f"sum(case v{j} when 2 then n * p when 0 then n * (1 - p) else 0 end)"
+    acc = ", ".join(f"greatest({low}, least({high}, coalesce({right(j)} / nullif(sum(case when v{j} = 1 then 0 else n end), 0), 0)))" for j, (*_, low, high) in enumerate(quality.RULES))
+    keys = ", ".join(f"v{j}" for j in rules)
+    return rf"""
+        with recursive parts as (
+            select doc_id, coalesce(text, '') as text,
+                   list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+            from documents
+        ), placed as (
+            select doc_id, unnest(words) as a, generate_subscripts(words, 1) as i from parts
+        ), windows as (
+            select *, lead(a, 1) over (partition by doc_id order by i) as b, lead(a, 2) over (partition by doc_id order by i) as c from placed
+        ), counted as (
+            select doc_id, i, count(*) over (partition by doc_id, a, b, c) as n from windows where c is not null
+        ), repeats as (
+            select doc_id, count(distinct j) as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as j from counted where n > 1) group by doc_id
+        ), counts as (
+            select doc_id, cast(len(words) as bigint) as n_words, cast(length(array_to_string(words, '')) as bigint) as word_chars,
+                   cast(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) as bigint) as n_symbols, cast(len(lines) as bigint) as n_lines,
+                   cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
+                   length(regexp_replace(text, '[^A-Z]+', '', 'g')) as n_capitals, length(regexp_replace(text, '[^!]+', '', 'g')) as n_exclaims,
+                   length(regexp_replace(text, '[^.?!]+', '', 'g')) as n_ends
+            from parts left join repeats using (doc_id)
+        ), voted as materialized (
+            select *, {votes} from counts
+        ), patterns as materialized (
+            select {keys}, cast(count(*) as double) as n from voted group by all
+        ), em as (
+            select 0 as t, cast({quality.START_GOOD} as double) as good, cast([{", ".join(str(quality.START_ACCURACY) for _ in rules)}] as double[]) as acc
+            union all
+            select t + 1, greatest({quality.LEAST_GOOD}, least({quality.MOST_GOOD}, sum(n * p) / sum(n))), [{acc}]
+            from (select em.*, patterns.*, {p} as p from em, patterns where t < {quality.EM_STEPS}) group by t
+        ), scored as (
+            select {keys}, {p} as p_good from patterns, em where t = {quality.EM_STEPS}
+        )
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+               not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and p_good >= 0.5 as kept
+        from voted join scored using ({keys})"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op10_quality_rules": _quality_sql(),
     "op4_exact_topk": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
