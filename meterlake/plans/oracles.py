@@ -358,3 +358,14 @@ ORACLE |= {
     "join13_annotation_diff": "with w as (select doc_id, cast(quality as double) as score from labels where doc_id % 7 <> 0), h as (select doc_id, case when doc_id % 11 = 0 then 0.5 else cast(quality as double) end as score from labels where doc_id % 5 <> 0) select coalesce(w.doc_id, h.doc_id) as doc_id, case when h.doc_id is null then 'missing' when w.doc_id is null then 'not_assigned' else 'drifted' end as state from w full join h on w.doc_id = h.doc_id where h.doc_id is null or w.doc_id is null or w.score <> h.score",
     "chk16_repeats_within": "select event_id, user_id, event_type from (select *, lag(ts) over (partition by user_id, event_type order by ts) as previous from events) where ts - previous <= interval '1 hour'",
 }
+
+_STREAM_TURNS = "with e as (select concat_ws('/', cast(conv_id as varchar), cast(turn // 2 as varchar)) as session_id, role, cast(conv_id * 3600 + turn * 60 as bigint) as t from conversations where role in ('user', 'assistant')), s as (select *, sum(case when role = 'assistant' then 1 else 0 end) over (partition by session_id order by t rows between unbounded preceding and 1 preceding) as run from e), p as (select *, max(t) filter (where role = 'user') over (partition by session_id, coalesce(run, 0) order by t) as begin from s)"
+ORACLE |= {
+    "snk07_check_report": "with r as (select 'duplicate line numbers' as name, count(*) as failures from (select 1 from lineitem group by l_orderkey, l_linenumber having count(*) > 1) union all select 'duplicate parts', count(*) from (select 1 from part group by p_partkey having count(*) > 1) union all select 'languages', count(*) from documents where lang not in ('en', 'fr', 'de', 'es')) select name, failures, failures = 0 as passed from r",
+    "snk09_feedback_bundle": """select '{"schema_version":"1.0","environment_profile":"corporate-redacted","framework_version":"1.0","metrics":{' || string_agg('"' || name || '":' || n, ',' order by name) || '}}' as bundle from (select event_type as name, count(*) as n from events group by all)""",
+    "set04_additive_copy": "with m as (select case event_id % 3 when 0 then 'codex.tool.call' when 1 then 'codex.mcp.call' else 'other.metric' end as metric from events) select metric, count(*) as n from (select metric from m union all select case metric when 'codex.tool.call' then 'ai_agent.tool.call' else 'ai_agent.mcp.call' end from m where metric <> 'other.metric') group by all",
+    "trx05_safe_names": "select page_id, regexp_replace(url, '[^a-zA-Z0-9_:]', '_', 'g') as name from pages",
+    "stm09_running_totals": "select event_type, cast(sum(cast(trunc(value * 100) as bigint)) as bigint) as total, count(*) as n from events group by all",
+    "stm10_change_or_heartbeat": ORACLE["tsf10_change_or_heartbeat"],
+    "stm02_turn_stream": f"{_STREAM_TURNS} select session_id, 'turn' as name, coalesce(begin, t - 1) as start_ns, greatest(t, coalesce(begin, t - 1) + 1) as end_ns from p where role = 'assistant'",
+}

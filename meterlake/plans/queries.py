@@ -11,10 +11,11 @@ from meterlake.functions import text as T
 from meterlake.functions import timeseries as ts
 from meterlake.functions.labels import choice, label_value_test, select_series, without_fixtures
 from meterlake.operators import accounting as A
-from meterlake.operators import checks, logs as L, privacy, privacy_names, sessions, status_line, traces, vector as V
+from meterlake.operators import canonical, checks, contracts, logs as L, privacy, privacy_names, samples, sessions, status_line, traces, vector as V
 from meterlake.operators.canonical import typed
 from meterlake.plans import catalog as C
 from meterlake.plans import views as W
+from meterlake.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -645,3 +646,56 @@ def join13(spark, d):
 @query("chk16_repeats_within")
 def chk16(spark, d):
     return checks.repeats_within(W.table(spark, d, "events"), ["user_id", "event_type"], "1 hour").select("event_id", "user_id", "event_type")
+
+
+@query("snk07_check_report")
+def snk07(spark, d):
+    lines, parts, docs = (W.table(spark, d, t) for t in ("lineitem", "part", "documents"))
+    return contracts.report({
+        "duplicate line numbers": checks.duplicates(lines, ["l_orderkey", "l_linenumber"]),
+        "duplicate parts": checks.duplicates(parts, ["p_partkey"]),
+        "languages": checks.outside_domain(docs, {"lang": ["en", "fr", "de", "es"]}),
+    })
+
+
+@query("snk09_feedback_bundle")
+def snk09(spark, d):
+    metrics = W.table(spark, d, "events").groupBy(F.col("event_type").alias("name")).agg(F.count(F.lit(1)).alias("value"))
+    return contracts.feedback_bundle(metrics, "1.0")
+
+
+@query("set04_additive_copy")
+def set04(spark, d):
+    native = W.table(spark, d, "events").select(F.element_at(F.array(*map(F.lit, ("codex.tool.call", "codex.mcp.call", "other.metric"))), (F.col("event_id") % 3 + 1).cast("int")).alias("metric"), "value")
+    return rounded(canonical.with_copies(native).groupBy("metric").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("trx05_safe_names")
+def trx05(spark, d):
+    return W.table(spark, d, "pages").select("page_id", samples.safe_name(F.col("url")).alias("name"))
+
+
+@query("stm09_running_totals")
+def stm09(spark, d):
+    """Streaming: event counters by keyed state, everything available in one run."""
+    rows = jobs.read_table_stream(spark, d, "events").select("event_type", (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("time_ns"), (F.col("value") * 100).cast("bigint").alias("value"))
+    totals = jobs.run_available(jobs.running_totals(rows, ["event_type"]))
+    return totals.groupBy("event_type").agg(F.max("value").cast("bigint").alias("total"), F.count(F.lit(1)).alias("n"))
+
+
+@query("stm10_change_or_heartbeat")
+def stm10(spark, d):
+    """Streaming twin of the change-or-heartbeat rule."""
+    rows = jobs.read_table_stream(spark, d, "events").select(F.col("user_id").cast("string").alias("session"), F.when(F.col("value") > 15, "high").otherwise("low").alias("fingerprint"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("time_ns"))
+    return jobs.run_available(jobs.emitted_stream(rows, "session", 86_400_000_000_000)).select("session", "fingerprint", "time_ns")
+
+
+@query("stm02_turn_stream")
+def stm02(spark, d):
+    """Streaming twin of the turn sessioniser."""
+    c = jobs.read_table_stream(spark, d, "conversations").where("role in ('user', 'assistant')")
+    events = c.select(
+        F.when(F.col("role") == "user", "UserPromptSubmit").otherwise("Stop").alias("hook_event_name"), F.concat_ws("/", "conv_id", F.call_function("div", F.col("turn"), F.lit(2))).alias("session_id"), F.lit("t").alias("turn_id"),
+        F.lit(None).cast("string").alias("tool_use_id"), (F.col("conv_id") * 3600 + F.col("turn") * 60).cast("bigint").alias("time_ns"),
+    )
+    return jobs.run_available(jobs.turn_stream(events)).select("session_id", "name", "start_ns", "end_ns")

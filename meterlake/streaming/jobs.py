@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -36,13 +38,23 @@ def unique_events(events: DataFrame, key: str, late: str = "1 hour") -> DataFram
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def running_totals(points: DataFrame, key: list[str], idle: str = "30 minutes") -> DataFrame:
-    """Delta points (key..., time_ns, value) to cumulative ones by keyed state; an idle series is forgotten.
+def _idle(idle: str | None):
+    """(timeout kind, milliseconds) of a time without data after which state is dropped.
+
+    Such a timeout keeps a query busy, so a run over what is available (which must end) takes None: state stays.
+    """
+    if idle is None:
+        return GroupStateTimeout.NoTimeout, None
+    return GroupStateTimeout.ProcessingTimeTimeout, int(pd.Timedelta(idle).total_seconds() * 1000)
+
+
+def running_totals(points: DataFrame, key: list[str], idle: str | None = None) -> DataFrame:
+    """Delta points (key..., time_ns, value) to cumulative ones by keyed state; with ``idle`` an idle series is forgotten.
 
     Points of a batch are taken in time order; the state is one sum for each series.
     """
     schema = ", ".join([*(f"{k} string" for k in key), "time_ns bigint", "value double"])
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    kind, idle_ms = _idle(idle)
 
     def add(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -52,11 +64,12 @@ def running_totals(points: DataFrame, key: list[str], idle: str = "30 minutes")
         rows = pd.concat(list(frames)).sort_values("time_ns", kind="stable")
         rows["value"] = rows["value"].cumsum() + total
         state.update((float(rows["value"].iloc[-1]),))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield rows[[*key, "time_ns", "value"]]
 
     columns = points.select(*(F.col(k).cast("string").alias(k) for k in key), F.col("time_ns").cast("bigint").alias("time_ns"), F.col("value").cast("double").alias("value"))
-    return columns.groupBy(*key).applyInPandasWithState(add, schema, "total double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return columns.groupBy(*key).applyInPandasWithState(add, schema, "total double", "append", kind)
 
 
 def emitted_stream(rows: DataFrame, key: str, heartbeat_ns: int = 60_000_000_000) -> DataFrame:
@@ -77,14 +90,14 @@ def emitted_stream(rows: DataFrame, key: str, heartbeat_ns: int = 60_000_000_000
     return rows.select(key, "time_ns", "fingerprint").groupBy(key).applyInPandasWithState(send, f"{key} string, fingerprint string, time_ns bigint", "fingerprint string, last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def turn_stream(events: DataFrame, idle: str = "1 day") -> DataFrame:
+def turn_stream(events: DataFrame, idle: str | None = None) -> DataFrame:
     """Streaming twin of the turn sessioniser: (session_id, turn_id, tool_use_id, name, start_ns, end_ns) of each end.
 
-    State of a turn: its start and the starts of its open tools, as JSON; it goes with Stop or after ``idle``.
+    State of a turn: its start and the starts of its open tools, as JSON; it goes with Stop or, if given, after ``idle``.
     """
     import json
 
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    kind, idle_ms = _idle(idle)
 
     def pair(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -111,9 +124,37 @@ def turn_stream(events: DataFrame, idle: str = "1 day") -> DataFrame:
             state.remove()
         else:
             state.update((json.dumps(open_),))
-            state.setTimeoutDuration(idle_ms)
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["session_id", "turn_id", "tool_use_id", "name", "start_ns", "end_ns"])
 
     own = events.select("session_id", "turn_id", "tool_use_id", "hook_event_name", "time_ns")
     schema = "session_id string, turn_id string, tool_use_id string, name string, start_ns bigint, end_ns bigint"
-    return own.groupBy("session_id", "turn_id").applyInPandasWithState(pair, schema, "open string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return own.groupBy("session_id", "turn_id").applyInPandasWithState(pair, schema, "open string", "append", kind)
+
+
+def read_table_stream(spark, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
+    """A stored table as a stream of its files, with the schema of the stored files.
+
+    A stream's path must be a folder or a pattern; as a pattern a table that is one file is read as well.
+    """
+    reader = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{name}.parquet").schema)
+    path = f"{sf_dir}/{name}.parque[t]"
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
+
+
+def shared_folder(spark) -> str:
+    """A new folder below ``spark.checkpoint.dir``; where that is unset, a temporary one in a single process only."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="meterlake-")
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def run_available(table: DataFrame) -> DataFrame:
+    """Runs a stream over everything available into the shared folder and reads the result."""
+    folder = shared_folder(table.sparkSession)
+    append_stream(table, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return table.sparkSession.read.schema(table.schema).parquet(f"{folder}/out")
