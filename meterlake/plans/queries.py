@@ -30,8 +30,9 @@ def query(name: str):
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to nine places, so that the order of additions doesn't show."""
-    return df.select(*(F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    """Doubles to nine places, so that the order of additions doesn't show; times as they stand in the session's zone."""
+    plain = {"double": lambda c: F.round(c, 9), "timestamp": lambda c: F.col(c).cast("timestamp_ntz")}
+    return df.select(*(plain.get(t, F.col)(c).alias(c) for c, t in df.dtypes))
 
 
 # --- recording rules and accounting -------------------------------------------------------------------------------
@@ -413,7 +414,7 @@ QUERIES |= {
 
 @query("ac07_events_over_time")
 def ac07(spark, d):
-    return L.events_over_time(W.logs(spark, d), SERVICES, W.EVENTS_START, W.EVENTS_END, "1 day")
+    return rounded(L.events_over_time(W.logs(spark, d), SERVICES, W.EVENTS_START, W.EVENTS_END, "1 day"))
 
 
 @query("ac08_latest_traces")
