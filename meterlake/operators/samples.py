@@ -39,35 +39,22 @@ def reaggregate(long: DataFrame) -> DataFrame:
     )
 
 
-def accumulate(long: DataFrame) -> DataFrame:
-    """Running totals of delta points, by series in time order; cumulative points and gauges stay as they are."""
-    running = Window.partitionBy("metric", "series").orderBy("time_ns").rowsBetween(Window.unboundedPreceding, 0)
-    delta = (F.col("kind") != "gauge") & (F.coalesce("temporality", F.lit(2)) == DELTA)
-    total = lambda c: F.when(delta, F.sum(c).over(running)).otherwise(F.col(c))
-    width = F.size(F.coalesce("bucket_counts", F.array().cast("array<bigint>")))
-    exploded = long.withColumns({"value": total("value"), "count": total("count")})
-    return exploded.withColumn("bucket_counts", F.when(delta & (width > 0), _running_arrays(running)).otherwise(F.col("bucket_counts")))
-
-
-def _running_arrays(running) -> Column:
-    """Sum of arrays over the window: by collecting the few cells of each position as one list of arrays."""
-    zero = F.array().cast("array<bigint>")
-    return F.aggregate(F.collect_list("bucket_counts").over(running), zero, lambda a, b: F.zip_with(a, b, lambda x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0))))
-
-
 def to_samples(long: DataFrame, labels: list[str]) -> DataFrame:
     """(metric, labels..., le, ts, value): numbers as they are, histograms as _bucket by upper bound (cumulative), _sum, _count.
 
-    ``labels`` become columns, null where a series lacks them.
+    ``labels`` become columns, null where a series lacks them. Delta points become running totals in time order, for
+    each series and bucket on its own: one window over all rows, whose groups are single series, so no array grows.
     """
-    columns = [F.col("labels")[k].alias(k) for k in labels]
+    own = ["metric", "labels", "series", "time_ns", "ts", ((F.col("kind") != "gauge") & (F.coalesce("temporality", F.lit(2)) == DELTA)).alias("delta")]
     none = F.lit(None).cast("string").alias("le")
-    numbers = long.where("kind <> 'histogram'").select("metric", *columns, none, "ts", "value")
+    numbers = long.where("kind <> 'histogram'").select(*own, none, "value")
     h = long.where("kind = 'histogram'")
-    running = F.transform("bucket_counts", lambda _, i: F.aggregate(F.slice("bucket_counts", 1, i + 1), F.lit(0).cast("bigint"), lambda a, x: a + x))
+    below = F.transform("bucket_counts", lambda _, i: F.aggregate(F.slice("bucket_counts", 1, i + 1), F.lit(0).cast("bigint"), lambda a, x: a + x))
     bound = lambda i: F.coalesce(F.regexp_replace(F.get("bounds", i).cast("string"), r"\.0$", ""), F.lit("+Inf"))
-    cells = F.transform(running, lambda c, i: F.struct(bound(i).alias("le"), c.cast("double").alias("value")))
-    buckets = h.select(F.concat("metric", F.lit("_bucket")).alias("metric"), *columns, F.inline(cells), "ts").select("metric", *labels, "le", "ts", "value")
-    sums = h.select(F.concat("metric", F.lit("_sum")).alias("metric"), *columns, none, "ts", "value")
-    counts = h.select(F.concat("metric", F.lit("_count")).alias("metric"), *columns, none, "ts", F.col("count").cast("double").alias("value"))
-    return numbers.unionByName(buckets).unionByName(sums).unionByName(counts)
+    cells = F.transform(below, lambda c, i: F.struct(bound(i).alias("le"), c.cast("double").alias("value")))
+    named = lambda df, suffix: df.withColumn("metric", F.concat("metric", F.lit(suffix)))
+    rows = numbers.unionByName(named(h.select(*own, F.inline(cells)), "_bucket"))
+    rows = rows.unionByName(named(h.select(*own, none, "value"), "_sum")).unionByName(named(h.select(*own, none, F.col("count").cast("double").alias("value")), "_count"))
+    running = Window.partitionBy("metric", "series", "le").orderBy("time_ns").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.when(F.col("delta"), F.sum("value").over(running)).otherwise(F.col("value"))
+    return rows.select("metric", *(F.col("labels")[k].alias(k) for k in labels), "le", "ts", total.alias("value"))

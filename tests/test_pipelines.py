@@ -68,8 +68,7 @@ def flat(spark, signal, docs):
 def usage(spark, profile):
     points = process(otlp.points(flat(spark, "metrics", DOCS)), "points", profile)
     points = spark.createDataFrame(points.collect(), points.schema)
-    long = samples.accumulate(samples.reaggregate(samples.to_long(points)))
-    rows = samples.to_samples(long, LABELS)
+    rows = samples.to_samples(samples.reaggregate(samples.to_long(points)), LABELS)
     return points, spark.createDataFrame(rows.collect(), rows.schema)
 
 
@@ -179,3 +178,15 @@ def test_missing_service_gets_a_default_and_envelopes_read_from_files(spark, tmp
     out = process(otlp.logs(otlp.read_envelopes(spark, str(tmp_path), "logs")), "logs").first()
     assert out.resource["service.name"].stringValue == "unknown-ai-client"
     assert "resourceLogs" in envelope("logs")
+
+
+def test_delta_points_become_running_totals(spark):
+    docs = [metrics("x", "n", [histogram("h", v, k="a")]) for v in (5, 7)]
+    for n, d in enumerate(docs):
+        d["resourceMetrics"][0]["scopeMetrics"][0]["metrics"][0]["histogram"]["dataPoints"][0]["timeUnixNano"] = str(NOW + n * 10**9)
+    rows = samples.to_samples(samples.reaggregate(samples.to_long(otlp.points(flat(spark, "metrics", docs)))), ["k", "service_name"]).collect()
+    got = sorted((r.metric, r.le or "", r.ts.second, r.value) for r in rows)
+    second = NOW // 10**9 % 60
+    assert [g for g in got if g[0] == "h_sum"] == [("h_sum", "", second, 5.0), ("h_sum", "", second + 1, 12.0)]
+    assert [g[1:] for g in got if g[0] == "h_bucket"] == [("+Inf", second, 1.0), ("+Inf", second + 1, 2.0), ("20000", second, 1.0), ("20000", second + 1, 2.0), ("256", second, 0.0), ("256", second + 1, 0.0)]
+    assert {(r.k, r.service_name) for r in rows} == {("a", "x")}
