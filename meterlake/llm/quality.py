@@ -130,14 +130,15 @@ def score_quality(docs: DataFrame, text_col: str = "text", carry: list[str] | No
     the posterior table (at most 3 to the number of rules rows) is broadcast.
     """
     own = [c for c in (docs.columns if carry is None else carry) if c != "quality"]
-    scored = materialize(measured(docs.drop("quality"), text_col).select(*own, "_q"), "quality")
+    packed = docs.select(F.struct(*own).alias("row"), F.col(text_col).alias("text"))  # no name can clash with those used here
+    scored = materialize(measured(packed).select("row", "_q"), "quality")
     model = posterior(scored.groupBy(F.col("_q.votes").alias("votes")).agg(F.count(F.lit(1)).alias("n")))
     joined = scored.join(F.broadcast(model), F.col("_q.votes") == model["votes"]).drop(model["votes"])
     kept = ~F.col("_q.base_failed") & (F.col("p_good") >= 0.5)
-    return joined.withColumn("quality", F.struct("_q.*", "p_good", kept.alias("kept"))).drop("_q", "p_good")
+    return joined.select("row.*", F.struct("_q.*", "p_good", kept.alias("kept")).alias("quality"))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with its columns unchanged."""
-    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
-    return score_quality(own, carry=["row"]).where("quality.kept").select("row.*")
+    own = docs.select(F.struct(*docs.columns).alias("kept_row"), F.col(text_col).alias("text"))
+    return score_quality(own, carry=["kept_row"]).where("quality.kept").select("kept_row.*")

@@ -214,5 +214,5 @@ def keep_one(docs: DataFrame, words: int = 5, bits: int = 7, similarity: float =
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
     kept = rows.join(classes, "fp").groupBy("root").agg(first.alias("k"))
     keys = kept.select(F.coalesce("k.doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("k.text_hash").alias("_hash"))
-    own = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_hash": F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))})
-    return own.join(materialize(keys, "kept-keys"), ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"), F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias("_hash"))
+    return own.join(materialize(keys, "kept-keys"), ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select("row.*")

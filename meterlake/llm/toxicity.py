@@ -117,10 +117,10 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], buckets: int = BUCKETS) -> DataFrame:
-    """``docs`` with ``toxicity`` (double, 0 to 1). Narrow; the compact weights are broadcast, at most 16 bytes a bucket.
+def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], buckets: int = BUCKETS, name: str = "toxicity") -> DataFrame:
+    """``docs`` with the score ``name`` (double, 0 to 1). Narrow; the compact weights are broadcast, at most 16 bytes a bucket.
 
-    Null and empty texts score by the bias alone. Rows that repeat score alike. A column ``toxicity`` is replaced.
+    Null and empty texts score by the bias alone. Rows that repeat score alike. A column of that name is replaced.
     """
     features, weights, bias = model
     shared = docs.sparkSession.sparkContext.broadcast((features.astype(np.int32), weights))
@@ -138,12 +138,12 @@ def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float],
             pairs = np.unique(rows[hit] * buckets + found[hit])  # a feature counts once in a text
             score = bias + np.bincount(pairs // buckets, weights=kept["w"][pairs % buckets], minlength=batch.num_rows)
             p = 1.0 / (1.0 + np.exp(-np.clip(score, -35.0, 35.0)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["row", "toxicity"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["row", "score"])
 
-    inner = docs.drop("toxicity")
+    inner = docs.drop(name)
     packed = inner.select(F.struct(*inner.columns).alias("row"))
     schema = packed.schema["row"].dataType
-    return packed.mapInArrow(run, StructType().add("row", schema).add("toxicity", DoubleType())).select("row.*", "toxicity")
+    return packed.mapInArrow(run, StructType().add("row", schema).add("score", DoubleType())).select("row.*", F.col("score").alias(name))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -154,4 +154,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with its columns unchanged."""
-    return score_toxicity(docs, fit_toxicity(docs, labels)).where(F.col("toxicity") < threshold).select(*docs.columns)
+    name = "toxicity"
+    while name in docs.columns:
+        name += "_"
+    return score_toxicity(docs, fit_toxicity(docs, labels), name=name).where(F.col(name) < threshold).select(*docs.columns)

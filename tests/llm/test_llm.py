@@ -16,7 +16,7 @@ from meterlake.llm import bpe, bpe_codec, common, huffman, licenses, packing, pi
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, toxicity string, quality string, _id string, _q string"
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -30,7 +30,7 @@ def library():
 
 
 def docs(spark, texts, ids=None):
-    rows = [(i, t, "en", "s", None if t is None else len(t), "x") for i, t in zip(ids if ids is not None else range(len(texts)), texts)]
+    rows = [(i, t, "en", "s", None if t is None else len(t), *"xxxxx") for i, t in zip(ids if ids is not None else range(len(texts)), texts)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -358,7 +358,7 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
 def test_pipeline_stages(spark, tmp_path):
     good = [". ".join(" ".join(rng.choice(WORDS) + str(rng.randint(0, 999)) for _ in range(12)) for _ in range(10)) + "." for _ in range(12)]
     texts = [*good, good[0], good[1] + " a@b.co", "short", good[2].upper().replace(" ", "!! ")]
-    docs(spark, texts).drop("row").write.parquet(str(tmp_path / "documents.parquet"))
+    docs(spark, texts).drop("row", "toxicity", "quality", "_id", "_q").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(k, 1, 0) for k in range(5)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "toxicity", "near duplicates", "personal data", "best-fit packing"]
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
