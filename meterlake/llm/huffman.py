@@ -153,10 +153,11 @@ def read_block(block: bytes):
 
 
 def tokenise_in_order(docs: DataFrame, vocabulary: str, end_id: int | None) -> DataFrame:
-    """Blocks of documents in ascending id order (nulls first; equal ids by a hash of the text): (part, at, doc_ids, n_tokens, ids).
+    """Blocks of documents in ascending id order (nulls first; equal ids by a hash of the text): (part, at, doc_ids, n_tokens, ids, seen, n).
 
     The texts are dealt by ranges of (id, text hash), so many rows of one id are split too; the parts follow each
-    other in order, and ``at`` counts the ids before a block within its part.
+    other in order, and ``at`` counts the ids before a block within its part. The last row of a part has no documents
+    but the counts of its ids: ``n`` of each id ``seen``; elsewhere both are null.
     """
     tail = [] if end_id is None else [end_id]
 
@@ -164,13 +165,17 @@ def tokenise_in_order(docs: DataFrame, vocabulary: str, end_id: int | None) -> D
         encoder, part, before = loaded(LibraryEncoder, vocabulary, KEPT_WORDS), TaskContext.get().partitionId(), 0
         end = np.array(tail, encoder.dtype).tobytes()
         doc_ids, sizes, held, size = [], [], [], 0
+        total = np.zeros(encoder.size, np.int64)
 
-        def row():
+        def row(seen=None):
             nonlocal before, doc_ids, sizes, held, size
-            arrays = [pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([b"".join(held)], pa.binary())]
+            ids = b"".join(held)
+            if seen is None:
+                np.add(total, np.bincount(np.frombuffer(ids, encoder.dtype), minlength=encoder.size), out=total)
+            columns = [(part, pa.int32()), (before, pa.int64()), (doc_ids, pa.list_(pa.int64())), (sizes, pa.list_(pa.int64())), (ids, pa.binary()), (seen, pa.list_(pa.int32())), (None if seen is None else total[seen], pa.list_(pa.int64()))]
             before += size
             doc_ids, sizes, held, size = [], [], [], 0
-            return pa.RecordBatch.from_arrays(arrays, ["part", "at", "doc_ids", "n_tokens", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in columns], ["part", "at", "doc_ids", "n_tokens", "ids", "seen", "n"])
 
         for batch in slices(batches):
             encoded = encoder.encode(batch.column(1).to_pylist())
@@ -183,25 +188,16 @@ def tokenise_in_order(docs: DataFrame, vocabulary: str, end_id: int | None) -> D
                     yield row()
         if doc_ids:
             yield row()
+        yield row(np.flatnonzero(total).astype(np.int32))
 
     keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ordered = id_and_text(docs).repartitionByRange(*keys).sortWithinPartitions(*keys)
-    return ordered.mapInArrow(run, "part int, at long, doc_ids array<long>, n_tokens array<long>, ids binary")
-
-
-def count_ids(blocks: DataFrame, vocabulary: str) -> DataFrame:
-    """(id int, n long) over all blocks; each task sums first, so at most one row for each id and task is shuffled."""
+    return ordered.mapInArrow(run, "part int, at long, doc_ids array<long>, n_tokens array<long>, ids binary, seen array<int>, n array<long>")
 
-    def run(batches):
-        encoder = loaded(LibraryEncoder, vocabulary, KEPT_WORDS)
-        total = np.zeros(encoder.size, np.int64)
-        for batch in batches:
-            for ids in batch.column(0):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), encoder.dtype), minlength=encoder.size)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], ["id", "n"])
 
-    return blocks.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+def count_ids(parts: DataFrame) -> DataFrame:
+    """(id int, n long) over all parts: at most one row for each id and part is shuffled."""
+    return parts.where("seen is not null").select(F.explode(F.arrays_zip("seen", "n")).alias("c")).groupBy(F.col("c.seen").alias("id")).agg(F.sum("c.n").alias("n"))
 
 
 def write_corpus(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json", end_id: int | None = 1) -> None:
@@ -212,8 +208,9 @@ def write_corpus(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.jso
     the vocabulary) and the token total of each part are the only things that pass through the driver.
     """
     spark = docs.sparkSession
-    blocks = materialize(tokenise_in_order(docs, vocabulary, end_id), "token-blocks")
-    counts = sorted((r.id, r.n) for r in count_ids(blocks, vocabulary).collect())
+    parts = materialize(tokenise_in_order(docs, vocabulary, end_id), "token-blocks")
+    blocks = parts.where("seen is null").drop("seen", "n")
+    counts = sorted((r.id, r.n) for r in count_ids(parts).collect())
     ids, n = np.array([c[0] for c in counts], np.int64), np.array([c[1] for c in counts], np.int64)
     lengths = code_lengths(n)
     spark.createDataFrame(list(zip(ids.tolist(), lengths.tolist())), "id int, length int").coalesce(1).write.parquet(f"{path}/codebook")
@@ -235,7 +232,7 @@ def write_corpus(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.jso
 
     coded = blocks.mapInArrow(run, "start long, n_docs int, n_tokens long, block binary")
     coded.write.option("compression", "none").parquet(f"{path}/blocks")
-    release(blocks)
+    release(parts)
 
 
 def read_corpus(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
