@@ -1,12 +1,15 @@
-"""SimHash near-duplicates with deletion-variant signatures, and components of the link graph."""
+"""SimHash near-duplicates with deletion-variant signatures, exact near-duplicates by a prefix-filter set join, and
+components of the link graph."""
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,10 +19,6 @@ from meterlake.llm.common import id_and_text, materialize, release, slices
 COUNT_SHINGLES = 1 << 15
 
 
-#: Smallest distinct shingle hashes kept of each document where similarities are verified.
-SKETCH = 128
-
-
 def shingle_hashes(text: str, words: int, seed: int):
     """XXH64 values of a text's word shingles, repeats included, in runs of at most COUNT_SHINGLES.
 
@@ -39,36 +38,24 @@ def shingle_hashes(text: str, words: int, seed: int):
         yield np.array([digest(joined[a : b - 1], seed) for a, b in zip(starts[at : min(at + COUNT_SHINGLES, n)], ends[at + k - 1 :])], ">u8")
 
 
-def fingerprint(text: str, words: int = 3, seed: int = 42, sketch: int = 0):
-    """Unsigned 64-bit SimHash: a bit is 1 if it is set in over half of the hashes of the text's shingles; no words: 0.
-
-    With ``sketch``: (SimHash, the ``sketch`` smallest distinct hashes).
-    """
-    counts, n, least = np.zeros(64, np.int64), 0, np.zeros(0, np.uint64)
+def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
+    """Unsigned 64-bit SimHash: a bit is 1 if it is set in over half of the hashes of the text's shingles; no words: 0."""
+    counts, n = np.zeros(64, np.int64), 0
     for h in shingle_hashes(text, words, seed):
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         n += len(h)
-        if sketch:
-            least = np.unique(np.concatenate([least, h.astype(np.uint64)]))[:sketch]
-    bits = int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big") if n else 0
-    return (bits, least) if sketch else bits
+    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big") if n else 0
 
 
-def fingerprints(docs: DataFrame, words: int = 3, sketch: int = 0) -> DataFrame:
-    """(doc_id, fp long, text_hash long[, sketch array<long>]) for every row; ``fp`` holds the 64 bits as a signed long. Narrow."""
+def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+    """(doc_id, fp long, text_hash long) for every row; ``fp`` holds the 64 bits as a signed long. Narrow."""
 
     def run(batches):
         for batch in slices(batches):
-            made = [fingerprint(t, words, sketch=sketch) for t in batch.column(1).to_pylist()]
-            fps = np.array([m[0] if sketch else m for m in made], np.uint64).view(np.int64)
-            arrays, names = [batch.column(0), pa.array(fps), batch.column(2)], ["doc_id", "fp", "text_hash"]
-            if sketch:
-                arrays.append(pa.array([m[1].view(np.int64) for m in made], pa.list_(pa.int64())))
-                names.append("sketch")
-            yield pa.RecordBatch.from_arrays(arrays, names)
-
-    schema = "doc_id long, fp long, text_hash long" + ", sketch array<long>" * bool(sketch)
-    return id_and_text(docs).withColumn("text_hash", F.xxhash64("doc_id", "text")).mapInArrow(run, schema)
+            fps = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), batch.column(2)], ["doc_id", "fp", "text_hash"])
+
+    return id_and_text(docs).withColumn("text_hash", F.xxhash64("doc_id", "text")).mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 #: A signature shared by more fingerprints than this is split by blocks of the other bits.
@@ -160,43 +147,23 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def similar(edges: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """The ``edges`` (a, b) whose shingle sets have a Jaccard similarity of at least ``least``, by their sketches.
-
-    The smallest SKETCH hashes of the union are a sample of it (all of it for short texts); the share of those that
-    both sketches hold estimates the similarity.
-    """
-    side = lambda c: sketches.select(F.col("fp").alias(c), F.col("sketch").alias(f"s{c}"))
-    # hashes are unsigned: signed order from the least negative on would be another order, so both halves are turned over
-    flip = lambda c: F.transform(c, lambda h: h.bitwiseXOR(F.lit(-(1 << 63))))
-    union = F.slice(F.sort_array(F.array_union(flip(F.col("sa")), flip(F.col("sb")))), 1, SKETCH)
-    joined = edges.join(side("a"), "a").join(side("b"), "b").withColumn("u", union)
-    both = F.array_intersect("u", F.array_intersect(flip(F.col("sa")), flip(F.col("sb"))))
-    return joined.where((F.size("u") == 0) | (F.size(both) >= least * F.size("u"))).select("a", "b")
-
-
-def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): rows (doc_id, fp, text_hash) of every document, classes (fp, root, component_id) of every fingerprint.
 
-    Fingerprints link at ``bits`` or fewer differing bits and, with ``similarity``, only if their shingle sets are that
-    similar; ``root`` is the smallest linked fingerprint and ``component_id`` the smallest doc_id of all documents
-    reachable. Copies share a fingerprint and are counted once, by a pre-aggregated minimum. Null and empty texts have
-    fingerprint 0 and link like any other. Null ids never become a component_id unless no document reachable has an id.
-    Empty table: no rows.
+    Fingerprints link at ``bits`` or fewer differing bits; ``root`` is the smallest linked fingerprint and
+    ``component_id`` the smallest doc_id of all documents reachable. Copies share a fingerprint and are counted once, by
+    a pre-aggregated minimum. Null and empty texts have fingerprint 0 and link like any other. Null ids never become a
+    component_id unless no document reachable has an id. Empty table: no rows.
     """
-    rows = materialize(fingerprints(docs, words, SKETCH if similarity else 0), "fingerprints")
-    sketch = [F.min("sketch").alias("sketch")] if similarity else []
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), *sketch), "distinct-fingerprints")
-    edges = links(distinct.select("fp"), bits)
-    if similarity:
-        edges = similar(materialize(edges, "candidates"), distinct.select("fp", "sketch"), similarity)
-    linked = materialize(components(edges), "components")
+    rows = materialize(fingerprints(docs, words), "fingerprints")
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct-fingerprints")
+    linked = materialize(components(links(distinct.select("fp"), bits)), "components")
     members = linked.join(distinct, linked["node"] == distinct["fp"]).select("fp", "root", "doc_id")
     classes = members.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked_classes = members.join(classes, "root").select("fp", F.col("root").alias("linked"), "component_id")
     alone = distinct.select("fp", "doc_id").join(linked_classes, "fp", "left")
     component = F.when(F.col("linked").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "fp", "text_hash"), materialize(alone.select("fp", F.coalesce("linked", "fp").alias("root"), component.alias("component_id")), "classes")
+    return rows, materialize(alone.select("fp", F.coalesce("linked", "fp").alias("root"), component.alias("component_id")), "classes")
 
 
 def simhash_components(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
@@ -205,14 +172,124 @@ def simhash_components(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFr
     return rows.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, bits: int = 7, similarity: float = 0.8) -> DataFrame:
+#: One set in so many is looked at to find the shingles that many sets share, and how many of those are put last.
+#: These only choose the order of the prefixes; any order gives the same pairs.
+ORDER_SHARE, ORDER_COMMON = 16, 100_000
+#: A prefix shingle shared by more sets than this links them to one of their size first.
+HOT_SHINGLE = 64
+#: Turns in which each hot prefix hash links its sets to one of them, another for each hash and turn.
+STAR_TURNS = 2
+
+
+def shingle_sets(docs: DataFrame, words: int, seed: int = 42) -> DataFrame:
+    """(doc_id, text_hash, c, key, size, hashes) of every row: its distinct shingle hashes ascending (as unsigned), their
+    number, a 128-bit digest of them and a number ``c`` of the row. Narrow; ``c`` holds for one evaluation only."""
+
+    def run(batches):
+        c = TaskContext.get().partitionId() << 40
+        for batch in slices(batches):
+            sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *(h.astype(np.uint64) for h in shingle_hashes(t, words, seed))])) for t in batch.column(1).to_pylist()]
+            keys = [xxhash.xxh3_128_digest(h.tobytes()) for h in sets]
+            values = pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))
+            arrays = [batch.column(0), batch.column(2), pa.array(range(c, c := c + len(sets)), pa.int64()), pa.array(keys, pa.binary()), pa.array([len(h) for h in sets], pa.int64()), values]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "c", "key", "size", "hashes"])
+
+    schema = "doc_id long, text_hash long, c long, key binary, size long, hashes array<long>"
+    return id_and_text(docs).withColumn("text_hash", F.xxhash64("doc_id", "text")).mapInArrow(run, schema)
+
+
+def prefix_length(size: int, least: float) -> int:
+    """Elements of a set of which at least one, in any common order, is among those of each set that is ``least`` similar."""
+    return size - math.ceil(least * size - 1e-9) + 1
+
+
+def prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """(c, size, prefix) of ``sets``: the first hashes of each in one order of all hashes, common ones last."""
+    spark = sets.sparkSession
+    found = sets.where(F.pmod(F.xxhash64("c"), F.lit(ORDER_SHARE)) == 0).select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    common = found.where("n > 3").orderBy(F.desc("n"), "h").limit(ORDER_COMMON).collect()
+    common.sort(key=lambda r: r.h % (1 << 64))
+    shared = spark.sparkContext.broadcast((np.array([r.h for r in common], np.int64).view(np.uint64), np.array([r.n for r in common], np.int64)))
+
+    def run(batches):
+        known, counts = shared.value
+        for batch in slices(batches):
+            out = []
+            for h in (v.values.to_numpy().view(np.uint64) for v in batch.column(2)):
+                p = prefix_length(len(h), least)
+                at = np.searchsorted(known, h)
+                hit = np.zeros(len(h), bool)
+                inside = at < len(known)
+                hit[inside] = known[at[inside]] == h[inside]
+                last = h[hit]
+                last = last[np.lexsort((last, counts[at[hit]]))]
+                out.append(np.concatenate([h[~hit][:p], last])[:p].view(np.int64) if len(h) else h.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], ["c", "size", "prefix"])
+
+    return sets.where("size > 0").select("c", "size", "hashes").mapInArrow(run, "c long, size long, prefix array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The ``pairs`` (a, b) of sets whose Jaccard similarity is at least ``least``, counted on the whole sets."""
+    pairs = materialize(pairs.distinct(), "candidates")
+    needed = materialize(pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct(), "needed")
+    own = materialize(sets.select("c", "size", "hashes").join(needed, "c", "left_semi"), "candidate-sets")
+    side = lambda c: own.select(F.col("c").alias(c), F.col("size").alias(f"n{c}"), F.col("hashes").alias(f"h{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("i", F.size(F.array_intersect("ha", "hb")))
+    out = materialize(both.where(F.col("i") / (F.col("na") + F.col("nb") - F.col("i")) >= least).select("a", "b"), "similar")
+    release(own)
+    return out
+
+
+def similar_components(sets: DataFrame, least: float) -> DataFrame:
+    """(node, root): components of the sets ``c`` of which each pair with a Jaccard similarity of at least ``least`` is linked.
+
+    Exact prefix-filter join: similar sets share a hash of their prefixes, are of like size, and have enough hashes left
+    from there on. Sets that share a hot prefix hash are first compared with one set of their size only; what is then
+    linked already needs no further comparison, so only pairs of different components follow.
+    """
+    rows = prefixes(sets, least).select("c", "size", F.posexplode("prefix").alias("pos", "h"))
+    rows = materialize(rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("n > 1"), "prefixes")
+    fits = F.expr(
+        f"least(a.size, b.size) >= {least} * greatest(a.size, b.size) - 1e-9 and "
+        f"least(a.size - a.pos, b.size - b.pos) >= {least / (1 + least)} * (a.size + b.size) - 1e-6"
+    )
+    pair = [F.least("a.c", "b.c").alias("a"), F.greatest("a.c", "b.c").alias("b")]
+    few, hot = rows.where(F.col("n") <= HOT_SHINGLE), rows.where(F.col("n") > HOT_SHINGLE)
+    plain = few.alias("a").join(few.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.c") < F.col("b.c")) & fits).select(*pair)
+    if hot.isEmpty():
+        return components(verified(plain, sets, least))
+    band = F.floor(F.log("size") / math.log(1 / least))
+    todo, edges = hot, plain
+    for turn in range(STAR_TURNS):
+        todo = todo.withColumn("band", band)
+        leaders = todo.groupBy("h", "band").agg(F.min_by("c", F.xxhash64("c", "h", F.lit(turn))).alias("m"))
+        led = todo.join(leaders, ["h", "band"]).where("c <> m").select(F.least("c", "m").alias("a"), F.greatest("c", "m").alias("b"))
+        found = verified(plain.union(led) if turn == 0 else led, sets, least)
+        edges = found if turn == 0 else edges.union(found)
+        linked = materialize(components(edges), "linked")
+        placed = materialize(hot.join(linked.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c")), "hot")
+        major = placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max_by("root", F.struct("k", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+        mixed = materialize(placed.join(major, "h"), "mixed")
+        todo = mixed.select("c", "size", "pos", "h", "n")
+    apart = (F.col("a.h") == F.col("b.h")) & (F.col("a.root") != F.col("b.root")) & fits
+    more = mixed.where("root <> major").alias("a").join(mixed.alias("b"), apart).select(*pair)
+    return components(edges.union(verified(more, sets, least)))
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id (ties: smallest text hash); nulls lose.
 
-    Columns stay as they are. Rows that agree in id and text count as one. The texts are shuffled once, by their key.
+    Texts are linked if the Jaccard similarity of their sets of ``words``-word shingles is at least ``similarity``, every
+    such pair (see ``similar_components``); texts without words are alike. Columns stay as they are. Rows that agree in
+    id and text count as one. The texts are shuffled once, by their key.
     """
-    rows, classes = near_duplicates(docs, words, bits, similarity)
+    rows = materialize(shingle_sets(docs, words), "shingle-sets")
+    distinct = materialize(rows.groupBy("key").agg(F.min("c").alias("c")), "distinct-sets")
+    linked = similar_components(rows.join(distinct.select("c"), "c", "left_semi"), similarity)
+    classes = distinct.join(linked.withColumnRenamed("node", "c"), "c", "left").select("key", F.coalesce("root", "c").alias("root"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
-    kept = rows.join(classes, "fp").groupBy("root").agg(first.alias("k"))
+    kept = rows.select("doc_id", "text_hash", "key").join(classes, "key").groupBy("root").agg(first.alias("k"))
     keys = kept.select(F.coalesce("k.doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("k.text_hash").alias("_hash"))
     own = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"), F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias("_hash"))
     return own.join(materialize(keys, "kept-keys"), ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select("row.*")

@@ -222,6 +222,26 @@ def test_keep_one(spark):
     assert simhash.keep_one(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("hot", [64, 2])
+def test_keep_one_links_every_pair_at_the_similarity(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT_SHINGLE", hot)
+    monkeypatch.setattr(simhash, "ORDER_SHARE", 2)
+    r = random.Random(17)
+    texts = []
+    for k in range(60):
+        words = [f"{k}w{j}" for j in range(r.choice([6, 40, 300, 700]))] + ["a", "common", "line", "of", "every", "text", "here"]
+        texts.append(" ".join(words))
+        for _ in range(3):
+            at = r.sample(range(len(words)), r.randint(0, max(1, len(words) // 40)))
+            texts.append(" ".join(f"z{r.random()}" if j in at else w for j, w in enumerate(words)))
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    alike = [len(a & b) / len(a | b) for a, b in combinations(sets, 2)]
+    assert sum(0.8 <= x < 0.9 for x in alike) > 10 < sum(0.7 <= x < 0.8 for x in alike)
+    roots = components(range(len(texts)), lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8)
+    want = {min(i for i in roots if roots[i] == x) for x in set(roots.values())}
+    assert {x.doc_id for x in simhash.keep_one(docs(spark, texts)).collect()} == want
+
+
 def repeated(words):
     grams = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
     return len({j for k, g in enumerate(grams) if grams.count(g) > 1 for j in (k, k + 1, k + 2)})
