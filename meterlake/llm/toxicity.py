@@ -78,12 +78,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     """Fits on at most ``sample_rows`` labelled documents and returns the sparse weights.
 
     ``labels`` (doc_id, toxic): only rows whose crc32 of the id as text leaves a remainder other than 0 by 5 are used;
-    null labels and ids are left out, and of several labels of an id the greatest counts. The sample (16 bytes a row)
+    null labels and ids are left out, and of several labels of an id the greatest counts; labels of ids that ``docs``
+    doesn't have take no part in the sample. The sample (16 bytes a row)
     is broadcast to the scan of ``docs``; features are hashed where the texts are, and one task learns from the bounded
     sample, in order of a hash of the id. Without labelled rows the model is empty: every score is 0.5.
     """
     key = F.col("doc_id").cast("long")
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(key))
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(key)).join(docs.select(key.alias("present")), key == F.col("present"), "left_semi")
     sample = usable.groupBy(key.alias("label_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("label_id"), "label_id").limit(sample_rows)
     chosen = id_and_text(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic")
 
@@ -153,8 +154,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with its columns unchanged."""
+    """The rows of ``docs`` that score below ``threshold``, with its columns unchanged; all rows if nothing was learned."""
     name = "toxicity"
     while name in docs.columns:
         name += "_"
-    return score_toxicity(docs, fit_toxicity(docs, labels), name=name).where(F.col(name) < threshold).select(*docs.columns)
+    model = fit_toxicity(docs, labels)
+    if not len(model[0]) and model[2] == 0.0:
+        return docs
+    return score_toxicity(docs, model, name=name).where(F.col(name) < threshold).select(*docs.columns)

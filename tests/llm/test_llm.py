@@ -301,6 +301,17 @@ def test_toxicity_learns_and_holds_out(spark):
     assert toxicity.toxicity(df.limit(0), labels).count() == 0
 
 
+def test_toxicity_with_labels_of_other_documents(spark):
+    df = docs(spark, [f"{'vile hateful' if k % 2 else 'kind gentle'} words {k}" for k in range(200)])
+    schema = "doc_id long, quality int, toxic int"
+    own = [(k, 1, k % 2) for k in range(200)]
+    alone = toxicity.fit_toxicity(df, spark.createDataFrame(own, schema), sample_rows=100)
+    mixed = toxicity.fit_toxicity(df, spark.createDataFrame(own + [(k, 1, 1) for k in range(1000, 5000)], schema), sample_rows=100)
+    assert [list(x) for x in mixed[:2]] == [list(x) for x in alone[:2]] and mixed[2] == alone[2] != 0.0
+    for rows in ([], [(k, 1, None) for k in range(200)], [(k, 1, 1) for k in range(1000, 1010)]):
+        assert toxicity.drop_toxic(df, spark.createDataFrame(rows, schema)).count() == 200
+
+
 def brute_spans(t):
     digits = lambda m: re.sub("[^0-9]", "", m[0])
     out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
