@@ -73,23 +73,54 @@ _LOOKALIKES = {
 }
 #: Characters without a width, which are left out.
 _UNSEEN = frozenset("­​‌‍⁠﻿")
-# English digit words.
-_DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+# Digit words of English, German, French and Spanish.
+_DIGIT_WORDS = {
+    word: str(digit)
+    for digit, words in enumerate(["zero oh null zéro cero", "one eins un uno", "two zwei zwo deux dos", "three drei trois tres", "four vier quatre cuatro", "five fünf cinq cinco", "six sechs seis", "seven sieben sept siete", "eight acht huit ocho", "nine neun neuf nueve"])
+    for word in words.split()
+}
 
 _STRANGE = re.compile("[" + "".join(map(re.escape, [*_LOOKALIKES, *_UNSEEN])) + "！-～٠-٩۰-۹०-९]")
-_NUMBER = "(?:" + "|".join(_DIGIT_WORDS) + ")"
+_NUMBER = "(?:" + "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True)) + ")"
+_BETWEEN = "(?:dot|point|punkt|punto)"
 _GAP = r"[\x20,-]{1,2}"
 #: Digits in words: five or more in a row, each a word of its own; "plus" may stand before them, "dot" between them.
-_SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:plus{_GAP})?(?:{_NUMBER}|[0-9]+)(?:{_GAP}(?:(?:dot|point){_GAP})?(?:{_NUMBER}|[0-9]+)){{3,}}(?![^\W_])")
-_SPELLED_PART = re.compile(rf"(?i)plus|dot|point|{_NUMBER}|[0-9]+")
-_HAS_NUMBER = re.compile(rf"(?i){_NUMBER}{_GAP}(?:(?:dot|point){_GAP})?{_NUMBER}")
-#: Signs in brackets anywhere; as plain words only inside a whole address that ends in a known kind of domain.
-_BRACKETED = re.compile(r"(?i)[\x20]{0,2}[\[({<][\x20]?(at|@|dot|punkt|arroba|period|point|\.)[\x20]?[\])}>][\x20]{0,2}")
-_WORDED = re.compile(
-    r"(?i)(?<![A-Za-z0-9._%+-])[a-z0-9_%+-]+(?:(?:\.|[\x20]dot[\x20])[a-z0-9_%+-]+)*(?:[\x20]at[\x20]|[\x20]?@[\x20]?)[a-z0-9-]+"
-    r"(?:(?:\.|[\x20]dot[\x20])[a-z0-9-]+)*[\x20]dot[\x20](?:com|org|net|edu|gov|io|info|de|fr|es|uk|eu|co)(?![A-Za-z0-9-])"
-)
-_WORDED_SIGN = re.compile(r"(?i)[\x20]dot[\x20]|[\x20]at[\x20]|[\x20]?@[\x20]?")
+_SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:(?:plus|más){_GAP})?(?:{_NUMBER}|[0-9]+)(?:{_GAP}(?:{_BETWEEN}{_GAP})?(?:{_NUMBER}|[0-9]+)){{3,}}(?![^\W_])")
+_SPELLED_PART = re.compile(rf"(?i)plus|más|{_BETWEEN}|{_NUMBER}|[0-9]+")
+#: A digit word beside another or beside figures, which any such run with a word has.
+_HAS_NUMBER = re.compile(rf"(?i){_NUMBER}{_GAP}(?:{_BETWEEN}{_GAP})?(?:{_NUMBER}|[0-9])|[0-9]{_GAP}(?:{_BETWEEN}{_GAP})?{_NUMBER}")
+#: Signs in brackets anywhere; as plain words or beside blanks only inside a whole address.
+_BRACKETED = re.compile(r"(?i)[\x20]{0,2}[\[({<][\x20]?(at|ät|@|dot|punkt|punto|arroba|arr?obase|period|point|\.)[\x20]?[\])}>][\x20]{0,2}")
+
+
+def _worded(at: str, dot: str, but: str = "") -> str:
+    """An address with the words ``at`` and ``dot``; it ends in two or more letters of one case, and www is a host."""
+    cut = rf"(?:\.|[\x20](?:{dot})[\x20])"
+    return (
+        rf"(?<![A-Za-z0-9._%+-])[a-z0-9_%+-]+(?:{cut}[a-z0-9_%+-]+)*(?:[\x20](?:{at})[\x20]|[\x20]?@[\x20]?)(?!www\.){but}[a-z0-9-]+"
+        rf"(?:{cut}[a-z0-9-]+)*{cut}(?-i:[a-z]{{2,}}|[A-Z]{{2,}})(?![A-Za-z0-9-])"
+    )
+
+
+#: "at the dot on ..." is prose unless a common ending follows.
+_PROSE = r"(?!(?:the|an?|this|that|each|every)[\x20]dot[\x20](?!(?:com|org|net|edu|gov|io|info|de|fr|es|uk|eu|co)(?![A-Za-z0-9-])))"
+#: "point" goes with the French at sign only: "at this point in" is prose.
+_WORDED = re.compile("(?i)" + "|".join([_worded("at|ät", "dot|punkt", _PROSE), _worded("arr?obase", "point"), _worded("arroba", "punto")]))
+_WORDED_SIGN = re.compile(r"(?i)[\x20](?:dot|punkt|point|punto|at|ät|arroba|arr?obase)[\x20]|[\x20]?@[\x20]?")
+#: What every match of _WORDED holds: an at sign, the first part of a domain and what cuts it off.
+_AT_SIGN = re.compile(r"(?i)(?:[\x20](?:[aä]t|arroba|arr?obase)[\x20]|@[\x20]?)[a-z0-9-]+(?:\.|[\x20](?:dot|punkt|point|punto)[\x20])")
+_WORDS = re.compile(r"[^\W_]+")
+_BESIDE = frozenset([*_DIGIT_WORDS, "dot", "point", "punkt", "punto"])
+
+
+def _may_spell(text: str) -> bool:
+    """False only if no digit word of ``text`` stands beside another, a sign between them, or figures."""
+    words = _WORDS.findall(text.casefold())
+    if _DIGIT_WORDS.keys().isdisjoint(words):
+        return False
+    near = lambda w: w in _BESIDE or "0" <= w[0] <= "9"
+    return any(a in _DIGIT_WORDS and near(b) or b in _DIGIT_WORDS and near(a) for a, b in zip(words, words[1:]))
+
 
 #: A rewritten text: its characters and the source start and end of each.
 Tape = tuple[str, list[int], list[int]]
@@ -129,26 +160,23 @@ def _digits_from_words(tape: Tape) -> Tape:
             word = part[0].lower()
             if part.start() > at:
                 edits.append((at, part.start(), ""))
-            edits.append((part.start(), part.end(), {"plus": "+", "dot": ".", "point": "."}.get(word) or _DIGIT_WORDS.get(word, word)))
+            edits.append((part.start(), part.end(), {"plus": "+", "más": "+", "dot": ".", "point": ".", "punkt": ".", "punto": "."}.get(word) or _DIGIT_WORDS.get(word, word)))
             at = part.end()
     return _rewrite(tape, edits)
 
 
 def _signs_from_words(tape: Tape) -> Tape:
-    sign = lambda word: "@" if word in ("at", "@", "arroba") else "."
+    sign = lambda word: "@" if word in ("at", "ät", "@", "arroba", "arobase", "arrobase") else "."
     tape = _rewrite(tape, [(m.start(), m.end(), sign(m[1].lower())) for m in _BRACKETED.finditer(tape[0])])
     edits = [(w.start(), w.end(), sign(w[0].strip().lower())) for m in _WORDED.finditer(tape[0]) for w in _WORDED_SIGN.finditer(tape[0], m.start(), m.end())]
     return _rewrite(tape, edits)
 
 
-_BRACKET_HINT = re.compile(r"(?i)[\[({<][\x20]?(?:at|@|dot|punkt|arroba|period|point|\.)[\x20]?[\])}>]|[\x20]dot[\x20]")
-
-
 def find_all(text: str) -> tuple[list[Span], list[Span]]:
     """(base, all): plain spans, and those plus what deobfuscation adds; an added span never overlaps a base span of
     its kind. Spans are code-point offsets of the source, ordered by kind and start."""
     base = find_plain(text)
-    strange, spelled, signed = _STRANGE.search(text), _HAS_NUMBER.search(text), _BRACKET_HINT.search(text)
+    strange, spelled, signed = _STRANGE.search(text), _may_spell(text) and _HAS_NUMBER.search(text), _BRACKETED.search(text) or _AT_SIGN.search(text) and _WORDED.search(text)
     if not (strange or spelled or signed):
         return base, base
     tape: Tape = (text, list(range(len(text))), list(range(1, len(text) + 1)))

@@ -347,6 +347,33 @@ def test_clean_texts_stay_clean(text):
     assert pii.find_all(text) == ([], [])
 
 
+@pytest.mark.parametrize(
+    "text,kind,found",
+    [
+        ("ask jane at mail dot example dot nl now", "email", "jane at mail dot example dot nl"),
+        ("ask jane at example.com now", "email", "jane at example.com"),
+        ("ask jane @ example.com, please", "email", "jane @ example.com"),
+        ("ask jane at the dot com now", "email", "jane at the dot com"),
+        ("an jane at beispiel punkt de bitte", "email", "jane at beispiel punkt de"),
+        ("pour jane arobase exemple point fr merci", "email", "jane arobase exemple point fr"),
+        ("para jane arroba ejemplo punto es gracias", "email", "jane arroba ejemplo punto es"),
+        ("call plus 1 five 5 five 1 two 3 four 5 six!", "phone", "plus 1 five 5 five 1 two 3 four 5 six"),
+        ("plus vier neun drei null eins zwei fünf sechs sieben acht", "phone", "plus vier neun drei null eins zwei fünf sechs sieben acht"),
+        ("plus trois trois un deux quatre cinq six sept huit neuf", "phone", "plus trois trois un deux quatre cinq six sept huit neuf"),
+        ("más tres cuatro uno dos cinco seis siete ocho nueve cero", "phone", "más tres cuatro uno dos cinco seis siete ocho nueve cero"),
+    ],
+)
+def test_disguises_of_any_ending_and_language(text, kind, found):
+    base, every = pii.find_all(text)
+    assert base == [] and [(k, text[a:b]) for k, a, b in every] == [(kind, found)]
+    assert found not in pii.redact(text, every)
+
+
+@pytest.mark.parametrize("text", ["look at the dot on the map", "look at this point in time", "see us at www.example.com", "he was at home.Then he left", "one 2 three four"])
+def test_prose_near_disguises_stays_clean(text):
+    assert pii.find_all(text) == ([], [])
+
+
 def test_personal_data_frames(spark):
     df = docs(spark, [None, "", "a@b.co 10.0.0.1", "x" * 2000 + "@", "none"])
     rows = {r.doc_id: r for r in pii.find_pii(df).collect()}
