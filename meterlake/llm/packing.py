@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +23,10 @@ from meterlake.llm.common import id_and_text, materialize, release, slices
 from meterlake.llm.tokens import LibraryEncoder
 
 CAPACITY = 2048
-#: Most pieces beside the largest one that an enumerated filling has; longer fillings come from best fit.
-FILL_PIECES = 4
-#: Fillings that one enumeration looks at, and nodes of the whole branch-and-bound search.
-FILL_STEPS = 4000
+#: Fillings that the whole branch-and-bound search takes or looks at: its only limit.
 SEARCH_NODES = 20_000
+#: Deepest frames of the search that keep their place in the list of fillings; others find it anew.
+KEPT_FRAMES = 128
 
 
 def best_fit_fill(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:
@@ -44,45 +45,40 @@ def best_fit_fill(lengths: list[int], counts: dict[int, int], room: int) -> list
     return out
 
 
-def fillings(counts: dict[int, int], lengths: list[int], room: int) -> list[list[int]]:
-    """Undominated fillings of ``room``, least waste first.
+def fillings(counts: dict[int, int], room: int, waste: int) -> Iterator[list[int]]:
+    """Every undominated filling of ``room`` that wastes at most ``waste``, one by one, least waste first.
 
-    A filling is dominated if a left-out piece still fits beside it, or if one of its pieces could be replaced by a
-    larger left-out one without overflow; so the last piece is always the largest left that fits.
+    Sums that can be reached are known for each number of smallest lengths, so no branch ends without a filling. A
+    filling is dominated if a left-out piece still fits beside it.
     """
-    found: list[list[int]] = []
-    steps = 0
-
-    def extend(chosen: list[int], room: int, top: int) -> None:
-        nonlocal steps
-        at = min(bisect_right(lengths, room), top)
-        fits = False
-        first = True
-        while at and steps < FILL_STEPS:
-            x = lengths[at - 1]
-            if counts[x] > chosen.count(x):
-                fits = True
-                steps += 1
-                if len(chosen) + 1 >= FILL_PIECES:
-                    if first:
-                        rest = dict(counts)
-                        for y in [*chosen, x]:
-                            rest[y] -= 1
-                        found.append([*chosen, x, *best_fit_fill([y for y in lengths if rest[y] and y <= room - x], rest, room - x)] if room - x else [*chosen, x])
-                    return
-                extend([*chosen, x], room - x, at)
-                if found and sum(found[-1]) == target:
-                    return
-                first = False
-            at -= 1
-        if not fits:
-            found.append(chosen)
-
-    target = room
-    extend([], room, len(lengths))
-    greedy = best_fit_fill(lengths, counts, room)
-    unique = {tuple(sorted(f, reverse=True)): None for f in [greedy, *found]}
-    return [list(f) for f in sorted(unique, key=lambda f: (room - sum(f), len(f), [-x for x in f]))]
+    lengths = sorted(x for x in counts if x <= room)
+    mask = (1 << room + 1) - 1
+    reach = [1]
+    for x in lengths:
+        sums, left, k = reach[-1], min(counts[x], room // x), 1
+        while left:
+            k = min(k, left)
+            sums |= sums << k * x & mask
+            left, k = left - k, 2 * k
+        reach.append(sums)
+
+    def exact(top: int, target: int) -> Iterator[list[int]]:
+        if not target:
+            yield []
+            return
+        for j in range(min(top, bisect_right(lengths, target)), 0, -1):
+            if not reach[j] >> target & 1:
+                return
+            x = lengths[j - 1]
+            for k in range(min(counts[x], target // x), 0, -1):
+                if reach[j - 1] >> target - k * x & 1:
+                    for rest in exact(j - 1, target - k * x):
+                        yield [x] * k + rest
+
+    for w in range(min(waste, room) + 1):
+        for found in exact(len(lengths), room - w) if reach[-1] >> room - w & 1 else ():
+            if not any(counts[x] > found.count(x) for x in lengths[: bisect_right(lengths, w)]):
+                yield found
 
 
 def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
@@ -105,9 +101,10 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> list[tuple[
 def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = SEARCH_NODES) -> list[tuple[list[int], int]]:
     """Branch-and-bound over fillings around the largest piece left; returns [(lengths in a bin, number of bins)].
 
-    A node takes one undominated filling as often as the counts allow. Waste so far may not exceed what a better
-    solution than the incumbent can waste in all (incumbent bins - 1, times capacity, minus all lengths); the search
-    ends at the bound ceil(sum / capacity), or after ``nodes`` nodes with the best solution so far.
+    A node takes one undominated filling as often as the counts allow, and when all were tried, each fewer times. Waste
+    so far may not exceed what a better solution than the incumbent can waste in all (incumbent bins - 1, times
+    capacity, minus all lengths); the search ends at the bound ceil(sum / capacity), when nothing is left to try, or
+    after ``nodes`` fillings with the best solution so far.
     """
     histogram = {x: n for x, n in histogram.items() if n > 0}
     if any(not 0 < x <= capacity for x in histogram):
@@ -116,34 +113,39 @@ def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY, nodes: i
     bound = -(-total // capacity)
     best = best_fit_decreasing(histogram, capacity)
     best_bins = sum(n for _, n in best)
-    #: a frame: counts before it, its fillings, the next one to try, waste and bins so far
+    #: a frame: counts before it, waste and bins so far, how many choices were taken, the others (None: to be found anew)
+    limit = (best_bins - 1) * capacity - total
     path: list[tuple[list[int], int]] = []
     frames: list[list] = []
 
-    def frame(counts, waste, bins):
-        lengths = sorted(counts)
-        first = lengths[-1]
-        rest = dict(counts)
-        rest[first] -= 1
-        left = [x for x in lengths if rest[x]]
-        return [counts, [[first, *f] for f in fillings(rest, left, capacity - first)], 0, waste, bins]
+    def choices(counts, limit):
+        first = max(counts)
+        rest = {x: n - (x == first) for x, n in counts.items() if n > (x == first)}
+        for fewer in (False, True):
+            for found in fillings(rest, capacity - first, limit):
+                filling = [first, *found]
+                most = min(counts[x] // filling.count(x) for x in set(filling))
+                yield from ((filling, k) for k in (range(most - 1, 0, -1) if fewer else [most]))
+                if fewer and most == 1:
+                    yield filling, 0
 
     if histogram and best_bins > bound:
-        frames.append(frame(histogram, 0, 0))
+        frames.append([histogram, 0, 0, 0, None])
     while frames and nodes > 0 and best_bins > bound:
         top = frames[-1]
-        counts, options, at, waste, bins = top
-        if at >= len(options):
+        counts, waste, bins, taken, rest = top
+        if rest is None:
+            rest = top[4] = islice(choices(counts, limit - waste), taken, None)
+        filling, times = next(rest, (None, 0))
+        if filling is None:
             frames.pop()
             if path:
                 path.pop()
             continue
-        top[2] += 1
+        top[3] += 1
         nodes -= 1
-        filling = options[at]
-        times = min(counts[x] // filling.count(x) for x in set(filling))
         wasted = waste + times * (capacity - sum(filling))
-        if wasted > (best_bins - 1) * capacity - total:
+        if not times or wasted > (best_bins - 1) * capacity - total:
             continue
         left = dict(counts)
         for x in set(filling):
@@ -156,7 +158,9 @@ def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY, nodes: i
                 best, best_bins = list(path), bins + times
             path.pop()
             continue
-        frames.append(frame(left, wasted, bins + times))
+        frames.append([left, wasted, bins + times, 0, None])
+        if len(frames) > KEPT_FRAMES:
+            frames[-1 - KEPT_FRAMES][4] = None
     return best
 
 

@@ -179,6 +179,22 @@ def components(fps, linked):
     return {f: find(f) for f in fps}
 
 
+def test_bin_completion_beyond_the_first_perfect_filling():
+    lengths = [48, 45, 40, 38, 30, 27, 25, 25, 22]
+    many = [90, 7, 2, 1] + [20] * 5 + [13, 12, 11, 10, 9, 9, 8, 8, 6, 6, 5, 3]
+    for items, bins in ((lengths, 3), (lengths + [100] * 3, 6), (many, 3)):
+        solution = packing.bin_completion({x: items.count(x) for x in set(items)}, 100)
+        assert sorted(x for f, n in solution for x in f * n) == sorted(items) and all(sum(f) <= 100 for f, _ in solution)
+        assert sum(n for _, n in solution) == bins
+    items = [50, 50, 30, 30, 20, 20, 35, 35, 15, 15]
+    assert sum(n for _, n in packing.bin_completion({x: items.count(x) for x in set(items)}, 100)) == 3
+    r = random.Random(3)
+    for _ in range(300):
+        bins = [[*(b - a for a, b in zip([0, *cuts], [*cuts, 100]))] for cuts in (sorted(r.sample(range(10, 91), r.randint(1, 3))) for _ in range(4))]
+        items = [x for b in bins for x in b]
+        assert sum(n for _, n in packing.bin_completion({x: items.count(x) for x in set(items)}, 100)) == 4
+
+
 def test_simhash_components(spark):
     base = [" ".join(rng.choice(WORDS) for _ in range(200)) for _ in range(6)]
     texts = TEXTS + base + [b.replace("moon", "sun", 1) for b in base] + base[:2]
