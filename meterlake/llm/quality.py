@@ -11,26 +11,34 @@ from meterlake.llm.common import materialize
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]+"
 
-#: Each rule: (name, SQL of a bad vote, SQL of a good vote, least and greatest accuracy); neither: it abstains. Columns:
-#: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, n_exclaims, n_ends. Rules that
-#: name one kind of junk only vote bad; their votes rarely overlap, so agreement alone can't show that they are right,
-#: and the bounds say what is known of them beforehand.
+#: Kinds of junk. A text is good or of one of these, and the rules of a kind are expected to fire together.
+KINDS = ("noise", "repetition", "shouting")
+#: Each rule: (name, SQL of a bad vote, SQL of a good vote, kind it was written for or None); neither: it abstains. Columns:
+#: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, n_exclaims, n_ends, n_letters, n_distinct.
 RULES = (
-    ("length", "n_words < 50", "n_words >= 60", 0.55, 0.60),
-    ("repeated words", "100 * n_repeat_words > 40 * n_words", "false", 0.98, 0.999),
-    ("symbols", "100 * n_symbols > 20 * n_words", "false", 0.98, 0.999),
-    ("repeated lines", "100 * n_dup_lines > 25 * n_lines", "false", 0.80, 0.85),
-    ("word length", "word_chars < 2 * n_words or word_chars > 20 * n_words", "word_chars >= 3 * n_words and word_chars <= 12 * n_words", 0.55, 0.60),
-    ("capitals", "100 * n_capitals > 40 * word_chars", "false", 0.98, 0.999),
-    ("exclamations", "100 * n_exclaims > 30 * n_words", "false", 0.98, 0.999),
-    ("sentence ends", "200 * n_ends < n_words", "false", 0.90, 0.999),
+    ("length", "n_words < 50", "n_words >= 60", None),
+    ("repeated words", "100 * n_repeat_words > 40 * n_words", "100 * n_repeat_words < 10 * n_words", "repetition"),
+    ("distinct words", "100 * n_distinct < 45 * n_words and n_words <= 2000", "100 * n_distinct > 60 * n_words", "repetition"),
+    ("repeated lines", "100 * n_dup_lines > 25 * n_lines", "100 * n_dup_lines < 5 * n_lines", "repetition"),
+    ("symbols", "100 * n_symbols > 20 * n_words", "100 * n_symbols < 2 * n_words", "noise"),
+    ("letters", "100 * n_letters < 90 * word_chars", "100 * n_letters > 94 * word_chars", "noise"),
+    ("word length", "word_chars < 3 * n_words or word_chars > 20 * n_words", "2 * word_chars >= 7 * n_words and word_chars <= 12 * n_words", "noise"),
+    ("sentence ends", "100 * n_ends < n_words or 100 * n_ends > 40 * n_words", "100 * n_ends >= 2 * n_words and 100 * n_ends <= 30 * n_words", "shouting"),
+    ("capitals", "100 * n_capitals > 30 * word_chars", "100 * n_capitals < 10 * word_chars", "shouting"),
+    ("exclamations", "100 * n_exclaims > 30 * n_words", "100 * n_exclaims < 5 * n_words", "shouting"),
 )
 
-#: Steps of expectation-maximisation, the share of good texts and the accuracy that it starts from, bounds of that share.
-EM_STEPS = 20
-START_GOOD = 0.85
-START_ACCURACY = 0.90
-LEAST_GOOD, MOST_GOOD = 0.50, 0.90
+#: Steps of expectation-maximisation and the shares of good texts and of each kind of junk that it starts from.
+EM_STEPS = 30
+START_SHARES = (0.85, 0.05, 0.05, 0.05)
+#: Beta prior of a rule's bad votes: its weight in texts, and the expected share of bad votes among those on good texts, on
+#: the rule's own kind of junk and on other kinds. The same for every rule; nothing is clamped.
+PRIOR_TEXTS, PRIOR_GOOD, PRIOR_OWN, PRIOR_OTHER = 100.0, 0.02, 0.6, 0.1
+
+
+def prior_bad(kind: str | None) -> list[float]:
+    """Expected share of bad votes of a rule written for ``kind``, on good texts and on each kind of junk."""
+    return [PRIOR_GOOD, *(PRIOR_OWN if kind == k else PRIOR_OTHER for k in KINDS)]
 
 
 def let(value: Column, use) -> Column:
@@ -71,6 +79,7 @@ def features(text: Column) -> Column:
             F.size(words).cast("long").alias("n_words"),
             F.length(joined).cast("long").alias("word_chars"),
             repeated_words(words).cast("long").alias("n_repeat_words"),
+            F.size(F.array_distinct(words)).cast("long").alias("n_distinct"),
         )
 
     def of_lines(lines: Column) -> Column:
@@ -80,14 +89,15 @@ def features(text: Column) -> Column:
     words = let(F.array_remove(F.split(text, BLANKS), ""), of_words)
     lines = let(F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")), of_lines)
     return F.struct(
-        words.alias("words"), lines.alias("lines"), left(SYMBOLS).alias("n_symbols"), left("[^A-Z]+").alias("n_capitals"), left("[^!]+").alias("n_exclaims"), left("[^.?!]+").alias("n_ends")
+        words.alias("words"), lines.alias("lines"), left(SYMBOLS).alias("n_symbols"), left("[^A-Z]+").alias("n_capitals"), left("[^!]+").alias("n_exclaims"), left("[^.?!]+").alias("n_ends"),
+        left(r"[^\p{L}\p{M}]+").alias("n_letters"),
     )
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``_q``, a struct of the counts, base_failed, and ``votes``, one digit for each rule: 0 bad, 1 no vote, 2 good."""
     f = docs.withColumn("_f", features(F.coalesce(F.col(text_col), F.lit(""))))
-    counts = [F.col(f"_f.words.{c}") for c in ("n_words", "word_chars", "n_repeat_words")] + [F.col(f"_f.lines.{c}") for c in ("n_lines", "n_dup_lines")] + [F.col(f"_f.{c}") for c in ("n_symbols", "n_capitals", "n_exclaims", "n_ends")]
+    counts = [F.col(f"_f.words.{c}") for c in ("n_words", "word_chars", "n_repeat_words", "n_distinct")] + [F.col(f"_f.lines.{c}") for c in ("n_lines", "n_dup_lines")] + [F.col(f"_f.{c}") for c in ("n_symbols", "n_capitals", "n_exclaims", "n_ends", "n_letters")]
     f = f.withColumn("_q", F.struct(*counts)).drop("_f")
     prefix = lambda sql: "".join(f"_q.{w}" if w.startswith(("n_", "word_")) else w for w in sql.replace("(", " ( ").split(" ") for w in (w, " "))
     votes = [F.expr(f"case when {prefix(bad)} then '0' when {prefix(good)} then '2' else '1' end") for _, bad, good, *_ in RULES]
@@ -95,31 +105,48 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return f.withColumn("_q", F.struct("_q.*", failed.alias("base_failed"), F.concat(*votes).alias("votes")))
 
 
-def posterior(patterns: DataFrame, steps: int = EM_STEPS) -> DataFrame:
-    """(votes, p_good) from (votes, n): expectation-maximisation over vote patterns, at most 3 to the number of rules.
+def fitted(patterns: DataFrame, steps: int = EM_STEPS, rules=RULES) -> DataFrame:
+    """(rows, p, fit) of (votes, n), one row: the patterns, each one's posterior by class, and the estimates.
 
-    Given its class, a text gets the right vote of a rule that votes with the rule's accuracy; abstaining says nothing.
-    One row holds all patterns, and a fold over ``steps`` alternates posteriors and estimates (accuracies within the
-    bounds of RULES), so the corpus is read once.
+    Latent classes are good texts and each kind of junk. Given its class, a rule that votes says bad with a probability of
+    its own, ``fit.bad[rule][class]``; abstaining says nothing. Expectation-maximisation alternates posteriors and
+    estimates from the weights of all patterns (at most 3 to the number of rules) under one weak Beta prior, which also
+    says which kind a rule is meant for. A fold over ``steps`` does it in one row, so the corpus is read once.
     """
-    last = len(RULES) - 1
-    state = "struct<good double, acc array<double>>"
+    last, classes = len(rules) - 1, len(KINDS) + 1
     doubles = lambda xs: "array(" + ", ".join(f"{x}D" for x in xs) + ")"
-    least, most = doubles(r[3] for r in RULES), doubles(r[4] for r in RULES)
-    start = f"named_struct('good', {START_GOOD}D, 'acc', {doubles(START_ACCURACY for _ in RULES)})"
-    # posterior of good for each pattern x under the estimates s: log odds of the class and of each vote that was given
-    logit = f"aggregate(sequence(0, {last}), ln(s.good / (1 - s.good)), (a, j) -> a + (x.v[j] - 1) * ln(s.acc[j] / (1 - s.acc[j])))"
-    expect = f"transform(pats, x -> 1 / (1 + exp(- {logit})))"
+    prior = "array(" + ", ".join(doubles(prior_bad(kind)) for *_, kind in rules) + ")"
+    state = "struct<share array<double>, bad array<array<double>>>"
+    start = f"named_struct('share', {doubles(START_SHARES)}, 'bad', {prior})"
+    vote = "case x.v[j] when 0 then ln(s.bad[j][c]) when 2 then ln(1 - s.bad[j][c]) else 0D end"
+    logs = f"transform(sequence(0, {classes - 1}), c -> aggregate(sequence(0, {last}), ln(s.share[c]), (a, j) -> a + {vote}))"
+    soft = f"transform(array({logs}), l -> transform(l, y -> exp(y - array_max(l))))[0]"
+    expect = f"transform(pats, x -> transform(array({soft}), w -> transform(w, y -> y / aggregate(w, 0D, (a, z) -> a + z)))[0])"
     total = lambda term: f"aggregate(zip_with(pats, q, (x, p) -> {term}), 0D, (a, y) -> a + y)"
-    right, voted = total("case x.v[j] when 2 then x.n * p when 0 then x.n * (1 - p) else 0D end"), total("if(x.v[j] = 1, 0D, x.n)")
-    accuracy = f"transform(sequence(0, {last}), j -> greatest({least}[j], least({most}[j], coalesce({right} / nullif({voted}, 0D), 0D))))"
-    good = f"greatest({LEAST_GOOD}D, least({MOST_GOOD}D, {total('x.n * p')} / {total('x.n')}))"
-    step = f"cast(transform(array({expect}), q -> named_struct('good', {good}, 'acc', {accuracy}))[0] as {state})"
-    one = patterns.groupBy().agg(F.sort_array(F.collect_list(F.struct("votes", "n"))).alias("rows"))
+    share = f"transform(sequence(0, {classes - 1}), c -> ({total('x.n * p[c]')} + 1D) / ({total('x.n')} + {classes}D))"
+    said, voted = total("if(x.v[j] = 0, x.n * p[c], 0D)"), total("if(x.v[j] = 1, 0D, x.n * p[c])")
+    bad = f"transform(sequence(0, {last}), j -> transform(sequence(0, {classes - 1}), c -> ({said} + {PRIOR_TEXTS}D * {prior}[j][c]) / ({voted} + {PRIOR_TEXTS}D)))"
+    step = f"cast(transform(array({expect}), q -> named_struct('share', {share}, 'bad', {bad}))[0] as {state})"
+    one = patterns.groupBy().agg(F.sort_array(F.collect_list(F.struct("votes", "n"))).alias("rows"))  # bounded by the number of patterns
     one = one.withColumn("pats", F.expr("transform(rows, r -> struct(transform(split(r.votes, ''), d -> cast(d as int)) as v, cast(r.n as double) as n))"))
-    fitted = one.where("size(rows) > 0").withColumn("fit", F.expr(f"aggregate(sequence(1, {steps}), cast({start} as {state}), (s, t) -> {step})"))
-    final = fitted.withColumn("p", F.expr(f"transform(array(fit), s -> {expect})[0]"))
-    return final.select(F.explode(F.arrays_zip("rows", "p")).alias("z")).select(F.col("z.rows.votes").alias("votes"), F.col("z.p").alias("p_good"))
+    done = one.where("size(rows) > 0").withColumn("fit", F.expr(f"aggregate(sequence(1, {steps}), cast({start} as {state}), (s, t) -> {step})"))
+    return done.withColumn("p", F.expr(f"transform(array(fit), s -> {expect})[0]")).select("rows", "p", "fit")
+
+
+def posterior(patterns: DataFrame, steps: int = EM_STEPS) -> DataFrame:
+    """(votes, p_good) from (votes, n): the posterior probability of good quality of each vote pattern; see ``fitted``."""
+    found = fitted(patterns, steps).select(F.explode(F.arrays_zip("rows", "p")).alias("z"))
+    return found.select(F.col("z.rows.votes").alias("votes"), F.get("z.p", F.lit(0)).alias("p_good"))
+
+
+def rule_estimates(patterns: DataFrame, steps: int = EM_STEPS, rules=RULES) -> DataFrame:
+    """(rule, bad_on_good, bad_on_junk, accuracy) from (votes, n): a rule's estimated shares of bad votes on good texts and
+    on all junk, and the mean of its accuracies on both. An empty table gives no rows."""
+    names = F.array(*(F.lit(name) for name, *_ in rules))
+    each = fitted(patterns, steps, rules).select("fit.share", F.explode(F.arrays_zip(names.alias("name"), F.col("fit.bad").alias("bad"))).alias("z"))
+    junk = "aggregate(zip_with(share, z.bad, (a, b) -> a * b), 0D, (a, x) -> a + x) - share[0] * z.bad[0]"
+    out = each.select(F.col("z.name").alias("rule"), F.expr("z.bad[0]").alias("bad_on_good"), F.expr(f"({junk}) / (1 - share[0])").alias("bad_on_junk"))
+    return out.withColumn("accuracy", (1 - F.col("bad_on_good") + F.col("bad_on_junk")) / 2)
 
 
 def score_quality(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:

@@ -75,12 +75,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def _quality_sql() -> str:
     """op10 in SQL: counts, votes, and expectation-maximisation as a recursive query over vote patterns."""
-    rules = range(len(quality.RULES))
-    votes = ", ".join(f"case when {bad} then 0 when {good} then 2 else 1 end as v{j}" for j, (_, bad, good, *_) in enumerate(quality.RULES))
-    logit = " + ".join(["ln(good / (1 - good))", *(f"(v{j} - 1) * ln(acc[{j + 1}] / (1 - acc[{j + 1}]))" for j in rules)])
-    p = f"1 / (1 + exp(-({logit})))"
-    right = lambda j: f"sum(case v{j} when 2 then n * p when 0 then n * (1 - p) else 0 end)"
-    acc = ", ".join(f"greatest({low}, least({high}, coalesce({right(j)} / nullif(sum(case when v{j} = 1 then 0 else n end), 0), 0)))" for j, (*_, low, high) in enumerate(quality.RULES))
+    rules, classes = range(len(quality.RULES)), range(len(quality.KINDS) + 1)
+    at = lambda j, c: j * len(classes) + c + 1  # noqa: E731  place in the list of all estimates
+    prior = [x for *_, kind in quality.RULES for x in quality.prior_bad(kind)]
+    votes = ", ".join(f"case when {bad} then 0 when {good} then 2 else 1 end as v{j}" for j, (_, bad, good, _) in enumerate(quality.RULES))
+    logs = ", ".join(" + ".join([f"ln(share[{c + 1}])", *(f"case v{j} when 0 then ln(bad[{at(j, c)}]) when 2 then ln(1 - bad[{at(j, c)}]) else 0 end" for j in rules)]) for c in classes)
+    p = f"list_transform([{logs}], lambda y: exp(y))"
+    share = ", ".join(f"(sum(n * p[{c + 1}]) + 1) / (sum(n) + {len(classes)})" for c in classes)
+    w = quality.PRIOR_TEXTS
+    bad = ", ".join(f"(sum(case v{j} when 0 then n * p[{c + 1}] else 0 end) + {w * prior[at(j, c) - 1]}) / (sum(case v{j} when 1 then 0 else n * p[{c + 1}] end) + {w})" for j in rules for c in classes)
+    normal = "list_transform(w, lambda y: y / list_sum(w)) as p"
     keys = ", ".join(f"v{j}" for j in rules)
     return rf"""
         with recursive parts as (
@@ -101,19 +105,19 @@ def _quality_sql() -> str:
                    cast(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) as bigint) as n_symbols, cast(len(lines) as bigint) as n_lines,
                    cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
                    length(regexp_replace(text, '[^A-Z]+', '', 'g')) as n_capitals, length(regexp_replace(text, '[^!]+', '', 'g')) as n_exclaims,
-                   length(regexp_replace(text, '[^.?!]+', '', 'g')) as n_ends
+                   length(regexp_replace(text, '[^.?!]+', '', 'g')) as n_ends, length(regexp_replace(text, '[^\p{{L}}\p{{M}}]+', '', 'g')) as n_letters, len(list_distinct(words)) as n_distinct
             from parts left join repeats using (doc_id)
         ), voted as materialized (
             select *, {votes} from counts
         ), patterns as materialized (
             select {keys}, cast(count(*) as double) as n from voted group by all
         ), em as (
-            select 0 as t, cast({quality.START_GOOD} as double) as good, cast([{", ".join(str(quality.START_ACCURACY) for _ in rules)}] as double[]) as acc
+            select 0 as t, cast({list(quality.START_SHARES)} as double[]) as share, cast({prior} as double[]) as bad
             union all
-            select t + 1, greatest({quality.LEAST_GOOD}, least({quality.MOST_GOOD}, sum(n * p) / sum(n))), [{acc}]
-            from (select em.*, patterns.*, {p} as p from em, patterns where t < {quality.EM_STEPS}) group by t
+            select t + 1, [{share}], [{bad}]
+            from (select *, {normal} from (select em.*, patterns.*, {p} as w from em, patterns where t < {quality.EM_STEPS})) group by t
         ), scored as (
-            select {keys}, {p} as p_good from patterns, em where t = {quality.EM_STEPS}
+            select {keys}, {normal.replace(' as p', '[1] as p_good')} from (select {keys}, {p} as w from patterns, em where t = {quality.EM_STEPS})
         )
         select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
                not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and p_good >= 0.5 as kept

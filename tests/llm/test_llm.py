@@ -283,16 +283,20 @@ def test_quality_counts_and_verdicts(spark):
 
 
 def brute_em(patterns):
-    good, acc = quality.START_GOOD, [quality.START_ACCURACY] * len(quality.RULES)
-    expect = lambda: {v: 1 / (1 + np.exp(-(np.log(good / (1 - good)) + sum((int(d) - 1) * np.log(a / (1 - a)) for d, a in zip(v, acc))))) for v in patterns}
+    share, prior = np.array(quality.START_SHARES), np.array([quality.prior_bad(kind) for *_, kind in quality.RULES])
+    bad, n = prior.copy(), np.array(list(patterns.values()), float)
+    v = np.array([[int(d) for d in x] for x in patterns])
+
+    def expect():
+        w = np.array([[share[c] * np.prod([bad[j, c] if d == 0 else 1 - bad[j, c] if d == 2 else 1.0 for j, d in enumerate(x)]) for c in range(len(share))] for x in v])
+        return w / w.sum(axis=1, keepdims=True)
+
     for _ in range(quality.EM_STEPS):
-        p = expect()
-        good = min(quality.MOST_GOOD, max(quality.LEAST_GOOD, sum(n * p[v] for v, n in patterns.items()) / sum(patterns.values())))
-        for j, (*_, low, high) in enumerate(quality.RULES):
-            voted = sum(n for v, n in patterns.items() if v[j] != "1")
-            right = sum(n * (p[v] if v[j] == "2" else 1 - p[v]) for v, n in patterns.items() if v[j] != "1")
-            acc[j] = max(low, min(high, right / voted if voted else 0))
-    return expect()
+        p = expect() * n[:, None]
+        share = (p.sum(axis=0) + 1) / (n.sum() + len(share))
+        said, voted = (v == 0).T @ p, (v != 1).T @ p
+        bad = (said + quality.PRIOR_TEXTS * prior) / (voted + quality.PRIOR_TEXTS)
+    return dict(zip(patterns, expect()[:, 0]))
 
 
 def test_posterior_equals_plain_expectation_maximisation(spark):
@@ -300,6 +304,37 @@ def test_posterior_equals_plain_expectation_maximisation(spark):
     got = {r.votes: r.p_good for r in quality.posterior(spark.createDataFrame(list(patterns.items()), "votes string, n long")).collect()}
     want = brute_em(patterns)
     assert got.keys() == want.keys() and all(got[v] == pytest.approx(want[v]) for v in want)
+    assert quality.posterior(spark.createDataFrame([], "votes string, n long")).count() == 0
+
+
+def test_rule_estimates_follow_the_votes(spark):
+    """Votes of known rules: estimates come near the truth, whatever the prior says, and a random rule's falls."""
+    r = random.Random(8)
+    names = [name for name, *_ in quality.RULES]
+
+    def votes(junk):
+        out = []
+        for name, *_, kind in quality.RULES:
+            hit = 0.9 if kind and kind == junk else 0.01
+            out.append(1 if r.random() < 0.1 else 0 if r.random() < hit else 2)
+        return out
+
+    texts = [votes(r.choice(quality.KINDS) if k % 5 == 0 else None) for k in range(4000)]
+
+    def estimates(rows):
+        counts = {}
+        for v in rows:
+            key = "".join(map(str, v))
+            counts[key] = counts.get(key, 0) + 1
+        return {x.rule: x for x in quality.rule_estimates(spark.createDataFrame(list(counts.items()), "votes string, n long")).collect()}
+
+    own = estimates(texts)
+    assert list(own) == names and all(0.001 < x.bad_on_good < 0.03 for x in own.values())
+    assert all(x.bad_on_junk == pytest.approx(0.9 / 3, abs=0.06) for x in own.values() if x.rule != "length")
+    for j in (1, 4, 8):
+        swapped = estimates([[*v[:j], r.choice([0, 2]), *v[j + 1 :]] for v in texts])
+        assert swapped[names[j]].accuracy < own[names[j]].accuracy - 0.05
+        assert swapped[names[j]].bad_on_good == pytest.approx(0.5, abs=0.05)
 
 
 def test_toxicity_learns_and_holds_out(spark):
