@@ -1,16 +1,25 @@
-"""Exact top-k by inner product: vectors grouped by length, pruned by local cosine thresholds, products verified."""
+"""Exact top-k by inner product: vectors grouped by length, pruned by local cosine thresholds, products verified.
+
+Pruning happens twice: block by block on small descriptions (length, cone of directions) before any vector is shuffled,
+and inside a bucket by coordinates or lengths, from the floor that each query already has.
+"""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.llm.common import materialize
 
-#: Vectors in a bucket, queries in a block, candidate buckets in a group that one query block meets at once.
-BUCKET_ROWS, QUERY_ROWS, GROUP_BUCKETS = 1024, 256, 4
+#: Vectors in a bucket, queries in a block, candidate buckets in a group that one query block meets at once, copies of
+#: the first group among which query blocks are dealt.
+BUCKET_ROWS, QUERY_ROWS, GROUP_BUCKETS, FIRST_COPIES = 1024, 256, 4, 32
+#: Lengths of a bucket's vectors lie within this factor of each other, so that its threshold is nearly that of each.
+LENGTH_STEP = 1.25
 #: Below this local cosine only lengths prune; above it coordinates do, on this many of the query's largest ones.
 COORDINATE_COSINE, FOCUS = 0.6, 4
 
@@ -30,12 +39,21 @@ def quantised(vectors: DataFrame, scale: float = 256.0, id_col: str = "vec_id",
 NO_FLOOR = -(1 << 63)
 
 
+def _direction() -> list:
+    """Order that puts vectors of like direction side by side: greatest coordinate, its sign, then how great it is."""
+    size = F.transform("v", lambda c: F.abs(c))
+    at = F.array_position(size, F.array_max(size))
+    lead = F.get("v", (at - 1).cast("int"))
+    return [at, lead > 0, lead / F.col("norm")]
+
+
 def blocks(rows: DataFrame, size: int, order: list, label: str) -> DataFrame:
-    """(dim int, longest double, ids, vectors, norms, floors binary, block long): ``rows`` (vec_id, v, norm, dim, floor)
-    dealt by ranges of ``order``, ``size`` to a block.
+    """(dim int, longest, least, reach double, centre array<double>, width int, ids, vectors, norms, floors binary, block
+    long): ``rows`` (vec_id, v, norm, dim, floor) dealt by ranges of ``order``, ``size`` to a block.
 
-    Every block holds vectors of one dimension only. Ranges are of several columns, so one vector that repeats often is
-    dealt to many tasks.
+    Every block holds vectors of one dimension only. ``least`` is its least floor (null: a query has none), ``centre`` the
+    mean direction, ``reach`` the greatest angle between it and a vector. Components take ``width`` bytes, as few as hold
+    them. Ranges are of several columns, so one vector that repeats often is dealt to many tasks.
     """
 
     def run(batches):
@@ -43,8 +61,17 @@ def blocks(rows: DataFrame, size: int, order: list, label: str) -> DataFrame:
 
         def block(dim, rows):
             ids, vs, norms, floors = zip(*rows)
-            parts = [np.array(x, t).tobytes() for x, t in ((ids, "<i8"), (vs, "<i8"), (norms, "<f8"), ([NO_FLOOR if f is None else f for f in floors], "<i8"))]
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([float(max(norms))]), *(pa.array([x], pa.binary()) for x in parts)], ["dim", "longest", "ids", "vectors", "norms", "floors"])
+            v, n = np.array(vs, np.int64).reshape(len(ids), dim), np.array(norms)
+            top = max(int(v.max(initial=0)), -int(v.min(initial=0)) - 1)
+            width = 2 if top < 1 << 15 else 4 if top < 1 << 31 else 8
+            unit = v / np.maximum(n, 1e-300)[:, None]
+            centre = unit.sum(axis=0)
+            centre /= max(float(np.linalg.norm(centre)), 1e-300)
+            reach = float(np.arccos(np.clip((unit @ centre).min(initial=1.0) if (n > 0).all() else -1.0, -1.0, 1.0)))
+            parts = [x.tobytes() for x in (np.array(ids, "<i8"), v.astype(f"<i{width}"), n.astype("<f8"), np.array([NO_FLOOR if f is None else f for f in floors], "<i8"))]
+            least = None if any(f is None for f in floors) else float(min(floors))
+            facts = [pa.array([dim], pa.int32()), pa.array([float(n.max())]), pa.array([least], pa.float64()), pa.array([reach]), pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([width], pa.int32())]
+            return pa.RecordBatch.from_arrays([*facts, *(pa.array([x], pa.binary()) for x in parts)], ["dim", "longest", "least", "reach", "centre", "width", "ids", "vectors", "norms", "floors"])
 
         for batch in batches:
             for *row, dim, floor in zip(*(batch.column(k).to_pylist() for k in range(5))):
@@ -54,9 +81,34 @@ def blocks(rows: DataFrame, size: int, order: list, label: str) -> DataFrame:
         for dim, rows in held.items():
             yield block(dim, rows)
 
-    dealt = rows.select("vec_id", "v", "norm", "dim", "floor").repartitionByRange(*order).sortWithinPartitions(*order)
-    made = materialize(dealt.mapInArrow(run, "dim int, longest double, ids binary, vectors binary, norms binary, floors binary"), label)
-    return made.withColumn("block", F.xxhash64("ids", "vectors"))
+    keys = [c.alias(f"o{k}") for k, c in enumerate(order)]
+    dealt = rows.select("vec_id", "v", "norm", "dim", "floor", *keys)
+    by = [f"o{k}" for k in range(len(order))]
+    dealt = dealt.repartitionByRange(*by, "vec_id").sortWithinPartitions(*by, "vec_id").select("vec_id", "v", "norm", "dim", "floor")
+    schema = "dim int, longest double, least double, reach double, centre array<double>, width int, ids binary, vectors binary, norms binary, floors binary"
+    return materialize(dealt.mapInArrow(run, schema), label).withColumn("block", F.xxhash64("ids", "vectors"))
+
+
+def may_reach() -> Column:
+    """True unless no vector of bucket c can reach the least floor of query block q: the product of the greatest lengths
+    times the cosine of the angle that at least lies between their cones."""
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.aggregate(F.zip_with("q_centre", "c_centre", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x))))
+    apart = F.greatest(F.lit(0.0), angle - F.col("q_reach") - F.col("c_reach") - 1e-6)
+    most = F.col("q_longest") * F.col("c_longest")
+    return F.col("q_least").isNull() | (F.col("q_least") <= most * F.cos(apart) + most * 1e-9 + 1e-9)
+
+
+def surviving(queries: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(q_block, dim, group, chosen): for each query block and group after the first the buckets that may hold a result.
+
+    Only the blocks' descriptions meet here (some hundred bytes each), by dimension and group.
+    """
+    facts = ("longest", "reach", "centre")
+    c = buckets.select("dim", "group", F.col("block").alias("c_block"), *(F.col(x).alias(f"c_{x}") for x in facts))
+    last = buckets.groupBy("dim").agg(F.max("group").alias("last"))
+    q = queries.select("dim", F.col("block").alias("q_block"), *(F.col(x).alias(f"q_{x}") for x in (*facts, "least")))
+    q = q.join(last, "dim").where("last > 0").withColumn("group", F.explode(F.sequence(F.lit(1), F.col("last")))).drop("last")
+    return q.join(c, ["dim", "group"]).where(may_reach()).groupBy("q_block", "dim", "group").agg(F.collect_set("c_block").alias("chosen"))
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -65,7 +117,10 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _products(vectors: np.ndarray, query: np.ndarray, exact: bool) -> np.ndarray:
-    return (vectors @ query).astype(np.int64) if exact else np.array([sum(int(a) * int(b) for a, b in zip(v, query)) for v in vectors], np.int64)
+    if exact:
+        return (vectors @ query).astype(np.int64)
+    whole = (sum(int(a) * int(b) for a, b in zip(v, query)) for v in vectors)
+    return np.array([max(NO_FLOOR, min((1 << 63) - 1, x)) for x in whole], np.int64)
 
 
 def search(query: tuple, candidate: tuple, floor: dict[int, int], k: int) -> list[tuple[int, int, int]]:
@@ -119,8 +174,8 @@ def _meet(pairs: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score) of joined query blocks and buckets, with floors that rise from bucket to bucket."""
 
     def load(row, side):
-        ids, vectors, norms = (np.frombuffer(row[f"{side}_{c}"], t) for c, t in (("ids", "<i8"), ("vectors", "<i8"), ("norms", "<f8")))
-        return ids, vectors.reshape(len(ids), row["dim"]), norms
+        ids, vectors, norms = (np.frombuffer(row[f"{side}_{c}"], t) for c, t in (("ids", "<i8"), ("vectors", f"<i{row[f'{side}_width']}"), ("norms", "<f8")))
+        return ids, vectors.reshape(len(ids), row["dim"]).astype(np.int64), norms
 
     def run(batches):
         floor: dict[int, int] = {}
@@ -150,30 +205,34 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0)
     Exact: integer inner products of floor(scale * x), ties to the smaller vec_id. Vectors of different dimension don't
     meet; null ids, null vectors and those with unclean components take no part; empty vectors score 0 with each other.
     Rows that repeat a vec_id are candidates each, and one query. Fewer rows than k give fewer results; an empty table
-    gives none; other columns are ignored.
+    gives none; other columns are ignored. Components and scores beyond the range of a long are cut to it.
 
-    Every bucket of similar length meets every block of queries, but never row by row in a join: first the longest
-    group (at most GROUP_BUCKETS buckets of BUCKET_ROWS vectors for each dimension, so broadcast), whose results give
-    each query a floor; then the other groups, each joined by its number with the query blocks.
+    Buckets are of similar length (within LENGTH_STEP) and, inside that, of like direction; query blocks of like direction.
+    First every query meets the longest group (GROUP_BUCKETS buckets), whose results give it a floor. Of the other groups
+    a query block only meets those with a bucket whose description says that it may reach the floor, so pairs that can't
+    are dropped before vectors are shuffled. Vectors of random direction leave nothing to prune; see README.
     """
     rows = materialize(quantised(vectors, scale), "vectors")
     no_floor = F.lit(None).cast("long").alias("floor")
     wanted = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("v", "norm", "dim")).alias("r")).select("vec_id", "r.*")
-    c = blocks(rows.select("*", no_floor), BUCKET_ROWS, [F.desc("norm"), F.col("vec_id")], "buckets")
+    level = F.floor(F.log(F.greatest(F.col("norm"), F.lit(1.0))) / math.log(LENGTH_STEP))
+    c = blocks(rows.select("*", no_floor), BUCKET_ROWS, [-level, *_direction()], "buckets")
     # one small row for each bucket, ranked by length within its dimension
     longest_first = Window.partitionBy("dim").orderBy(F.desc("longest"), "block")
-    ranks = c.select("block", "dim", "longest").withColumn("nth", F.row_number().over(longest_first) - 1).withColumn("group", F.floor(F.col("nth") / GROUP_BUCKETS).cast("int"))
-    ranks = materialize(ranks, "bucket-ranks")
-    groups = ranks.groupBy("dim").agg(F.max("group").alias("last"))
-    bucket = c.join(ranks.select("block", "group", "nth"), "block").select("dim", "group", "nth", *(F.col(x).alias(f"c_{x}") for x in ("ids", "vectors", "norms")))
+    facts = c.select("block", "dim", "longest", "reach", "centre").withColumn("nth", F.row_number().over(longest_first) - 1).withColumn("group", F.floor(F.col("nth") / GROUP_BUCKETS).cast("int"))
+    facts = materialize(facts, "bucket-facts")
+    bucket = c.join(facts.select("block", "group", "nth"), "block").select("dim", "group", "nth", F.col("block").alias("c_block"), *(F.col(x).alias(f"c_{x}") for x in ("width", "ids", "vectors", "norms")))
 
     def asked(q: DataFrame) -> DataFrame:
-        return q.select("dim", F.col("block").alias("q_block"), *(F.col(x).alias(f"q_{x}") for x in ("ids", "vectors", "norms", "floors")))
+        return q.select("dim", F.col("block").alias("q_block"), *(F.col(x).alias(f"q_{x}") for x in ("width", "ids", "vectors", "norms", "floors")))
 
-    first = asked(blocks(wanted.select("*", no_floor), QUERY_ROWS, ["vec_id"], "query-blocks"))
-    seeds = materialize(_first(_meet(first.join(F.broadcast(bucket.where("group = 0")), "dim"), k), k), "seeds")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(FIRST_COPIES - 1)))
+    longest = bucket.where("group = 0").withColumn("copy", copies)
+    first = asked(blocks(wanted.select("*", no_floor), QUERY_ROWS, _direction(), "query-blocks")).withColumn("copy", F.pmod("q_block", F.lit(FIRST_COPIES)).cast("int"))
+    seeds = materialize(_first(_meet(first.join(longest, ["dim", "copy"]).sortWithinPartitions("q_block", "nth"), k), k), "seeds")
     floors = seeds.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
-    later = asked(blocks(wanted.join(floors, "vec_id", "left"), QUERY_ROWS, ["vec_id"], "query-blocks-with-floors"))
-    later = later.join(groups, "dim").where("last > 0").withColumn("group", F.explode(F.sequence(F.lit(1), F.col("last")))).drop("last")
-    rest = _meet(later.join(bucket, ["dim", "group"]).sortWithinPartitions("q_block", "nth"), k)
+    later = blocks(wanted.join(floors, "vec_id", "left"), QUERY_ROWS, _direction(), "query-blocks-with-floors")
+    pairs = surviving(later, facts)
+    met = pairs.join(asked(later).drop("dim"), "q_block").join(bucket, ["dim", "group"]).where(F.array_contains("chosen", F.col("c_block"))).drop("chosen")
+    rest = _meet(met.sortWithinPartitions("q_block", "nth"), k)
     return _first(seeds.drop("rank").union(rest), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
