@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Documents handled at once inside a Python task; bounds the Python copy of an Arrow batch.
@@ -88,6 +88,16 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def column(name: str) -> Column:
+    """The column of that very name, dots and backquotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(docs: DataFrame, names: list[str] | None = None) -> Column:
+    """A struct of all columns of ``docs`` (or of ``names``), so that no name can clash with those that an operator uses."""
+    return F.struct(*(column(c).alias(c) for c in (docs.columns if names is None else names)))
+
+
 def slices(batches, rows: int = SLICE_ROWS):
     """Cuts Arrow record batches into small ones, so that Python copies of the rows stay small."""
     for batch in batches:

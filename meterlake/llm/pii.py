@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from meterlake.llm.common import id_and_text, slices
+from meterlake.llm.common import id_and_text, slices, whole_row
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -231,7 +231,7 @@ def redact_pii(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(1)], ["redacted", "row"])
 
     rest = [c for c in docs.columns if c != "text"]
-    packed = docs.select("text", F.struct(*rest, F.lit(0).alias("_")).alias("row"))
+    packed = docs.select("text", F.struct(whole_row(docs, rest).alias("rest") if rest else F.lit(0).alias("rest")).alias("row"))
     done = packed.mapInArrow(run, StructType().add("redacted", StringType()).add("row", packed.schema["row"].dataType))
     own = {"text": F.col("redacted"), "n_chars": F.length("redacted").cast(docs.schema["n_chars"].dataType) if "n_chars" in rest else None}
-    return done.select(*(own[c].alias(c) if c in own else F.col(f"row.{c}").alias(c) for c in docs.columns))
+    return done.select(*((own[c] if c in own else F.col("row.rest").getField(c)).alias(c) for c in docs.columns))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import materialize
+from meterlake.llm.common import materialize, whole_row
 
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]+"
@@ -157,7 +157,7 @@ def score_quality(docs: DataFrame, text_col: str = "text", carry: list[str] | No
     the posterior table (at most 3 to the number of rules rows) is broadcast.
     """
     own = [c for c in (docs.columns if carry is None else carry) if c != "quality"]
-    packed = docs.select(F.struct(*own).alias("row"), F.col(text_col).alias("text"))  # no name can clash with those used here
+    packed = docs.select(whole_row(docs, own).alias("row"), F.col(text_col).alias("text"))  # no name can clash with those used here
     scored = materialize(measured(packed).select("row", "_q"), "quality")
     model = posterior(scored.groupBy(F.col("_q.votes").alias("votes")).agg(F.count(F.lit(1)).alias("n")))
     joined = scored.join(F.broadcast(model), F.col("_q.votes") == model["votes"]).drop(model["votes"])
@@ -166,6 +166,10 @@ def score_quality(docs: DataFrame, text_col: str = "text", carry: list[str] | No
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, with its columns unchanged."""
-    own = docs.select(F.struct(*docs.columns).alias("kept_row"), F.col(text_col).alias("text"))
+    """The rows of ``docs`` that are kept, with its columns unchanged, whatever their names.
+
+    Null and empty texts have no words, so they go; ids aren't read and may be null; rows that repeat are kept or go alike;
+    a posterior of exactly one half is kept; an empty table gives none; very long texts are measured whole.
+    """
+    own = docs.select(whole_row(docs).alias("kept_row"), F.col(text_col).alias("text"))
     return score_quality(own, carry=["kept_row"]).where("quality.kept").select("kept_row.*")
