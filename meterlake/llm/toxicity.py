@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from meterlake.llm.bpe import Memo
-from meterlake.llm.common import id_and_text, slices
+from meterlake.llm.common import column, id_and_text, slices, whole_row
 
 #: Hashed features; weights are 8 bytes each, so a broadcast model never exceeds 12 MB.
 BUCKETS = 1 << 20
@@ -79,14 +78,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
 
     ``labels`` (doc_id, toxic): only rows whose crc32 of the id as text leaves a remainder other than 0 by 5 are used;
     null labels and ids are left out, and of several labels of an id the greatest counts; labels of ids that ``docs``
-    doesn't have take no part in the sample. The sample (16 bytes a row)
-    is broadcast to the scan of ``docs``; features are hashed where the texts are, and one task learns from the bounded
-    sample, in order of a hash of the id. Without labelled rows the model is empty: every score is 0.5.
+    doesn't have take no part in the sample. Of several texts of an id the one with the smallest hash counts, so the
+    sample never has more rows than ids. The sample of ids (16 bytes a row) is broadcast to the scan of ``docs``;
+    features are hashed where the texts are, and one task learns from the bounded sample, in order of a hash of the id.
+    Without labelled rows the model is empty: every score is 0.5.
     """
     key = F.col("doc_id").cast("long")
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(key)).join(docs.select(key.alias("present")), key == F.col("present"), "left_semi")
     sample = usable.groupBy(key.alias("label_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("label_id"), "label_id").limit(sample_rows)
-    chosen = id_and_text(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic")
+    chosen = id_and_text(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic", F.xxhash64("text").alias("text_hash"))
 
     def hashed(batches):
         words = word_hashes()
@@ -95,19 +95,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
             order = np.argsort(rows, kind="stable")
             cuts = np.searchsorted(rows[order], np.arange(1, batch.num_rows))
             each = [np.unique(x).astype(np.int32) for x in np.split(features[order], cuts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(each, pa.list_(pa.int32()))], ["doc_id", "toxic", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(each, pa.list_(pa.int32()))], ["doc_id", "toxic", "text_hash", "features"])
 
     def learn(batches):
         examples = []
         for batch in batches:
             found = (f.values.to_numpy() for f in batch.column(2))  # views of the batch, not copies
             examples += zip(batch.column(0).to_pylist(), found, batch.column(1).to_pylist())
-        examples.sort(key=lambda x: (xxhash.xxh64_intdigest(str(x[0])), x[0], zlib.crc32(x[1])))
+        examples.sort(key=lambda x: (xxhash.xxh64_intdigest(str(x[0])), x[0]))
         features, weights, bias = train_ftrl([x[1:] for x in examples], buckets) if examples else (np.zeros(0, np.int64), np.zeros(0), 0.0)
         yield pa.RecordBatch.from_arrays([pa.array([*features.tolist(), buckets], pa.int32()), pa.array([*weights.tolist(), bias], pa.float64())], ["feature", "weight"])
 
-    examples = chosen.mapInArrow(hashed, "doc_id long, toxic int, features array<int>")
-    learned = examples.repartition(1).mapInArrow(learn, "feature int, weight double").collect()
+    examples = chosen.mapInArrow(hashed, "doc_id long, toxic int, text_hash long, features array<int>")
+    first = examples.groupBy("doc_id").agg(F.min_by(F.struct("toxic", "features"), "text_hash").alias("e")).select("doc_id", "e.*")  # combined where the texts are
+    learned = first.repartition(1).mapInArrow(learn, "feature int, weight double").collect()
     bias = [r.weight for r in learned if r.feature == buckets]
     weights = sorted((r.feature, r.weight) for r in learned if r.feature != buckets)
     return np.array([w[0] for w in weights], np.int64), np.array([w[1] for w in weights], np.float64), bias[0] if bias else 0.0
@@ -141,8 +142,7 @@ def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float],
             p = 1.0 / (1.0 + np.exp(-np.clip(score, -35.0, 35.0)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["row", "score"])
 
-    inner = docs.drop(name)
-    packed = inner.select(F.struct(*inner.columns).alias("row"))
+    packed = docs.select(whole_row(docs, [c for c in docs.columns if c != name]).alias("row"))
     schema = packed.schema["row"].dataType
     return packed.mapInArrow(run, StructType().add("row", schema).add("score", DoubleType())).select("row.*", F.col("score").alias(name))
 
@@ -154,11 +154,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with its columns unchanged; all rows if nothing was learned."""
+    """The rows of ``docs`` that score below ``threshold``, with its columns unchanged; all rows if nothing was learned.
+
+    Null and empty texts score by the bias alone; ids may be null and repeat; equal texts are kept or go alike; an empty
+    table gives none; a score of exactly ``threshold`` goes.
+    """
     name = "toxicity"
     while name in docs.columns:
         name += "_"
     model = fit_toxicity(docs, labels)
     if not len(model[0]) and model[2] == 0.0:
         return docs
-    return score_toxicity(docs, model, name=name).where(F.col(name) < threshold).select(*docs.columns)
+    scored = score_toxicity(docs, model, name=name)
+    return scored.where(F.col(name) < threshold).select(*map(column, docs.columns))
