@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import id_and_text, materialize, release, slices
+from meterlake.llm.common import id_and_text, materialize, release, slices, whole_row
 
 #: Shingles whose bits are counted at once; bounds the memory of a very long text.
 COUNT_SHINGLES = 1 << 15
@@ -172,83 +172,143 @@ def simhash_components(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFr
     return rows.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: One set in so many is looked at to find the shingles that many sets share, and how many of those are put last.
+#: One text in so many is looked at to find the shingles that many sets share, and how many of those are put last.
 #: These only choose the order of the prefixes; any order gives the same pairs.
 ORDER_SHARE, ORDER_COMMON = 16, 100_000
 #: A prefix shingle shared by more sets than this links them to one of their size first.
 HOT_SHINGLE = 64
-#: Turns in which each hot prefix hash links its sets to one of them, another for each hash and turn.
-STAR_TURNS = 2
+#: Words of 64 bits of the short parity sketch that candidates of a hot shingle are compared by.
+SHORT_SKETCH = 8
 
 
-def shingle_sets(docs: DataFrame, words: int, seed: int = 42) -> DataFrame:
-    """(doc_id, text_hash, c, key, size, hashes) of every row: its distinct shingle hashes ascending (as unsigned), their
-    number, a 128-bit digest of them and a number ``c`` of the row. Narrow; ``c`` holds for one evaluation only."""
+def distinct_shingles(text: str, words: int, seed: int) -> np.ndarray:
+    """Distinct shingle hashes of a text, ascending (as unsigned)."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(h.astype(np.uint64) for h in shingle_hashes(text, words, seed))]))
+
+
+def prefix_length(size: int, least: float) -> int:
+    """Elements of a set of which at least one, in any common order, is among those of each set that is ``least`` similar."""
+    return size - math.ceil(least * size - 1e-9) + 1
+
+
+def parity_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of hashes in each of 2 to 4 times as many cells (a power of two, at least 512), as longs.
+
+    The sketch of a symmetric difference is the exclusive or of the sketches, so the bits in which two sketches differ
+    never outnumber the elements in which their sets differ; halves that are laid over each other keep that.
+    """
+    cells = max(64 * SHORT_SKETCH, 1 << (2 * len(hashes) - 1).bit_length() if len(hashes) else 0)
+    at = ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - cells.bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=cells) & 1).astype(np.uint8)).view(np.int64)
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
+
+
+def common_shingles(docs: DataFrame, words: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes ascending, counts) of at most ORDER_COMMON shingles that occur most often in one text of ORDER_SHARE."""
 
     def run(batches):
-        c = TaskContext.get().partitionId() << 40
         for batch in slices(batches):
-            sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *(h.astype(np.uint64) for h in shingle_hashes(t, words, seed))])) for t in batch.column(1).to_pylist()]
-            keys = [xxhash.xxh3_128_digest(h.tobytes()) for h in sets]
-            values = pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))
-            arrays = [batch.column(0), batch.column(2), pa.array(range(c, c := c + len(sets)), pa.int64()), pa.array(keys, pa.binary()), pa.array([len(h) for h in sets], pa.int64()), values]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "c", "key", "size", "hashes"])
+            sets = [distinct_shingles(t, words, seed).view(np.int64) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.int64()))], ["hashes"])
+
+    seen = id_and_text(docs).where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ORDER_SHARE)) == 0).select("text")
+    counts = seen.mapInArrow(run, "hashes array<long>").select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    common = counts.where("n > 3").orderBy(F.desc("n"), "h").limit(ORDER_COMMON).collect()
+    common.sort(key=lambda r: r.h % (1 << 64))
+    return np.array([r.h for r in common], np.int64).view(np.uint64), np.array([r.n for r in common], np.int64)
+
+
+def set_rows(docs: DataFrame, words: int, least: float, seed: int = 42) -> DataFrame:
+    """(doc_id, text_hash, c, key, size, prefix, sketch, short) of every row of ``docs``.
 
-    schema = "doc_id long, text_hash long, c long, key binary, size long, hashes array<long>"
+    ``key`` is a 128-bit digest of the set of shingle hashes, ``prefix`` its first hashes in one order of all hashes,
+    common ones last, ``sketch`` and ``short`` its parity sketch whole and folded, ``c`` a number of the row. The sets
+    themselves are not kept. Narrow; ``c`` holds for one evaluation only.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words, seed))
+
+    def prefix(h: np.ndarray) -> np.ndarray:
+        known, counts = shared.value
+        p = prefix_length(len(h), least)
+        at = np.searchsorted(known, h)
+        hit = np.zeros(len(h), bool)
+        inside = at < len(known)
+        hit[inside] = known[at[inside]] == h[inside]
+        last = h[hit]
+        last = last[np.lexsort((last, counts[at[hit]]))]
+        return np.concatenate([h[~hit][:p], last])[:p].view(np.int64)
+
+    def run(batches):
+        c = TaskContext.get().partitionId() << 40
+        longs = lambda arrays: pa.array(arrays, pa.list_(pa.int64()))
+        for batch in slices(batches):
+            sets = [distinct_shingles(t, words, seed) for t in batch.column(1).to_pylist()]
+            sketches = [parity_sketch(h) for h in sets]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), batch.column(2), pa.array(range(c, c := c + len(sets)), pa.int64()), pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary()),
+                    pa.array([len(h) for h in sets], pa.int32()), longs([prefix(h) if len(h) else h.view(np.int64) for h in sets]), longs(sketches), longs([folded(x, SHORT_SKETCH) for x in sketches]),
+                ],
+                ["doc_id", "text_hash", "c", "key", "size", "prefix", "sketch", "short"],
+            )
+
+    schema = "doc_id long, text_hash long, c long, key binary, size int, prefix array<long>, sketch array<long>, short array<long>"
     return id_and_text(docs).withColumn("text_hash", F.xxhash64("doc_id", "text")).mapInArrow(run, schema)
 
 
-def prefix_length(size: int, least: float) -> int:
-    """Elements of a set of which at least one, in any common order, is among those of each set that is ``least`` similar."""
-    return size - math.ceil(least * size - 1e-9) + 1
+def named(docs: DataFrame) -> list:
+    """Columns ``_id`` and ``_hash``, which name a row by its id and text."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"), F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias("_hash")]
 
 
-def prefixes(sets: DataFrame, least: float) -> DataFrame:
-    """(c, size, prefix) of ``sets``: the first hashes of each in one order of all hashes, common ones last."""
-    spark = sets.sparkSession
-    found = sets.where(F.pmod(F.xxhash64("c"), F.lit(ORDER_SHARE)) == 0).select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    common = found.where("n > 3").orderBy(F.desc("n"), "h").limit(ORDER_COMMON).collect()
-    common.sort(key=lambda r: r.h % (1 << 64))
-    shared = spark.sparkContext.broadcast((np.array([r.h for r in common], np.int64).view(np.uint64), np.array([r.n for r in common], np.int64)))
+def whole_sets(docs: DataFrame, needed: DataFrame, words: int, seed: int = 42) -> DataFrame:
+    """(c, hashes) of the rows ``needed`` (c, _id, _hash): their sets, made anew from the texts."""
 
     def run(batches):
-        known, counts = shared.value
         for batch in slices(batches):
-            out = []
-            for h in (v.values.to_numpy().view(np.uint64) for v in batch.column(2)):
-                p = prefix_length(len(h), least)
-                at = np.searchsorted(known, h)
-                hit = np.zeros(len(h), bool)
-                inside = at < len(known)
-                hit[inside] = known[at[inside]] == h[inside]
-                last = h[hit]
-                last = last[np.lexsort((last, counts[at[hit]]))]
-                out.append(np.concatenate([h[~hit][:p], last])[:p].view(np.int64) if len(h) else h.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], ["c", "size", "prefix"])
-
-    return sets.where("size > 0").select("c", "size", "hashes").mapInArrow(run, "c long, size long, prefix array<long>")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The ``pairs`` (a, b) of sets whose Jaccard similarity is at least ``least``, counted on the whole sets."""
-    pairs = materialize(pairs.distinct(), "candidates")
-    needed = materialize(pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct(), "needed")
-    own = materialize(sets.select("c", "size", "hashes").join(needed, "c", "left_semi"), "candidate-sets")
-    side = lambda c: own.select(F.col("c").alias(c), F.col("size").alias(f"n{c}"), F.col("hashes").alias(f"h{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("i", F.size(F.array_intersect("ha", "hb")))
+            sets = [distinct_shingles(t, words, seed).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["c", "hashes"])
+
+    texts = docs.select(*named(docs), F.coalesce("text", F.lit("")).alias("text")).join(needed, ["_id", "_hash"]).select("c", "text")
+    return texts.mapInArrow(run, "c long, hashes array<long>").dropDuplicates(["c"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """The ``pairs`` (a, b) of sets whose Jaccard similarity is at least ``least``, counted on the whole sets.
+
+    Parity sketches first drop pairs that surely differ in too many elements; only the others' sets are made and met.
+    """
+    own = sets.select("c", "size", "sketch", "doc_id", "text_hash")
+    side = lambda c: own.select(F.col("c").alias(c), F.col("size").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    fold = lambda x: f"zip_with(slice({x}, 1, size({x}) div 2), slice({x}, size({x}) div 2 + 1, size({x}) div 2), (x, y) -> x ^ y)"
+    halved = lambda x, y: f"if(size({x}) > size({y}), {fold(x)}, {x})"
+    differ = F.expr(f"aggregate(zip_with({halved('sa', 'sb')}, {halved('sb', 'sa')}, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)")
+    most = (1 - least) / (1 + least)
+    near = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(differ <= most * (F.col("na") + F.col("nb")) + 1e-6).select("a", "b", "na", "nb")
+    near = materialize(near, "near-pairs")
+    members = near.select(F.col("a").alias("c")).union(near.select(F.col("b").alias("c"))).distinct()
+    needed = own.join(members, "c").select("c", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("text_hash").alias("_hash"))
+    whole = materialize(whole_sets(docs, needed, words), "whole-sets")
+    both = near.join(whole.select(F.col("c").alias("a"), F.col("hashes").alias("ha")), "a").join(whole.select(F.col("c").alias("b"), F.col("hashes").alias("hb")), "b")
+    both = both.withColumn("i", F.size(F.array_intersect("ha", "hb")))
     out = materialize(both.where(F.col("i") / (F.col("na") + F.col("nb") - F.col("i")) >= least).select("a", "b"), "similar")
-    release(own)
+    release(whole)
+    release(near)
     return out
 
 
-def similar_components(sets: DataFrame, least: float) -> DataFrame:
+def similar_components(sets: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
     """(node, root): components of the sets ``c`` of which each pair with a Jaccard similarity of at least ``least`` is linked.
 
     Exact prefix-filter join: similar sets share a hash of their prefixes, are of like size, and have enough hashes left
     from there on. Sets that share a hot prefix hash are first compared with one set of their size only; what is then
-    linked already needs no further comparison, so only pairs of different components follow.
+    linked already needs no further comparison, so only sets of different components meet, and of those only pairs whose
+    short sketches allow the similarity leave the join.
     """
-    rows = prefixes(sets, least).select("c", "size", F.posexplode("prefix").alias("pos", "h"))
+    rows = sets.select("c", "size", F.posexplode("prefix").alias("pos", "h"))
     rows = materialize(rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("n > 1"), "prefixes")
     fits = F.expr(
         f"least(a.size, b.size) >= {least} * greatest(a.size, b.size) - 1e-9 and "
@@ -258,38 +318,40 @@ def similar_components(sets: DataFrame, least: float) -> DataFrame:
     few, hot = rows.where(F.col("n") <= HOT_SHINGLE), rows.where(F.col("n") > HOT_SHINGLE)
     plain = few.alias("a").join(few.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.c") < F.col("b.c")) & fits).select(*pair)
     if hot.isEmpty():
-        return components(verified(plain, sets, least))
-    band = F.floor(F.log("size") / math.log(1 / least))
-    todo, edges = hot, plain
-    for turn in range(STAR_TURNS):
-        todo = todo.withColumn("band", band)
-        leaders = todo.groupBy("h", "band").agg(F.min_by("c", F.xxhash64("c", "h", F.lit(turn))).alias("m"))
-        led = todo.join(leaders, ["h", "band"]).where("c <> m").select(F.least("c", "m").alias("a"), F.greatest("c", "m").alias("b"))
-        found = verified(plain.union(led) if turn == 0 else led, sets, least)
-        edges = found if turn == 0 else edges.union(found)
-        linked = materialize(components(edges), "linked")
-        placed = materialize(hot.join(linked.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c")), "hot")
-        major = placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max_by("root", F.struct("k", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-        mixed = materialize(placed.join(major, "h"), "mixed")
-        todo = mixed.select("c", "size", "pos", "h", "n")
-    apart = (F.col("a.h") == F.col("b.h")) & (F.col("a.root") != F.col("b.root")) & fits
-    more = mixed.where("root <> major").alias("a").join(mixed.alias("b"), apart).select(*pair)
-    return components(edges.union(verified(more, sets, least)))
+        return components(verified(plain, sets, docs, words, least))
+    hot = hot.withColumn("band", F.floor(F.log("size") / math.log(1 / least)))
+    leaders = hot.groupBy("h", "band").agg(F.min_by("c", F.xxhash64("c", "h")).alias("m"))
+    led = hot.join(leaders, ["h", "band"]).where("c <> m").select(F.least("c", "m").alias("a"), F.greatest("c", "m").alias("b"))
+    edges = verified(plain.union(led), sets, docs, words, least)
+    linked = materialize(components(edges), "linked")
+    placed = hot.drop("band").join(linked.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    placed = materialize(placed.join(sets.select("c", "short"), "c"), "hot")
+    major = placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max_by("root", F.struct("k", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    mixed = materialize(placed.join(major, "h"), "mixed")
+    # each pair once: from the greater root if both are apart from the major one
+    apart = (F.col("a.h") == F.col("b.h")) & ((F.col("b.root") == F.col("b.major")) | (F.col("a.root") > F.col("b.root"))) & (F.col("a.root") != F.col("b.root")) & fits
+    differ = " + ".join(f"bit_count(a.short[{k}] ^ b.short[{k}])" for k in range(SHORT_SKETCH))
+    allowed = F.expr(f"{differ} <= {(1 - least) / (1 + least)} * (a.size + b.size) + 1e-6")
+    more = mixed.where("root <> major").alias("a").join(mixed.alias("b"), apart & allowed).select(*pair)
+    found = verified(more, sets, docs, words, least)
+    return linked if found.isEmpty() else components(edges.union(found))
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id (ties: smallest text hash); nulls lose.
 
     Texts are linked if the Jaccard similarity of their sets of ``words``-word shingles is at least ``similarity``, every
-    such pair (see ``similar_components``); texts without words are alike. Columns stay as they are. Rows that agree in
-    id and text count as one. The texts are shuffled once, by their key.
+    such pair (see ``similar_components``); texts without words, null or empty, are alike. Columns stay as they are,
+    whatever their names. Rows that agree in id and text count as one. An empty table gives none.
     """
-    rows = materialize(shingle_sets(docs, words), "shingle-sets")
+    rows = materialize(set_rows(docs, words, similarity), "set-rows")
     distinct = materialize(rows.groupBy("key").agg(F.min("c").alias("c")), "distinct-sets")
-    linked = similar_components(rows.join(distinct.select("c"), "c", "left_semi"), similarity)
+    sets = materialize(rows.where("size > 0").drop("key").join(distinct.select("c"), "c", "left_semi"), "sets")
+    linked = similar_components(sets, docs, words, similarity)
     classes = distinct.join(linked.withColumnRenamed("node", "c"), "c", "left").select("key", F.coalesce("root", "c").alias("root"))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
-    kept = rows.select("doc_id", "text_hash", "key").join(classes, "key").groupBy("root").agg(first.alias("k"))
-    keys = kept.select(F.coalesce("k.doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("k.text_hash").alias("_hash"))
-    own = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"), F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias("_hash"))
-    return own.join(materialize(keys, "kept-keys"), ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select("row.*")
+    each = rows.groupBy("key", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))  # repeated rows, before they meet
+    named_rows = each.join(classes, "key").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "n")).alias("k"))
+    keys = materialize(named_rows.select(F.coalesce("k.doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("k.text_hash").alias("_hash"), F.col("k.n").alias("_n")), "kept-keys")
+    kept = docs.select(whole_row(docs).alias("row"), *named(docs)).join(keys, ["_id", "_hash"])
+    once, again = kept.where("_n = 1"), kept.where("_n > 1").dropDuplicates(["_id", "_hash"])  # only repeated rows are shuffled for it
+    return once.select("row.*").union(again.select("row.*"))
