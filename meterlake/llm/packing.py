@@ -7,10 +7,12 @@ its rank among the pieces of its length, so nothing that grows with the corpus l
 
 from __future__ import annotations
 
+import logging
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import islice
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,8 @@ from meterlake.llm.bpe import loaded
 from meterlake.llm.common import id_and_text, materialize, release, slices
 from meterlake.llm.tokens import LibraryEncoder
 
+logger = logging.getLogger(__name__)
+
 CAPACITY = 2048
 #: Fillings that the whole branch-and-bound search takes or looks at: its only limit.
 SEARCH_NODES = 20_000
@@ -98,19 +102,48 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> list[tuple[
     return out
 
 
+def lower_bound(histogram: dict[int, int], capacity: int) -> int:
+    """Bins that any packing needs: the greatest, over all thresholds up to half the capacity, of the number of pieces over
+    half of it and what the pieces from the threshold up to half can't fill into those bins."""
+    number, total = np.zeros(capacity + 2, np.int64), np.zeros(capacity + 2, np.int64)
+    for x, n in histogram.items():
+        number[x], total[x] = n, x * n
+    number, total = number[::-1].cumsum()[::-1], total[::-1].cumsum()[::-1]  # of pieces of at least that length
+    half = capacity // 2
+    best = -(-int(total[0]) // capacity)
+    for least in range(1, half + 1):
+        above = capacity - least + 1  # these share a bin with no piece of the threshold or more
+        room = int(number[half + 1] - number[above]) * capacity - int(total[half + 1] - total[above])
+        best = max(best, int(number[half + 1]) + max(0, -(-(int(total[least] - total[half + 1]) - room) // capacity)))
+    return max(best, int(number[half + 1]))
+
+
+class Packing(NamedTuple):
+    """(lengths in a bin, number of such bins) of a packing, bins that any packing needs, and whether fewer are ruled out."""
+
+    bins: list[tuple[list[int], int]]
+    bound: int
+    proven: bool
+
+
 def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = SEARCH_NODES) -> list[tuple[list[int], int]]:
-    """Branch-and-bound over fillings around the largest piece left; returns [(lengths in a bin, number of bins)].
+    """The bins of ``packing_of``."""
+    return packing_of(histogram, capacity, nodes).bins
+
+
+def packing_of(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = SEARCH_NODES) -> Packing:
+    """Branch-and-bound over fillings around the largest piece left.
 
     A node takes one undominated filling as often as the counts allow, and when all were tried, each fewer times. Waste
     so far may not exceed what a better solution than the incumbent can waste in all (incumbent bins - 1, times
-    capacity, minus all lengths); the search ends at the bound ceil(sum / capacity), when nothing is left to try, or
-    after ``nodes`` fillings with the best solution so far.
+    capacity, minus all lengths); the search ends at ``lower_bound``, when nothing is left to try, or after ``nodes``
+    fillings with the best solution so far; only then is it not proven.
     """
     histogram = {x: n for x, n in histogram.items() if n > 0}
     if any(not 0 < x <= capacity for x in histogram):
         raise ValueError("lengths must lie between 1 and the capacity")
     total = sum(x * n for x, n in histogram.items())
-    bound = -(-total // capacity)
+    bound = lower_bound(histogram, capacity)
     best = best_fit_decreasing(histogram, capacity)
     best_bins = sum(n for _, n in best)
     #: a frame: counts before it, waste and bins so far, how many choices were taken, the others (None: to be found anew)
@@ -161,7 +194,7 @@ def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY, nodes: i
         frames.append([left, wasted, bins + times, 0, None])
         if len(frames) > KEPT_FRAMES:
             frames[-1 - KEPT_FRAMES][4] = None
-    return best
+    return Packing(best, bound, best_bins == bound or not frames)
 
 
 def plan_rows(solution: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int, int, int, int]]:
@@ -227,7 +260,10 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int | N
     pieces = materialize(token_pieces(docs, vocabulary, end_id, capacity, with_ids), "pieces")
     by_part = materialize(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     histogram = {r.length: r.n for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    plan = spark.createDataFrame(plan_rows(bin_completion(histogram, capacity)), "length long, first_rank long, end_rank long, copies long, place long, sequence long")
+    found = packing_of(histogram, capacity)
+    if not found.proven:
+        logger.warning("packing: %d sequences; any packing needs %d; the search ended after %d fillings", sum(n for _, n in found.bins), found.bound, SEARCH_NODES)
+    plan = spark.createDataFrame(plan_rows(found.bins), "length long, first_rank long, end_rank long, copies long, place long, sequence long")
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = by_part.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     ranked = pieces.join(base, ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth"))

@@ -164,6 +164,20 @@ def test_bin_completion_is_optimal_on_small_sets():
         assert sum(n for _, n in solution) == fewest_bins(items, 100)
 
 
+def test_lower_bound_and_proof():
+    r = random.Random(12)
+    for _ in range(400):
+        items = [r.randint(5, 70) for _ in range(r.randint(1, 11))]
+        h = {x: items.count(x) for x in set(items)}
+        found = packing.packing_of(h, 100)
+        assert found.proven and found.bound <= fewest_bins(items, 100) == sum(n for _, n in found.bins)
+    assert packing.lower_bound({60: 3, 41: 2}, 100) == 4  # the sum alone says 3
+    assert packing.packing_of({}, 100) == packing.Packing([], 0, True)
+    hard = {x: 1 + x % 3 for x in range(151, 1024, 7)}
+    cut = packing.packing_of(hard, 2048, nodes=1)
+    assert sorted(x for f, n in cut.bins for x in f * n) == sorted(x for x, n in hard.items() for _ in range(n))
+
+
 def components(fps, linked):
     root = {f: f for f in fps}
 
@@ -186,6 +200,8 @@ def test_bin_completion_beyond_the_first_perfect_filling():
         solution = packing.bin_completion({x: items.count(x) for x in set(items)}, 100)
         assert sorted(x for f, n in solution for x in f * n) == sorted(items) and all(sum(f) <= 100 for f, _ in solution)
         assert sum(n for _, n in solution) == bins
+    items = [17, 19, 20, 23, 25, 25, 30, 37, 46, 49, 49, 49, 50, 58]
+    assert sum(n for _, n in packing.bin_completion({x: items.count(x) for x in set(items)}, 100)) == 5
     items = [50, 50, 30, 30, 20, 20, 35, 35, 15, 15]
     assert sum(n for _, n in packing.bin_completion({x: items.count(x) for x in set(items)}, 100)) == 3
     r = random.Random(3)
