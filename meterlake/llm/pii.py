@@ -1,13 +1,14 @@
 """Personal data with offsets: exact patterns on the source, and the same patterns after offset-preserving deobfuscation.
 
-The transducers rewrite disguises one after the other and keep, for each character they emit, the source span that it
-stands for; a match on the rewritten text is reported as the source span of its characters.
+The transducers rewrite disguises one after the other and keep what they replaced; a match on the rewritten text is mapped
+back through their edits and reported as the source span of its characters.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -84,7 +85,7 @@ _STRANGE = re.compile("[" + "".join(map(re.escape, [*_LOOKALIKES, *_UNSEEN])) +
 _NUMBER = "(?:" + "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True)) + ")"
 _BETWEEN = "(?:dot|point|punkt|punto)"
 _GAP = r"[\x20,-]{1,2}"
-#: Digits in words: five or more in a row, each a word of its own; "plus" may stand before them, "dot" between them.
+#: Digits in words: four or more in a row, each a word of its own; "plus" may stand before them, "dot" between them.
 _SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:(?:plus|más){_GAP})?(?:{_NUMBER}|[0-9]+)(?:{_GAP}(?:{_BETWEEN}{_GAP})?(?:{_NUMBER}|[0-9]+)){{3,}}(?![^\W_])")
 _SPELLED_PART = re.compile(rf"(?i)plus|más|{_BETWEEN}|{_NUMBER}|[0-9]+")
 #: A digit word beside another or beside figures, which any such run with a word has.
@@ -93,12 +94,16 @@ _HAS_NUMBER = re.compile(rf"(?i){_NUMBER}{_GAP}(?:{_BETWEEN}{_GAP})?(?:{_NUMBER}
 _BRACKETED = re.compile(r"(?i)[\x20]{0,2}[\[({<][\x20]?(at|ät|@|dot|punkt|punto|arroba|arr?obase|period|point|\.)[\x20]?[\])}>][\x20]{0,2}")
 
 
+#: Dots on each side of the at sign of a disguised address; a bound, so that no text takes time that grows with its square.
+ADDRESS_CUTS = 8
+
+
 def _worded(at: str, dot: str, but: str = "") -> str:
     """An address with the words ``at`` and ``dot``; it ends in two or more letters of one case, and www is a host."""
     cut = rf"(?:\.|[\x20](?:{dot})[\x20])"
     return (
-        rf"(?<![A-Za-z0-9._%+-])[a-z0-9_%+-]+(?:{cut}[a-z0-9_%+-]+)*(?:[\x20](?:{at})[\x20]|[\x20]?@[\x20]?)(?!www\.){but}[a-z0-9-]+"
-        rf"(?:{cut}[a-z0-9-]+)*{cut}(?-i:[a-z]{{2,}}|[A-Z]{{2,}})(?![A-Za-z0-9-])"
+        rf"(?<![A-Za-z0-9._%+-])[a-z0-9_%+-]+(?:{cut}[a-z0-9_%+-]+){{0,{ADDRESS_CUTS}}}(?:[\x20](?:{at})[\x20]|[\x20]?@[\x20]?)(?!www\.){but}[a-z0-9-]+"
+        rf"(?:{cut}[a-z0-9-]+){{0,{ADDRESS_CUTS}}}{cut}(?-i:[a-z]{{2,}}|[A-Z]{{2,}})(?![A-Za-z0-9-])"
     )
 
 
@@ -122,24 +127,38 @@ def _may_spell(text: str) -> bool:
     return any(a in _DIGIT_WORDS and near(b) or b in _DIGIT_WORDS and near(a) for a, b in zip(words, words[1:]))
 
 
-#: A rewritten text: its characters and the source start and end of each.
-Tape = tuple[str, list[int], list[int]]
+#: Edits of a rewritten text, ascending: its start and end in the new text, and in the old.
+Edits = tuple[list[int], list[int], list[int], list[int]]
 
 
-def _rewrite(tape: Tape, edits: list[tuple[int, int, str]]) -> Tape:
-    """Replaces spans of a tape; each new character stands for the whole source span of what it replaces."""
-    text, starts, ends = tape
-    chars, s, e, at = [], [], [], 0
+def _rewrite(text: str, edits: list[tuple[int, int, str]]) -> tuple[str, Edits]:
+    """Replaces spans of a text; only the edits are kept, so a long text with few disguises costs little."""
+    parts, at, here = [], 0, 0
+    new_start, new_end, old_start, old_end = [], [], [], []
     for begin, end, new in edits:
-        chars.append(text[at:begin] + new)
-        s += starts[at:begin] + [starts[begin]] * len(new)
-        e += ends[at:begin] + [ends[end - 1]] * len(new)
+        parts += [text[at:begin], new]
+        here += begin - at
+        new_start.append(here)
+        here += len(new)
+        new_end.append(here)
+        old_start.append(begin)
+        old_end.append(end)
         at = end
-    chars.append(text[at:])
-    return "".join(chars), s + starts[at:], e + ends[at:]
+    return "".join([*parts, text[at:]]), (new_start, new_end, old_start, old_end)
+
+
+def _before(edits: Edits, begin: int, end: int) -> tuple[int, int]:
+    """The span of the old text that a span of the new one stands for; a replaced span counts as a whole."""
+    new_start, new_end, old_start, old_end = edits
+
+    def place(at: int, whole: list[int], after: int) -> int:
+        k = bisect_right(new_start, at) - 1
+        return at + after if k < 0 else whole[k] if at < new_end[k] else at + after + old_end[k] - new_end[k]
+
+    return place(begin, old_start, 0), place(end - 1, old_end, 1)
 
 
-def _plain_letters(tape: Tape) -> Tape:
+def _plain_letters(text: str) -> tuple[str, Edits]:
     def plain(c: str) -> str:
         if c in _UNSEEN:
             return ""
@@ -147,48 +166,57 @@ def _plain_letters(tape: Tape) -> Tape:
             return chr(ord(c) - 0xFEE0)
         return _LOOKALIKES[c] if c in _LOOKALIKES else str(int(c))
 
-    return _rewrite(tape, [(m.start(), m.end(), plain(m[0])) for m in _STRANGE.finditer(tape[0])])
+    return _rewrite(text, [(m.start(), m.end(), plain(m[0])) for m in _STRANGE.finditer(text)])
 
 
-def _digits_from_words(tape: Tape) -> Tape:
+def _digits_from_words(text: str) -> tuple[str, Edits]:
     edits = []
-    for m in _SPELLED.finditer(tape[0]):
+    for m in _SPELLED.finditer(text):
         if not _HAS_NUMBER.search(m[0]):
             continue
         at = m.start()
-        for part in _SPELLED_PART.finditer(tape[0], m.start(), m.end()):
+        for part in _SPELLED_PART.finditer(text, m.start(), m.end()):
             word = part[0].lower()
             if part.start() > at:
                 edits.append((at, part.start(), ""))
             edits.append((part.start(), part.end(), {"plus": "+", "más": "+", "dot": ".", "point": ".", "punkt": ".", "punto": "."}.get(word) or _DIGIT_WORDS.get(word, word)))
             at = part.end()
-    return _rewrite(tape, edits)
+    return _rewrite(text, edits)
 
 
-def _signs_from_words(tape: Tape) -> Tape:
-    sign = lambda word: "@" if word in ("at", "ät", "@", "arroba", "arobase", "arrobase") else "."
-    tape = _rewrite(tape, [(m.start(), m.end(), sign(m[1].lower())) for m in _BRACKETED.finditer(tape[0])])
-    edits = [(w.start(), w.end(), sign(w[0].strip().lower())) for m in _WORDED.finditer(tape[0]) for w in _WORDED_SIGN.finditer(tape[0], m.start(), m.end())]
-    return _rewrite(tape, edits)
+def _sign(word: str) -> str:
+    return "@" if word in ("at", "ät", "@", "arroba", "arobase", "arrobase") else "."
+
+
+def _signs_from_brackets(text: str) -> tuple[str, Edits]:
+    return _rewrite(text, [(m.start(), m.end(), _sign(m[1].lower())) for m in _BRACKETED.finditer(text)])
+
+
+def _signs_from_words(text: str) -> tuple[str, Edits]:
+    return _rewrite(text, [(w.start(), w.end(), _sign(w[0].strip().lower())) for m in _WORDED.finditer(text) for w in _WORDED_SIGN.finditer(text, m.start(), m.end())])
 
 
 def find_all(text: str) -> tuple[list[Span], list[Span]]:
-    """(base, all): plain spans, and those plus what deobfuscation adds; an added span never overlaps a base span of
-    its kind. Spans are code-point offsets of the source, ordered by kind and start."""
+    """(base, all): plain spans, and those plus what deobfuscation adds; an added span never overlaps another of its
+    kind. Spans are code-point offsets of the source, ordered by kind and start."""
     base = find_plain(text)
     strange, spelled, signed = _STRANGE.search(text), _may_spell(text) and _HAS_NUMBER.search(text), _BRACKETED.search(text) or _AT_SIGN.search(text) and _WORDED.search(text)
     if not (strange or spelled or signed):
         return base, base
-    tape: Tape = (text, list(range(len(text))), list(range(1, len(text) + 1)))
-    for rewrite in (_plain_letters, _digits_from_words, _signs_from_words):
-        tape = rewrite(tape)
-    rewritten, starts, ends = tape
-    found = list(base)
-    for kind, a, b in find_plain(rewritten):
-        begin, end = starts[a], ends[b - 1]
-        if not any(k == kind and x < end and begin < y for k, x, y in found):
-            found.append((kind, begin, end))
-    return base, sorted(found, key=lambda s: (KINDS.index(s[0]), s[1:]))
+    rewritten, levels = text, []
+    for rewrite in (_plain_letters, _digits_from_words, _signs_from_brackets, _signs_from_words):
+        rewritten, edits = rewrite(rewritten)
+        levels.append(edits)
+    plain = {kind: [s[1:] for s in base if s[0] == kind] for kind in KINDS}
+    added, free = [], dict.fromkeys(KINDS, 0)
+    for kind, begin, end in find_plain(rewritten):
+        for edits in reversed(levels):
+            begin, end = _before(edits, begin, end)
+        at = bisect_right(plain[kind], (end,))  # plain spans of the kind that begin before this one ends
+        if begin >= free[kind] and (not at or plain[kind][at - 1][1] <= begin):
+            added.append((kind, begin, end))
+            free[kind] = end
+    return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1:]))
 
 
 def listed(spans: list[Span]) -> str:
@@ -196,12 +224,17 @@ def listed(spans: list[Span]) -> str:
 
 
 def redact(text: str, spans: list[Span]) -> str:
-    """``text`` with each span replaced by its kind in brackets; of overlapping spans the one that begins first counts."""
-    out, at = [], 0
+    """``text`` with each span replaced by its kind in brackets; spans that overlap are replaced together, by all their kinds."""
+    out, at, kinds = [], 0, []
     for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
-        if a >= at:
-            out += [text[at:a], f"[{kind.upper()}]"]
-            at = b
+        if kinds and a < at:
+            kinds += [kind] * (kind not in kinds)
+            at = max(at, b)
+            continue
+        out += [f"[{'+'.join(kinds).upper()}]"] * bool(kinds)
+        out.append(text[at:a])
+        kinds, at = [kind], b
+    out += [f"[{'+'.join(kinds).upper()}]"] * bool(kinds)
     return "".join([*out, text[at:]])
 
 

@@ -441,6 +441,50 @@ def test_prose_near_disguises_stays_clean(text):
     assert pii.find_all(text) == ([], [])
 
 
+def disguised(r, kind):
+    """(plain, disguised) of a random address or number, by one of the disguises."""
+    name = lambda: "".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(r.randint(3, 7)))
+    if kind == "email":
+        parts = [name(), name(), r.choice(["com", "org", "nl", "fr", "app"])]
+        at, dot = r.choice([(" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" @ ", "."), (" arobase ", " point "), (" arroba ", " punto "), (" ät ", " punkt "), ("@", "․")])
+        return f"{parts[0]}@{parts[1]}.{parts[2]}", f"{parts[0]}{at}{parts[1]}{dot}{parts[2]}"
+    digits = [r.randint(0, 9) for _ in range(11)]
+    words = r.choice(["zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve"]).split()
+    shown = [words[d] if r.random() < 0.8 or k < 2 else str(d) for k, d in enumerate(digits)]
+    return "+" + "".join(map(str, digits)), "plus " + " ".join(shown)
+
+
+def test_random_disguises_come_back_with_their_offsets():
+    r = random.Random(21)
+    for _ in range(2000):
+        want, text = [], ""
+        for _ in range(r.randint(1, 4)):
+            text += r.choice(["Ünd so. ", "call me, ", "ok - ", "\n", "日本 "])
+            kind = r.choice(["email", "phone"])
+            plain, hidden = disguised(r, kind)
+            shown = r.choice([plain, hidden])
+            want.append((kind, len(text), len(text) + len(shown)))
+            text += shown + r.choice([", ", "; ", "!\n"])
+        base, every = pii.find_all(text)
+        assert sorted(s for s in every if s[0] in ("email", "phone")) == sorted(want), text
+        assert set(base) <= set(every)
+        clean = pii.redact(text, every)
+        assert all(text[a:b] not in clean for _, a, b in want)
+
+
+def test_overlapping_spans_are_redacted_together():
+    text = "x +1 415 555 0100.joe@x.com y 10.0.0.1"
+    assert pii.redact(text, pii.find_all(text)[1]) == "x [PHONE+EMAIL] y [IP]"
+    assert pii.redact("abc", []) == "abc"
+
+
+def test_long_texts_with_many_disguises_take_time_in_proportion():
+    text = "mail joe@x.com or ann [at] y [dot] org or a dot b dot c dot d; " * 40_000  # 2.5 MB
+    base, every = pii.find_all(text)
+    assert (len(base), len(every)) == (40_000, 80_000)
+    assert pii.find_all("a dot " * 300_000 + "@" * 1000) == ([], [])
+
+
 def test_personal_data_frames(spark):
     df = docs(spark, [None, "", "a@b.co 10.0.0.1", "x" * 2000 + "@", "none"])
     rows = {r.doc_id: r for r in pii.find_pii(df).collect()}
