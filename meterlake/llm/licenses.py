@@ -36,9 +36,20 @@ TEMPLATES = (
     ("cc-by-nc-4.0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
     ("reserved", "all rights reserved no part of this publication may be reproduced distributed or transmitted in any form or by any means"),
-)
+    # whole texts
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so"),
+)
 #: Words of a k-gram, share of a template's words that must be found, widest step between merged diagonals.
 GRAM, COVERAGE, DRIFT = 3, 0.85, 2
+#: Words of a stretch by which overlapping spans meet.
+STRETCH = 64
 
 
 def words_of(text: Column) -> Column:
@@ -95,12 +106,18 @@ def diagonal_votes(docs: DataFrame, templates=TEMPLATES, k: int = GRAM) -> DataF
 
 
 def best_of_overlapping(spans: DataFrame) -> DataFrame:
-    """Of spans that overlap in a document, the one with the greatest share (ties: longest template, then label)."""
-    order = Window.partitionBy("_id", "_hash").orderBy("first", "last", "label")
-    before = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    apart = spans.withColumn("new", F.coalesce((F.col("first") > before).cast("int"), F.lit(0))).withColumn("cluster", F.sum("new").over(order))
-    best = Window.partitionBy("_id", "_hash", "cluster").orderBy(F.desc("share"), F.desc("size"), "label")
-    return apart.withColumn("rank", F.row_number().over(best)).where("rank = 1").drop("new", "cluster", "rank")
+    """The spans that no better one overlaps in a document: of a greater share, or equal and longer, or of a label before it.
+
+    Spans meet by stretches of STRETCH words, so a document with many notices compares each with its neighbours only.
+    """
+    stretch = F.sequence(F.floor(F.col("first") / STRETCH), F.floor(F.col("last") / STRETCH))
+    cut = spans.withColumn("stretch", F.explode(stretch))
+    same = (F.col("a._id") == F.col("b._id")) & (F.col("a._hash") == F.col("b._hash")) & (F.col("a.stretch") == F.col("b.stretch"))
+    over = (F.col("a.first") <= F.col("b.last")) & (F.col("b.first") <= F.col("a.last"))
+    rank = lambda s: F.struct(-F.col(f"{s}.share"), -F.col(f"{s}.size"), F.col(f"{s}.label"), F.col(f"{s}.first"))
+    keys = ["_id", "_hash", "label", "size", "first", "last"]
+    beaten = cut.alias("a").join(cut.alias("b"), same & over & (rank("b") < rank("a"))).select(*(F.col(f"a.{k}") for k in keys)).distinct()
+    return spans.join(beaten, keys, "left_anti")
 
 
 def verified_spans(votes: DataFrame, k: int = GRAM, coverage: float = COVERAGE, drift: int = DRIFT) -> DataFrame:
@@ -135,7 +152,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     own = own.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), F.xxhash64("doc_id", "text").alias("_hash"))
-    spans = best_of_overlapping(verified_spans(diagonal_votes(own)))
+    spans = best_of_overlapping(materialize(verified_spans(diagonal_votes(own)), "licence-spans"))
     found = materialize(spans.groupBy("_id", "_hash").agg(F.collect_set("label").alias("more"), F.max("share").alias("share")), "licences")
     base = materialize(phrase_places(own), "licence-phrases")
     both = F.sort_array(F.array_distinct(F.concat("base", F.coalesce("more", F.array().cast("array<string>")))))

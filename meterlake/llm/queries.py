@@ -124,7 +124,56 @@ def _quality_sql() -> str:
         from voted join scored using ({keys})"""
 
 
+def _license_sql() -> str:
+    """op5 in SQL: phrase places, votes of template word triples by diagonal, merged and verified spans."""
+    text = lambda x: "'" + x + "'"
+    grams = ", ".join(
+        f"({t}, {text(label)}, {i}, {len(w)}, {text(w[i])}, {text(w[i + 1])}, {text(w[i + 2])})" for t, (label, words) in enumerate(licenses.TEMPLATES) for w in [words.split(" ")] for i in range(len(w) - 2)
+    )
+    phrase = lambda words: " and ".join(f"{c} = {text(w)}" for c, w in zip("abc", words))
+    places = " union all ".join(f"select r, i, {text(label)} as label from placed where {phrase(words)}" for words, label in licenses.PHRASES)
+    k, drift = licenses.GRAM, licenses.DRIFT
+    return rf"""
+        with own as (
+            select row_number() over () as r, doc_id,
+                   list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as words
+            from documents
+        ), each as (
+            select r, unnest(words) as a, generate_subscripts(words, 1) - 1 as i from own
+        ), placed as materialized (
+            select *, lead(a, 1) over w as b, lead(a, 2) over w as c from each window w as (partition by r order by i)
+        ), base as (
+            select r, count(*) as n_base, min(i) as first_word, max(i) as last_word, list_sort(list(distinct label)) as labels from ({places}) group by r
+        ), grams as (
+            select * from (values {grams}) t(template, label, place, size, a, b, c)
+        ), votes as (
+            select r, template, label, size, i - place as diagonal, min(place) as low, max(place) as high, list(distinct place) as ats from placed join grams using (a, b, c) group by all
+        ), steps as (
+            select *, case when diagonal - lag(diagonal) over w > {drift} then 1 else 0 end as new from votes window w as (partition by r, template order by diagonal)
+        ), numbered as (
+            select *, sum(new) over (partition by r, template order by diagonal) as part from steps
+        ), merged as (
+            select r, template, label, size, list_distinct(flatten(list(ats))) as ats, min(diagonal + low) as first, max(diagonal + high + {k}) as finish, count(*) as merged from numbered group by r, template, label, size, part
+        ), spans as (
+            select r, label, size, first, finish - 1 as last, len(list_distinct(flatten(list_transform(ats, lambda x: range(x, x + {k}))))) / size as share
+            from merged where finish - first <= size + {drift} * merged
+        ), found as (
+            select * from spans where share >= {licenses.COVERAGE}
+        ), best as (
+            select * from found a where not exists (
+                select 1 from found b where a.r = b.r and a.first <= b.last and b.first <= a.last
+                and (b.share > a.share or b.share = a.share and (b.size > a.size or b.size = a.size and (b.label < a.label or b.label = a.label and b.first < a.first))))
+        ), more as (
+            select r, list(distinct label) as more, max(share) as share from best group by r
+        )
+        select doc_id, cast(len(words) as bigint) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(array_to_string(labels, ','), '') as base_labels,
+               coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(labels, []), coalesce(more, [])))), ','), '') as labels,
+               case when n_base > 0 then 1.0::double else coalesce(share, 0.0)::double end as score
+        from own left join base using (r) left join more using (r)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_license_scan": _license_sql(),
     "op10_quality_rules": _quality_sql(),
     "op4_exact_topk": """
         with v as (

@@ -506,6 +506,57 @@ def test_license_scan(spark):
     assert licenses.scan_licenses(docs(spark, [])).count() == 0
 
 
+def brute_licenses(text):
+    """(base labels, all labels, score) by plain loops over words, templates and diagonals."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    base = [(i, label) for phrase, label in licenses.PHRASES for i in range(len(words)) if tuple(words[i : i + len(phrase)]) == phrase]
+    spans = []
+    for label, template in licenses.TEMPLATES:
+        own = template.split(" ")
+        hits = [(i - j, j) for j in range(len(own) - 2) for i in range(len(words) - 2) if words[i : i + 3] == own[j : j + 3]]
+        groups = []
+        for d in sorted({d for d, _ in hits}):
+            if groups and d - groups[-1][-1] <= licenses.DRIFT:
+                groups[-1].append(d)
+            else:
+                groups.append([d])
+        for g in groups:
+            mine = [(d + j, j) for d, j in hits if d in g]
+            first, last = min(i for i, _ in mine), max(i for i, _ in mine) + 2
+            share = len({j + k for _, j in mine for k in range(3)}) / len(own)
+            if share >= licenses.COVERAGE and last + 1 - first <= len(own) + licenses.DRIFT * len(g):
+                spans.append((-share, -len(own), label, first, last))
+    best = [x for x in spans if not any(y[:4] < x[:4] and y[3] <= x[4] and x[3] <= y[4] for y in spans)]
+    labels = {label for _, label in base}
+    return ",".join(sorted(labels)), ",".join(sorted(labels | {x[2] for x in best})), 1.0 if base else max([-x[0] for x in best], default=0.0)
+
+
+def test_license_scan_equals_brute_force(spark):
+    r = random.Random(4)
+    texts = []
+    for _ in range(150):
+        words = []
+        for _ in range(r.randint(1, 4)):
+            words += [r.choice(WORDS) for _ in range(r.randint(0, 12))]
+            notice = r.choice(licenses.TEMPLATES)[1].split(" ")
+            for _ in range(r.choice([0, 0, 1, 2, 6])):
+                at = r.randrange(len(notice))
+                notice[at : at + r.randint(0, 2)] = r.choices(WORDS, k=r.randint(0, 2))
+            words += notice
+        texts.append(" ".join(w.upper() if r.random() < 0.1 else w + r.choice(["", ",", "."]) for w in words))
+    got = {x.doc_id: (x.base_labels, x.labels, x.score) for x in licenses.scan_licenses(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        want = brute_licenses(t)
+        assert got[i][:2] == want[:2] and got[i][2] == pytest.approx(want[2])
+    assert sum(g[0] != g[1] for g in got.values()) > 30
+
+
+def test_only_spans_that_a_better_one_overlaps_go(spark):
+    rows = [(1, 1, "a", 10, 0.9, 0, 10), (1, 1, "b", 12, 0.95, 8, 20), (1, 1, "c", 10, 0.99, 18, 28), (1, 1, "d", 10, 0.9, 29, 300), (2, 1, "a", 10, 0.9, 0, 10), (3, 1, "a", 10, 0.95, 0, 10), (3, 1, "b", 10, 0.9, 8, 20), (3, 1, "c", 10, 0.93, 18, 28)]
+    spans = spark.createDataFrame(rows, "_id long, _hash long, label string, size int, share double, first int, last int")
+    assert sorted((x._id, x.label) for x in licenses.best_of_overlapping(spans).collect()) == [(1, "c"), (1, "d"), (2, "a"), (3, "a"), (3, "c")]
+
+
 def test_top_k_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "BUCKET_ROWS", 16)
     monkeypatch.setattr(topk, "QUERY_ROWS", 4)
