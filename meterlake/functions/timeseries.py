@@ -44,7 +44,23 @@ def count_over_time(rows: DataFrame, end, length: str, by: list[str]) -> DataFra
     return counted.where("value > 0")
 
 
-def increase(samples: DataFrame, end, length: str, extrapolate: bool = False) -> DataFrame:
+def _stretched(grown: DataFrame, begin: Column, end: Column) -> DataFrame:
+    """``value`` grown between ``first`` and ``last`` sample, stretched to the range from ``begin`` to ``end``."""
+    seconds = lambda a, b: (F.unix_micros(b) - F.unix_micros(a)) / 1e6
+    sampled = seconds(F.col("first"), F.col("last"))
+    mean = sampled / (F.col("n") - 1)
+    near = lambda gap: F.when(gap < mean * 1.1, gap).otherwise(mean / 2)
+    zero = F.when((F.col("value") > 0) & (F.col("begin") >= 0), sampled * (F.col("begin") / F.col("value")))
+    factor = (sampled + F.least(near(seconds(begin, F.col("first"))), zero) + near(seconds(F.col("last"), end))) / sampled
+    return grown.withColumn("value", F.when(sampled > 0, F.col("value") * factor).otherwise(F.col("value")))
+
+
+def _growth() -> list[Column]:
+    """What a series' growth in a range needs: its steps added up, number of samples, first and last time, first value."""
+    return [F.sum("step").alias("value"), F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.min_by("value", "ts").alias("begin")]
+
+
+def increase(samples: DataFrame, end, length: str, extrapolate: bool = True) -> DataFrame:
     """Growth of each counter series within a range, corrected for resets; series with fewer than two samples are absent.
 
     A value below its predecessor is a restart from zero. With ``extrapolate`` the growth between the first and the
@@ -56,20 +72,9 @@ def increase(samples: DataFrame, end, length: str, extrapolate: bool = False) ->
     order = Window.partitionBy(*series).orderBy("ts")
     before = F.lag("value").over(order)
     step = F.when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before)
-    grown = span(samples, end, length).withColumn("step", step).groupBy(*series).agg(
-        F.sum("step").alias("value"), F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.min_by("value", "ts").alias("begin")
-    )
-    grown = grown.where("n > 1")
+    grown = span(samples, end, length).withColumn("step", step).groupBy(*series).agg(*_growth()).where("n > 1")
     if extrapolate:
-        seconds = lambda a, b: (F.unix_micros(b) - F.unix_micros(a)) / 1e6
-        begin = at_time(end) - F.expr(f"interval {length}")
-        sampled = seconds(F.col("first"), F.col("last"))
-        mean = sampled / (F.col("n") - 1)
-        to_start, to_end = seconds(begin, F.col("first")), seconds(F.col("last"), at_time(end))
-        near = lambda gap: F.when(gap < mean * 1.1, gap).otherwise(mean / 2)
-        zero = F.when((F.col("value") > 0) & (F.col("begin") >= 0), sampled * (F.col("begin") / F.col("value")))
-        factor = (sampled + F.least(near(to_start), zero) + near(to_end)) / sampled
-        grown = grown.withColumn("value", F.when(sampled > 0, F.col("value") * factor).otherwise(F.col("value")))
+        grown = _stretched(grown, at_time(end) - F.expr(f"interval {length}"), at_time(end))
     return grown.select(*series, F.col("value").cast("double").alias("value"))
 
 
@@ -77,16 +82,16 @@ def seconds_of(length: str) -> Column:
     return (F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"interval {length}"))) / 1e6
 
 
-def rate(samples: DataFrame, end, length: str, extrapolate: bool = False) -> DataFrame:
+def rate(samples: DataFrame, end, length: str, extrapolate: bool = True) -> DataFrame:
     """Growth per second of the range."""
     return increase(samples, end, length, extrapolate).withColumn("value", F.col("value") / seconds_of(length))
 
 
-def increase_on_grid(samples: DataFrame, start, end, step: str) -> DataFrame:
+def increase_on_grid(samples: DataFrame, start, end, step: str, extrapolate: bool = True) -> DataFrame:
     """Growth of each series in each step (ts is the step's end), for ranges that equal the step.
 
     Every sample belongs to the one step that its time falls into, so nothing is joined or repeated: one window over
-    each series and step. A step with fewer than two samples of a series is absent.
+    each series and step. A step with fewer than two samples of a series is absent. ``extrapolate`` as for ``increase``.
     """
     series = _series(samples)
     rows = samples.where((F.col("ts") > at_time(start)) & (F.col("ts") <= at_time(end)))
@@ -96,7 +101,8 @@ def increase_on_grid(samples: DataFrame, start, end, step: str) -> DataFrame:
     rows = rows.withColumn("step_end", F.timestamp_micros(origin + (nth + 1) * width))
     before = F.lag("value").over(Window.partitionBy(*series, "step_end").orderBy("ts"))
     grown = rows.withColumn("step", F.when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before))
-    out = grown.groupBy(*series, "step_end").agg(F.sum("step").alias("value"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    out = grown.groupBy(*series, "step_end").agg(*_growth()).where("n > 1")
+    out = _stretched(out, F.timestamp_micros(F.unix_micros("step_end") - width), F.col("step_end")) if extrapolate else out
     return out.select(*series, F.col("step_end").alias("ts"), F.col("value").cast("double").alias("value"))
 
 

@@ -97,7 +97,7 @@ def chosen(samples: DataFrame, p: Panel, model: str | None = None, fixtures: str
     return without_fixtures(select_series(samples, p.metric, p.eq, p.ne, p.re | pattern), fixtures)
 
 
-def panel(name: str, samples: DataFrame, end, length: str, start=None, step: str | None = None, lookback: str = ts.LOOKBACK, model: str | None = None, extrapolate: bool = False) -> DataFrame:
+def panel(name: str, samples: DataFrame, end, length: str, start=None, step: str | None = None, lookback: str = ts.LOOKBACK, model: str | None = None, extrapolate: bool = True) -> DataFrame:
     """Result of a panel: its ``by`` labels and value. ``length`` is the range; grids also take ``start`` and ``step``."""
     p = PANELS[name]
     rows = chosen(samples, p, model)
@@ -110,7 +110,7 @@ def panel(name: str, samples: DataFrame, end, length: str, start=None, step: str
     elif p.shape in ("rate", "p95"):
         current, function = ts.rate(rows, end, length, extrapolate), F.sum
     else:
-        grid = ts.increase_on_grid(rows, start, end, step)
+        grid = ts.increase_on_grid(rows, start, end, step, extrapolate)
         current, function, by = grid, F.sum, [*by, "ts"]
     if p.shape == "p95":
         return ts.histogram_quantile(0.95, V.sum_by(current, [*by, "le"]), by)
@@ -124,8 +124,8 @@ def panel(name: str, samples: DataFrame, end, length: str, start=None, step: str
 
 def priced_coverage(usage: DataFrame, rates: DataFrame) -> DataFrame:
     """Share of tokens whose provider, model and class have a price."""
-    keys = rates.select("ai_agent_provider", "model_id", "usage_class", F.lit(True).alias("_priced"))
-    marked = usage.join(F.broadcast(keys), ["ai_agent_provider", "model_id", "usage_class"], "left")  # a rate card, a constant table
+    keys = rates.select("ai_agent_provider", "model_id", "usage_class").distinct().withColumn("_priced", F.lit(True))  # once, whatever versions the card has
+    marked = usage.join(keys, ["ai_agent_provider", "model_id", "usage_class"], "left")
     return V.ratio(marked, F.col("_priced"))
 
 

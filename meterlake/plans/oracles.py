@@ -67,18 +67,18 @@ _CARRY = "currency, rate_card_version, rate_card_source, pricing_scope"
 ALL = f"{NAMES}, {_MORE}, usage_class, accounting_schema"
 
 ORACLE |= {
-    "priced_usage_by_model_and_class": f"{USAGE} select model_id, usage_class, rate_card_version, round(sum(value * (price / 1000000)), 9) as value from usage join {USD} {_RATE} where {NOT_FIXTURE} group by all",
+    "priced_usage_by_model_and_class": f"{USAGE} select model_id, usage_class, rate_card_version, round(sum(value * (price / 1000000)), 6) as value from usage join {USD} {_RATE} where {NOT_FIXTURE} group by all",
     "rr01_price_card": f"select {_CARRY}, ai_agent_provider, model_id, usage_class, price as value from {card(A.USD_PER_MILLION, 'USD')}",
     "rr02_credit_card": f"select {_CARRY}, ai_agent_provider, model_id, usage_class, price as value from {card(A.CREDITS_PER_MILLION, 'credit')}",
     "rr03_rr06_token_usage": f"{USAGE} select {ALL}, value from usage",
-    "rr07_estimated_cost": f"{USAGE} select {ALL}, {_CARRY}, round(value * (price / 1000000), 9) as value, 'estimated_api_list_price' as cost_source from usage join {USD} {_RATE}",
-    "rr08_estimated_credits": f"{USAGE}, {_OWN} select {ALL}, {_CARRY}, round(value * (price / 1000000), 9) as value, 'estimated_public_codex_rate_card' as credit_source from own join {CREDIT} {_RATE}",
+    "rr07_estimated_cost": f"{USAGE} select {ALL}, {_CARRY}, round(value * (price / 1000000), 6) as value, 'estimated_api_list_price' as cost_source from usage join {USD} {_RATE}",
+    "rr08_estimated_credits": f"{USAGE}, {_OWN} select {ALL}, {_CARRY}, round(value * (price / 1000000), 6) as value, 'estimated_public_codex_rate_card' as credit_source from own join {CREDIT} {_RATE}",
     "rr09_unpriced_usage": f"{USAGE} select {ALL}, value, 'api_usd' as estimate_scope from usage anti join {USD} {_RATE}",
     "rr10_unpriced_credit_usage": f"{USAGE}, {_OWN} select {ALL}, value, 'codex_credits' as estimate_scope from own anti join {CREDIT} {_RATE}",
-    "cu03_priced_coverage": f"{USAGE} select round(sum(value) filter (where price is not null) / sum(value), 9) as value from usage left join {USD} {_RATE} where {PX} and {NOT_FIXTURE}",
-    "cu04_cache_ratio": f"{USAGE} select round(sum(value) filter (where usage_class = 'input_cached') / sum(value), 9) as value from usage where {PX} and {NOT_FIXTURE} and usage_class like 'input_%'",
-    "un05_priced_coverage": f"{USAGE} select round(sum(value) filter (where price is not null) / sum(value), 9) as value from usage left join {USD} {_RATE} where {NOT_FIXTURE}",
-    "un06_cache_ratio": f"{USAGE} select round(sum(value) filter (where usage_class = 'input_cached') / sum(value), 9) as value from usage where {NOT_FIXTURE} and usage_class like 'input_%'",
+    "cu03_priced_coverage": f"{USAGE} select round(sum(value) filter (where price is not null) / sum(value), 6) as value from usage left join {USD} {_RATE} where {PX} and {NOT_FIXTURE}",
+    "cu04_cache_ratio": f"{USAGE} select round(sum(value) filter (where usage_class = 'input_cached') / sum(value), 6) as value from usage where {PX} and {NOT_FIXTURE} and usage_class like 'input_%'",
+    "un05_priced_coverage": f"{USAGE} select round(sum(value) filter (where price is not null) / sum(value), 6) as value from usage left join {USD} {_RATE} where {NOT_FIXTURE}",
+    "un06_cache_ratio": f"{USAGE} select round(sum(value) filter (where usage_class = 'input_cached') / sum(value), 6) as value from usage where {NOT_FIXTURE} and usage_class like 'input_%'",
     "cu08_prices": f"select model_id, usage_class, {_CARRY}, price as value from {USD}",
     "ar12_unpriced_api": f"{USAGE} select model_id, usage_class, sum(value) as value from usage anti join {USD} {_RATE} where {PX} and {AR} and {NOT_FIXTURE} group by all",
     "ar13_unpriced_credits": f"{USAGE}, {_OWN} select model_id, usage_class, sum(value) as value from own anti join {CREDIT} {_RATE} where {AR} and {NOT_FIXTURE} group by all",
@@ -94,24 +94,40 @@ daily as (
     from daily window w as (partition by {NAMES}, usage_class order by ts)
 )"""
 _ORDERS_IN = f"ts > timestamp '{W.ORDERS_END}' - interval '{W.ORDERS_RANGE}' and ts <= timestamp '{W.ORDERS_END}'"
+_ORDERS, _EVENTS = (W.ORDERS_END, W.ORDERS_RANGE), (W.EVENTS_END, W.EVENTS_RANGE)
 _EVENTS_IN = f"ts > timestamp '{W.EVENTS_END}' - interval '{W.EVENTS_RANGE}' and ts <= timestamp '{W.EVENTS_END}'"
 
 
-def grown(source: str, series: str, inside: str, value: str = "value", name: str = "grown") -> str:
-    """CTE of the growth of each series of ``source`` within a range, corrected for restarts."""
+def stretched(value: str, begin: str, end: str) -> str:
+    """``value`` that grew between the samples ``first`` and ``last`` of ``n``, stretched to the range from ``begin`` to ``end``."""
+    seconds = lambda a, b: f"((epoch_us({b}) - epoch_us({a})) / 1e6)"
+    sampled = seconds("first", "last")
+    near = lambda gap: f"case when {gap} < {sampled} / (n - 1) * 1.1 then {gap} else {sampled} / (n - 1) / 2 end"
+    zero = f"case when {value} > 0 and begin >= 0 then {sampled} * (begin / {value}) end"
+    return f"case when {sampled} > 0 then {value} * (({sampled} + least({near(seconds(begin, 'first'))}, {zero}) + {near(seconds('last', end))}) / {sampled}) else {value} end"
+
+
+_GROWTH = "cast(sum(case when v < before then v else v - before end) as double) as grew, count(*) as n, min(ts) as first, max(ts) as last, min_by(v, ts) as begin"
+
+
+def grown(source: str, series: str, span: tuple[str, str], value: str = "value", name: str = "grown") -> str:
+    """CTE of the growth of each series of ``source`` within (end - length, end], corrected for restarts and stretched."""
+    end, length = f"timestamp '{span[0]}'", f"interval '{span[1]}'"
     by = f"partition by {series} order by ts" if series else "order by ts"
     group = f"group by {series}" if series else ""
     head = f"{series}, " if series else ""
     return f"""
 {name}_steps as (
-    select {head}{value} as v, lag({value}) over ({by}) as before from {source} where {inside}
+    select {head}ts, {value} as v, lag({value}) over ({by}) as before from {source} where ts > {end} - {length} and ts <= {end}
+), {name}_ranges as (
+    select {head}{_GROWTH} from {name}_steps {group} having count(*) > 1
 ), {name} as (
-    select {head}cast(sum(case when v < before then v else v - before end) as double) as value from {name}_steps {group} having count(*) > 1
+    select {head}{stretched('grew', f'({end} - {length})', end)} as value from {name}_ranges
 )"""
 
 
 _SERIES = f"{NAMES}, usage_class"
-_GROWN = f"with {RECORDED}, {grown('recorded', _SERIES, _ORDERS_IN)}"
+_GROWN = f"with {RECORDED}, {grown('recorded', _SERIES, _ORDERS)}"
 _COST = f"priced as (select {_SERIES}, rate_card_version, ts, value * (price / 1000000) as value from recorded join {USD} {_RATE})"
 _CREDITS = f"priced as (select {_SERIES}, rate_card_version, ts, value * (price / 1000000) as value from recorded join {CREDIT} {_RATE} where {PX})"
 _PRICED = f"{_SERIES}, rate_card_version"
@@ -125,25 +141,25 @@ def some(select: str) -> str:
 
 
 ORACLE |= {
-    "cu01_usage": f"with {RECORDED}, last as (select {_SERIES}, max_by(value, ts) as value from recorded where ts > timestamp '{W.ORDERS_END}' - interval '3650 days' and ts <= timestamp '{W.ORDERS_END}' group by all) {some(f'select round(sum(value), 9) as value from last where {PX} and {NOT_FIXTURE}')}",
-    "ar03_usage": f"{_GROWN} {some(f'select round(sum(value), 9) as value from grown where {PX} and {AR} and {NOT_FIXTURE}')}",
-    "ar10_usage": f"{_GROWN} select model_id, usage_class, round(sum(value), 9) as value from grown where {PX} and {AR} and {NOT_FIXTURE} group by all",
-    "un02_usage": f"{_GROWN} {some(f'select round(sum(value), 9) as value from grown where {NOT_FIXTURE}')}",
-    "cu02_cost": f"with {RECORDED}, {_COST}, {grown('priced', _PRICED, _ORDERS_IN)} {some(f'select round(sum(value), 9) as value from grown where {PX} and {NOT_FIXTURE}')}",
-    "cu06_cost": f"with {RECORDED}, {_COST}, {grown('priced', _PRICED, _ORDERS_IN)} select model_id, usage_class, rate_card_version, round(sum(value), 9) as value from grown where {PX} and {NOT_FIXTURE} group by all",
-    "ar05_cost": f"with {RECORDED}, {_COST}, {grown('priced', _PRICED, _ORDERS_IN)} {some(f'select round(sum(value), 9) as value from grown where {PX} and {AR} and {NOT_FIXTURE}')}",
-    "un03_cost": f"with {RECORDED}, {_COST}, {grown('priced', _PRICED, _ORDERS_IN)} {some(f'select round(sum(value), 9) as value from grown where {NOT_FIXTURE}')}",
-    "ar06_credits": f"with {RECORDED}, {_CREDITS}, {grown('priced', _PRICED, _ORDERS_IN)} {some(f'select round(sum(value), 9) as value from grown where {AR} and {NOT_FIXTURE}')}",
-    "un07_credits": f"with {RECORDED}, {_CREDITS}, {grown('priced', _PRICED, _ORDERS_IN)} {some(f'select round(sum(value), 9) as value from grown where {NOT_FIXTURE}')}",
-    "ar02_reviews": f"with {RECORDED}, {_TURNS}, {grown('turns', _SERIES, _ORDERS_IN)} {some(f'select cast(floor(sum(value) + 0.5) as double) as value from grown where {PX} and {AR} and {NOT_FIXTURE}')}",
-    "un04_reviews": f"with {RECORDED}, {_ALL_TURNS}, {grown('turns', _SERIES, _ORDERS_IN)} {some(f'select cast(floor(sum(value) + 0.5) as double) as value from grown where {NOT_FIXTURE}')}",
+    "cu01_usage": f"with {RECORDED}, last as (select {_SERIES}, max_by(value, ts) as value from recorded where ts > timestamp '{W.ORDERS_END}' - interval '3650 days' and ts <= timestamp '{W.ORDERS_END}' group by all) {some(f'select round(sum(value), 6) as value from last where {PX} and {NOT_FIXTURE}')}",
+    "ar03_usage": f"{_GROWN} {some(f'select round(sum(value), 6) as value from grown where {PX} and {AR} and {NOT_FIXTURE}')}",
+    "ar10_usage": f"{_GROWN} select model_id, usage_class, round(sum(value), 6) as value from grown where {PX} and {AR} and {NOT_FIXTURE} group by all",
+    "un02_usage": f"{_GROWN} {some(f'select round(sum(value), 6) as value from grown where {NOT_FIXTURE}')}",
+    "cu02_cost": f"with {RECORDED}, {_COST}, {grown('priced', _PRICED, _ORDERS)} {some(f'select round(sum(value), 6) as value from grown where {PX} and {NOT_FIXTURE}')}",
+    "cu06_cost": f"with {RECORDED}, {_COST}, {grown('priced', _PRICED, _ORDERS)} select model_id, usage_class, rate_card_version, round(sum(value), 6) as value from grown where {PX} and {NOT_FIXTURE} group by all",
+    "ar05_cost": f"with {RECORDED}, {_COST}, {grown('priced', _PRICED, _ORDERS)} {some(f'select round(sum(value), 6) as value from grown where {PX} and {AR} and {NOT_FIXTURE}')}",
+    "un03_cost": f"with {RECORDED}, {_COST}, {grown('priced', _PRICED, _ORDERS)} {some(f'select round(sum(value), 6) as value from grown where {NOT_FIXTURE}')}",
+    "ar06_credits": f"with {RECORDED}, {_CREDITS}, {grown('priced', _PRICED, _ORDERS)} {some(f'select round(sum(value), 6) as value from grown where {AR} and {NOT_FIXTURE}')}",
+    "un07_credits": f"with {RECORDED}, {_CREDITS}, {grown('priced', _PRICED, _ORDERS)} {some(f'select round(sum(value), 6) as value from grown where {NOT_FIXTURE}')}",
+    "ar02_reviews": f"with {RECORDED}, {_TURNS}, {grown('turns', _SERIES, _ORDERS)} {some(f'select cast(floor(sum(value) + 0.5) as double) as value from grown where {PX} and {AR} and {NOT_FIXTURE}')}",
+    "un04_reviews": f"with {RECORDED}, {_ALL_TURNS}, {grown('turns', _SERIES, _ORDERS)} {some(f'select cast(floor(sum(value) + 0.5) as double) as value from grown where {NOT_FIXTURE}')}",
     "cu07_unpriced_last": f"with {RECORDED}, last as (select {_SERIES}, max_by(value, ts) as value from recorded where {_ORDERS_IN} and {PX} and {NOT_FIXTURE} group by {_SERIES}) select model_id, usage_class, sum(value) as value from last anti join {USD} {_RATE} group by all",
     "ar01_freshness": f"with {RECORDED} {some(f'''select cast(epoch(timestamp '2001-08-02 00:00:00' - max(ts)) as double) as value from recorded where usage_class = 'output' and {PX} and {AR} and {NOT_FIXTURE}''')}",
     "un01_freshness": f"with {RECORDED} {some(f'''select cast(epoch(timestamp '2001-08-02 00:00:00' - max(ts)) as double) as value from recorded where {NOT_FIXTURE}''')}",
-    "ar04_reviewer_share": f"{_GROWN} select round(sum(value) filter (where {AR}) / greatest(sum(value), 1), 9) as value from grown where {PX} and {NOT_FIXTURE}",
-    "ar07_tokens_per_review": f"with {RECORDED}, {_TURNS}, {grown('recorded', _SERIES, _ORDERS_IN)}, {grown('turns', _SERIES, _ORDERS_IN, name='reviewed')} select round((select sum(value) from grown where {PX} and {AR} and {NOT_FIXTURE}) / greatest((select floor(sum(value) + 0.5) from reviewed where {PX} and {AR} and {NOT_FIXTURE}), 1), 9) as value",
-    "ar08_reviewer_cached_ratio": f"{_GROWN} select round(sum(value) filter (where usage_class = 'input_cached') / greatest(sum(value), 1), 9) as value from grown where {PX} and {AR} and {NOT_FIXTURE}",
-    "ar09_exact_model_coverage": f"{_GROWN} select round(sum(value) filter (where model_id <> 'unmapped') / greatest(sum(value), 1), 9) as value from grown where {PX} and {AR} and {NOT_FIXTURE}",
+    "ar04_reviewer_share": f"{_GROWN} select round(sum(value) filter (where {AR}) / greatest(sum(value), 1), 6) as value from grown where {PX} and {NOT_FIXTURE}",
+    "ar07_tokens_per_review": f"with {RECORDED}, {_TURNS}, {grown('recorded', _SERIES, _ORDERS)}, {grown('turns', _SERIES, _ORDERS, name='reviewed')} select round((select sum(value) from grown where {PX} and {AR} and {NOT_FIXTURE}) / greatest((select floor(sum(value) + 0.5) from reviewed where {PX} and {AR} and {NOT_FIXTURE}), 1), 6) as value",
+    "ar08_reviewer_cached_ratio": f"{_GROWN} select round(sum(value) filter (where usage_class = 'input_cached') / greatest(sum(value), 1), 6) as value from grown where {PX} and {AR} and {NOT_FIXTURE}",
+    "ar09_exact_model_coverage": f"{_GROWN} select round(sum(value) filter (where model_id <> 'unmapped') / greatest(sum(value), 1), 6) as value from grown where {PX} and {AR} and {NOT_FIXTURE}",
     "cu19_model_values": f"with {RECORDED} select distinct model_id as value from recorded",
     "src12_series": f"with {RECORDED} select distinct {_SERIES} from recorded",
     "trx08_running_total": f"with {RECORDED} select model_id, usage_class, max(value) as value, count(*) as samples from recorded group by all",
@@ -158,14 +174,16 @@ cells as (
     select {s}value, ts, timestamp '{start}' + interval '{step}' * (cast((epoch_us(ts) - epoch_us(timestamp '{start}') - 1) // cast(epoch(interval '{step}') * 1000000 as bigint) as bigint) + 1) as step_end
     from {source} where ts > timestamp '{start}' and ts <= timestamp '{end}'
 ), cell_steps as (
-    select {s}step_end, value as v, lag(value) over (partition by {s}step_end order by ts) as before from cells
+    select {s}step_end, ts, value as v, lag(value) over (partition by {s}step_end order by ts) as before from cells
+), cell_ranges as (
+    select {s}step_end, {_GROWTH} from cell_steps group by {s}step_end having count(*) > 1
 ), grid as (
-    select {s}step_end as ts, cast(sum(case when v < before then v else v - before end) as double) as value from cell_steps group by {s}step_end having count(*) > 1
+    select {s}step_end as ts, {stretched('grew', f"(step_end - interval '{step}')", 'step_end')} as value from cell_ranges
 )"""
 
 
 ORACLE["ar11_token_rate_grid"] = (
-    f"with {RECORDED}, {grid('recorded', _SERIES, W.ORDERS_START, W.ORDERS_END, '73 days')} select usage_class, ts, round(sum(value) / epoch(interval '73 days'), 9) as value from grid where {PX} and {AR} and {NOT_FIXTURE} group by all"
+    f"with {RECORDED}, {grid('recorded', _SERIES, W.ORDERS_START, W.ORDERS_END, '73 days')} select usage_class, ts, round(sum(value) / epoch(interval '73 days'), 6) as value from grid where {PX} and {AR} and {NOT_FIXTURE} group by all"
 )
 
 
@@ -180,7 +198,7 @@ def counter(labels: dict[str, str], inc: str = "1", where: str = "true", name: s
 
 def int_inc(inc: str) -> str:
     """Spark truncates a double that becomes a whole number; DuckDB rounds it."""
-    return "1" if inc == "1" else f"trunc({inc})"
+    return f"trunc({inc})" if "value" in inc else inc
 
 
 for _name, (_labels, _inc, _where) in Q.COUNTERS.items():
@@ -190,8 +208,8 @@ for _name, (_labels, _inc, _where) in Q.COUNTERS.items():
     where = f" where {' and '.join(conditions)}" if conditions else ""
     scale = f" / epoch(interval '{W.EVENTS_RANGE}')" if p.shape == "rate" else ""
     head = ", ".join(p.by)
-    body = f"select {head}, round(sum(value){scale}, 9) as value from grown{where} group by all" if p.by else some(f"select round(sum(value){scale}, 9) as value from grown{where}")
-    ORACLE[f"{_name}_{p.shape}"] = f"with {counter(_labels, int_inc(_inc), _where)}, {grown('samples', ', '.join(_labels), _EVENTS_IN)} {body}"
+    body = f"select {head}, round(sum(value){scale}, 6) as value from grown{where} group by all" if p.by else some(f"select round(sum(value){scale}, 6) as value from grown{where}")
+    ORACLE[f"{_name}_{p.shape}"] = f"with {counter(_labels, int_inc(_inc), _where)}, {grown('samples', ', '.join(_labels), _EVENTS)} {body}"
 
 _BY_TYPE = f"with {counter(Q.BY_TYPE, int_inc('value'))}"
 _HIST_LABELS = "model"
@@ -202,7 +220,7 @@ bucket_samples as (
     from (select event_type as model, event_id, ts, le, case when value <= bound then 1 else 0 end as hit from events, (values {_LES}) b(le, bound))
 )"""
 _P95 = f"""
-with {_BUCKETS}, {grown('bucket_samples', 'model, le', _EVENTS_IN)}, cum as (
+with {_BUCKETS}, {grown('bucket_samples', 'model, le', _EVENTS)}, cum as (
     select model, case when le = '+Inf' then 'infinity'::double else cast(le as double) end as bound, sum(value) / epoch(interval '{W.EVENTS_RANGE}') as total from grown group by all
 ), ranked as (
     select *, 0.95 * max(total) over (partition by model) as rank, coalesce(lag(total) over (partition by model order by bound), 0) as below,
@@ -211,7 +229,7 @@ with {_BUCKETS}, {grown('bucket_samples', 'model, le', _EVENTS_IN)}, cum as (
     select model, arg_min(bound, bound) as bound, arg_min(total, bound) as total, arg_min(below, bound) as below, arg_min(low, bound) as low, arg_min(rank, bound) as rank
     from ranked where total >= rank group by model
 )
-select model, round(case when isinf(bound) then low else low + (bound - low) * ((rank - below) / (total - below)) end, 9) as value from hit"""
+select model, round(case when isinf(bound) then low else low + (bound - low) * ((rank - below) / (total - below)) end, 6) as value from hit"""
 for _name in ("cu09", "cu10", "cu14", "cu15"):
     ORACLE[f"{_name}_p95"] = _P95
 
@@ -222,25 +240,25 @@ for _name, (_labels, _value) in Q.GAUGES.items():
     conditions = [f"regexp_full_match({k}, {q(v)})" for k, v in p.re.items()]
     where = f" where {' and '.join(conditions)}" if conditions else ""
     last = f"last as (select {', '.join(_labels)}, max_by(value, ts) as value from rows where ts > timestamp '{W.EVENTS_END}' - interval '{Q.GAUGE_LOOKBACK}' and ts <= timestamp '{W.EVENTS_END}' group by {', '.join(_labels)})"
-    body = f"select {by}, round({fold}(value) * {p.scale}, 9) as value from last{where} group by all" if p.by else some(f"select round({fold}(value) * {p.scale}, 9) as value from last{where}")
+    body = f"select {by}, round({fold}(value) * {p.scale}, 6) as value from last{where} group by all" if p.by else some(f"select round({fold}(value) * {p.scale}, 6) as value from last{where}")
     ORACLE[f"{_name}_gauge"] = f"with rows as (select {exprs(_labels)}, ts, cast({_value} as double) as value from events), {last} {body}"
 
-_FAILED_CTES = ", ".join(f"{counter({'exporter': 'event_type'}, '1', w, f's{n}')}, {grown(f's{n}', 'exporter', _EVENTS_IN, name=f'g{n}')}" for n, w in enumerate(Q.FAILED.values()))
+_FAILED_CTES = ", ".join(f"{counter({'exporter': 'event_type'}, '1', w, f's{n}')}, {grown(f's{n}', 'exporter', _EVENTS, name=f'g{n}')}" for n, w in enumerate(Q.FAILED.values()))
 ORACLE |= {
-    "ca06_compaction_grid": f"with {counter(Q.COMPACTION)}, {grid('samples', 'ai_agent_product', W.EVENTS_START, W.EVENTS_END, '1 day')} select ai_agent_product, ts, round(value, 9) as value from grid",
-    "ch05_failed_sends": f"with {_FAILED_CTES}, picked as (select * from g0 union all select * from g1 where exporter not in (select exporter from g0)), every as (select * from picked union all select * from g2 where exporter not in (select exporter from picked)) select exporter, round(value / epoch(interval '{W.EVENTS_RANGE}'), 9) as value from every",
-    "tsf01_increase": f"{_BY_TYPE}, {grown('samples', 'event_type', _EVENTS_IN)} select event_type, round(value, 9) as value from grown",
-    "tsf02_rate": f"{_BY_TYPE}, {grown('samples', 'event_type', _EVENTS_IN)} select event_type, round(value / epoch(interval '{W.EVENTS_RANGE}'), 9) as value from grown",
+    "ca06_compaction_grid": f"with {counter(Q.COMPACTION)}, {grid('samples', 'ai_agent_product', W.EVENTS_START, W.EVENTS_END, '1 day')} select ai_agent_product, ts, round(value, 6) as value from grid",
+    "ch05_failed_sends": f"with {_FAILED_CTES}, picked as (select * from g0 union all select * from g1 where exporter not in (select exporter from g0)), every as (select * from picked union all select * from g2 where exporter not in (select exporter from picked)) select exporter, round(value / epoch(interval '{W.EVENTS_RANGE}'), 6) as value from every",
+    "tsf01_increase": f"{_BY_TYPE}, {grown('samples', 'event_type', _EVENTS)} select event_type, round(value, 6) as value from grown",
+    "tsf02_rate": f"{_BY_TYPE}, {grown('samples', 'event_type', _EVENTS)} select event_type, round(value / epoch(interval '{W.EVENTS_RANGE}'), 6) as value from grown",
     "agg09_last_over_time": f"{_BY_TYPE} select event_type, max_by(value, ts) as value from samples where {_EVENTS_IN} group by all",
     "agg10_max_over_time": f"{_BY_TYPE} select event_type, max(value) as value from samples where {_EVENTS_IN} group by all",
     "src10_instant": f"{_BY_TYPE} select event_type, max_by(value, ts) as value from samples where ts > timestamp '{W.EVENTS_END}' - interval '6 hours' and ts <= timestamp '{W.EVENTS_END}' group by all",
-    "tsf02_increase_grid": f"{_BY_TYPE}, {grid('samples', 'event_type', W.EVENTS_START, W.EVENTS_END, '12 hours')} select event_type, ts, round(value, 9) as value from grid",
+    "tsf02_increase_grid": f"{_BY_TYPE}, {grid('samples', 'event_type', W.EVENTS_START, W.EVENTS_END, '12 hours')} select event_type, ts, round(value, 6) as value from grid",
     "tsf11_not_expired": f"select cast(user_id as varchar) as \"user\", count(*) as n from events where ts <= timestamp '{W.EVENTS_END}' group by 1 having max(ts) >= timestamp '{W.EVENTS_END}' - interval '6 hours'",
     "trx07_histogram_buckets": f"with {_BUCKETS} select model, le, max(value) as value from bucket_samples group by all",
 }
 
 _SIDE = "select case when c_nationkey % 5 <> 0 then cast(c_nationkey as varchar) end as nation, c_mktsegment as segment, cast(count(*) as double) as value from customer where {w} group by all"
-_SIDES = f"with l as ({_SIDE.format(w='c_custkey % 3 <> 0')}), r as ({_SIDE.format(w='c_custkey % 4 = 0')})"
+_SIDES = f"""with l as ({_SIDE.format(w='c_acctbal >= 0')}), r as ({_SIDE.format(w="c_mktsegment <> 'BUILDING' or c_acctbal < -500")})"""
 _SAME = "coalesce(l.nation, '') = coalesce(r.nation, '') and l.segment = r.segment"
 ORACLE |= {
     "set01_or": f"{_SIDES} select * from l union all select * from r where not exists (select 1 from l where {_SAME})",
@@ -289,7 +307,7 @@ ORACLE |= {
 _SPANS = """
 with lines as (
     select l_orderkey, l_linenumber, min(l_shipdate) as ship, min(l_returnflag) as flag, min(l_suppkey) as supp from lineitem group by all
-), spans as (
+), spans as materialized (
     select cast(o_orderkey as varchar) as trace_id, cast(o_orderkey as varchar) as span_id, cast(null as varchar) as parent_span_id, 'order ' || o_orderstatus as name,
            epoch_us(o_orderdate) * 1000 as start_ns, epoch_us(o_orderdate + interval '90 days') * 1000 as end_ns,
            case o_orderstatus when 'F' then 1 when 'P' then 2 else 0 end as status_code, cast(null as boolean) as success, o_orderpriority as service_name
@@ -299,7 +317,7 @@ with lines as (
            epoch_us(greatest(ship, o_orderdate)) * 1000, epoch_us(greatest(ship, o_orderdate) + interval '1 day' * (supp % 9 + 1)) * 1000,
            case when flag = 'R' then 2 else 0 end, supp % 4 <> 0, o_orderpriority
     from lines join orders on l_orderkey = o_orderkey
-), kids as (
+), kids as materialized (
     select s.*, r.start_ns as root_start, r.end_ns as root_end from spans s join spans r on s.trace_id = r.trace_id and s.parent_span_id = r.span_id and r.parent_span_id is null
 )"""
 ORACLE |= {
@@ -355,7 +373,7 @@ ORACLE |= {
     "chk13_duplicate_keys": "select l_orderkey, l_linenumber, count(*) as n from lineitem group by all having count(*) > 1",
     "agg17_cardinality": "select count(distinct p_brand) as found, 12 as expected from part having count(distinct p_brand) <> 12",
     "chk11_domains": "with v as (select doc_id, concat_ws(',', case when lang is not null and lang not in ('en', 'fr') then 'lang' end, case when source is not null and source not in ('src0', 'src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7', 'src8', 'src9') then 'source' end, case when lang is null then 'lang missing' end) as violations from documents) select * from v where violations <> ''",
-    "join13_annotation_diff": "with w as (select doc_id, cast(quality as double) as score from labels where doc_id % 7 <> 0), h as (select doc_id, case when doc_id % 11 = 0 then 0.5 else cast(quality as double) end as score from labels where doc_id % 5 <> 0) select coalesce(w.doc_id, h.doc_id) as doc_id, case when h.doc_id is null then 'missing' when w.doc_id is null then 'not_assigned' else 'drifted' end as state from w full join h on w.doc_id = h.doc_id where h.doc_id is null or w.doc_id is null or w.score <> h.score",
+    "join13_annotation_diff": "with w as (select doc_id, cast(quality as double) as score from labels where quality = 1 or toxic = 0), h as (select doc_id, case when toxic = 1 then 0.5 else cast(quality as double) end as score from labels where quality = 1 or toxic = 1) select coalesce(w.doc_id, h.doc_id) as doc_id, case when h.doc_id is null then 'missing' when w.doc_id is null then 'not_assigned' else 'drifted' end as state from w full join h on w.doc_id = h.doc_id where h.doc_id is null or w.doc_id is null or w.score <> h.score",
     "chk16_repeats_within": "select event_id, user_id, event_type from (select *, lag(ts) over (partition by user_id, event_type order by ts) as previous from events) where ts - previous <= interval '1 hour'",
 }
 

@@ -30,8 +30,8 @@ def query(name: str):
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to nine places, so that the order of additions doesn't show; times as they stand in the session's zone."""
-    plain = {"double": lambda c: F.round(c, 9), "timestamp": lambda c: F.col(c).cast("timestamp_ntz")}
+    """Doubles to six places, so that the order of additions doesn't show; times as they stand in the session's zone."""
+    plain = {"double": lambda c: F.round(c, 6), "timestamp": lambda c: F.col(c).cast("timestamp_ntz")}
     return df.select(*(plain.get(t, F.col)(c).alias(c) for c, t in df.dtypes))
 
 
@@ -202,7 +202,7 @@ def cu19(spark, d):
 COUNTERS: dict[str, tuple[dict[str, str], str, str]] = {
     "cu05": ({"model": "concat('m', cast(user_id % 4 as varchar(9)))", "token_type": "event_type"}, "value", "true"),
     "cu11": ({"tool": "event_type", "success": "case when value > 20 then 'true' else 'false' end"}, "1", "true"),
-    "cu12": ({"status": "event_type"}, "1", "user_id % 2 = 0"),
+    "cu12": ({"status": "event_type"}, "case when user_id % 2 = 0 then 1 else 0 end", "true"),
     "cu13": ({"status": "event_type"}, "1", "event_type = 'error'"),
     "cu16": ({"type": "event_type", "manual": "case when user_id % 2 = 0 then 'true' else 'false' end"}, "1", "true"),
     "cu17": ({"source": "event_type", "service_namespace": "case when user_id % 5 = 0 then 'probe-fixture' end"}, "1", "true"),
@@ -341,9 +341,9 @@ def trx08(spark, d):
 def sides(spark, d) -> tuple[DataFrame, DataFrame]:
     """Two vectors by nation and segment that overlap in part."""
     c = W.table(spark, d, "customer")
-    left = c.where("c_custkey % 3 <> 0").groupBy("c_nationkey", "c_mktsegment")
-    right = c.where("c_custkey % 4 = 0").groupBy("c_nationkey", "c_mktsegment")
-    to = lambda g: g.agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.when(F.col("c_nationkey") % 5 != 0, F.col("c_nationkey").cast("string")).alias("nation"), F.col("c_mktsegment").alias("segment"), "value").groupBy("nation", "segment").agg(F.sum("value").alias("value"))
+    nation = F.when(F.col("c_nationkey") % 5 != 0, F.col("c_nationkey").cast("string"))
+    left, right = c.where("c_acctbal >= 0"), c.where("c_mktsegment <> 'BUILDING' or c_acctbal < -500")
+    to = lambda rows: rows.groupBy(nation.alias("nation"), F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).cast("double").alias("value"))
     return to(left), to(right)
 
 
@@ -639,8 +639,10 @@ def chk11(spark, d):
 
 @query("join13_annotation_diff")
 def join13(spark, d):
-    want = W.table(spark, d, "labels").where("doc_id % 7 <> 0").select("doc_id", F.col("quality").cast("string").alias("label"), F.col("quality").cast("double").alias("score"))
-    have = W.table(spark, d, "labels").where("doc_id % 5 <> 0").select("doc_id", F.col("quality").cast("string").alias("label"), F.when(F.col("doc_id") % 11 == 0, 0.5).otherwise(F.col("quality").cast("double")).alias("score"))
+    labels = W.table(spark, d, "labels")
+    score = F.when(F.col("toxic") == 1, 0.5).otherwise(F.col("quality").cast("double"))
+    want = labels.where("quality = 1 or toxic = 0").select("doc_id", F.col("quality").cast("string").alias("label"), F.col("quality").cast("double").alias("score"))
+    have = labels.where("quality = 1 or toxic = 1").select("doc_id", F.col("quality").cast("string").alias("label"), score.alias("score"))
     return checks.config_diff(want, have, ["doc_id"], ["label", "score"])
 
 

@@ -64,11 +64,11 @@ def test_increase_with_restart_and_extrapolation(spark):
     s = series(spark, [(0, 100), (60, 10), (120, 14), (180, 2)], a="x")
     end = T0 + timedelta(seconds=180)
     # left-open: the sample at 0 is outside a range of 180 seconds
-    assert ts.increase(s, end, "180 seconds").first().value == 4 + 2
-    assert ts.increase(s, end, "181 seconds").first().value == 10 + 4 + 2
+    assert ts.increase(s, end, "180 seconds", extrapolate=False).first().value == 4 + 2
+    assert ts.increase(s, end, "181 seconds", extrapolate=False).first().value == 10 + 4 + 2
     # 3 samples over 120 s in a range of 180 s: 60 s before the first are within 1.1 times the distance, and to zero it is 200 s
     assert ts.increase(s, end, "180 seconds", extrapolate=True).first().value == pytest.approx(6 * (120 + 60) / 120)
-    assert ts.rate(s, end, "180 seconds").first().value == pytest.approx(6 / 180)
+    assert ts.rate(s, end, "180 seconds", extrapolate=False).first().value == pytest.approx(6 / 180)
     assert ts.increase(s, T0, "10 seconds").count() == 0
 
 
@@ -82,7 +82,7 @@ def test_instant_and_grid(spark):
     s = series(spark, [(0, 1), (100, 2), (200, 5), (310, 9)], a="x")
     assert ts.instant(s, T0 + timedelta(seconds=320), "5 minutes").first().value == 9
     assert ts.instant(s, T0 + timedelta(seconds=700), "5 minutes").count() == 0
-    grid = {(r.ts - T0).total_seconds(): r.value for r in ts.increase_on_grid(s, T0, T0 + timedelta(seconds=600), "200 seconds").collect()}
+    grid = {(r.ts - T0).total_seconds(): r.value for r in ts.increase_on_grid(s, T0, T0 + timedelta(seconds=600), "200 seconds", extrapolate=False).collect()}
     assert grid == {200.0: 3.0}
     assert ts.freshness(s, T0 + timedelta(seconds=320)).first().value == 10
     assert ts.freshness(s.limit(0), T0).count() == 0
