@@ -10,6 +10,23 @@ from meterlake.sources.otlp import text_of
 DELTA = 1
 
 
+def running_sum(rows: DataFrame, by: list[str], order: list[str], value: str, bucket: Column, name: str) -> DataFrame:
+    """``rows`` with ``name``: the running sum of ``value`` by ``by`` in ``order``, whose values ascend with ``bucket``.
+
+    Totals by key and bucket come first, map-side combined; their prefix over the few buckets of a key is joined back, and
+    the sum inside a bucket is added. So a key with most of the rows is spread over its buckets.
+    """
+    cut = rows.withColumn("_bucket", bucket)
+    totals = cut.groupBy(*by, "_bucket").agg(F.sum(value).alias("_total"))
+    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*(F.col(k).alias(f"_k{n}") for n, k in enumerate(by)), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
+    same = F.col("_bucket") == F.col("_b")
+    for n, k in enumerate(by):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{n}"))
+    inside = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return cut.join(before, same).withColumn(name, F.col("_before") + F.sum(value).over(inside)).select(*rows.columns, name)
+
+
 def safe_name(name: Column) -> Column:
     """A metric or label name with underscores for what names may not hold; no suffix for type or unit."""
     clean = F.regexp_replace(name, r"[^a-zA-Z0-9_:]", "_")

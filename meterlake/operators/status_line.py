@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.functions import text as T
@@ -63,14 +63,24 @@ def emitted(rows: DataFrame, key: list[str], heartbeat_ns: int = HEARTBEAT_NS) -
     """Rows (key..., time_ns, fingerprint) that are sent on: the fingerprint differs from the one before, or the last
     row that was sent is at least the heartbeat ago.
 
-    The second rule depends on what was sent, so each run of equal fingerprints is folded in time order. A change
-    always sends, so runs are independent and only a run, cut out by windows, is held together, not a whole session.
+    The second rule depends on what was sent, so Spark sorts the rows of each key by time (rows of one time by
+    fingerprint) and a task goes through them once, batch by batch, keeping only what it saw and sent last.
     """
-    beat = max(1_000_000_000, heartbeat_ns)
-    order = Window.partitionBy(*key).orderBy("time_ns")
-    changed = ~F.col("fingerprint").eqNullSafe(F.lag("fingerprint").over(order))
-    runs = rows.withColumn("_run", F.sum(changed.cast("int")).over(order))
-    times = runs.groupBy(*key, "fingerprint", "_run").agg(F.sort_array(F.collect_list("time_ns")).alias("t"))
-    start = F.struct(F.get("t", F.lit(0)).alias("last"), F.array(F.get("t", F.lit(0))).alias("sent"))
-    fold = F.aggregate("t", start, lambda a, x: F.when(x - a["last"] >= beat, F.struct(x.alias("last"), F.array_append(a["sent"], x).alias("sent"))).otherwise(a), lambda a: a["sent"])
-    return times.select(*key, "fingerprint", F.explode(fold).alias("time_ns"))
+    beat, width = max(1_000_000_000, heartbeat_ns), len(key)
+
+    def send(batches):
+        now = before = last = None
+        for batch in batches:
+            chosen = []
+            for n, row in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+                own, time, mark = row[:width], row[width], row[width + 1]
+                if own != now or mark != before or time - last >= beat:
+                    chosen.append(n)
+                    last = time
+                now, before = own, mark
+            yield batch.take(chosen)
+
+    columns = [*key, "time_ns", "fingerprint"]
+    kinds = dict(rows.dtypes)
+    ordered = rows.select(*columns).repartition(*key).sortWithinPartitions(*columns)
+    return ordered.mapInArrow(send, ", ".join(f"`{c}` {kinds[c]}" for c in columns)).select(*key, "fingerprint", "time_ns")

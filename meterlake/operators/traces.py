@@ -28,9 +28,23 @@ def by_id(spans: DataFrame, trace_id: str) -> DataFrame:
     return spans.where(F.col("trace_id") == trace_id)
 
 
-def latest_traces(spans: DataFrame, service: str, limit: int = 50) -> DataFrame:
-    """The newest traces with a span of a matching service: (trace_id, root_name, start_ns, duration_ns)."""
+def evaluation_by_id(spans: DataFrame, trace_id: str, limit: int = 100) -> DataFrame:
+    """Spans of a trace in the table of the evaluation branch, at most ``limit``, by time."""
+    return by_id(spans, trace_id).orderBy("start_ns", "span_id").limit(limit)
+
+
+def within(spans: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
+    """Spans that begin in [start, end); the filter reaches a scan that has ``start_ns``."""
+    return spans.where((F.col("start_ns") >= start_ns) & (F.col("start_ns") < end_ns))
+
+
+def latest_traces(spans: DataFrame, service: str, limit: int = 50, start_ns: int | None = None, end_ns: int | None = None) -> DataFrame:
+    """The newest traces with a span of a matching service: (trace_id, root_name, start_ns, duration_ns).
+
+    With a range only spans that begin in it are read and count, as a trace search has it.
+    """
     root = F.col("parent_span_id").isNull()
+    spans = within(spans, start_ns, end_ns) if start_ns is not None else spans
     found = spans.groupBy("trace_id").agg(
         F.max(anchored(F.coalesce("service_name", F.lit("")), service).cast("int")).alias("_hit"), F.min_by(F.when(root, F.col("name")), F.when(root, F.col("start_ns"))).alias("root_name"),
         F.min("start_ns").alias("start_ns"), (F.max("end_ns") - F.min("start_ns")).alias("duration_ns"),

@@ -321,7 +321,8 @@ with lines as (
     select s.*, r.start_ns as root_start, r.end_ns as root_end from spans s join spans r on s.trace_id = r.trace_id and s.parent_span_id = r.span_id and r.parent_span_id is null
 )"""
 ORACLE |= {
-    "ac08_latest_traces": f"{_SPANS} select trace_id, max(name) filter (where parent_span_id is null) as root_name, min(start_ns) as start_ns, max(end_ns) - min(start_ns) as duration_ns from spans group by trace_id having bool_or(service_name in ('1-URGENT', '2-HIGH')) order by start_ns desc, trace_id limit 50",
+    "ac08_latest_traces": f"{_SPANS} select trace_id, max(name) filter (where parent_span_id is null) as root_name, min(start_ns) as start_ns, max(end_ns) - min(start_ns) as duration_ns from spans where start_ns >= {W.TRACES_START_NS} and start_ns < {W.TRACES_END_NS} group by trace_id having bool_or(service_name in ('1-URGENT', '2-HIGH')) order by start_ns desc, trace_id limit 50",
+    "src17_evaluation_spans_by_trace": f"{_SPANS} select span_id, name, start_ns from spans where trace_id = '32' and success is not null order by start_ns, span_id limit 100",
     "src15_trace_by_id": f"{_SPANS} select span_id, parent_span_id, name, start_ns, end_ns from spans where trace_id = '32'",
     "join10_parents": f"{_SPANS} select s.name, p.name as parent_name, count(*) as n from spans s left join spans p on s.trace_id = p.trace_id and s.parent_span_id = p.span_id group by all",
     "ta01_trace_table": f"{_SPANS} select trace_id, min(start_ns) as start_ns, max(name) filter (where parent_span_id is null) as root_name, max(end_ns - start_ns) filter (where parent_span_id is null) as duration_ns, max(status_code) filter (where parent_span_id is null) as status_code, count(*) as span_count from spans group by trace_id",
@@ -384,6 +385,19 @@ ORACLE |= {
     "set04_additive_copy": "with m as (select case event_id % 3 when 0 then 'codex.tool.call' when 1 then 'codex.mcp.call' else 'other.metric' end as metric from events) select metric, count(*) as n from (select metric from m union all select case metric when 'codex.tool.call' then 'ai_agent.tool.call' else 'ai_agent.mcp.call' end from m where metric <> 'other.metric') group by all",
     "trx05_safe_names": "select page_id, regexp_replace(url, '[^a-zA-Z0-9_:]', '_', 'g') as name from pages",
     "stm09_running_totals": "select event_type, cast(sum(cast(trunc(value * 100) as bigint)) as bigint) as total, count(*) as n from events group by all",
+    "stm07_rules_by_batch": f"""
+        with current as (
+            select {W.TOKEN_LABELS['agent_role']} as agent_role, case when l_returnflag = 'R' then 'gpt-5.6-sol' else 'other' end as model_id,
+                   sum(cast(l_quantity as bigint)) filter (where l_linenumber % 3 = 1) as input, sum(cast(l_quantity as bigint)) filter (where l_linenumber % 3 = 0) as cached,
+                   sum(cast(l_quantity as bigint)) filter (where l_linenumber % 3 = 2) as output
+            from lineitem join orders on l_orderkey = o_orderkey group by 1, 2
+        ), usage as (
+            select agent_role, model_id, 'input_uncached' as usage_class, greatest(0, input - coalesce(cached, 0)) as value from current where input is not null
+            union all select agent_role, model_id, 'input_cached', cached from current where cached is not null
+            union all select agent_role, model_id, 'output', output from current where output is not null
+        ), rates as (select * from {card(A.USD_PER_MILLION, 'USD')})
+        select 'ai_agent_estimated_cost_usd_total' as rule, agent_role, model_id, usage_class, round(value * (price / 1000000), 6) as value from usage join rates using (model_id, usage_class)
+        union all select 'ai_agent_unpriced_api_token_usage_total', agent_role, model_id, usage_class, cast(value as double) from usage anti join rates using (model_id, usage_class)""",
     "stm10_change_or_heartbeat": ORACLE["tsf10_change_or_heartbeat"],
     "stm02_turn_stream": f"{_STREAM_TURNS} select session_id, 'turn' as name, coalesce(begin, t - 1) as start_ns, greatest(t, coalesce(begin, t - 1) + 1) as end_ns from p where role = 'assistant'",
 }

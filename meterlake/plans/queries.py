@@ -15,6 +15,7 @@ from meterlake.operators import canonical, checks, contracts, logs as L, privacy
 from meterlake.operators.canonical import typed
 from meterlake.plans import catalog as C
 from meterlake.plans import views as W
+from meterlake.sources.scratch import scratch_path
 from meterlake.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -419,7 +420,12 @@ def ac07(spark, d):
 
 @query("ac08_latest_traces")
 def ac08(spark, d):
-    return traces.latest_traces(W.spans(spark, d), "1-URGENT|2-HIGH")
+    return traces.latest_traces(W.spans(spark, d), "1-URGENT|2-HIGH", start_ns=W.TRACES_START_NS, end_ns=W.TRACES_END_NS)
+
+
+@query("src17_evaluation_spans_by_trace")
+def src17(spark, d):
+    return traces.evaluation_by_id(W.spans(spark, d).where("success is not null"), "32").select("span_id", "name", "start_ns")
 
 
 def listing(**values) -> Query:
@@ -680,12 +686,35 @@ def trx05(spark, d):
 
 @query("stm09_running_totals")
 def stm09(spark, d):
-    """Streaming: event counters by keyed state, everything available in one run."""
+    """Streaming: event counters, batch by batch, everything available in one run."""
     rows = jobs.read_table_stream(spark, d, "events").select("event_type", (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("time_ns"), (F.col("value") * 100).cast("bigint").alias("value"))
-    totals = jobs.run_available(jobs.running_totals(rows, ["event_type"]))
+    folder = scratch_path(spark, "totals")
+    jobs.running_totals(rows, ["event_type"], folder).awaitTermination()
+    totals = spark.read.parquet(f"{folder}/out")
     return totals.groupBy("event_type").agg(F.max("value").cast("bigint").alias("total"), F.count(F.lit(1)).alias("n"))
 
 
+@query("stm07_rules_by_batch")
+def stm07(spark, d):
+    """Streaming: the accounting rules, evaluated after each batch of lines over all that has arrived."""
+    orders = W.table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_custkey")
+    lines = jobs.read_table_stream(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.col("l_quantity").cast("bigint").alias("tokens"))
+    kind = F.when(F.col("l_linenumber") % 3 == 0, "cached_input").when(F.col("l_linenumber") % 3 == 1, "input").otherwise("output")
+    joined = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"])
+    samples = joined.select(F.expr(W.TOKEN_LABELS["agent_role"]).alias("agent_role"), F.when(F.col("l_returnflag") == "R", "gpt-5.6-sol").otherwise("other").alias("model_id"), kind.alias("token_type"), "tokens")
+
+    def evaluate(sofar):
+        fixed = {"metric": "ai_agent_turn_token_usage_sum", "ai_agent_provider": "openai", "ai_agent_product": "codex", "model_family": "gpt", "evidence_class": "provider-reported", "service_namespace": "live"}
+        current = sofar.groupBy("agent_role", "model_id", "token_type").agg(F.sum("tokens").cast("double").alias("value")).withColumns({k: F.lit(v) for k, v in fixed.items()})
+        rules = A.recording_rules(current, A.rate_card(spark), A.rate_card(spark, A.CREDITS_PER_MILLION, unit="credit"))
+        return {name: rules[name] for name in ("ai_agent_estimated_cost_usd_total", "ai_agent_unpriced_api_token_usage_total")}
+
+    folder = scratch_path(spark, "rules")
+    jobs.recording_rules(samples, evaluate, folder).awaitTermination()
+    out = [jobs.newest_batch(spark, f"{folder}/rules/{name}").select(F.lit(name).alias("rule"), "agent_role", "model_id", "usage_class", "value") for name in ("ai_agent_estimated_cost_usd_total", "ai_agent_unpriced_api_token_usage_total")]
+    return rounded(out[0].union(out[1]))
+
+
 @query("stm10_change_or_heartbeat")
 def stm10(spark, d):
     """Streaming twin of the change-or-heartbeat rule."""

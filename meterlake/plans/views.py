@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterlake.operators import accounting as A
+from meterlake.operators.samples import running_sum
 
 #: Pinned evaluation times and ranges: of the event tables and of the order tables.
 EVENTS_START, EVENTS_END, EVENTS_RANGE = "2024-01-10 00:00:00", "2024-01-30 00:00:00", "10 days"
 ORDERS_START, ORDERS_END, ORDERS_RANGE = "2000-08-01 00:00:00", "2001-08-01 00:00:00", "365 days"
+#: Range of the trace search, in nanoseconds.
+TRACES_START_NS, TRACES_END_NS = 946_684_800_000_000_000, 1_009_843_200_000_000_000  # 2000-01-01 and 2002-01-01
 #: A counter restarts when it passes this.
 RESET = 5000
 
@@ -96,8 +99,8 @@ def cost_samples(spark: SparkSession, sf_dir: str, credits: bool = False) -> Dat
 def counter(spark: SparkSession, sf_dir: str, metric: str, labels: dict[str, str], inc: str = "1", where: str = "true") -> DataFrame:
     """Counter samples over events: a running total of ``inc`` by labels, which restarts when it passes RESET."""
     rows = table(spark, sf_dir, "events").where(where).selectExpr("ts", "event_id", *(f"{e} as {k}" for k, e in labels.items()), f"cast({inc} as bigint) as _inc")
-    running = Window.partitionBy(*labels).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select(F.lit(metric).alias("metric"), *labels, "ts", (F.sum("_inc").over(running) % RESET).cast("double").alias("value"))
+    total = running_sum(rows, list(labels), ["ts", "event_id"], "_inc", F.to_date("ts"), "_sum")
+    return total.select(F.lit(metric).alias("metric"), *labels, "ts", (F.col("_sum") % RESET).cast("double").alias("value"))
 
 
 def gauge(spark: SparkSession, sf_dir: str, metric: str, labels: dict[str, str], value: str, where: str = "true") -> DataFrame:
@@ -113,8 +116,8 @@ def buckets(spark: SparkSession, sf_dir: str, metric: str, labels: dict[str, str
     rows = table(spark, sf_dir, "events").selectExpr("ts", "event_id", *(f"{e} as {k}" for k, e in labels.items()), "value")
     les = F.array(*(F.struct(F.lit(str(b)).alias("le"), (F.col("value") <= b).cast("bigint").alias("hit")) for b in BOUNDS), F.struct(F.lit("+Inf").alias("le"), F.lit(1).cast("bigint").alias("hit")))
     each = rows.select("ts", "event_id", *labels, F.inline(les))
-    running = Window.partitionBy(*labels, "le").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return each.select(F.lit(metric).alias("metric"), *labels, "le", "ts", F.sum("hit").over(running).cast("double").alias("value"))
+    total = running_sum(each, [*labels, "le"], ["ts", "event_id"], "hit", F.to_date("ts"), "_sum")
+    return total.select(F.lit(metric).alias("metric"), *labels, "le", "ts", F.col("_sum").cast("double").alias("value"))
 
 
 #: SQL of the columns of the log view over events.

@@ -33,7 +33,9 @@ def bag(attributes: str | Column) -> Column:
     """map<string, any_value> of an attribute list; null: an empty map. A repeated key keeps its last value."""
     a = F.col(attributes) if isinstance(attributes, str) else attributes
     kind = "struct<stringValue:string,intValue:string,boolValue:boolean,doubleValue:double>"
-    return F.coalesce(F.aggregate(a, F.expr(f"cast(map() as map<string,{kind}>)"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["key"]), F.create_map(x["key"], x["value"]))), F.expr(f"cast(map() as map<string,{kind}>)"))
+    last = F.filter(a, lambda x, i: F.array_position(F.transform(F.slice(F.reverse(a), 1, F.size(a) - i - 1), lambda y: y["key"]), x["key"]) == 0)
+    repeated = F.size(F.array_distinct(F.transform(a, lambda x: x["key"]))) < F.size(a)
+    return F.coalesce(F.map_from_entries(F.when(repeated, last).otherwise(a)), F.expr(f"cast(map() as map<string,{kind}>)"))
 
 
 def text_of(value: Column) -> Column:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from meterlake.operators.samples import running_sum
+from meterlake.sources.scratch import scratch_path
+
 TRIGGER = "2 seconds"
+#: Input that one batch of a stored table takes.
+BATCH_BYTES = 1 << 30
 
 
 def append_stream(table: DataFrame, path: str, checkpoint: str, trigger: str | None = None, partition_by: tuple[str, ...] = ()):
@@ -48,28 +52,60 @@ def _idle(idle: str | None):
     return GroupStateTimeout.ProcessingTimeTimeout, int(pd.Timedelta(idle).total_seconds() * 1000)
 
 
-def running_totals(points: DataFrame, key: list[str], idle: str | None = None) -> DataFrame:
-    """Delta points (key..., time_ns, value) to cumulative ones by keyed state; with ``idle`` an idle series is forgotten.
+def running_totals(points: DataFrame, key: list[str], folder: str, trigger: str | None = None):
+    """Delta points (key..., time_ns, value) to cumulative ones, batch by batch: started stream, rows in ``folder``/out.
 
-    Points of a batch are taken in time order; the state is one sum for each series.
+    Each batch is added up by Spark, by key and day and then inside the day, so no key's rows meet in one task; the totals
+    so far are a table of one row a key. Both are written under the number of the batch, so a repeated batch replaces
+    what an earlier attempt wrote. Rows that come in a later batch are added after it, whatever their time.
     """
-    schema = ", ".join([*(f"{k} string" for k in key), "time_ns bigint", "value double"])
-    kind, idle_ms = _idle(idle)
+    kinds = [*(F.col(k).cast("string").alias(k) for k in key), F.col("time_ns").cast("bigint").alias("time_ns"), F.col("value").cast("double").alias("value")]
+    schema = ", ".join([*(f"{k} string" for k in key), "total double"])
 
-    def add(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        total = state.get[0] if state.exists else 0.0
-        rows = pd.concat(list(frames)).sort_values("time_ns", kind="stable")
-        rows["value"] = rows["value"].cumsum() + total
-        state.update((float(rows["value"].iloc[-1]),))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
-        yield rows[[*key, "time_ns", "value"]]
+    def add(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        earlier = spark.read.schema(schema).parquet(f"{folder}/totals/batch={n - 1}") if n else spark.createDataFrame([], schema)
+        day = F.call_function("div", F.col("time_ns"), F.lit(86_400_000_000_000))
+        summed = running_sum(batch, key, ["time_ns"], "value", day, "_sum")
+        same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key))
+        before = earlier.select(*(F.col(k).alias(f"_{k}") for k in key), F.col("total").alias("_total"))
+        out = summed.join(before, same, "left").select(*key, "time_ns", (F.coalesce("_total", F.lit(0.0)) + F.col("_sum")).alias("value"))
+        out.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+        both = earlier.union(batch.groupBy(*key).agg(F.sum("value").alias("total")))
+        both.groupBy(*key).agg(F.sum("total").alias("total")).write.mode("overwrite").parquet(f"{folder}/totals/batch={n}")
 
-    columns = points.select(*(F.col(k).cast("string").alias(k) for k in key), F.col("time_ns").cast("bigint").alias("time_ns"), F.col("value").cast("double").alias("value"))
-    return columns.groupBy(*key).applyInPandasWithState(add, schema, "total double", "append", kind)
+    return rules_by_batch(points.select(*kinds), add, f"{folder}/checkpoint", trigger)
+
+
+def recording_rules(samples: DataFrame, evaluate: Callable[[DataFrame], dict[str, DataFrame]], folder: str, trigger: str | None = None):
+    """Evaluates recording rules over all samples that have arrived, once a batch: started stream.
+
+    The samples of a batch and the rules' results (``folder``/rules/<name>/batch=n) are written under its number.
+    ``evaluate`` gets the samples so far and returns a table for each rule.
+    """
+    schema = samples.schema
+
+    def step(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{folder}/samples/batch={n}")
+        sofar = spark.read.schema(schema).parquet(*(f"{folder}/samples/batch={k}" for k in range(n + 1)))
+        for name, table in evaluate(sofar).items():
+            table.write.mode("overwrite").parquet(f"{folder}/rules/{name}/batch={n}")
+
+    return rules_by_batch(samples, step, f"{folder}/checkpoint", trigger)
+
+
+def newest_batch(spark, path: str) -> DataFrame:
+    """The result of the last batch under ``path``, without its number."""
+    every = spark.read.parquet(path)
+    return every.where(F.col("batch") == every.agg(F.max("batch")).first()[0]).drop("batch")
+
+
+def scrapes(spark, path: str, schema: str, max_files: int | None = 1000) -> DataFrame:
+    """Scraped samples as a stream: JSON lines (metric, labels..., ts, value) that targets leave under ``path``; to be
+    started with the scrape interval as trigger."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).json(path)
 
 
 def emitted_stream(rows: DataFrame, key: str, heartbeat_ns: int = 60_000_000_000) -> DataFrame:
@@ -133,28 +169,20 @@ def turn_stream(events: DataFrame, idle: str | None = None) -> DataFrame:
     return own.groupBy("session_id", "turn_id").applyInPandasWithState(pair, schema, "open string", "append", kind)
 
 
-def read_table_stream(spark, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
-    """A stored table as a stream of its files, with the schema of the stored files.
+def read_table_stream(spark, sf_dir: str, name: str, max_files: int | None = None, max_bytes: int = BATCH_BYTES) -> DataFrame:
+    """A stored table as a stream of its files, with the schema of the stored files; a batch takes at most ``max_files``
+    files or, if that isn't given, ``max_bytes`` of them, so the rows of one key in a batch are bounded.
 
     A stream's path must be a folder or a pattern; as a pattern a table that is one file is read as well.
     """
     reader = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{name}.parquet").schema)
     path = f"{sf_dir}/{name}.parque[t]"
-    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
-
-
-def shared_folder(spark) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset, a temporary one in a single process only."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="meterlake-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    limit = ("maxFilesPerTrigger", max_files) if max_files else ("maxBytesPerTrigger", max_bytes)
+    return reader.option(*limit).parquet(path)
 
 
 def run_available(table: DataFrame) -> DataFrame:
     """Runs a stream over everything available into the shared folder and reads the result."""
-    folder = shared_folder(table.sparkSession)
+    folder = scratch_path(table.sparkSession, "stream")
     append_stream(table, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return table.sparkSession.read.schema(table.schema).parquet(f"{folder}/out")

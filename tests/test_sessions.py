@@ -96,7 +96,8 @@ def test_running_totals_emission_and_windows_as_streams(spark, tmp_path):
         jobs.append_stream(table, str(tmp_path / name), str(tmp_path / f"{name}-check")).awaitTermination(120)
         return spark.read.parquet(str(tmp_path / name))
 
-    totals = run("totals", jobs.running_totals(read(), ["k"]))
+    jobs.running_totals(read(), ["k"], str(tmp_path / "totals")).awaitTermination(120)
+    totals = spark.read.parquet(str(tmp_path / "totals" / "out"))
     assert sorted(r.value for r in totals.collect()) == [1, 2, 3, 4, 5]
     sent = run("sent", jobs.emitted_stream(read().select("k", "time_ns", "fingerprint"), "k", 30 * 10**9))
     batch = status_line.emitted(spark.read.schema(schema).json(str(src)), ["k"], 30 * 10**9)
