@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 
 from meterlake.llm.common import materialize
 
-#: Vectors in a bucket, queries in a block, candidate buckets in a group that one query block meets at once, copies of
-#: the first group among which query blocks are dealt.
-BUCKET_ROWS, QUERY_ROWS, GROUP_BUCKETS, FIRST_COPIES = 1024, 256, 4, 32
+#: Vectors in a bucket, queries in a block, candidate buckets in a group that one query block meets at once.
+BUCKET_ROWS, QUERY_ROWS, GROUP_BUCKETS = 1024, 256, 4
 #: Lengths of a bucket's vectors lie within this factor of each other, so that its threshold is nearly that of each.
 LENGTH_STEP = 1.25
 #: Below this local cosine only lengths prune; above it coordinates do, on this many of the query's largest ones.
@@ -41,18 +40,18 @@ NO_FLOOR = -(1 << 63)
 
 def _direction() -> list:
     """Order that puts vectors of like direction side by side: greatest coordinate, its sign, then how great it is."""
-    size = F.transform("v", lambda c: F.abs(c))
+    size = F.transform("v", lambda c: F.abs(c.cast("double")))
     at = F.array_position(size, F.array_max(size))
     lead = F.get("v", (at - 1).cast("int"))
-    return [at, lead > 0, lead / F.col("norm")]
+    return [at, lead > 0, F.try_divide(lead.cast("double"), F.col("norm"))]
 
 
 def blocks(rows: DataFrame, size: int, order: list, label: str) -> DataFrame:
     """(dim int, longest, least, reach double, centre array<double>, width int, ids, vectors, norms, floors binary, block
     long): ``rows`` (vec_id, v, norm, dim, floor) dealt by ranges of ``order``, ``size`` to a block.
 
-    Every block holds vectors of one dimension only. ``least`` is its least floor (null: a query has none), ``centre`` the
-    mean direction, ``reach`` the greatest angle between it and a vector. Components take ``width`` bytes, as few as hold
+    Every block holds vectors of one dimension only. ``least`` is its least floor by the query's length (null: a query has
+    none), ``centre`` the mean direction, ``reach`` the greatest angle between it and a vector. Components take ``width`` bytes, as few as hold
     them. Ranges are of several columns, so one vector that repeats often is dealt to many tasks.
     """
 
@@ -69,7 +68,7 @@ def blocks(rows: DataFrame, size: int, order: list, label: str) -> DataFrame:
             centre /= max(float(np.linalg.norm(centre)), 1e-300)
             reach = float(np.arccos(np.clip((unit @ centre).min(initial=1.0) if (n > 0).all() else -1.0, -1.0, 1.0)))
             parts = [x.tobytes() for x in (np.array(ids, "<i8"), v.astype(f"<i{width}"), n.astype("<f8"), np.array([NO_FLOOR if f is None else f for f in floors], "<i8"))]
-            least = None if any(f is None for f in floors) else float(min(floors))
+            least = None if any(f is None for f in floors) or not (n > 0).all() else float((np.array(floors, float) / n).min())
             facts = [pa.array([dim], pa.int32()), pa.array([float(n.max())]), pa.array([least], pa.float64()), pa.array([reach]), pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([width], pa.int32())]
             return pa.RecordBatch.from_arrays([*facts, *(pa.array([x], pa.binary()) for x in parts)], ["dim", "longest", "least", "reach", "centre", "width", "ids", "vectors", "norms", "floors"])
 
@@ -89,26 +88,42 @@ def blocks(rows: DataFrame, size: int, order: list, label: str) -> DataFrame:
     return materialize(dealt.mapInArrow(run, schema), label).withColumn("block", F.xxhash64("ids", "vectors"))
 
 
-def may_reach() -> Column:
-    """True unless no vector of bucket c can reach the least floor of query block q: the product of the greatest lengths
-    times the cosine of the angle that at least lies between their cones."""
-    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.aggregate(F.zip_with("q_centre", "c_centre", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x))))
-    apart = F.greatest(F.lit(0.0), angle - F.col("q_reach") - F.col("c_reach") - 1e-6)
-    most = F.col("q_longest") * F.col("c_longest")
-    return F.col("q_least").isNull() | (F.col("q_least") <= most * F.cos(apart) + most * 1e-9 + 1e-9)
+def alike() -> Column:
+    """Cosine of the angle between the centres of a query block and a bucket."""
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.aggregate(F.zip_with("q_centre", "c_centre", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)))
 
 
-def surviving(queries: DataFrame, buckets: DataFrame) -> DataFrame:
-    """(q_block, dim, group, chosen): for each query block and group after the first the buckets that may hold a result.
+def reach() -> Column:
+    """The most that a product of a vector of query block q and one of bucket c can be, by the query's length: the bucket's
+    greatest length times the cosine of the angle that at least lies between their cones, or zero if that is obtuse."""
+    apart = F.greatest(F.lit(0.0), F.acos("cosine") - F.col("q_reach") - F.col("c_reach") - 1e-6)
+    return F.col("c_longest") * (F.greatest(F.cos(apart), F.lit(0.0)) + 1e-9) + 1e-9
+
+
+def _described(queries: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(q_block, dim, group, c_block, q_least, reach, likely) of query blocks and buckets of one dimension.
 
     Only the blocks' descriptions meet here (some hundred bytes each), by dimension and group.
     """
-    facts = ("longest", "reach", "centre")
-    c = buckets.select("dim", "group", F.col("block").alias("c_block"), *(F.col(x).alias(f"c_{x}") for x in facts))
+    c = buckets.select("dim", "group", F.col("block").alias("c_block"), *(F.col(x).alias(f"c_{x}") for x in ("longest", "reach", "centre")))
     last = buckets.groupBy("dim").agg(F.max("group").alias("last"))
-    q = queries.select("dim", F.col("block").alias("q_block"), *(F.col(x).alias(f"q_{x}") for x in (*facts, "least")))
-    q = q.join(last, "dim").where("last > 0").withColumn("group", F.explode(F.sequence(F.lit(1), F.col("last")))).drop("last")
-    return q.join(c, ["dim", "group"]).where(may_reach()).groupBy("q_block", "dim", "group").agg(F.collect_set("c_block").alias("chosen"))
+    q = queries.select("dim", F.col("block").alias("q_block"), *(F.col(x).alias(f"q_{x}") for x in ("reach", "centre", "least")))
+    q = q.join(last, "dim").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
+    both = q.join(c, ["dim", "group"]).withColumn("cosine", alike())
+    return both.select("q_block", "dim", "group", "c_block", "q_least", reach().alias("reach"), (F.col("c_longest") * F.col("cosine")).alias("likely"))
+
+
+def nearest(queries: DataFrame, buckets: DataFrame, number: int) -> DataFrame:
+    """(q_block, dim, group, chosen): the ``number`` buckets of each query block whose centres promise the greatest products."""
+    order = Window.partitionBy("q_block").orderBy(F.desc("likely"), "c_block")
+    best = _described(queries, buckets).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= number)
+    return best.groupBy("q_block", "dim", "group").agg(F.collect_set("c_block").alias("chosen"))
+
+
+def surviving(queries: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(q_block, dim, group, chosen): for each query block and group the buckets that may reach a query's floor."""
+    kept = _described(queries, buckets).where(F.col("q_least").isNull() | (F.col("q_least") <= F.col("reach")))
+    return kept.groupBy("q_block", "dim", "group").agg(F.collect_set("c_block").alias("chosen"))
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -208,9 +223,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0)
     gives none; other columns are ignored. Components and scores beyond the range of a long are cut to it.
 
     Buckets are of similar length (within LENGTH_STEP) and, inside that, of like direction; query blocks of like direction.
-    First every query meets the longest group (GROUP_BUCKETS buckets), whose results give it a floor. Of the other groups
-    a query block only meets those with a bucket whose description says that it may reach the floor, so pairs that can't
-    are dropped before vectors are shuffled. Vectors of random direction leave nothing to prune; see README.
+    First every query block meets the GROUP_BUCKETS buckets whose centres promise its greatest products, whose results give each
+    query a floor. Then it meets those buckets only whose description says that they may reach a floor, so pairs that
+    can't are dropped before vectors are shuffled. Vectors of random direction leave nothing to prune; see README.
     """
     rows = materialize(quantised(vectors, scale), "vectors")
     no_floor = F.lit(None).cast("long").alias("floor")
@@ -223,16 +238,13 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0)
     facts = materialize(facts, "bucket-facts")
     bucket = c.join(facts.select("block", "group", "nth"), "block").select("dim", "group", "nth", F.col("block").alias("c_block"), *(F.col(x).alias(f"c_{x}") for x in ("width", "ids", "vectors", "norms")))
 
-    def asked(q: DataFrame) -> DataFrame:
-        return q.select("dim", F.col("block").alias("q_block"), *(F.col(x).alias(f"q_{x}") for x in ("width", "ids", "vectors", "norms", "floors")))
+    def met(queries: DataFrame, pairs: DataFrame) -> DataFrame:
+        asked = queries.select(F.col("block").alias("q_block"), *(F.col(x).alias(f"q_{x}") for x in ("width", "ids", "vectors", "norms", "floors")))
+        both = pairs.join(asked, "q_block").join(bucket, ["dim", "group"]).where(F.array_contains("chosen", F.col("c_block"))).drop("chosen")
+        return _first(_meet(both.sortWithinPartitions("q_block", "nth"), k), k)
 
-    copies = F.explode(F.sequence(F.lit(0), F.lit(FIRST_COPIES - 1)))
-    longest = bucket.where("group = 0").withColumn("copy", copies)
-    first = asked(blocks(wanted.select("*", no_floor), QUERY_ROWS, _direction(), "query-blocks")).withColumn("copy", F.pmod("q_block", F.lit(FIRST_COPIES)).cast("int"))
-    seeds = materialize(_first(_meet(first.join(longest, ["dim", "copy"]).sortWithinPartitions("q_block", "nth"), k), k), "seeds")
+    first = blocks(wanted.select("*", no_floor), QUERY_ROWS, _direction(), "query-blocks")
+    seeds = materialize(met(first, nearest(first, facts, GROUP_BUCKETS)), "seeds")
     floors = seeds.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
-    later = blocks(wanted.join(floors, "vec_id", "left"), QUERY_ROWS, _direction(), "query-blocks-with-floors")
-    pairs = surviving(later, facts)
-    met = pairs.join(asked(later).drop("dim"), "q_block").join(bucket, ["dim", "group"]).where(F.array_contains("chosen", F.col("c_block"))).drop("chosen")
-    rest = _meet(met.sortWithinPartitions("q_block", "nth"), k)
-    return _first(seeds.drop("rank").union(rest), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    again = blocks(wanted.join(floors, "vec_id", "left"), QUERY_ROWS, _direction(), "query-blocks-with-floors")
+    return met(again, surviving(again, facts)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
