@@ -265,7 +265,8 @@ def named(docs: DataFrame) -> list:
 
 
 def whole_sets(docs: DataFrame, needed: DataFrame, words: int, seed: int = 42) -> DataFrame:
-    """(c, hashes) of the rows ``needed`` (c, _id, _hash): their sets, made anew from the texts."""
+    """(c, hashes) of the rows ``needed`` (c, _id, _hash): their sets, made anew from the texts. Rows of ``docs`` that repeat
+    give one each."""
 
     def run(batches):
         for batch in slices(batches):
@@ -273,7 +274,7 @@ def whole_sets(docs: DataFrame, needed: DataFrame, words: int, seed: int = 42) -
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["c", "hashes"])
 
     texts = docs.select(*named(docs), F.coalesce("text", F.lit("")).alias("text")).join(needed, ["_id", "_hash"]).select("c", "text")
-    return texts.mapInArrow(run, "c long, hashes array<long>").dropDuplicates(["c"])
+    return texts.mapInArrow(run, "c long, hashes array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
@@ -290,11 +291,12 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, lea
     near = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(differ <= most * (F.col("na") + F.col("nb")) + 1e-6).select("a", "b", "na", "nb")
     near = materialize(near, "near-pairs")
     members = near.select(F.col("a").alias("c")).union(near.select(F.col("b").alias("c"))).distinct()
-    needed = own.join(members, "c").select("c", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("text_hash").alias("_hash"))
+    # written, so that its size is known: where it is small it goes to the texts, and not the texts to it
+    needed = materialize(own.join(members, "c").select("c", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("text_hash").alias("_hash")), "needed")
     whole = materialize(whole_sets(docs, needed, words), "whole-sets")
     both = near.join(whole.select(F.col("c").alias("a"), F.col("hashes").alias("ha")), "a").join(whole.select(F.col("c").alias("b"), F.col("hashes").alias("hb")), "b")
     both = both.withColumn("i", F.size(F.array_intersect("ha", "hb")))
-    out = materialize(both.where(F.col("i") / (F.col("na") + F.col("nb") - F.col("i")) >= least).select("a", "b"), "similar")
+    out = materialize(both.where(F.col("i") / (F.col("na") + F.col("nb") - F.col("i")) >= least).select("a", "b").distinct(), "similar")
     release(whole)
     release(near)
     return out
