@@ -59,6 +59,9 @@ class WordVocabulary:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        odd = [k for k in ("dropout", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+        if model["type"] != "BPE" or odd or spec.get("decoder") or spec.get("post_processor"):
+            raise ValueError(f"{path}: not a plain byte-letter BPE file ({', '.join(odd) or 'model, decoder or post-processor'})")
         self.ids: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}

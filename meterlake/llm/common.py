@@ -1,4 +1,4 @@
-"""Shared helpers of the training-data operators: tables, the shared scratch folder, written intermediate tables."""
+"""Shared helpers of the training-data operators: tables, columns, written intermediate tables."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ import atexit
 import os
 import shutil
 import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterlake.sources.scratch import discard, scratch_path
+
 #: Documents handled at once inside a Python task; bounds the Python copy of an Arrow batch.
 SLICE_ROWS = 256
 
@@ -35,39 +36,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset and Spark runs inside one process (tests), a temporary folder is set; on a cluster that
-    would lose data with the machine, so there it is an error.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = tempfile.mkdtemp(prefix="meterlake-")
-    sc.setCheckpointDir(own)
-    return sc.getCheckpointDir()
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; it is removed when the application ends."""
-    path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}-{label}"
-    atexit.register(discard, spark, path)
-    return path
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Removes a scratch path through Hadoop's file system; an ended session is no error."""
-    try:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001  the gateway may be gone at exit
-        return
-
-
 def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Writes ``df`` into the shared folder and reads it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession

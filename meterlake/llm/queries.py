@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from meterlake.llm import bpe_codec, huffman, licenses, packing, pii, quality, simhash, token_counts, topk, toxicity
-from meterlake.llm.common import scratch_path, table
+from meterlake.llm.common import table
+from meterlake.sources.scratch import scratch_path
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -57,6 +57,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *(f"quality.{c}" for c in counts))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # at the top of the repository, beside the package
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_huffman_tokens": op1_huffman_tokens,
     "op2_ftrl_toxicity": op2_ftrl_toxicity,
@@ -68,7 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_components": op8_simhash_components,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline,
 }
 
 
