@@ -114,16 +114,15 @@ def is_hex_id(value: Column, digits: int) -> Column:
     return F.coalesce(value.rlike(f"^[0-9a-f]{{{digits}}}$"), F.lit(False))
 
 
-# Tool names of the turn protocol that work with other agents, and the categories of the status line.
-AGENT_TOOLS = ("Agent", "spawn_agent", "send_message", "wait_agent")
+# Tools of the turn protocol and their categories; the categories of the status line.
+TOOL_CATEGORIES = {"Bash": "execution", "apply_patch": "editor", "Agent": "agent-collaboration", "spawn_agent": "agent-collaboration", "send_message": "agent-collaboration", "wait_agent": "agent-collaboration"}
 STATUS_CATEGORIES = ("file-operation", "search-operation", "execution-operation", "agent-collaboration", "interaction-operation", "other-tool")
 
 
-def hook_tool_category(tool: Column, agent_tools=AGENT_TOOLS) -> Column:
-    return (
-        F.when(tool == "Bash", "execution").when(tool == "apply_patch", "editor").when(tool.isin(*agent_tools), "agent-collaboration")
-        .when(tool.startswith("mcp__"), "connector").otherwise("other")
-    )
+def hook_tool_category(tool: Column, known=TOOL_CATEGORIES) -> Column:
+    """Category of a known tool; tools of connectors have a prefix; others are "other"."""
+    named = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))[tool]
+    return F.coalesce(named, F.when(tool.startswith("mcp__"), "connector"), F.lit("other"))
 
 
 def listed_category(category: Column, known=STATUS_CATEGORIES) -> Column:

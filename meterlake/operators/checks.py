@@ -81,3 +81,49 @@ def repeats_within(table: DataFrame, keys: list[str], gap: str, ts: str = "ts")
     """Rows that repeat the same keys within a gap after the row before: suspected duplicate work."""
     before = F.lag(ts).over(Window.partitionBy(*keys).orderBy(ts))
     return table.withColumn("previous", before).where(F.col(ts) - F.col("previous") <= F.expr(f"interval {gap}"))
+
+
+def unpaired(samples: DataFrame, copies: dict[str, str], by: list[str]) -> DataFrame:
+    """(metric, by..., native, copied): points of a copied metric whose copy is missing or has another value."""
+    back = F.create_map(*(F.lit(x) for native, copy in copies.items() for x in (copy, native)))
+    known = samples.where(F.col("metric").isin(*copies, *copies.values()))
+    native = F.coalesce(back[F.col("metric")], F.col("metric"))
+    value = lambda own: F.max(F.when(F.col("metric").isin(*own), F.col("value")))
+    both = known.groupBy(native.alias("_native"), *by).agg(value(copies).alias("native"), value(copies.values()).alias("copied"))
+    return both.where(F.col("native").isNotNull() & ~F.col("native").eqNullSafe(F.col("copied"))).withColumnRenamed("_native", "metric")
+
+
+def late_first(work: DataFrame, session: str, check: str, act: str) -> DataFrame:
+    """(session, checked, acted): sessions whose first ``check`` comes after their first ``act``, or not at all."""
+    first = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("ts")))
+    both = work.groupBy(session).agg(first(check).alias("checked"), first(act).alias("acted"))
+    return both.where(F.col("acted").isNotNull() & (F.col("checked").isNull() | (F.col("checked") > F.col("acted")))).select(session)
+
+
+def without_reason(work: DataFrame, kind: str, reason: str) -> DataFrame:
+    """Rows of a kind that give no reason."""
+    return work.where((F.col("kind") == kind) & (F.coalesce(F.trim(reason), F.lit("")) == ""))
+
+
+def over_budget(work: DataFrame, by: list[str], amount: Column, budget: float) -> DataFrame:
+    """(by..., total) of those that use more than a budget."""
+    return work.groupBy(*by).agg(F.sum(amount).alias("total")).where(F.col("total") > budget)
+
+
+def overlapping(work: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
+    """Rows that begin before an earlier one of the same keys has ended."""
+    earlier = Window.partitionBy(*by).orderBy(start).rowsBetween(Window.unboundedPreceding, -1)
+    return work.withColumn("_until", F.max(end).over(earlier)).where(F.col(start) < F.col("_until")).drop("_until")
+
+
+def contradicted(claims: DataFrame, failures: DataFrame, session: str) -> DataFrame:
+    """Claims of success in a session that a failure at the same time or later follows."""
+    last = failures.groupBy(session).agg(F.max("ts").alias("_failed"))
+    return claims.join(last, session).where(F.col("_failed") >= F.col("ts")).drop("_failed")
+
+
+def order_faults(stages: list[str], expected: tuple[str, ...]) -> list[str]:
+    """Stages that are missing, unknown or out of their order."""
+    kept = [s for s in stages if s in expected]
+    wrong = [s for s, want in zip(kept, [e for e in expected if e in kept]) if s != want]
+    return sorted({*(e for e in expected if e not in stages), *(s for s in stages if s not in expected), *wrong})

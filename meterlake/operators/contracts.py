@@ -2,38 +2,36 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_HASH, _TEXT = "pattern", "length"
 # Fields of a context event: path -> (kind, argument). A field with "!" must be there if its object is.
 EVENT_FIELDS = {
     "schema_version!": ("enum", ["1.0"]),
     "occurred_at!": ("time", None),
     "environment.profile!": ("enum", ["core", "evaluation", "corporate-redacted"]),
-    "environment.deployment": (_TEXT, 64),
+    "environment.deployment": ("length", 64),
     "environment.user_pseudonym": ("pattern", "^[A-Za-z0-9._:-]{8,128}$"),
-    "environment.pseudonym_key_version": (_TEXT, 32),
-    "framework.name!": (_TEXT, 128),
-    "framework.version!": (_TEXT, 64),
-    "framework.commit_hash": (_HASH, "^[0-9a-fA-F]{7,64}$"),
-    "framework.rule_set_hash": (_HASH, "^[0-9a-fA-F]{16,128}$"),
-    "workflow.id_hash": (_HASH, "^[0-9a-fA-F]{16,128}$"),
-    "workflow.type!": (_TEXT, 64),
-    "workflow.stage!": (_TEXT, 64),
-    "task.id_hash": (_HASH, "^[0-9a-fA-F]{16,128}$"),
-    "task.type": (_TEXT, 64),
+    "environment.pseudonym_key_version": ("length", 32),
+    "framework.name!": ("length", 128),
+    "framework.version!": ("length", 64),
+    "framework.commit_hash": ("pattern", "^[0-9a-fA-F]{7,64}$"),
+    "framework.rule_set_hash": ("pattern", "^[0-9a-fA-F]{16,128}$"),
+    "workflow.id_hash": ("pattern", "^[0-9a-fA-F]{16,128}$"),
+    "workflow.type!": ("length", 64),
+    "workflow.stage!": ("length", 64),
+    "task.id_hash": ("pattern", "^[0-9a-fA-F]{16,128}$"),
+    "task.type": ("length", 64),
     "task.complexity": ("enum", ["small", "medium", "large", "unknown"]),
     "operation.type!": ("enum", ["model", "tool", "validation", "wait", "git", "review", "handoff", "workflow"]),
     "operation.state!": ("enum", ["active", "wait", "blocked", "paused", "sleep", "resumed", "completed"]),
     "operation.outcome!": ("enum", ["success", "passed", "failed", "blocked-by-environment", "skipped", "not-applicable", "deferred", "unknown"]),
     "operation.evidence_class!": ("enum", ["repository-record", "git-fact", "provider-readback", "conversation-observation", "derived-interval", "manual-annotation"]),
     "operation.duration_ms": ("count", None),
-    "ai.tool_category": (_TEXT, 64),
-    "ai.model_family": (_TEXT, 128),
+    "ai.tool_category": ("length", 64),
+    "ai.model_family": ("length", 128),
     "ai.token_usage.input": ("count", None),
     "ai.token_usage.cached_input": ("count", None),
     "ai.token_usage.output": ("count", None),
@@ -42,18 +40,18 @@ EVENT_FIELDS = {
     "ai.cost.value!": ("amount", None),
     "ai.cost.unit!": ("enum", ["credits", "USD", "internal_unit", "unknown"]),
     "ai.cost.source!": ("enum", ["official", "vendor_reported", "estimated", "allocated", "unknown"]),
-    "ai.cost.rate_card_version": (_TEXT, 64),
+    "ai.cost.rate_card_version": ("length", 64),
     "ai.cost.attribution_confidence!": ("enum", ["exact", "bounded", "proportional", "manual", "unattributed"]),
-    "context.manifest_hash": (_HASH, "^[0-9a-fA-F]{16,128}$"),
+    "context.manifest_hash": ("pattern", "^[0-9a-fA-F]{16,128}$"),
     "context.loaded_files": ("count", None),
     "context.loaded_bytes": ("count", None),
     "context.estimated_tokens": ("count", None),
-    "validation.type": (_TEXT, 64),
-    "validation.tier": (_TEXT, 32),
-    "validation.fingerprint_hash": (_HASH, "^[0-9a-fA-F]{16,128}$"),
+    "validation.type": ("length", 64),
+    "validation.tier": ("length", 32),
+    "validation.fingerprint_hash": ("pattern", "^[0-9a-fA-F]{16,128}$"),
     "validation.reused": ("enum", ["true", "false"]),
-    "validation.invalidation_reason": (_TEXT, 64),
-    "rule.id": (_TEXT, 128),
+    "validation.invalidation_reason": ("length", 64),
+    "rule.id": ("length", 128),
     "rule.state": ("enum", ["declared", "loaded", "evaluated", "triggered", "affected_action"]),
     "privacy.content_captured!": ("enum", ["false"]),
     "privacy.policy_profile!": ("enum", ["personal-minimized", "corporate-allowlist"]),
@@ -118,9 +116,10 @@ def report(checks: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), rows)
 
 
-def contracts_read(df: DataFrame) -> list[str]:
-    """Which of the metric contracts a plan's filters name: a query must stay within one of them."""
-    plan = df._jdf.queryExecution().analyzed().toString()
-    found = {"native": ("codex_", "claude_code_", "antigravity_"), "ai_agent": ("ai_agent_",), "ai_context": ("ai_context_",)}
-    metrics = set(re.findall(r"metric#\d+ = (\w+)", plan))
-    return sorted(name for name, prefixes in found.items() if any(m.startswith(prefixes) for m in metrics))
+#: Prefixes of the metrics of each contract.
+CONTRACTS = {"native": ("codex_", "claude_code_", "antigravity_"), "ai_agent": ("ai_agent_",), "ai_context": ("ai_context_",)}
+
+
+def contracts_of(metrics) -> list[str]:
+    """Which of the metric contracts some metrics belong to: a query must stay within one of them."""
+    return sorted(name for name, prefixes in CONTRACTS.items() if any(m.startswith(prefixes) for m in metrics))

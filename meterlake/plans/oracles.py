@@ -6,7 +6,7 @@ from meterlake.functions import text as T
 from meterlake.operators import accounting as A
 from meterlake.operators import traces
 from meterlake.plans import catalog as C
-from meterlake.plans import privacy_oracles
+from meterlake.plans import check_oracles, privacy_oracles
 from meterlake.plans import queries as Q
 from meterlake.plans import views as W
 
@@ -403,4 +403,4 @@ ORACLE |= {
     "stm02_turn_stream": f"{_STREAM_TURNS} select session_id, 'turn' as name, coalesce(begin, t - 1) as start_ns, greatest(t, coalesce(begin, t - 1) + 1) as end_ns from p where role = 'assistant'",
 }
 
-ORACLE |= privacy_oracles.ORACLE
+ORACLE |= privacy_oracles.ORACLE | check_oracles.ORACLE

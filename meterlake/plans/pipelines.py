@@ -5,20 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from meterlake.operators.canonical import canonicalise, normalise_resource
+from meterlake.operators.checks import order_faults
 from meterlake.operators.privacy import PROFILES, final, initial
 from meterlake.operators.traces import evaluation_branch
 
-STAGES = ("normalise", "initial", "canonicalise", "final")
+#: The stages in their order, which is part of the meaning; each takes (rows, signal, profile).
+STAGES = {
+    "normalise": lambda rows, signal, profile: normalise_resource(rows, profile),
+    "initial": initial,
+    "canonicalise": canonicalise,
+    "final": final,
+}
+ORDER = ("normalise", "initial", "canonicalise", "final")
 
 
 def process(flat: DataFrame, signal: str, profile: str = "core") -> DataFrame:
-    """Flat logs, spans or points through the stages of ``profile``; the order is part of the meaning."""
+    """Flat logs, spans or points through the stages of ``profile``."""
     if profile not in PROFILES:
         raise ValueError(f"unknown profile {profile!r}")
-    out = normalise_resource(flat, profile)
-    out = initial(out, signal, profile)
-    out = canonicalise(out, signal, profile)
-    return final(out, signal, profile)
+    if faults := order_faults(list(STAGES), ORDER):
+        raise ValueError(f"stages out of order: {', '.join(faults)}")
+    for stage in STAGES.values():
+        flat = stage(flat, signal, profile)
+    return flat
 
 
 def evaluation_spans(spans: DataFrame) -> DataFrame:

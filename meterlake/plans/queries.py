@@ -14,7 +14,7 @@ from meterlake.operators import accounting as A
 from meterlake.operators import canonical, checks, contracts, logs as L, privacy, privacy_names, samples, sessions, status_line, traces, vector as V
 from meterlake.operators.canonical import typed
 from meterlake.plans import catalog as C
-from meterlake.plans import privacy_queries
+from meterlake.plans import check_queries, privacy_queries
 from meterlake.plans import views as W
 from meterlake.sources.scratch import scratch_path
 from meterlake.streaming import jobs
@@ -734,4 +734,4 @@ def stm02(spark, d):
     return jobs.run_available(jobs.turn_stream(events)).select("session_id", "name", "start_ns", "end_ns")
 
 
-QUERIES |= privacy_queries.QUERIES
+QUERIES |= privacy_queries.QUERIES | check_queries.QUERIES

@@ -1,10 +1,8 @@
 import json
 
-from pyspark.sql import functions as F
-
 from meterlake.operators import contracts as K
+from meterlake.operators.checks import order_faults
 from meterlake.plans import catalog as C
-from meterlake.plans import views as W
 
 GOOD = {
     "schema_version": "1.0", "occurred_at": "2024-01-02T03:04:05Z", "environment": {"profile": "core"}, "framework": {"name": "f", "version": "1"},
@@ -53,9 +51,13 @@ def test_feedback_bundle_and_report(spark):
     assert got == {"x": (2, False), "y": (0, True)}
 
 
-def test_panels_stay_within_one_contract(spark):
+def test_panels_stay_within_one_contract():
     for name, p in C.PANELS.items():
-        samples = spark.createDataFrame([], "metric string, model string, le string, service_namespace string, ts timestamp, value double")
-        samples = samples.withColumns({c: F.lit(None).cast("string") for c in {*p.by, *p.eq, *p.ne, *p.re} - set(samples.columns)})
-        assert len(K.contracts_read(C.chosen(samples, p))) <= 1, name
-    assert W.RESET > 0
+        assert len(K.contracts_of([p.metric])) <= 1, name
+    assert K.contracts_of(["codex_tool_call", "ai_agent_tool_call"]) == ["ai_agent", "native"]
+
+
+def test_stage_order():
+    want = ("a", "b", "c")
+    assert order_faults(["a", "b", "c"], want) == []
+    assert order_faults(["b", "a", "c"], want) == ["a", "b"] and order_faults(["a", "c", "d"], want) == ["b", "d"]
