@@ -19,7 +19,7 @@ from meterlake.llm.common import materialize
 BUCKET_ROWS, QUERY_ROWS, GROUP_BUCKETS = 1024, 256, 4
 #: Lengths of a bucket's vectors lie within this factor of each other, so that its threshold is nearly that of each.
 LENGTH_STEP = 1.25
-#: Below this local cosine only lengths prune; above it coordinates do, on this many of the query's largest ones.
+#: Below this local cosine lengths prune; above it coordinates do, on this many of the query's largest ones.
 COORDINATE_COSINE, FOCUS = 0.6, 4
 
 
@@ -138,50 +138,71 @@ def _products(vectors: np.ndarray, query: np.ndarray, exact: bool) -> np.ndarray
     return np.array([max(NO_FLOOR, min((1 << 63) - 1, x)) for x in whole], np.int64)
 
 
+def within_ranges(unit: np.ndarray, direction: np.ndarray, cosine: float) -> np.ndarray:
+    """Places of the unit vectors whose coordinates lie in the ranges that a cosine with ``direction`` of at least
+    ``cosine`` allows, on the direction's FOCUS greatest coordinates."""
+    keep = np.arange(len(unit))
+    slack = np.sqrt(max(0.0, 1 - cosine * cosine))
+    for f in np.argsort(-np.abs(direction))[:FOCUS]:
+        middle, width = direction[f] * cosine, slack * np.sqrt(max(0.0, 1 - direction[f] ** 2)) + 1e-9
+        x = unit[keep, f]
+        # a unit vector whose cosine with the query is at least the threshold has x_f on the near side of these bounds
+        low = middle - width if direction[f] > -cosine else -1.0
+        high = middle + width if direction[f] < cosine else 1.0
+        keep = keep[(x >= low) & (x <= high)]
+    return keep
+
+
+def may_reach(partial: np.ndarray, rest: np.ndarray, query_rest: float, least: float) -> np.ndarray:
+    """Places of the candidates whose product may reach ``least``: what the leading coordinates give, and at most the
+    product of the lengths of the others."""
+    return np.flatnonzero(partial + rest * (query_rest * (1 + 1e-9)) + 1e-6 >= least)
+
+
 def search(query: tuple, candidate: tuple, floor: dict[int, int], k: int) -> list[tuple[int, int, int]]:
     """(query id, vector id, score) of each query's k best in a bucket that aren't below the query's ``floor`` score.
 
     A bucket's local cosine threshold for a query is the floor over the product of the query's and the bucket's
-    greatest length: above 1 the bucket is skipped; if high, candidates outside the ranges that the threshold allows
-    on the query's largest coordinates are dropped; else those too short to reach the floor. The rest are multiplied.
+    greatest length. Above 1 the bucket is skipped. If it is high, candidates outside the ranges that it allows on the
+    query's largest coordinates are dropped. Else lengths prune: all such queries are multiplied with the bucket's leading
+    coordinates (those with most of its squares) at once, and only candidates whose remaining length can make up for what
+    is missing are multiplied to the end.
     """
     q_ids, q, q_norms = query
     ids, vectors, norms = candidate
-    longest = float(norms.max())
-    bound = float(np.abs(vectors).max(initial=0)) * float(np.abs(q).max(initial=0)) * vectors.shape[1]
+    longest, dim = float(norms.max()), vectors.shape[1]
+    bound = float(np.abs(vectors).max(initial=0)) * float(np.abs(q).max(initial=0)) * dim
     exact = bound < 2**53  # products and sums are exact in doubles
-    kind = np.float64 if exact else object
-    whole, asked = vectors.astype(kind), q.astype(kind)
+    whole, asked = (vectors.astype(np.float64), q.astype(np.float64)) if exact else (vectors.astype(object), q.astype(object))
+    least = [floor.get(i) for i in q_ids.tolist()]
+    cosine = [None if f is None or f <= 0 else f / max(n * longest, 1e-300) / (1 + 1e-9) for f, n in zip(least, q_norms)]
+    by_length = [n for n, c in enumerate(cosine) if c is None or c < COORDINATE_COSINE] if exact else []
     unit = vectors / np.maximum(norms, 1e-300)[:, None]
-    out = []
+    if by_length:
+        lead = np.argsort(-(whole * whole).sum(axis=0), kind="stable")
+        lead, rest = lead[: -(-dim // 2)], lead[-(-dim // 2) :]
+        partial = whole[:, lead] @ asked[by_length][:, lead].T
+        tail, asked_tail = np.ascontiguousarray(whole[:, rest]), asked[:, rest]
+        tail_norms, asked_norms = np.sqrt((tail * tail).sum(axis=1)), np.sqrt((asked_tail * asked_tail).sum(axis=1))
+    at, out = {n: j for j, n in enumerate(by_length)}, []
     for n, q_id in enumerate(q_ids.tolist()):
-        least, keep = floor.get(q_id), None
-        if least is not None and least > 0:
-            reach = q_norms[n] * longest * (1 + 1e-9)
-            if least > reach:
-                continue
-            cosine = least / reach
-            if cosine >= COORDINATE_COSINE:
-                keep = np.arange(len(ids))
-                direction = q[n] / q_norms[n]
-                slack = np.sqrt(max(0.0, 1 - cosine * cosine))
-                for f in np.argsort(-np.abs(direction))[:FOCUS]:
-                    middle, width = direction[f] * cosine, slack * np.sqrt(max(0.0, 1 - direction[f] ** 2)) + 1e-9
-                    x = unit[keep, f]
-                    # a unit vector whose cosine with the query is at least the threshold has x_f on the near side of these bounds
-                    low = middle - width if direction[f] > -cosine else -1.0
-                    high = middle + width if direction[f] < cosine else 1.0
-                    keep = keep[(x >= low) & (x <= high)]
-            else:
-                keep = np.flatnonzero(norms * q_norms[n] * (1 + 1e-9) >= least)
-        scores = _products(whole if keep is None else whole[keep], asked[n], exact)
-        found = ids if keep is None else ids[keep]
+        if cosine[n] is not None and cosine[n] > 1:
+            continue
+        if n in at:
+            first = partial[:, at[n]]
+            keep = np.arange(len(ids)) if least[n] is None else may_reach(first, tail_norms, float(asked_norms[n]), least[n])
+            scores = (first[keep] + tail[keep] @ asked_tail[n]).astype(np.int64)
+        else:
+            near = cosine[n] is not None and cosine[n] >= COORDINATE_COSINE
+            keep = within_ranges(unit, q[n] / q_norms[n], cosine[n]) if near else np.arange(len(ids))
+            scores = _products(whole[keep], asked[n], exact)
+        found = ids[keep]
         other = found != q_id
         scores, found = scores[other], found[other]
         best = _best(scores, found, k)
-        out += [(q_id, i, s) for i, s in zip(found[best].tolist(), scores[best].tolist()) if least is None or s >= least]
+        out += [(q_id, i, s) for i, s in zip(found[best].tolist(), scores[best].tolist()) if least[n] is None or s >= least[n]]
         if len(best) == k:
-            floor[q_id] = max(int(scores[best[-1]]), least) if least is not None else int(scores[best[-1]])
+            floor[q_id] = max(int(scores[best[-1]]), least[n]) if least[n] is not None else int(scores[best[-1]])
     return out
 
 
