@@ -87,22 +87,28 @@ def rate(samples: DataFrame, end, length: str, extrapolate: bool = True) -> Data
     return increase(samples, end, length, extrapolate).withColumn("value", F.col("value") / seconds_of(length))
 
 
-def increase_on_grid(samples: DataFrame, start, end, step: str, extrapolate: bool = True) -> DataFrame:
-    """Growth of each series in each step (ts is the step's end), for ranges that equal the step.
+def increase_on_grid(samples: DataFrame, start, end, step: str, extrapolate: bool = True, length: str | None = None, steps: int = 1) -> DataFrame:
+    """Growth of each series in the range before each step's end (ts). The range is the step, or ``length``, which takes up to
+    ``steps`` steps.
 
-    Every sample belongs to the one step that its time falls into, so nothing is joined or repeated: one window over
-    each series and step. A step with fewer than two samples of a series is absent. ``extrapolate`` as for ``increase``.
+    Every sample belongs to the steps whose range its time falls into: one, or at most ``steps``, so nothing is joined; one
+    window over each series and step. A step with fewer than two samples of a series is absent. ``extrapolate`` as for ``increase``.
     """
     series = _series(samples)
-    rows = samples.where((F.col("ts") > at_time(start)) & (F.col("ts") <= at_time(end)))
-    origin = F.unix_micros(at_time(start))
     width = F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"interval {step}"))
-    nth = F.call_function("div", F.unix_micros("ts") - origin - 1, width)
-    rows = rows.withColumn("step_end", F.timestamp_micros(origin + (nth + 1) * width))
+    range_ = F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"interval {length or step}"))
+    origin = F.unix_micros(at_time(start))
+    base = origin - width * (steps - 1)  # no later than the first range begins
+    rows = samples.where((F.col("ts") > F.timestamp_micros(base)) & (F.col("ts") <= at_time(end)))
+    nth = F.call_function("div", F.unix_micros("ts") - base - 1, width) + 1
+    each = F.explode(F.sequence(nth, nth + (steps - 1))) if steps > 1 else nth
+    rows = rows.withColumn("_nth", each).withColumn("step_end", F.timestamp_micros(base + F.col("_nth") * width)).drop("_nth")
+    inside = (F.col("ts") > F.timestamp_micros(F.unix_micros("step_end") - range_)) & (F.col("step_end") > at_time(start)) & (F.col("step_end") <= at_time(end))
+    rows = rows.where(inside) if steps > 1 else rows
     before = F.lag("value").over(Window.partitionBy(*series, "step_end").orderBy("ts"))
     grown = rows.withColumn("step", F.when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before))
     out = grown.groupBy(*series, "step_end").agg(*_growth()).where("n > 1")
-    out = _stretched(out, F.timestamp_micros(F.unix_micros("step_end") - width), F.col("step_end")) if extrapolate else out
+    out = _stretched(out, F.timestamp_micros(F.unix_micros("step_end") - range_), F.col("step_end")) if extrapolate else out
     return out.select(*series, F.col("step_end").alias("ts"), F.col("value").cast("double").alias("value"))
 
 

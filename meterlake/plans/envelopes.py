@@ -124,10 +124,10 @@ def listed(bag: str) -> Column:
     return F.array_join(F.array_sort(entries), ",")
 
 
-def hook_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hook events as JSON lines over conversations: a user turn opens a turn, an assistant turn uses a tool and stops it;
+def hook_lines(conversations: DataFrame) -> DataFrame:
+    """Hook events as JSON lines over conversations, stored or a stream: a user turn opens a turn, an assistant turn uses a tool and stops it;
     every line is followed by one that no reader may choke on."""
-    c = table(spark, sf_dir, "conversations").where("role in ('user', 'assistant')")
+    c = conversations.where("role in ('user', 'assistant')")
     ns = (F.col("conv_id") * 3600 + F.col("turn") * 60).cast("bigint") * 1_000_000_000
     own = [F.col("conv_id").cast("string").alias("session_id"), F.lit("t").alias("turn_id"), F.lit("gpt-5.6-sol").alias("model")]
     tool = F.element_at(F.array(*map(F.lit, ("Bash", "apply_patch", "mcp__files__read"))), (F.col("turn") % 3 + 1).cast("int"))

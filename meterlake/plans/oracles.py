@@ -254,6 +254,14 @@ ORACLE |= {
     "agg10_max_over_time": f"{_BY_TYPE} select event_type, max(value) as value from samples where {_EVENTS_IN} group by all",
     "src10_instant": f"{_BY_TYPE} select event_type, max_by(value, ts) as value from samples where ts > timestamp '{W.EVENTS_END}' - interval '6 hours' and ts <= timestamp '{W.EVENTS_END}' group by all",
     "tsf02_increase_grid": f"{_BY_TYPE}, {grid('samples', 'event_type', W.EVENTS_START, W.EVENTS_END, '12 hours')} select event_type, ts, round(value, 6) as value from grid",
+    "tsf02_overlapping_grid": f"""{_BY_TYPE}, ends as (
+            select timestamp '{W.EVENTS_START}' + interval '12 hours' * k as e from range(1, 41) t(k)
+        ), inside as (
+            select event_type, e, ts, value as v, lag(value) over (partition by event_type, e order by ts) as before from samples join ends on ts > e - interval '2 days' and ts <= e
+        ), ranges as (
+            select event_type, e, {_GROWTH} from inside group by event_type, e having count(*) > 1
+        )
+        select event_type, e as ts, round({stretched('grew', "(e - interval '2 days')", 'e')}, 6) as value from ranges""",
     "tsf11_not_expired": f"select cast(user_id as varchar) as \"user\", count(*) as n from events where ts <= timestamp '{W.EVENTS_END}' group by 1 having max(ts) >= timestamp '{W.EVENTS_END}' - interval '6 hours'",
     "trx07_histogram_buckets": f"with {_BUCKETS} select model, le, max(value) as value from bucket_samples group by all",
 }

@@ -205,6 +205,10 @@ ORACLE |= {
         select cast(conv_id as varchar) as session_id, 'codex.agent.turn' as name, 'AGENT' as span_kind, cast(null as varchar) as tool_category, 'gpt-5.6-sol' as model, coalesce(begin, ns - 1) as start_ns, ns as end_ns from s where role = 'assistant'
         union all select cast(conv_id as varchar), 'codex.tool.' || c, 'TOOL', c, 'gpt-5.6-sol', ns - 3000000000, ns - 1000000000
         from (select *, case turn % 3 when 0 then 'execution' when 1 then 'editor' else 'connector' end as c from e where role = 'assistant')""",
+    "stm02_tool_stream": f"""{_HOOKS}, r as (select *, coalesce(sum(case when role = 'assistant' then 1 else 0 end) over (partition by conv_id order by ns rows between unbounded preceding and 1 preceding), 0) as run from e),
+        p as (select *, max(ns) filter (where role = 'user') over (partition by conv_id, run order by ns) as begin from r)
+        select cast(conv_id as varchar) as session_id, 'turn' as name, cast(null as varchar) as tool_use_id, coalesce(begin, ns - 1) as start_ns, ns as end_ns from p where role = 'assistant'
+        union all select cast(conv_id as varchar), 'tool', 'u' || turn, ns - 3000000000, ns - 1000000000 from e where role = 'assistant'""",
     "flt09_content_sizes": f"""{_HOOKS}
         select 'ai_agent.observed.user_prompt.bytes' as metric, cast(null as varchar) as tool_id, count(*) as n, cast(sum(strlen(text)) as bigint) as bytes from e where role = 'user'
         union all select 'ai_agent.observed.mcp_tool_response.bytes', 'files', count(*), cast(sum(strlen('{{"a":' || length(text) || ',"b":' || turn || '}}')) as bigint) from e where role = 'assistant' and turn % 3 = 2""",

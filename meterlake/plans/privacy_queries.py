@@ -14,6 +14,7 @@ from meterlake.plans.pipelines import evaluation_spans, process
 from meterlake.plans.views import table
 from meterlake.sources import otlp
 from meterlake.sources.schemas import STATUS_LINE
+from meterlake.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 PROFILES = ("core", "evaluation", "corporate")
@@ -79,7 +80,7 @@ QUERIES["map14_typed_values"] = map14
 
 
 def hooks(spark: SparkSession, d: str) -> DataFrame:
-    return otlp.hook_events(E.hook_lines(spark, d))
+    return otlp.hook_events(E.hook_lines(table(spark, d, "conversations")))
 
 
 def prc04(spark: SparkSession, d: str) -> DataFrame:
@@ -87,6 +88,12 @@ def prc04(spark: SparkSession, d: str) -> DataFrame:
     return sessions.turn_spans(hooks(spark, d)).select("session_id", "name", "span_kind", "tool_category", "model", "start_ns", "end_ns")
 
 
+def stm02(spark: SparkSession, d: str) -> DataFrame:
+    """Streaming: turns and tools from hook lines, by keyed state."""
+    events = otlp.hook_events(E.hook_lines(jobs.read_table_stream(spark, d, "conversations")))
+    return jobs.run_available(jobs.turn_stream(events)).select("session_id", "name", "tool_use_id", "start_ns", "end_ns")
+
+
 def flt09(spark: SparkSession, d: str) -> DataFrame:
     """Sizes of prompts and of the replies of one listed tool."""
     sized = sessions.content_sizes(hooks(spark, d), "size-only", "core", ("user-prompt", "mcp-tool-response"), {"mcp__files__read": "files"})
@@ -128,6 +135,7 @@ def prc06(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES |= {
     "prc04_hook_spans": prc04,
+    "stm02_tool_stream": stm02,
     "flt09_content_sizes": flt09,
     "prc05_invocations": prc05,
     "trx11_status_gauges": trx11,

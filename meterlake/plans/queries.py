@@ -321,6 +321,13 @@ def tsf02_grid(spark, d):
     return rounded(ts.increase_on_grid(by_type(spark, d), W.EVENTS_START, W.EVENTS_END, "12 hours").drop("metric"))
 
 
+@query("tsf02_overlapping_grid")
+def tsf02_overlapping(spark, d):
+    """Growth over two days before each half day: ranges that overlap."""
+    grid = ts.increase_on_grid(by_type(spark, d), W.EVENTS_START, W.EVENTS_END, "12 hours", length="2 days", steps=4)
+    return rounded(grid.drop("metric"))
+
+
 @query("tsf11_not_expired")
 def tsf11(spark, d):
     rows = W.counter(spark, d, "m", {"user": "cast(user_id as varchar(20))"})
