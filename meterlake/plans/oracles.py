@@ -68,12 +68,12 @@ _CARRY = "currency, rate_card_version, rate_card_source, pricing_scope"
 ALL = f"{NAMES}, {_MORE}, usage_class, accounting_schema"
 
 ORACLE |= {
-    "priced_usage_by_model_and_class": f"{USAGE} select model_id, usage_class, rate_card_version, round(sum(value * (price / 1000000)), 6) as value from usage join {USD} {_RATE} where {NOT_FIXTURE} group by all",
+    "priced_usage_by_model_and_class": f"{USAGE} select model_id, usage_class, rate_card_version, round(sum(value * (price / 1000000)), 9) as value from usage join {USD} {_RATE} where {NOT_FIXTURE} group by all",
     "rr01_price_card": f"select {_CARRY}, ai_agent_provider, model_id, usage_class, price as value from {card(A.USD_PER_MILLION, 'USD')}",
     "rr02_credit_card": f"select {_CARRY}, ai_agent_provider, model_id, usage_class, price as value from {card(A.CREDITS_PER_MILLION, 'credit')}",
     "rr03_rr06_token_usage": f"{USAGE} select {ALL}, value from usage",
-    "rr07_estimated_cost": f"{USAGE} select {ALL}, {_CARRY}, round(value * (price / 1000000), 6) as value, 'estimated_api_list_price' as cost_source from usage join {USD} {_RATE}",
-    "rr08_estimated_credits": f"{USAGE}, {_OWN} select {ALL}, {_CARRY}, round(value * (price / 1000000), 6) as value, 'estimated_public_codex_rate_card' as credit_source from own join {CREDIT} {_RATE}",
+    "rr07_estimated_cost": f"{USAGE} select {ALL}, {_CARRY}, round(value * (price / 1000000), 9) as value, 'estimated_api_list_price' as cost_source from usage join {USD} {_RATE}",
+    "rr08_estimated_credits": f"{USAGE}, {_OWN} select {ALL}, {_CARRY}, round(value * (price / 1000000), 9) as value, 'estimated_public_codex_rate_card' as credit_source from own join {CREDIT} {_RATE}",
     "rr09_unpriced_usage": f"{USAGE} select {ALL}, value, 'api_usd' as estimate_scope from usage anti join {USD} {_RATE}",
     "rr10_unpriced_credit_usage": f"{USAGE}, {_OWN} select {ALL}, value, 'codex_credits' as estimate_scope from own anti join {CREDIT} {_RATE}",
     "cu03_priced_coverage": f"{USAGE} select round(sum(value) filter (where price is not null) / sum(value), 6) as value from usage left join {USD} {_RATE} where {PX} and {NOT_FIXTURE}",
@@ -405,7 +405,7 @@ ORACLE |= {
             union all select agent_role, model_id, 'input_cached', cached from current where cached is not null
             union all select agent_role, model_id, 'output', output from current where output is not null
         ), rates as (select * from {card(A.USD_PER_MILLION, 'USD')})
-        select 'ai_agent_estimated_cost_usd_total' as rule, agent_role, model_id, usage_class, round(value * (price / 1000000), 6) as value from usage join rates using (model_id, usage_class)
+        select 'ai_agent_estimated_cost_usd_total' as rule, agent_role, model_id, usage_class, round(value * (price / 1000000), 9) as value from usage join rates using (model_id, usage_class)
         union all select 'ai_agent_unpriced_api_token_usage_total', agent_role, model_id, usage_class, cast(value as double) from usage anti join rates using (model_id, usage_class)""",
     "stm10_change_or_heartbeat": ORACLE["tsf10_change_or_heartbeat"],
     "stm02_turn_stream": f"{_STREAM_TURNS} select session_id, 'turn' as name, coalesce(begin, t - 1) as start_ns, greatest(t, coalesce(begin, t - 1) + 1) as end_ns from p where role = 'assistant'",

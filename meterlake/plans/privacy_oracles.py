@@ -194,7 +194,7 @@ for _profile in PROFILE_VALUES:
     ORACLE[f"prc_spans_{_profile}"] = spans(_profile)
 
 ORACLE["flt04_evaluation_branch"] = f"{spans('evaluation')} where a_openinference__span__kind is not null and coalesce({E.OPT_OUT}, true) and coalesce({E.HEADER}, 'true') <> 'false'"
-ORACLE["map14_typed_values"] = f'select {E.RESOURCE["service.name"]} as service, {E.OPT_OUT} as flag, {E.HEADER} as header, count(*) as n from events group by all'
+ORACLE["map14_typed_values"] = f'select {E.RESOURCE["service.name"]} as service, cast({E.OPT_OUT} as varchar) as flag, {E.HEADER} as header, count(*) as n from events group by all'
 
 
 # --- hooks and status line ------------------------------------------------------------------------------------------

@@ -72,7 +72,7 @@ QUERIES["trx06_trx08_samples"] = trx06
 def map14(spark: SparkSession, d: str) -> DataFrame:
     """Typed values by key: what a missing attribute, a text and a false flag count as in the routing rules."""
     s = E.spans(spark, d)
-    flag = F.col("resource")["ai_context.export.phoenix"]["boolValue"]
+    flag = F.col("resource")["ai_context.export.phoenix"]["boolValue"].cast("string")
     return s.groupBy(text(F.col("resource"), "service.name").alias("service"), flag.alias("flag"), F.col("headers")["x-ai-observability-phoenix"].alias("header")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -31,9 +31,10 @@ def query(name: str):
     return add
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six places, so that the order of additions doesn't show; times as they stand in the session's zone."""
-    plain = {"double": lambda c: F.round(c, 6), "timestamp": lambda c: F.col(c).cast("timestamp_ntz")}
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """Doubles to six places (exact costs: nine), so that the order of additions doesn't show; times as they stand in the
+    session's zone."""
+    plain = {"double": lambda c: F.round(c, places), "timestamp": lambda c: F.col(c).cast("timestamp_ntz")}
     return df.select(*(plain.get(t, F.col)(c).alias(c) for c, t in df.dtypes))
 
 
@@ -44,7 +45,7 @@ def rounded(df: DataFrame) -> DataFrame:
 def priced_usage(spark, d):
     """Estimated cost by model and class: accounting, rate join, sum."""
     cost = A.estimated(A.token_usage(W.current_tokens(spark, d)), W.prices(spark))
-    return rounded(V.sum_by(without_fixtures(cost), ["model_id", "usage_class", "rate_card_version"]))
+    return rounded(V.sum_by(without_fixtures(cost), ["model_id", "usage_class", "rate_card_version"]), 9)
 
 
 @query("rr01_price_card")
@@ -64,12 +65,12 @@ def rr03(spark, d):
 
 @query("rr07_estimated_cost")
 def rr07(spark, d):
-    return rounded(A.estimated(A.token_usage(W.current_tokens(spark, d)), W.prices(spark)))
+    return rounded(A.estimated(A.token_usage(W.current_tokens(spark, d)), W.prices(spark)), 9)
 
 
 @query("rr08_estimated_credits")
 def rr08(spark, d):
-    return rounded(A.estimated(A.one_product(A.token_usage(W.current_tokens(spark, d))), W.prices(spark, True), "credit_source", "estimated_public_codex_rate_card"))
+    return rounded(A.estimated(A.one_product(A.token_usage(W.current_tokens(spark, d))), W.prices(spark, True), "credit_source", "estimated_public_codex_rate_card"), 9)
 
 
 @query("rr09_unpriced_usage")
@@ -720,7 +721,7 @@ def stm07(spark, d):
     folder = scratch_path(spark, "rules")
     jobs.recording_rules(samples, evaluate, folder).awaitTermination()
     out = [jobs.newest_batch(spark, f"{folder}/rules/{name}").select(F.lit(name).alias("rule"), "agent_role", "model_id", "usage_class", "value") for name in ("ai_agent_estimated_cost_usd_total", "ai_agent_unpriced_api_token_usage_total")]
-    return rounded(out[0].union(out[1]))
+    return rounded(out[0].union(out[1]), 9)
 
 
 @query("stm10_change_or_heartbeat")

@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from meterlake.plans import oracles, queries
@@ -22,7 +23,7 @@ def duck():
 
 def plain(frame):
     def one(x):
-        if x is None or isinstance(x, float) and np.isnan(x):
+        if x is None or x is pd.NA or isinstance(x, float) and np.isnan(x):
             return None
         return round(x, 9) if isinstance(x, float) else x.item() if isinstance(x, np.generic) else x
 
