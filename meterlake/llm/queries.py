@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from meterlake.llm import bpe_codec, huffman, licenses, packing, pii, quality, simhash, token_counts, topk, toxicity
+from meterlake.llm import bpe_codec, collocations, huffman, licenses, packing, pii, quality, sharding, simhash, sql, token_counts, topk, toxicity, vector_codes
 from meterlake.llm.common import table
 from meterlake.sources.scratch import scratch_path
 
@@ -57,6 +58,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *(f"quality.{c}" for c in counts))
 
 
+def op11_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=8, carry=[])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), max_words=3, least=10, share=50, top=2000)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes.vector_codes(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256.0)
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the top of the repository, beside the package
 
@@ -74,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_components": op8_simhash_components,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_byte_shards": op11_byte_shards,
+    "op12_collocations": op12_collocations,
+    "op13_vector_codes": op13_vector_codes,
     "pipeline": pipeline,
 }
 
@@ -180,6 +198,9 @@ def _license_sql() -> str:
 
 ORACLE_SQL: dict[str, str] = {
     "op5_license_scan": _license_sql(),
+    "op11_byte_shards": sql.shard_sql(),
+    "op12_collocations": sql.collocation_sql(),
+    "op13_vector_codes": sql.vector_code_sql(),
     "op10_quality_rules": _quality_sql(),
     "op4_exact_topk": """
         with v as (

@@ -590,4 +590,4 @@ def test_pipeline_stages(spark, tmp_path):
 def test_top_level_queries_are_registered():
     from meterlake.llm.queries import QUERIES
 
-    assert [n.split("_")[0] for n in QUERIES] == [*(f"op{k}" for k in range(1, 11)), "pipeline"]
+    assert [n.split("_")[0] for n in QUERIES] == [*(f"op{k}" for k in range(1, 14)), "pipeline"]
