@@ -176,11 +176,9 @@ class _Block:
         return [self.rows, width, self.points.astype(f"<i{width}").tobytes(), _pack(codes), _pack(keys), _pack(places), _pack(sizes), self.rescanned, None, None]
 
     @classmethod
-    def read(cls, x: dict, dim: int, parts: list[slice], entries: int) -> "_Block":
-        points = np.frombuffer(x["points"], f"<i{x['width']}").astype(np.int64).reshape(-1, dim)
+    def read(cls, x: dict, dim: int, parts: list[slice]) -> "_Block":
         each = lambda name, kind: np.frombuffer(x[name], kind).reshape(len(parts), -1)
-        n = len(points) if dim else len(x["codes"]) // (4 * len(parts))
-        points = points if dim else np.zeros((n, 0), np.int64)
+        points = np.frombuffer(x["points"], f"<i{x['width']}").astype(np.int64).reshape(each("codes", "<u4").shape[1], dim)
         stored = zip(parts, each("codes", "<u4"), each("keys", "<f4"), each("heap_rows", "<i4"), each("sizes", "<i4"))
         return cls(x["rows"], points, [Heaps.restored(points[:, p], c.astype(np.int64), k, r, s) for p, c, k, r, s in stored], 0)
 
@@ -232,7 +230,7 @@ def _moved(state: DataFrame, dim: int, parts: list[slice], books: Codebooks) ->
         sums = _Sums(books.books)
         for batch in batches:
             for x in batch.to_pylist():
-                block = _Block.read(x, dim, parts, len(books.books[0]))
+                block = _Block.read(x, dim, parts)
                 block.rescanned = sum(h.move(b, u) for h, b, u in zip(block.heaps, books.books, books.used))
                 sums.add(block)
                 yield _state(block.row())
@@ -248,7 +246,7 @@ def _coded(state: DataFrame, dim: int, parts: list[slice], books: Codebooks, car
     def run(batches):
         for batch in batches:
             for x in batch.to_pylist():
-                block = _Block.read(x, dim, parts, len(books.books[0]))
+                block = _Block.read(x, dim, parts)
                 error = np.zeros(len(block.points), object)
                 for heaps, book, used in zip(block.heaps, books.books, books.used):
                     heaps.move(book, used)
