@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,31 +57,62 @@ def _stretched(grown: DataFrame, begin: Column, end: Column) -> DataFrame:
     return grown.withColumn("value", F.when(sampled > 0, F.col("value") * factor).otherwise(F.col("value")))
 
 
-def _growth() -> list[Column]:
-    """What a series' growth in a range needs: its steps added up, number of samples, first and last time, first value."""
-    return [F.sum("step").alias("value"), F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.min_by("value", "ts").alias("begin")]
+#: Slices that a range is cut into for summaries of growth: a series is spread over as many tasks.
+SLICES = 128
 
 
-def increase(samples: DataFrame, end, length: str, extrapolate: bool = True) -> DataFrame:
+def _micros(length: str) -> Column:
+    return F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"interval {length}"))
+
+
+def _step(value: Column, before: Column) -> Column:
+    """Growth from one sample to the next; a value below its predecessor is a restart from zero."""
+    return F.when(value < before, value).otherwise(value - before)
+
+
+def growth_summaries(samples: DataFrame, base: Column, width: Column) -> DataFrame:
+    """(series..., slice, first, last, begin, end, gain, n): what each slice of time, ``width`` microseconds from ``base`` on, knows of the
+    growth of each series: times and values of its first and last sample, growth between them, number of samples.
+
+    Slices are left-open. Summaries of one series merge in the order of their slices (``merged_growth``), so the rows of a
+    series never meet; only those of a slice do.
+    """
+    series = _series(samples)
+    nth = F.call_function("div", F.unix_micros("ts") - base - 1, width)
+    cut = samples.select(*series, "ts", "value", nth.alias("slice"))
+    before = F.lag("value").over(Window.partitionBy(*series, "slice").orderBy("ts"))
+    steps = cut.withColumn("step", _step(F.col("value"), before))
+    ends = [F.min("ts").alias("first"), F.max("ts").alias("last"), F.min_by("value", "ts").alias("begin"), F.max_by("value", "ts").alias("end")]
+    return steps.groupBy(*series, "slice").agg(*ends, F.coalesce(F.sum("step"), F.lit(0)).alias("gain"), F.count(F.lit(1)).alias("n"))
+
+
+def merged_growth(summaries: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., value, n, first, last, begin): summaries of consecutive slices added up, with the step from each slice's last
+    sample to the next one's first."""
+    before = F.lag("end").over(Window.partitionBy(*by).orderBy("slice"))
+    gain = F.col("gain") + F.coalesce(_step(F.col("begin"), before), F.lit(0))
+    out = summaries.withColumn("_gain", gain).groupBy(*by)
+    return out.agg(F.sum("_gain").alias("value"), F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), F.min_by("begin", "slice").alias("begin"))
+
+
+def increase(samples: DataFrame, end, length: str, extrapolate: bool = True, slices: int = SLICES) -> DataFrame:
     """Growth of each counter series within a range, corrected for resets; series with fewer than two samples are absent.
 
     A value below its predecessor is a restart from zero. With ``extrapolate`` the growth between the first and the
     last sample is stretched to the range: towards each end by the gap there, but by half the mean distance between
     samples if the gap is over 1.1 times that distance, and towards the start no further than to where the counter
-    would have been zero.
+    would have been zero. The range is summarised in ``slices`` slices, which are then merged.
     """
     series = _series(samples)
-    order = Window.partitionBy(*series).orderBy("ts")
-    before = F.lag("value").over(order)
-    step = F.when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before)
-    grown = span(samples, end, length).withColumn("step", step).groupBy(*series).agg(*_growth()).where("n > 1")
-    if extrapolate:
-        grown = _stretched(grown, at_time(end) - F.expr(f"interval {length}"), at_time(end))
+    begin = at_time(end) - F.expr(f"interval {length}")
+    width = F.greatest(F.lit(1), F.call_function("div", _micros(length) + slices - 1, F.lit(slices)))
+    grown = merged_growth(growth_summaries(span(samples, end, length), F.unix_micros(begin), width), series).where("n > 1")
+    grown = _stretched(grown, begin, at_time(end)) if extrapolate else grown
     return grown.select(*series, F.col("value").cast("double").alias("value"))
 
 
 def seconds_of(length: str) -> Column:
-    return (F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"interval {length}"))) / 1e6
+    return _micros(length) / 1e6
 
 
 def rate(samples: DataFrame, end, length: str, extrapolate: bool = True) -> DataFrame:
@@ -91,23 +124,23 @@ def increase_on_grid(samples: DataFrame, start, end, step: str, extrapolate: boo
     """Growth of each series in the range before each step's end (ts). The range is the step, or ``length``, which takes up to
     ``steps`` steps.
 
-    Every sample belongs to the steps whose range its time falls into: one, or at most ``steps``, so nothing is joined; one
-    window over each series and step. A step with fewer than two samples of a series is absent. ``extrapolate`` as for ``increase``.
+    Where ranges overlap, they share panes: each sample is summarised once, in a pane as wide as the greatest common part
+    of step and range, and the few panes of each range are merged. A step with fewer than two samples of a series is absent. ``extrapolate`` as for ``increase``.
     """
     series = _series(samples)
-    width = F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"interval {step}"))
-    range_ = F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"interval {length or step}"))
+    width, range_ = pd.Timedelta(step) // pd.Timedelta("1us"), pd.Timedelta(length or step) // pd.Timedelta("1us")
+    if not 0 < range_ <= width * steps:
+        raise ValueError("a range takes up to so many steps")
+    pane = math.gcd(width, range_)
     origin = F.unix_micros(at_time(start))
-    base = origin - width * (steps - 1)  # no later than the first range begins
+    base = origin - (-(-range_ // width) - 1) * width  # whole steps before the first range, no later than it begins
     rows = samples.where((F.col("ts") > F.timestamp_micros(base)) & (F.col("ts") <= at_time(end)))
-    nth = F.call_function("div", F.unix_micros("ts") - base - 1, width) + 1
-    each = F.explode(F.sequence(nth, nth + (steps - 1))) if steps > 1 else nth
-    rows = rows.withColumn("_nth", each).withColumn("step_end", F.timestamp_micros(base + F.col("_nth") * width)).drop("_nth")
-    inside = (F.col("ts") > F.timestamp_micros(F.unix_micros("step_end") - range_)) & (F.col("step_end") > at_time(start)) & (F.col("step_end") <= at_time(end))
-    rows = rows.where(inside) if steps > 1 else rows
-    before = F.lag("value").over(Window.partitionBy(*series, "step_end").orderBy("ts"))
-    grown = rows.withColumn("step", F.when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before))
-    out = grown.groupBy(*series, "step_end").agg(*_growth()).where("n > 1")
+    panes = growth_summaries(rows, base, F.lit(pane))
+    per_step, per_range = width // pane, range_ // pane
+    ends = F.sequence(F.call_function("div", F.col("slice"), F.lit(per_step)) + 1, F.call_function("div", F.col("slice") + per_range - 1, F.lit(per_step)) + 1) if range_ != width else F.array(F.col("slice") + 1)
+    each = panes.withColumn("_nth", F.explode(ends)).where(F.col("slice") >= F.col("_nth") * per_step - per_range)
+    each = each.withColumn("step_end", F.timestamp_micros(base + F.col("_nth") * width)).where((F.col("step_end") > at_time(start)) & (F.col("step_end") <= at_time(end)))
+    out = merged_growth(each, [*series, "step_end"]).where("n > 1")
     out = _stretched(out, F.timestamp_micros(F.unix_micros("step_end") - range_), F.col("step_end")) if extrapolate else out
     return out.select(*series, F.col("step_end").alias("ts"), F.col("value").cast("double").alias("value"))
 

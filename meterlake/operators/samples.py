@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.sources.otlp import text_of
+from meterlake.sources.scratch import scratch_path
 
 DELTA = 1
 
@@ -48,19 +49,19 @@ def to_long(points: DataFrame) -> DataFrame:
 
 
 def reaggregate(long: DataFrame) -> DataFrame:
-    """Points that have become one series by losing attributes are added up (gauges: the greatest stays)."""
+    """Points that have become one series by losing attributes are added up (gauges: the greatest stays); cells of
+    histograms only where their bounds agree."""
     total = F.when(F.first("kind") == "gauge", F.max("value")).otherwise(F.sum("value"))
     add = F.aggregate(F.collect_list("bucket_counts"), F.array().cast("array<bigint>"), lambda a, b: F.zip_with(a, b, lambda x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0))))
-    return long.groupBy("metric", "series", "kind", "temporality", "time_ns", "ts").agg(
-        F.any_value("labels").alias("labels"), total.alias("value"), F.sum("count").alias("count"), add.alias("bucket_counts"), F.any_value("bounds").alias("bounds")
-    )
+    out = long.groupBy("metric", "series", "kind", "temporality", "time_ns", "ts", "bounds").agg(F.any_value("labels").alias("labels"), total.alias("value"), F.sum("count").alias("count"), add.alias("bucket_counts"))
+    return out.select(long.columns)
 
 
 def to_samples(long: DataFrame, labels: list[str]) -> DataFrame:
     """(metric, labels..., le, ts, value): numbers as they are, histograms as _bucket by upper bound (cumulative), _sum, _count.
 
     ``labels`` become columns, null where a series lacks them. Delta points become running totals in time order, for
-    each series and bucket on its own: one window over all rows, whose groups are single series, so no array grows.
+    each series and bucket on its own, in two levels (``running_sum``), so a long series is spread over its days.
     """
     own = ["metric", "labels", "series", "time_ns", "ts", ((F.col("kind") != "gauge") & (F.coalesce("temporality", F.lit(2)) == DELTA)).alias("delta")]
     none = F.lit(None).cast("string").alias("le")
@@ -72,6 +73,9 @@ def to_samples(long: DataFrame, labels: list[str]) -> DataFrame:
     named = lambda df, suffix: df.withColumn("metric", F.concat("metric", F.lit(suffix)))
     rows = numbers.unionByName(named(h.select(*own, F.inline(cells)), "_bucket"))
     rows = rows.unionByName(named(h.select(*own, none, "value"), "_sum")).unionByName(named(h.select(*own, none, F.col("count").cast("double").alias("value")), "_count"))
-    running = Window.partitionBy("metric", "series", "le").orderBy("time_ns").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.when(F.col("delta"), F.sum("value").over(running)).otherwise(F.col("value"))
+    day = F.call_function("div", F.col("time_ns"), F.lit(86_400_000_000_000))
+    path = scratch_path(rows.sparkSession, "samples")
+    rows.write.option("compression", "zstd").parquet(path)  # read twice by the running sum
+    rows = running_sum(rows.sparkSession.read.schema(rows.schema).parquet(path), ["metric", "series", "le"], ["time_ns"], "value", day, "_sum")
+    total = F.when(F.col("delta"), F.col("_sum")).otherwise(F.col("value"))
     return rows.select("metric", *(F.col("labels")[k].alias(k) for k in labels), "le", "ts", total.alias("value"))
