@@ -27,6 +27,8 @@ VOCABULARY_WORDS = 1_000_000
 #: Bytes of text for each range of prefixes; a range is merged in one task, in steps of at most MERGE_NODES nodes.
 RANGE_BYTES = 16 << 20
 MERGE_NODES = 2_000_000
+#: So many languages are sent to every task; more are joined by a shuffle.
+FEW_LANGUAGES = 10_000
 #: Stands between pieces: no byte of UTF-8.
 MARK = 0xFF
 #: Lower-cases A-Z, puts the mark in place of what ends a piece: [.,;:!?] and \n \v \f \r.
@@ -297,8 +299,9 @@ def collocations(docs: DataFrame, max_words: int = 3, least: int = 10, share: in
     left = scored.join(inner, ["lang", "phrase"], "left").where(F.col("_longer").isNull() | (100 * F.col("_longer") < share * F.col("a")))
     left = left.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score").withColumn("_one", F.lit(1).cast("long"))
     placed = prefix_sums(left, [F.col("lang"), -F.col("score"), -F.col("a"), F.col("phrase")], "_one", "ranked").drop("_before", "_all")
-    first = placed.groupBy("lang").agg(F.min("_rank").alias("_first"))
-    ranked = placed.join(first.join(n, "lang"), "lang").withColumn("rank", F.col("_rank") - F.col("_first") + 1)
+    by_lang = placed.groupBy("lang").agg(F.min("_rank").alias("_first")).join(n, "lang")
+    few = n.limit(FEW_LANGUAGES + 1).count() <= FEW_LANGUAGES
+    ranked = placed.join(F.broadcast(by_lang) if few else by_lang, "lang").withColumn("rank", F.col("_rank") - F.col("_first") + 1)
     ranked = ranked if top is None else ranked.where(F.col("rank") <= top)
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
