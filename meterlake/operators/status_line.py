@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,28 +60,49 @@ def status_text(snapshot: DataFrame) -> Column:
     return F.when((width > 8) & (F.length(line) >= width), F.concat(F.substring(line, F.lit(1), F.greatest(F.lit(1), width - 2)), F.lit("…"))).otherwise(line)
 
 
-def emitted(rows: DataFrame, key: list[str], heartbeat_ns: int = HEARTBEAT_NS) -> DataFrame:
-    """Rows (key..., time_ns, fingerprint) that are sent on: the fingerprint differs from the one before, or the last
-    row that was sent is at least the heartbeat ago.
+def passed(rows: DataFrame, key: list[str], heartbeat_ns: int = HEARTBEAT_NS) -> DataFrame:
+    """(key..., time_ns, fingerprint, sent_ns, last) of rows (key..., time_ns, fingerprint, sent_ns): those sent on (``sent_ns`` is their
+    time) and, with ``last``, once more the last row of each key with the time of the last one sent.
 
-    The second rule depends on what was sent, so Spark sorts the rows of each key by time (rows of one time by
-    fingerprint) and a task goes through them once, batch by batch, keeping only what it saw and sent last.
+    A row with ``sent_ns`` is such a last row of an earlier run: it isn't sent again. Spark sorts the rows of each key by time
+    (rows of one time by fingerprint) and a task goes through them once, batch by batch, keeping only what it saw and sent last.
     """
     beat, width = max(1_000_000_000, heartbeat_ns), len(key)
+    columns = [*key, "time_ns", "fingerprint"]
+    kinds = dict(rows.dtypes)
 
     def send(batches):
-        now = before = last = None
+        now = before = at = last = None
+
+        def table(found, schema):
+            arrays = [pa.array(list(x), schema.field(n).type) for n, x in enumerate(zip(*(r[: width + 2] for r in found)))]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array([r[-2] for r in found], pa.int64()), pa.array([r[-1] for r in found])], [*columns, "sent_ns", "last"])
+
+        schema = None
         for batch in batches:
-            chosen = []
-            for n, row in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
-                own, time, mark = row[:width], row[width], row[width + 1]
-                if own != now or mark != before or time - last >= beat:
-                    chosen.append(n)
+            schema, found = batch.schema, []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                own, time, mark, sent = row[:width], row[width], row[width + 1], row[width + 2]
+                if own != now and now is not None:
+                    found.append((*now, at, before, last, True))
+                if sent is not None:
+                    last = sent
+                elif own != now or mark != before or time - last >= beat:
                     last = time
-                now, before = own, mark
-            yield batch.take(chosen)
+                    found.append((*own, time, mark, time, False))
+                now, at, before = own, time, mark
+            if found:
+                yield table(found, schema)
+        if now is not None:
+            yield table([(*now, at, before, last, True)], schema)
 
-    columns = [*key, "time_ns", "fingerprint"]
-    kinds = dict(rows.dtypes)
-    ordered = rows.select(*columns).repartition(*key).sortWithinPartitions(*columns)
-    return ordered.mapInArrow(send, ", ".join(f"`{c}` {kinds[c]}" for c in columns)).select(*key, "fingerprint", "time_ns")
+    # a carried row comes first among rows of its time
+    ordered = rows.select(*columns, "sent_ns").repartition(*key).sortWithinPartitions(*key, "time_ns", F.col("sent_ns").isNull(), "fingerprint")
+    return ordered.mapInArrow(send, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "sent_ns bigint, last boolean"]))
+
+
+def emitted(rows: DataFrame, key: list[str], heartbeat_ns: int = HEARTBEAT_NS) -> DataFrame:
+    """Rows (key..., fingerprint, time_ns) that are sent on: the fingerprint differs from the one before, or the last row that
+    was sent is at least the heartbeat ago."""
+    seen = passed(rows.select(*key, "time_ns", "fingerprint", F.lit(None).cast("bigint").alias("sent_ns")), key, heartbeat_ns)
+    return seen.where("not last").select(*key, "fingerprint", "time_ns")

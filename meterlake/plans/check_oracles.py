@@ -67,5 +67,13 @@ ORACLE: dict[str, str] = {
     "snk03_spans_by_date": "select '1970-01-01' as date, case when value > 20 then 2 else 1 end as status_code, count(*) as n from events group by all",
     "src08_scrapes": "select 'up' as metric, event_type as instance, count(*) as n, cast(sum(case when value > 20 then 1 else 0 end) as double) as up from events group by all",
     "stm05_windows": "select event_type as event_name, date_trunc('day', ts) as ts, count(*) as value from events where date_trunc('day', ts) + interval '1 day' <= (select max(ts) from events) - interval '48 hours' group by all",
+    "stm05_sliding_windows": """
+        with e as (select event_type as event_name, unnest(range(0, 6)) as k, ts from events), w as (select event_name, date_trunc('hour', ts) + interval '1 hour' * (k + 1) as ts from e)
+        select event_name, ts, count(*) as value from w where ts <= (select max(ts) from events) - interval '48 hours' group by all""",
+    "tsf11_series_ends": """
+        with g as (select *, case when ts - lag(ts) over w < interval '30 minutes' then 0 else 1 end as new from events window w as (partition by user_id order by ts)
+        ), l as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as life from g)
+        select user_id, min(ts) as first, max(ts) as last, max_by(value, (ts, value)) as value, count(*) as n from l group by user_id, life
+        having max(ts) + interval '30 minutes' <= (select max(ts) from events)""",
     "stm11_unique_events": "select event_type, count(*) as n from events group by all",
 }

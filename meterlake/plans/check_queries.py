@@ -259,6 +259,22 @@ def stm05(spark, d):
     return out.select("event_name", F.col("ts").cast("timestamp_ntz").alias("ts"), "value")
 
 
+@query("stm05_sliding_windows")
+def stm05_sliding(spark, d):
+    """Streaming: events of the last six hours, every hour; overlapping windows share the hours' counts."""
+    rows = jobs.read_table_stream(spark, d, "events").select(F.col("event_type").alias("event_name"), F.col("ts").cast("timestamp").alias("ts"))
+    out = jobs.run_available(jobs.events_by_sliding_window(rows, "6 hours", "1 hour", late="48 hours"))
+    return out.select("event_name", F.col("ts").cast("timestamp_ntz").alias("ts"), "value")
+
+
+@query("tsf11_series_ends")
+def tsf11_ends(spark, d):
+    """Streaming: a user's series ends half an hour after its last event, and starts anew with the next."""
+    rows = jobs.read_table_stream(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    out = jobs.run_available(jobs.series_ends(rows, ["user_id"], "30 minutes"))
+    return out.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("first", "last")), "value", "n")
+
+
 @query("stm11_unique_events")
 def stm11(spark, d):
     """Streaming: every event sent twice counts once."""

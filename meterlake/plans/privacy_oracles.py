@@ -5,6 +5,18 @@ from __future__ import annotations
 from meterlake.operators import privacy_names as N
 from meterlake.operators.canonical import COPIES, PROFILE_VALUES, RAW_KEYS, REQUEST_METRIC, SERVICES, UNKNOWN_SERVICE
 from meterlake.plans import envelopes as E
+from meterlake.plans import privacy_queries as P
+
+#: Steps of the hook protocol: open invocations and first-seen times by recursion-free windows over runs between stops.
+_STEPS = "with e as (select " + ", ".join(f"{v} as {k}" for k, v in P.HOOKS.items()) + """ from events), r as (
+            select *, conversation_id as c, time_ns as ns, coalesce(sum(case when event = 'Stop' then 1 else 0 end) over (partition by conversation_id order by time_ns rows between unbounded preceding and 1 preceding), 0) as run,
+                   coalesce(max_by(model, time_ns) filter (where model <> 'unknown') over (partition by conversation_id order by time_ns), 'unknown') as known, coalesce(fully_idle, false) as idle,
+                   case event when 'Stop' then coalesce(termination_reason, '') = 'error' or trim(coalesce(error, '')) <> '' when 'PostToolUse' then trim(coalesce(error, '')) <> '' else false end as bad from e
+        ), p as (
+            select *, min(ns) over (partition by c, run) as first, lag(event) over i as prior, lag(ns) over i as prior_ns from r window i as (partition by c, run, invocation_num, event in ('PreInvocation', 'PostInvocation') order by ns)
+        ), s as (
+            select *, case when event = 'Stop' then first when prior = 'PreInvocation' then prior_ns else ns end as start_ns from p
+        )"""
 
 ORACLE: dict[str, str] = {}
 
@@ -212,17 +224,20 @@ ORACLE |= {
     "flt09_content_sizes": f"""{_HOOKS}
         select 'ai_agent.observed.user_prompt.bytes' as metric, cast(null as varchar) as tool_id, count(*) as n, cast(sum(strlen(text)) as bigint) as bytes from e where role = 'user'
         union all select 'ai_agent.observed.mcp_tool_response.bytes', 'files', count(*), cast(sum(strlen('{{"a":' || length(text) || ',"b":' || turn || '}}')) as bigint) from e where role = 'assistant' and turn % 3 = 2""",
-    "prc05_invocations": """
-        with e as (
-            select cast(user_id as varchar) as c, event_id * 1000000 as ns, value > 20 as failed, case event_type when 'view' then 'pre' when 'click' then 'post' when 'error' then 'stop' end as kind
-            from events where event_type in ('view', 'click', 'error')
-        ), runs as (
-            select *, coalesce(sum(case when kind = 'stop' then 1 else 0 end) over (partition by c order by ns rows between unbounded preceding and 1 preceding), 0) as run from e
-        ), paired as (
-            select *, min(ns) over (partition by c, run) as first, max(ns) filter (where kind = 'pre') over (partition by c, run order by ns rows between unbounded preceding and 1 preceding) as pre from runs
-        ), ends as (select *, case when kind = 'stop' then first else coalesce(pre, ns) end as start_ns from paired where kind <> 'pre')
-        select c as conversation_id, case when kind = 'stop' then 'antigravity.agent.execution' else 'antigravity.agent.invocation' end as name, start_ns, greatest(ns, start_ns + 1) as end_ns,
-               (ns - start_ns) // 1000000 as duration_ms, not (kind = 'stop' and failed) as success from ends""",
+    "prc05_invocations": f"""{_STEPS} select c as conversation_id, case when event = 'Stop' then 'antigravity.agent.execution' else 'antigravity.agent.invocation' end as name, known as model, start_ns,
+               greatest(ns, start_ns + 1) as end_ns, (ns - start_ns) // 1000000 as duration_ms, not (event = 'Stop' and bad) as success from s where event in ('PostInvocation', 'Stop')""",
+    "prc05_lifecycle_logs": f"""{_STEPS}
+        select c as conversation_id, ns as time_ns, case event when 'PreInvocation' then 'antigravity.invocation.started' when 'PostInvocation' then 'antigravity.invocation.completed' when 'PostToolUse' then 'antigravity.tool.completed' else 'antigravity.execution.stopped' end as event_name,
+               case when bad then 'ERROR' else 'INFO' end as severity, case event when 'PostToolUse' then 'tool_use' when 'Stop' then 'agent_execution' else 'model_invocation' end as operation,
+               case event when 'PreInvocation' then 'pre_invocation' when 'PostInvocation' then 'post_invocation' when 'PostToolUse' then 'post_tool_use' else 'stop' end as stage,
+               case event when 'PreInvocation' then 'started' when 'Stop' then case when idle then 'idle' else 'background_active' end else 'completed' end as state,
+               case event when 'PostInvocation' then 'success' when 'PostToolUse' then case when bad then 'error' else 'success' end when 'Stop' then coalesce(termination_reason, 'unknown') end as outcome,
+               case event when 'PostToolUse' then case when bad then 'tool_error' else 'none' end when 'Stop' then case when bad then 'system_error' else 'none' end end as error_category,
+               case when event in ('PostInvocation', 'Stop') then (ns - start_ns) // 1000000 end as duration_ms, case when event <> 'PreInvocation' then not bad end as success,
+               case when event in ('PreInvocation', 'PostInvocation') then invocation_num when event = 'Stop' then execution_num end as number, case when event in ('PreInvocation', 'PostInvocation') then coalesce(initial_steps, 0) end as initial_steps,
+               case when event = 'PostToolUse' then case operation when 'dancing' then 'other-tool' else operation end end as tool_category, case when event = 'PostToolUse' then coalesce(step_idx, 0) end as step_index,
+               case when event = 'Stop' then idle end as fully_idle, known as model
+        from s where event <> 'Notification'""",
     "trx11_status_gauges": """
         with s as (
             select *, case when event_id % 3 <> 0 then 'gemini' else 'Gemini/1' end as model, least(100, greatest(0, value - 10)) as used from events
@@ -265,3 +280,5 @@ ORACLE |= {
         )
         select session, fingerprint, time_ns from walk where sent""",
 }
+
+ORACLE |= {"prc05_hook_stream": ORACLE["prc05_invocations"], "prc05_log_stream": ORACLE["prc05_lifecycle_logs"]}

@@ -14,7 +14,8 @@ from meterlake.plans.pipelines import evaluation_spans, process
 from meterlake.plans.views import table
 from meterlake.sources import otlp
 from meterlake.sources.schemas import STATUS_LINE
-from meterlake.streaming import jobs
+from meterlake.sources.scratch import scratch_path
+from meterlake.streaming import carried, jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 PROFILES = ("core", "evaluation", "corporate")
@@ -91,7 +92,9 @@ def prc04(spark: SparkSession, d: str) -> DataFrame:
 def stm02(spark: SparkSession, d: str) -> DataFrame:
     """Streaming: turns and tools from hook lines, by keyed state."""
     events = otlp.hook_events(E.hook_lines(jobs.read_table_stream(spark, d, "conversations")))
-    return jobs.run_available(jobs.turn_stream(events)).select("session_id", "name", "tool_use_id", "start_ns", "end_ns")
+    folder = scratch_path(spark, "tools")
+    carried.turn_stream(events, folder).awaitTermination()
+    return spark.read.parquet(f"{folder}/ends").select("session_id", "name", "tool_use_id", "start_ns", "end_ns")
 
 
 def flt09(spark: SparkSession, d: str) -> DataFrame:
@@ -100,14 +103,50 @@ def flt09(spark: SparkSession, d: str) -> DataFrame:
     return sized.groupBy("metric", "tool_id").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
 
 
+#: SQL of the events of the other hook protocol over events; both engines use it.
+HOOKS = {
+    "event": "case event_type when 'view' then 'PreInvocation' when 'click' then 'PostInvocation' when 'error' then 'Stop' when 'purchase' then 'PostToolUse' else 'Notification' end",
+    "conversation_id": "cast(user_id as varchar(20))",
+    "model": "case event_id % 4 when 0 then 'gemini' when 1 then 'unknown' end",
+    "invocation_num": "event_id % 2",
+    "initial_steps": "case when event_id % 3 <> 0 then event_id % 5 end",
+    "step_idx": "case when event_id % 7 <> 0 then event_id % 9 end",
+    "operation": "case event_id % 3 when 0 then 'file-operation' when 1 then 'search-operation' else 'dancing' end",
+    "execution_num": "user_id % 6",
+    "termination_reason": "case when value > 20 then 'error' when event_id % 3 <> 0 then 'done' end",
+    "error": "case user_id % 3 when 0 then 'boom' when 1 then ' ' end",
+    "fully_idle": "case when event_id % 5 <> 0 then event_id % 2 = 0 end",
+    "time_ns": "event_id * 1000000",
+}
+
+
+def hook_protocol(rows: DataFrame) -> DataFrame:
+    return sessions.hook_columns(rows.selectExpr(*(f"{e} as {k}" for k, e in HOOKS.items())))
+
+
 def prc05(spark: SparkSession, d: str) -> DataFrame:
     """Invocations and executions of the other hook protocol over events: views open, clicks close, errors stop."""
-    name = F.when(F.col("event_type") == "view", "PreInvocation").when(F.col("event_type") == "click", "PostInvocation").when(F.col("event_type") == "error", "Stop")
-    e = table(spark, d, "events").select(
-        name.alias("event"), F.col("user_id").cast("string").alias("conversation_id"), F.lit(1).alias("invocation_num"), F.lit(1).alias("execution_num"), (F.col("event_id") * 1_000_000).alias("time_ns"),
-        F.when(F.col("value") > 20, "error").alias("termination_reason"), F.lit(None).cast("string").alias("error"),
-    ).where("event is not null")
-    return sessions.invocation_spans(e).select("conversation_id", "name", "start_ns", "end_ns", "duration_ms", "success")
+    spans = sessions.invocation_spans(hook_protocol(table(spark, d, "events")))
+    return spans.select("conversation_id", "name", "model", "start_ns", "end_ns", "duration_ms", "success")
+
+
+def prc05_logs(spark: SparkSession, d: str) -> DataFrame:
+    """A log for each invocation's start and end, each tool's end and each stop."""
+    return sessions.lifecycle_logs(hook_protocol(table(spark, d, "events")))
+
+
+def prc05_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Streaming: the spans of ``prc05``, batch by batch."""
+    folder = scratch_path(spark, "hooks")
+    carried.hook_stream(hook_protocol(jobs.read_table_stream(spark, d, "events")), folder).awaitTermination()
+    return spark.read.parquet(f"{folder}/spans").select("conversation_id", "name", "model", "start_ns", "end_ns", "duration_ms", "success")
+
+
+def prc05_log_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Streaming: the logs of ``prc05_logs``, batch by batch."""
+    folder = scratch_path(spark, "hooks")
+    carried.hook_stream(hook_protocol(jobs.read_table_stream(spark, d, "events")), folder).awaitTermination()
+    return spark.read.parquet(f"{folder}/logs").drop("batch")
 
 
 def snapshots(spark: SparkSession, d: str) -> DataFrame:
@@ -138,6 +177,9 @@ QUERIES |= {
     "stm02_tool_stream": stm02,
     "flt09_content_sizes": flt09,
     "prc05_invocations": prc05,
+    "prc05_lifecycle_logs": prc05_logs,
+    "prc05_hook_stream": prc05_stream,
+    "prc05_log_stream": prc05_log_stream,
     "trx11_status_gauges": trx11,
     "map18_safe_snapshots": map18,
     "prc06_sent_snapshots": prc06,

@@ -17,7 +17,7 @@ from meterlake.plans import catalog as C
 from meterlake.plans import check_queries, privacy_queries
 from meterlake.plans import views as W
 from meterlake.sources.scratch import scratch_path
-from meterlake.streaming import jobs
+from meterlake.streaming import carried, jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -705,21 +705,21 @@ def stm09(spark, d):
 
 @query("stm07_rules_by_batch")
 def stm07(spark, d):
-    """Streaming: the accounting rules, evaluated after each batch of lines over all that has arrived."""
+    """Streaming: the accounting rules, evaluated after each batch of lines over the current value of each series."""
     orders = W.table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_custkey")
     lines = jobs.read_table_stream(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.col("l_quantity").cast("bigint").alias("tokens"))
     kind = F.when(F.col("l_linenumber") % 3 == 0, "cached_input").when(F.col("l_linenumber") % 3 == 1, "input").otherwise("output")
     joined = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"])
-    samples = joined.select(F.expr(W.TOKEN_LABELS["agent_role"]).alias("agent_role"), F.when(F.col("l_returnflag") == "R", "gpt-5.6-sol").otherwise("other").alias("model_id"), kind.alias("token_type"), "tokens")
+    samples = joined.select(F.expr(W.TOKEN_LABELS["agent_role"]).alias("agent_role"), F.when(F.col("l_returnflag") == "R", "gpt-5.6-sol").otherwise("other").alias("model_id"), kind.alias("token_type"), F.timestamp_seconds(F.lit(0)).alias("ts"), F.col("tokens").alias("value"))
 
-    def evaluate(sofar):
+    def evaluate(series):
         fixed = {"metric": "ai_agent_turn_token_usage_sum", "ai_agent_provider": "openai", "ai_agent_product": "codex", "model_family": "gpt", "evidence_class": "provider-reported", "service_namespace": "live"}
-        current = sofar.groupBy("agent_role", "model_id", "token_type").agg(F.sum("tokens").cast("double").alias("value")).withColumns({k: F.lit(v) for k, v in fixed.items()})
+        current = series.withColumns({k: F.lit(v) for k, v in fixed.items()})
         rules = A.recording_rules(current, A.rate_card(spark), A.rate_card(spark, A.CREDITS_PER_MILLION, unit="credit"))
         return {name: rules[name] for name in ("ai_agent_estimated_cost_usd_total", "ai_agent_unpriced_api_token_usage_total")}
 
     folder = scratch_path(spark, "rules")
-    jobs.recording_rules(samples, evaluate, folder).awaitTermination()
+    jobs.recording_rules(samples, ["agent_role", "model_id", "token_type"], evaluate, folder, fold="sum").awaitTermination()
     out = [jobs.newest_batch(spark, f"{folder}/rules/{name}").select(F.lit(name).alias("rule"), "agent_role", "model_id", "usage_class", "value") for name in ("ai_agent_estimated_cost_usd_total", "ai_agent_unpriced_api_token_usage_total")]
     return rounded(out[0].union(out[1]), 9)
 
@@ -728,7 +728,9 @@ def stm07(spark, d):
 def stm10(spark, d):
     """Streaming twin of the change-or-heartbeat rule."""
     rows = jobs.read_table_stream(spark, d, "events").select(F.col("user_id").cast("string").alias("session"), F.when(F.col("value") > 15, "high").otherwise("low").alias("fingerprint"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("time_ns"))
-    return jobs.run_available(jobs.emitted_stream(rows, "session", 86_400_000_000_000)).select("session", "fingerprint", "time_ns")
+    folder = scratch_path(spark, "sent")
+    carried.emitted_stream(rows, "session", folder, 86_400_000_000_000).awaitTermination()
+    return spark.read.parquet(f"{folder}/sent").select("session", "fingerprint", "time_ns")
 
 
 @query("stm02_turn_stream")
@@ -739,7 +741,9 @@ def stm02(spark, d):
         F.when(F.col("role") == "user", "UserPromptSubmit").otherwise("Stop").alias("hook_event_name"), F.concat_ws("/", "conv_id", F.call_function("div", F.col("turn"), F.lit(2))).alias("session_id"), F.lit("t").alias("turn_id"),
         F.lit(None).cast("string").alias("tool_use_id"), (F.col("conv_id") * 3600 + F.col("turn") * 60).cast("bigint").alias("time_ns"),
     )
-    return jobs.run_available(jobs.turn_stream(events)).select("session_id", "name", "start_ns", "end_ns")
+    folder = scratch_path(spark, "turns")
+    carried.turn_stream(events, folder).awaitTermination()
+    return spark.read.parquet(f"{folder}/ends").select("session_id", "name", "start_ns", "end_ns")
 
 
 QUERIES |= privacy_queries.QUERIES | check_queries.QUERIES

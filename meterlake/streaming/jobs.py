@@ -1,17 +1,16 @@
-"""Structured Streaming: micro-batched ingest, watermarked windows, keyed state, rules by batch."""
+"""Structured Streaming: micro-batched ingest, watermarked windows, running totals, rules by batch."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from meterlake.operators.samples import running_sum
 from meterlake.sources.scratch import scratch_path
+from meterlake.streaming.series import SeriesTable
 
 TRIGGER = "2 seconds"
 #: Input that one batch of a stored table takes.
@@ -37,19 +36,33 @@ def events_by_window(events: DataFrame, size: str, late: str = "336 hours", name
     return counted.select(name, F.col("w.start").alias("ts"), "value")
 
 
-def unique_events(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
-    """Each key once within the watermark: replays of the at-most-once senders do no harm."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+def events_by_sliding_window(events: DataFrame, size: str, slide: str, late: str = "336 hours", name: str = "event_name") -> DataFrame:
+    """(name, ts, value): events counted in windows of ``size`` that end every ``slide``; ``ts`` is the window's end.
+
+    Events are counted in panes as wide as the slide, and the windows that share a pane add up its count, so state holds
+    counts of panes and windows, not events, and no event is copied to each window. Rows later than the watermark are
+    left out; a window is given out once the watermark has passed its end.
+    """
+    panes = events.withWatermark("ts", late).groupBy(F.window("ts", slide).alias("pane"), name).agg(F.count(F.lit(1)).alias("n"))
+    timed = panes.select(name, F.window_time("pane").alias("ts"), "n")
+    summed = timed.groupBy(F.window("ts", size, slide).alias("w"), name).agg(F.sum("n").alias("value"))
+    return summed.select(name, F.col("w.end").alias("ts"), "value")
 
 
-def _idle(idle: str | None):
-    """(timeout kind, milliseconds) of a time without data after which state is dropped.
+def series_ends(samples: DataFrame, key: list[str], after: str = "30 minutes", late: str = "0 seconds") -> DataFrame:
+    """(key..., first, last, value, n): each life of a series, once it has been silent for ``after``.
 
-    Such a timeout keeps a query busy, so a run over what is available (which must end) takes None: state stays.
+    A series that comes back starts a new life. ``value`` is its last one. State is one row for each series that lives; it goes
+    out when the watermark, ``late`` behind the newest sample, has passed ``after`` the series' last sample.
     """
-    if idle is None:
-        return GroupStateTimeout.NoTimeout, None
-    return GroupStateTimeout.ProcessingTimeTimeout, int(pd.Timedelta(idle).total_seconds() * 1000)
+    lives = samples.withWatermark("ts", late).groupBy(F.session_window("ts", after).alias("life"), *key)
+    out = lives.agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.max_by("value", F.struct("ts", "value")).alias("value"), F.count(F.lit(1)).alias("n"))
+    return out.select(*key, "first", "last", "value", "n")
+
+
+def unique_events(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
+    """Each key once within the watermark: replays of the at-most-once senders do no harm."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
 def running_totals(points: DataFrame, key: list[str], folder: str, trigger: str | None = None):
@@ -77,22 +90,21 @@ def running_totals(points: DataFrame, key: list[str], folder: str, trigger: str
     return rules_by_batch(points.select(*kinds), add, f"{folder}/checkpoint", trigger)
 
 
-def recording_rules(samples: DataFrame, evaluate: Callable[[DataFrame], dict[str, DataFrame]], folder: str, trigger: str | None = None):
-    """Evaluates recording rules over all samples that have arrived, once a batch: started stream.
+def recording_rules(samples: DataFrame, key: list[str], evaluate: Callable[[DataFrame], dict[str, DataFrame]], folder: str, fold: str = "last", trigger: str | None = None, compact_every: int = 10, keep: str | None = None):
+    """Evaluates recording rules over the current value of every series, once a batch: started stream.
 
-    The samples of a batch and the rules' results (``folder``/rules/<name>/batch=n) are written under its number.
-    ``evaluate`` gets the samples so far and returns a table for each rule.
+    ``samples`` has (key..., ts, value); a ``SeriesTable`` under ``folder``/series takes in each batch, so what a batch reads is
+    the series and a few changelogs, not what arrived before. ``evaluate`` gets (key..., ts, value) and returns a table for
+    each rule, written to ``folder``/rules/<name>/batch=n under the number of the batch.
     """
-    schema = samples.schema
+    kinds = dict(samples.dtypes)
 
     def step(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{folder}/samples/batch={n}")
-        sofar = spark.read.schema(schema).parquet(*(f"{folder}/samples/batch={k}" for k in range(n + 1)))
-        for name, table in evaluate(sofar).items():
+        series = SeriesTable(batch.sparkSession, f"{folder}/series", {k: kinds[k] for k in key}, fold, compact_every, keep)
+        for name, table in evaluate(series.merge(batch, n)).items():
             table.write.mode("overwrite").parquet(f"{folder}/rules/{name}/batch={n}")
 
-    return rules_by_batch(samples, step, f"{folder}/checkpoint", trigger)
+    return rules_by_batch(samples.select(*key, "ts", "value"), step, f"{folder}/checkpoint", trigger)
 
 
 def newest_batch(spark, path: str) -> DataFrame:
@@ -108,67 +120,6 @@ def scrapes(spark, path: str, schema: str, max_files: int | None = 1000) -> Data
     return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).json(path)
 
 
-def emitted_stream(rows: DataFrame, key: str, heartbeat_ns: int = 60_000_000_000) -> DataFrame:
-    """Streaming twin of the change-or-heartbeat rule over (key, time_ns, fingerprint): state is what was sent last."""
-    beat = max(1_000_000_000, heartbeat_ns)
-
-    def send(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before, last = state.get if state.exists else (None, 0)
-        sent = []
-        for row in pd.concat(list(frames)).sort_values("time_ns", kind="stable").itertuples(index=False):
-            if row.fingerprint != before or row.time_ns - last >= beat:
-                sent.append((group[0], row.fingerprint, row.time_ns))
-                last = row.time_ns
-            before = row.fingerprint
-        state.update((before, int(last)))
-        yield pd.DataFrame(sent, columns=[key, "fingerprint", "time_ns"])
-
-    return rows.select(key, "time_ns", "fingerprint").groupBy(key).applyInPandasWithState(send, f"{key} string, fingerprint string, time_ns bigint", "fingerprint string, last bigint", "append", GroupStateTimeout.NoTimeout)
-
-
-def turn_stream(events: DataFrame, idle: str | None = None) -> DataFrame:
-    """Streaming twin of the turn sessioniser: (session_id, turn_id, tool_use_id, name, start_ns, end_ns) of each end.
-
-    State of a turn: its start and the starts of its open tools, as JSON; it goes with Stop or, if given, after ``idle``.
-    """
-    import json
-
-    kind, idle_ms = _idle(idle)
-
-    def pair(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        open_ = json.loads(state.get[0]) if state.exists else {"turn": None, "tools": {}}
-        ended, out = False, []
-        for e in pd.concat(list(frames)).sort_values("time_ns", kind="stable").itertuples(index=False):
-            tool, now = e.tool_use_id or "unknown-tool", int(e.time_ns)
-            if e.hook_event_name == "UserPromptSubmit":
-                open_["turn"] = now
-            elif e.hook_event_name == "PreToolUse":
-                open_["tools"][tool] = now
-            elif e.hook_event_name == "PostToolUse":
-                start = open_["tools"].pop(tool, now - 1)
-                out.append((*group, tool, "tool", start, max(now, start + 1)))
-            elif e.hook_event_name == "Stop":
-                start = open_["turn"] if open_["turn"] is not None else now - 1
-                out.append((*group, None, "turn", start, max(now, start + 1)))
-                open_, ended = {"turn": None, "tools": {}}, True
-                continue
-            ended = False
-        if ended:
-            state.remove()
-        else:
-            state.update((json.dumps(open_),))
-            if idle_ms:
-                state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=["session_id", "turn_id", "tool_use_id", "name", "start_ns", "end_ns"])
-
-    own = events.select("session_id", "turn_id", "tool_use_id", "hook_event_name", "time_ns")
-    schema = "session_id string, turn_id string, tool_use_id string, name string, start_ns bigint, end_ns bigint"
-    return own.groupBy("session_id", "turn_id").applyInPandasWithState(pair, schema, "open string", "append", kind)
-
-
 def read_table_stream(spark, sf_dir: str, name: str, max_files: int | None = None, max_bytes: int = BATCH_BYTES) -> DataFrame:
     """A stored table as a stream of its files, with the schema of the stored files; a batch takes at most ``max_files``
     files or, if that isn't given, ``max_bytes`` of them, so the rows of one key in a batch are bounded.

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from meterlake.operators import sessions, sinks, status_line, traces
 from meterlake.sources.otlp import hook_events
 from meterlake.sources.schemas import STATUS_LINE
-from meterlake.streaming import jobs
+from meterlake.streaming import carried, jobs
 
 HOOKS = [
     {"hook_event_name": "UserPromptSubmit", "session_id": "s", "turn_id": "t", "model": "gpt-5.6-sol", "prompt": "né", "time_ns": 1_000},
@@ -77,9 +77,8 @@ def test_streams_equal_batches(spark, tmp_path):
         (tmp_path / "hooks").mkdir(exist_ok=True)
         (tmp_path / "hooks" / f"{n}.json").write_text("\n".join(map(json.dumps, part)))
     raw = spark.readStream.text(str(tmp_path / "hooks"))
-    q = jobs.append_stream(jobs.turn_stream(hook_events(raw)), str(tmp_path / "out"), str(tmp_path / "check"))
-    q.awaitTermination(120)
-    streamed = sorted((r.session_id, r.name, r.start_ns, r.end_ns) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    carried.turn_stream(hook_events(raw), str(tmp_path / "out")).awaitTermination(120)
+    streamed = sorted((r.session_id, r.name, r.start_ns, r.end_ns) for r in spark.read.parquet(str(tmp_path / "out" / "ends")).collect())
     batch = sessions.turn_spans(hook_events(lines(spark, HOOKS)))
     assert streamed == sorted((r.session_id, "tool" if r.span_kind == "TOOL" else "turn", r.start_ns, r.end_ns) for r in batch.collect())
 
@@ -99,7 +98,8 @@ def test_running_totals_emission_and_windows_as_streams(spark, tmp_path):
     jobs.running_totals(read(), ["k"], str(tmp_path / "totals")).awaitTermination(120)
     totals = spark.read.parquet(str(tmp_path / "totals" / "out"))
     assert sorted(r.value for r in totals.collect()) == [1, 2, 3, 4, 5]
-    sent = run("sent", jobs.emitted_stream(read().select("k", "time_ns", "fingerprint"), "k", 30 * 10**9))
+    carried.emitted_stream(read().select("k", "time_ns", "fingerprint"), "k", str(tmp_path / "sent"), 30 * 10**9).awaitTermination(120)
+    sent = spark.read.parquet(str(tmp_path / "sent" / "sent"))
     batch = status_line.emitted(spark.read.schema(schema).json(str(src)), ["k"], 30 * 10**9)
     assert sorted(r.time_ns for r in sent.collect()) == sorted(r.time_ns for r in batch.collect()) == [t * 10**9 for t in (1, 3, 4, 59)]
     seen = []
