@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from meterlake.llm.common import column, materialize
 from meterlake.llm.sharding import prefix_sums
 
-#: Words that a task counts before its trie is cut and sent: some 200 MB of arrays.
-RUN_WORDS = 3_000_000
+#: Words that a task counts before its trie is cut and sent: some 150 MB of arrays.
+RUN_WORDS = 2_000_000
 #: Distinct words of a task's vocabulary before all its tries are sent and words are numbered anew.
 VOCABULARY_WORDS = 1_000_000
 #: Bytes of text for each range of prefixes; a range is merged in one task, in steps of at most MERGE_NODES nodes.
