@@ -30,10 +30,47 @@ def safe_snapshot(rows: DataFrame) -> DataFrame:
     )
 
 
+def _rounded_number(value: Column) -> Column:
+    """A number of four or six places as the shortest JSON number that reads back as it, in plain notation."""
+    return F.regexp_replace(F.regexp_replace(value.cast("decimal(24,6)").cast("string"), "0+$", ""), r"\.$", ".0")
+
+
+def canonical_snapshot(snapshot: DataFrame) -> Column:
+    """The snapshot as JSON without blanks, keys sorted at every level: nested usage, quotas by name; without its time, session and
+    display width."""
+    plain = {"agent_state", "artifact_count", "exceeds_200k_tokens", "execution_mode", "model", "pending_input_count", "task_count", "tool_confirmation_pending", "total_input", "total_output"}
+    text = {"agent_state", "execution_mode", "model"}
+    quote = lambda c: F.concat(F.lit('"'), c, F.lit('"'))  # noqa: E731  texts are safe: no quotes, backslashes or control characters
+    cells = {k: quote(F.col(k)) if k in text else F.col(k).cast("string") for k in plain}
+    usage = [F.concat(F.lit(f'"{k}":'), F.col(k).cast("string")) for k in ("cache_creation", "cache_read", "input", "output")]
+    cells["current"] = F.concat(F.lit("{"), F.concat_ws(",", *usage), F.lit("}"))
+    quotas = F.transform(F.array_sort(F.map_entries("quota")), lambda e: F.concat(quote(e["key"]), F.lit(":"), _rounded_number(e["value"])))
+    cells["quota"] = F.concat(F.lit("{"), F.array_join(quotas, ","), F.lit("}"))
+    cells["used_percentage"] = _rounded_number(F.col("used_percentage"))
+    return F.concat(F.lit("{"), F.concat_ws(",", *(F.concat(F.lit(f'"{k}":'), cells[k]) for k in sorted(cells))), F.lit("}"))
+
+
 def fingerprint(snapshot: DataFrame) -> Column:
-    """SHA-256 of the snapshot as JSON with sorted columns and keys, without its time, session and display width."""
-    own = sorted(c for c in snapshot.columns if c not in ("session", "time_ns", "terminal_width", "quota"))
-    return F.sha2(F.to_json(F.struct(*own, F.array_sort(F.map_entries("quota")).alias("quota"))), 256)
+    """SHA-256 of the canonical JSON: equal for snapshots that show the same."""
+    return F.sha2(canonical_snapshot(snapshot), 256)
+
+
+def sent_snapshots(snapshots: DataFrame, heartbeat_ns: int = HEARTBEAT_NS) -> DataFrame:
+    """Safe snapshots that are sent on: their fingerprint has changed, or the session's last one sent is a heartbeat ago.
+
+    Snapshots of one session, time and fingerprint are one.
+    """
+    marked = snapshots.withColumn("fingerprint", fingerprint(snapshots))
+    chosen = emitted(marked.select("session", "time_ns", "fingerprint"), ["session"], heartbeat_ns)
+    return marked.join(chosen, ["session", "time_ns", "fingerprint"], "left_semi").dropDuplicates(["session", "time_ns", "fingerprint"])
+
+
+def status_logs(sent: DataFrame) -> DataFrame:
+    """The one log row that goes beside the gauges of a snapshot that is sent."""
+    return sent.select(
+        "session", "time_ns", F.lit("antigravity.status.changed").alias("event_name"), F.lit("INFO").alias("severity"), F.lit("status_update").alias("operation"), F.col("execution_mode").alias("stage"), F.col("agent_state").alias("state"),
+        "model", F.col("total_input").alias("input_tokens"), F.col("total_output").alias("output_tokens"), F.col("cache_read").alias("cached_input_tokens"), "fingerprint",
+    )
 
 
 def gauges(snapshot: DataFrame) -> DataFrame:

@@ -65,6 +65,10 @@ ORACLE: dict[str, str] = {
         union all select 'lines', 'm_' || event_type, count(*), round(sum(value), 4) from events group by all""",
     "snk02_logs_by_stream": f"select coalesce({E.RESOURCE['service.name']}, 'unknown-ai-client') as service_name, coalesce({E.RESOURCE['service.namespace']}, '') as service_namespace, count(*) as n, max(event_id * 1000) as newest from events group by all",
     "snk03_spans_by_date": "select '1970-01-01' as date, case when value > 20 then 2 else 1 end as status_code, count(*) as n from events group by all",
+    "stm08_counted_drops": "select event_type, cast(sum(case when event_type = 'error' then 0 else 1 end) as bigint) as delivered, cast(sum(case when event_type = 'error' then 1 else 0 end) as bigint) as dropped, event_type = 'error' as retried from events group by event_type",
+    "snk04_evaluation_stores": f"""
+        with s as (select event_type as span, case when value > 20 then 2 else 1 end as status_code, event_id % 5 <> 0 and coalesce({E.OPT_OUT}, true) and coalesce({E.HEADER}, 'true') <> 'false' as chosen from events)
+        select 'traces' as store, span, status_code, count(*) as n from s group by all union all select 'evaluation', span, status_code, count(*) from s where chosen group by all""",
     "src08_scrapes": "select 'up' as metric, event_type as instance, count(*) as n, cast(sum(case when value > 20 then 1 else 0 end) as double) as up from events group by all",
     "stm05_windows": "select event_type as event_name, date_trunc('day', ts) as ts, count(*) as value from events where date_trunc('day', ts) + interval '1 day' <= (select max(ts) from events) - interval '48 hours' group by all",
     "stm05_sliding_windows": """

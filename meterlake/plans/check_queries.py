@@ -14,10 +14,10 @@ from meterlake.operators import checks, contracts, privacy, samples, sinks
 from meterlake.operators.canonical import COPIES, typed
 from meterlake.plans import envelopes as E
 from meterlake.plans import views as W
-from meterlake.plans.pipelines import process
+from meterlake.plans.pipelines import evaluation_spans, process
 from meterlake.sources import config, otlp
 from meterlake.sources.scratch import scratch_path
-from meterlake.streaming import jobs
+from meterlake.streaming import delivery, jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -242,6 +242,32 @@ def snk03(spark, d):
     return spark.read.parquet(path).groupBy(F.col("date").cast("string").alias("date"), "status_code").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _sent_to(name: str, chunk) -> None:
+    """A destination as the delivery queries have it: that of errors is down."""
+    if chunk.column("event_type")[0].as_py() == "error":
+        raise ConnectionError(name)
+
+
+@query("stm08_counted_drops")
+def stm08(spark, d):
+    """Streaming: events to a destination for each type; what can't be delivered until the deadline is dropped and counted."""
+    folder = scratch_path(spark, "deliveries")
+    rows = jobs.read_table_stream(spark, d, "events").select("event_id", "event_type", "value")
+    delivery.delivering_stream(rows, _sent_to, "event_type", folder, queue=1024, first_pause=0.01, deadline=0.03).awaitTermination()
+    return delivery.delivery_report(spark, folder, "event_type").select("event_type", "delivered", "dropped", (F.col("retried") > 0).alias("retried"))
+
+
+@query("snk04_evaluation_stores")
+def snk04(spark, d):
+    """Streaming: spans of documents to the trace store and, those that qualify, to the evaluation store, committed batch by batch."""
+    folder = scratch_path(spark, "span-stores")
+    spans = E.span_stream(spark, d)
+    sinks_ = {"traces": lambda t: process(t, "spans", "evaluation"), "evaluation": evaluation_spans}
+    delivery.fan_out_stream(spans, sinks_, folder).awaitTermination()
+    each = [spark.read.parquet(f"{folder}/{name}").select(F.lit(name).alias("store"), F.col("name").alias("span"), "status_code") for name in sinks_]
+    return each[0].union(each[1]).groupBy("store", "span", "status_code").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("src08_scrapes")
 def src08(spark, d):
     """Scraped samples as files of JSON lines, taken up by a stream and stored."""

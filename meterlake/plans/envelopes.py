@@ -105,8 +105,7 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return otlp.logs(otlp.read_envelopes(spark, folder, "logs"))
 
 
-def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans with one event each, parsed from documents."""
+def _span_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     start, end = time_ns(), (F.col("event_id") * 1000 + 500).cast("string")
     event = F.struct(start.alias("timeUnixNano"), F.lit("e").alias("name"), _attributes(SPAN_EVENT).alias("attributes"))
     status = F.struct(F.when(F.col("value") > 20, 2).otherwise(1).alias("code"), F.col("event_type").alias("message"))
@@ -114,8 +113,19 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.md5(F.col("event_id").cast("string")).alias("traceId"), F.substring(F.md5(F.col("event_id").cast("string")), 1, 16).alias("spanId"), F.lit("st").alias("traceState"), F.col("event_type").alias("name"), F.lit(1).alias("kind"),
         start.alias("startTimeUnixNano"), end.alias("endTimeUnixNano"), _attributes(SPAN).alias("attributes"), F.array(event).alias("events"), status.alias("status"),
     )
-    documents = _document(table(spark, sf_dir, "events"), "resourceSpans", "scopeSpans", "spans", span, **{"ai_context.export.phoenix": OPT_OUT})
-    return otlp.spans(otlp.render_fixture(documents, "traces", 0))
+    return _document(table(spark, sf_dir, "events"), "resourceSpans", "scopeSpans", "spans", span, **{"ai_context.export.phoenix": OPT_OUT})
+
+
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans with one event each, parsed from documents."""
+    return otlp.spans(otlp.render_fixture(_span_documents(spark, sf_dir), "traces", 0))
+
+
+def span_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of ``spans`` as a stream of document files."""
+    folder = scratch_path(spark, "span-documents")
+    _span_documents(spark, sf_dir).write.text(folder)
+    return otlp.spans(otlp.read_envelopes(spark, folder, "traces", streaming=True))
 
 
 def listed(bag: str) -> Column:

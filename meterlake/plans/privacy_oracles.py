@@ -18,6 +18,20 @@ _STEPS = "with e as (select " + ", ".join(f"{v} as {k}" for k, v in P.HOOKS.item
             select *, case when event = 'Stop' then first when prior = 'PreInvocation' then prior_ns else ns end as start_ns from p
         )"""
 
+#: Snapshots that are sent: fingerprints of their canonical JSON, then the change-or-heartbeat rule as a walk.
+_SENT = """with recursive e as (
+            select user_id, cast(user_id as varchar) as session, event_id * 1000000000 as time_ns, case when event_type in ('click', 'view') then 'busy' else 'idle' end as state, value > 200 as big,
+                   case when least(100, greatest(0, value - 10)) > 20 then 20.5 else 0.0 end::double as used, row_number() over (partition by user_id order by event_id) as k from events
+        ), f as (
+            select *, sha256('{"agent_state":"' || state || '","artifact_count":0,"current":{"cache_creation":0,"cache_read":7,"input":0,"output":0},"exceeds_200k_tokens":' || big || ',"execution_mode":"unknown","model":"gemini","pending_input_count":0,'
+                   || '"quota":{"daily":' || case when big then '0.0' else '1.0' end || ',"weekly":0.9378},"task_count":0,"tool_confirmation_pending":false,"total_input":' || user_id * 3 || ',"total_output":' || user_id || ',"used_percentage":' || used || '}') as fingerprint from e
+        ), walk as (
+            select *, time_ns as last, true as chosen from f where k = 1
+            union all
+            select f.*, case when f.fingerprint <> w.fingerprint or f.time_ns - w.last >= 1000000000000 then f.time_ns else w.last end, f.fingerprint <> w.fingerprint or f.time_ns - w.last >= 1000000000000
+            from walk w join f on f.session = w.session and f.k = w.k + 1
+        ), sent as (select * from walk where chosen)"""
+
 ORACLE: dict[str, str] = {}
 
 
@@ -265,20 +279,20 @@ ORACLE |= {
             select *, 'AGY ' || model || ' | ' || agent_state || ' | ctx ' || printf('%.1f', round(used_percentage, 1)) || '% | in ' || total_input || ' out ' || total_output as whole from s
         )
         select time_ns, session, model, agent_state, 'unknown' as execution_mode, total_input, used_percentage, task_count, exceeds_200k_tokens, case when length(whole) >= 30 then substr(whole, 1, 28) || '…' else whole end as line from t""",
-    "prc06_sent_snapshots": """
-        with recursive e as (
-            select cast(user_id as varchar) as session, (case when event_id % 3 <> 0 then 'gemini' else 'Gemini/1' end) || '/' || event_type || '/' || (value > 200) as fingerprint, event_id * 1000000000 as time_ns,
-                   row_number() over (partition by user_id order by event_id) as k
-            from events
-        ), walk as (
-            select session, fingerprint, time_ns, k, time_ns as last, true as sent from e where k = 1
-            union all
-            select e.session, e.fingerprint, e.time_ns, e.k,
-                   case when e.fingerprint <> w.fingerprint or e.time_ns - w.last >= 1000000000000 then e.time_ns else w.last end,
-                   e.fingerprint <> w.fingerprint or e.time_ns - w.last >= 1000000000000
-            from walk w join e on e.session = w.session and e.k = w.k + 1
-        )
-        select session, fingerprint, time_ns from walk where sent""",
+    "prc06_sent_snapshots": f"""{_SENT}
+        select session, time_ns, 'antigravity.status.changed' as event_name, 'INFO' as severity, 'status_update' as operation, 'unknown' as stage, state, 'gemini' as model, user_id * 3 as input_tokens, user_id as output_tokens,
+               cast(7 as bigint) as cached_input_tokens, fingerprint from sent""",
+    "prc06_sent_gauges": f"""{_SENT}, g as (
+            select session, unnest([
+                {{'metric': 'antigravity_session_tokens', 'token_type': 'input', 'state': null, 'type': null, 'v': user_id * 3.0}}, {{'metric': 'antigravity_session_tokens', 'token_type': 'output', 'state': null, 'type': null, 'v': user_id * 1.0}},
+                {{'metric': 'antigravity_context_tokens', 'token_type': 'input', 'state': null, 'type': null, 'v': 0.0}}, {{'metric': 'antigravity_context_tokens', 'token_type': 'output', 'state': null, 'type': null, 'v': 0.0}},
+                {{'metric': 'antigravity_context_tokens', 'token_type': 'cache_creation', 'state': null, 'type': null, 'v': 0.0}}, {{'metric': 'antigravity_context_tokens', 'token_type': 'cache_read', 'state': null, 'type': null, 'v': 7.0}},
+                {{'metric': 'antigravity_context_used_ratio', 'token_type': null, 'state': null, 'type': null, 'v': used / 100.0}}, {{'metric': 'antigravity_background_task_count', 'token_type': null, 'state': state, 'type': null, 'v': 0.0}},
+                {{'metric': 'antigravity_artifact_count', 'token_type': null, 'state': null, 'type': null, 'v': 0.0}}, {{'metric': 'antigravity_context_exceeds_200k', 'token_type': null, 'state': null, 'type': null, 'v': case when big then 1.0 else 0.0 end}},
+                {{'metric': 'antigravity_pending_input_count', 'token_type': null, 'state': null, 'type': null, 'v': 0.0}}, {{'metric': 'antigravity_tool_confirmation_pending', 'token_type': null, 'state': null, 'type': null, 'v': 0.0}},
+                {{'metric': 'antigravity_quota_remaining_ratio', 'token_type': null, 'state': null, 'type': 'weekly', 'v': 0.9378}}, {{'metric': 'antigravity_quota_remaining_ratio', 'token_type': null, 'state': null, 'type': 'daily', 'v': case when big then 0.0 else 1.0 end}}
+            ]) as p from sent)
+        select session, p.metric as metric, p.token_type as token_type, p.state as state, p.type as type, count(*) as n, round(sum(cast(p.v as double)), 4) as value from g group by all""",
 }
 
 ORACLE |= {"prc05_hook_stream": ORACLE["prc05_invocations"], "prc05_log_stream": ORACLE["prc05_lifecycle_logs"]}

@@ -165,11 +165,25 @@ def map18(spark: SparkSession, d: str) -> DataFrame:
     return s.select("time_ns", "session", "model", "agent_state", "execution_mode", "total_input", F.round("used_percentage", 4).alias("used_percentage"), "task_count", "exceeds_200k_tokens", status_line.status_text(s).alias("line"))
 
 
+def steady(snapshots: DataFrame) -> DataFrame:
+    """Snapshots that often show the same as the one before: counts of the session alone, few states; times in seconds."""
+    zero, session = F.lit(0).cast("bigint"), F.col("session").cast("bigint")
+    return snapshots.withColumns({
+        "time_ns": F.col("time_ns") * 1_000_000, "total_input": session * 3, "total_output": session, "input": zero, "output": zero, "task_count": zero,
+        "agent_state": F.when(F.col("agent_state").isin("click", "view"), "busy").otherwise("idle"), "model": F.lit("gemini"), "used_percentage": F.when(F.col("used_percentage") > 20, 20.5).otherwise(0.0),
+        "quota": F.create_map(F.lit("weekly"), F.lit(0.9378), F.lit("daily"), F.when(F.col("exceeds_200k_tokens"), 0.0).otherwise(1.0)),
+    })
+
+
 def prc06(spark: SparkSession, d: str) -> DataFrame:
-    """Snapshots that are sent: changed in state or model, or a second after the last one sent."""
-    s = snapshots(spark, d)
-    mark = F.concat_ws("/", "model", "agent_state", F.col("exceeds_200k_tokens").cast("string"))
-    return status_line.emitted(s.select("session", (F.col("time_ns") * 1_000_000).alias("time_ns"), mark.alias("fingerprint")), ["session"], 1_000_000_000_000)
+    """The log rows of snapshots that are sent: changed by their fingerprint, or a thousand seconds after the last one sent."""
+    return status_line.status_logs(status_line.sent_snapshots(steady(snapshots(spark, d)), 1_000_000_000_000))
+
+
+def prc06_gauges(spark: SparkSession, d: str) -> DataFrame:
+    """The gauges of the snapshots that are sent."""
+    g = status_line.gauges(status_line.sent_snapshots(steady(snapshots(spark, d)), 1_000_000_000_000))
+    return g.groupBy("session", "metric", "token_type", "state", "type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value"))
 
 
 QUERIES |= {
@@ -183,4 +197,5 @@ QUERIES |= {
     "trx11_status_gauges": trx11,
     "map18_safe_snapshots": map18,
     "prc06_sent_snapshots": prc06,
+    "prc06_sent_gauges": prc06_gauges,
 }

@@ -39,3 +39,9 @@ def discard(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
     except Exception:  # noqa: BLE001  the gateway may be gone at exit
         return
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in any file system that Hadoop knows."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

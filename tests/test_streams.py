@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from meterlake.operators import accounting as A
 from meterlake.operators import sessions, status_line
-from meterlake.streaming import carried, jobs
+from meterlake.streaming import carried, delivery, jobs
 from meterlake.streaming.series import SeriesTable
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -199,3 +199,76 @@ def test_sliding_windows_and_series_ends_in_batches(spark, tmp_path):
     assert got == Counter({x: n for x, n in want.items() if x[1] <= at(600 - 45)})
     ends = sorted((r.k, (r["first"].replace(tzinfo=timezone.utc) - T0).total_seconds() / 60, (r["last"].replace(tzinfo=timezone.utc) - T0).total_seconds() / 60, r.value, r.n) for r in run("ends", jobs.series_ends(stream, ["k"], "30 minutes", "45 minutes")))
     assert ends == [("a", 0, 12, 3.0, 2), ("a", 70, 70, 4.0, 1), ("a", 200, 200, 6.0, 1), ("b", 5, 31, 5.0, 2), ("b", 201, 201, 7.0, 1)]
+
+
+# --- delivery and stores ----------------------------------------------------------------------------------------------
+
+
+def flaky(folder, failures):
+    """A destination that fails so many times for each chunk, then keeps it under its name."""
+    os.makedirs(folder, exist_ok=True)
+
+    def send(name, chunk):
+        tries = f"{folder}/{name}.tries"
+        with open(tries, "a") as f:
+            f.write("x")
+        if os.path.getsize(tries) <= failures[chunk.column("where")[0].as_py()]:
+            raise TimeoutError(name)
+        with open(f"{folder}/{name}.ids", "w") as f:
+            f.write(" ".join(map(str, chunk.column("n").to_pylist())))
+
+    return send
+
+
+def received(folder):
+    return sorted(int(x) for name in os.listdir(folder) if name.endswith(".ids") for x in open(f"{folder}/{name}").read().split())
+
+
+def test_flaky_destinations_lose_nothing_within_the_deadline(spark, tmp_path):
+    rows = [(n, ["up", "slow", None, "down"][n % 4], "x" * (n % 50)) for n in range(1000)]
+    df = spark.createDataFrame(rows, "n long, where string, text string").repartition(3)
+    folder = str(tmp_path / "sink")
+    out = delivery.deliver(df, flaky(folder, {"up": 0, "slow": 2, None: 1, "down": 10**6}), "where", "b0", queue=40, first_pause=0.001, deadline=0.3).collect()
+    assert received(folder) == [n for n, where, _ in rows if where != "down"]
+    assert all(r.n <= 40 and (r.sent, r.attempts, r.error) == {"up": (True, 1, None), "slow": (True, 3, None), None: (True, 2, None)}.get(r["where"], (False, r.attempts, "TimeoutError")) for r in out)
+    assert sum(r.n for r in out if not r.sent) == 250 and len({r.chunk for r in out}) == len(out)
+    tiny = delivery.deliver(df.where("where = 'up'").coalesce(1), flaky(folder + "2", {"up": 0}), "where", queue_bytes=600).collect()
+    assert sum(r.n for r in tiny) == 250 and max(r.n for r in tiny) < 40  # bytes bound a queue as well
+    assert delivery.deliver(df.limit(0), flaky(folder, {}), "where").count() == 0
+
+
+def test_a_repeated_batch_delivers_under_the_same_names(spark, tmp_path):
+    schema = "n long, where string"
+    batches = [[(n, "up") for n in range(30)], [(n, "down") for n in range(30, 50)]]
+    stream = in_files(spark, tmp_path / "src", batches, schema)
+    out = str(tmp_path / "out")
+    delivery.delivering_stream(stream, flaky(str(tmp_path / "sink"), {"up": 1, "down": 99}), "where", out, queue=7, first_pause=0.001, deadline=0.01).awaitTermination(300)
+    assert {tuple(r) for r in delivery.delivery_report(spark, out, "where").select("where", "delivered", "dropped").collect()} == {("up", 30, 0), ("down", 0, 20)}
+    names = sorted(r.chunk for r in spark.read.parquet(f"{out}/deliveries").collect())
+    again = delivery.deliver(spark.createDataFrame(batches[0], schema).coalesce(1), flaky(str(tmp_path / "sink"), {"up": 0}), "where", "0", queue=7)
+    assert sorted(r.chunk for r in again.collect()) == [n for n in names if n.startswith("0-")]
+    assert received(str(tmp_path / "sink")) == list(range(30))  # chunks of one name replace each other
+
+
+def test_a_failed_store_is_repeated_without_doubling_the_others(spark, tmp_path):
+    schema = "n long, where string"
+    batches = [[(n, "a") for n in range(5)], [(n, "b") for n in range(5, 12)], [(n, "c") for n in range(12, 15)]]
+    stream = in_files(spark, tmp_path / "src", batches, schema)
+    out, broken, written = str(tmp_path / "out"), [True], []
+
+    def first(t):
+        written.append(t.agg(F.min("n")).first()[0])
+        return t
+
+    def second(t):
+        if t.where("where = 'b'").count() and broken:
+            broken.clear()
+            return t.select(F.raise_error(F.lit("the second store is down")).alias("n"), "where")
+        return t.where("n % 2 = 0")
+
+    with pytest.raises(Exception, match="second store"):
+        delivery.fan_out_stream(stream, {"first": first, "second": second}, out).awaitTermination(300)
+    delivery.fan_out_stream(stream, {"first": first, "second": second}, out).awaitTermination(300)
+    assert sorted(r.n for r in spark.read.parquet(f"{out}/first").collect()) == list(range(15))
+    assert sorted(r.n for r in spark.read.parquet(f"{out}/second").collect()) == list(range(0, 15, 2))
+    assert written == [0, 5, 12]  # the store that had batch 1 wasn't written again
