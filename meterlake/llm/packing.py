@@ -8,6 +8,7 @@ its rank among the pieces of its length, so nothing that grows with the corpus l
 from __future__ import annotations
 
 import logging
+import random
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -27,8 +28,10 @@ from meterlake.llm.tokens import LibraryEncoder
 logger = logging.getLogger(__name__)
 
 CAPACITY = 2048
-#: Fillings that the whole branch-and-bound search takes or looks at: its only limit.
-SEARCH_NODES = 20_000
+#: Fillings that the branch-and-bound search takes or looks at before it starts anew, and how often it does; the only limits.
+SEARCH_NODES, RESTARTS = 20_000, 24
+#: A new start looks at a fifth of the fillings and takes up to so many of the best fillings of a bin in another order.
+VARIED = 3
 #: Deepest frames of the search that keep their place in the list of fillings; others find it anew.
 KEPT_FRAMES = 128
 
@@ -126,18 +129,45 @@ class Packing(NamedTuple):
     proven: bool
 
 
-def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = SEARCH_NODES) -> list[tuple[list[int], int]]:
+def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int | None = SEARCH_NODES, restarts: int = RESTARTS) -> list[tuple[list[int], int]]:
     """The bins of ``packing_of``."""
-    return packing_of(histogram, capacity, nodes).bins
+    return packing_of(histogram, capacity, nodes, restarts).bins
 
 
-def packing_of(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = SEARCH_NODES) -> Packing:
+def varied(found: Iterator[list[int]], rng: random.Random | None) -> Iterator[list[int]]:
+    """``found`` in its order or, with ``rng``, the first few of it (at most VARIED) in another order before the rest."""
+    if rng is None:
+        yield from found
+        return
+    some = list(islice(found, rng.randint(1, VARIED)))
+    rng.shuffle(some)
+    yield from some
+    yield from found
+
+
+def packing_of(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int | None = SEARCH_NODES, restarts: int = RESTARTS) -> Packing:
+    """The best packing of one search of ``nodes`` fillings and, while fewer bins aren't ruled out, of up to ``restarts`` searches of a
+    fifth of that, each with the fillings of a bin in another order (the same in every run). With ``nodes`` None the first search goes on until it is proven.
+
+    A search only varies the bins it fills last before its nodes are used up; those it fills first are varied by starting anew.
+    """
+    best = _searched(histogram, capacity, nodes, None)
+    for seed in range(restarts):
+        if best.proven:
+            break
+        found = _searched(histogram, capacity, nodes // 5, random.Random(seed))
+        if found.proven or sum(n for _, n in found.bins) < sum(n for _, n in best.bins):
+            best = found
+    return best
+
+
+def _searched(histogram: dict[int, int], capacity: int, nodes: int | None, rng: random.Random | None) -> Packing:
     """Branch-and-bound over fillings around the largest piece left.
 
     A node takes one undominated filling as often as the counts allow, and when all were tried, each fewer times. Waste
     so far may not exceed what a better solution than the incumbent can waste in all (incumbent bins - 1, times
     capacity, minus all lengths); the search ends at ``lower_bound``, when nothing is left to try, or after ``nodes``
-    fillings with the best solution so far; only then is it not proven.
+    fillings (None: never) with the best solution so far; only then is it not proven.
     """
     histogram = {x: n for x, n in histogram.items() if n > 0}
     if any(not 0 < x <= capacity for x in histogram):
@@ -155,7 +185,7 @@ def packing_of(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int =
         first = max(counts)
         rest = {x: n - (x == first) for x, n in counts.items() if n > (x == first)}
         for fewer in (False, True):
-            for found in fillings(rest, capacity - first, limit):
+            for found in varied(fillings(rest, capacity - first, limit), rng):
                 filling = [first, *found]
                 most = min(counts[x] // filling.count(x) for x in set(filling))
                 yield from ((filling, k) for k in (range(most - 1, 0, -1) if fewer else [most]))
@@ -164,7 +194,7 @@ def packing_of(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int =
 
     if histogram and best_bins > bound:
         frames.append([histogram, 0, 0, 0, None])
-    while frames and nodes > 0 and best_bins > bound:
+    while frames and nodes != 0 and best_bins > bound:
         top = frames[-1]
         counts, waste, bins, taken, rest = top
         if rest is None:
@@ -176,7 +206,7 @@ def packing_of(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int =
                 path.pop()
             continue
         top[3] += 1
-        nodes -= 1
+        nodes = None if nodes is None else nodes - 1
         wasted = waste + times * (capacity - sum(filling))
         if not times or wasted > (best_bins - 1) * capacity - total:
             continue
@@ -194,7 +224,7 @@ def packing_of(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int =
         frames.append([left, wasted, bins + times, 0, None])
         if len(frames) > KEPT_FRAMES:
             frames[-1 - KEPT_FRAMES][4] = None
-    return Packing(best, bound, best_bins == bound or not frames)
+    return Packing(best, bound, best_bins == bound or not frames and rng is None)  # a varied search may skip fillings
 
 
 def plan_rows(solution: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int, int, int, int]]:
@@ -247,22 +277,22 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int | None, capacity:
     return id_and_text(docs).mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int | None = 0, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int | None = 0, capacity: int = CAPACITY, with_ids: bool = False, nodes: int | None = SEARCH_NODES, restarts: int = RESTARTS) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids: little-endian u32].
 
     A document is the library's ids of its whole text (null: empty) and ``end_id``; only longer ones than ``capacity``
     are cut, into pieces of ``capacity`` with a shorter last one. Each sequence holds pieces without gaps from offset
     0. With ``end_id`` None an empty text has no piece. Null ids are kept; repeated rows are packed each; an empty
-    table gives no rows; other columns are ignored. The number of sequences is that of ``bin_completion`` over the
-    histogram of all lengths, at most ``capacity`` rows, the only thing that the driver gets.
+    table gives no rows; other columns are ignored. The number of sequences is that of ``packing_of`` over the
+    histogram of all lengths, at most ``capacity`` rows, the only thing that the driver gets; ``nodes`` None searches until no fewer are possible.
     """
     spark = docs.sparkSession
     pieces = materialize(token_pieces(docs, vocabulary, end_id, capacity, with_ids), "pieces")
     by_part = materialize(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     histogram = {r.length: r.n for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    found = packing_of(histogram, capacity)
+    found = packing_of(histogram, capacity, nodes, restarts)
     if not found.proven:
-        logger.warning("packing: %d sequences; any packing needs %d; the search ended after %d fillings", sum(n for _, n in found.bins), found.bound, SEARCH_NODES)
+        logger.warning("packing: %d sequences; any packing needs %d; %d searches ended before fewer were ruled out", sum(n for _, n in found.bins), found.bound, restarts + 1)
     plan = spark.createDataFrame(plan_rows(found.bins), "length long, first_rank long, end_rank long, copies long, place long, sequence long")
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = by_part.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))

@@ -591,3 +591,28 @@ def test_top_level_queries_are_registered():
     from meterlake.llm.queries import QUERIES
 
     assert [n.split("_")[0] for n in QUERIES] == [*(f"op{k}" for k in range(1, 14)), "pipeline"]
+
+
+def test_new_starts_vary_what_a_search_fills_first(monkeypatch):
+    """Searches that end early are followed by varied ones; the best of all counts, and every packing is whole."""
+    r, seen = random.Random(8), []
+    sizes = [min(512, max(20, int(r.lognormvariate(5.0, 0.7)))) for _ in range(300)]
+    h = {x: sizes.count(x) for x in set(sizes)}
+    plain = packing._searched
+
+    def counted(histogram, capacity, nodes, rng):
+        seen.append((nodes, rng is None))
+        return plain(histogram, capacity, nodes, rng)._replace(proven=len(seen) == 4)
+
+    monkeypatch.setattr(packing, "_searched", counted)
+    found = packing.packing_of(h, 512, 100, 9)
+    assert seen == [(100, True)] + [(20, False)] * 3 and found.proven
+    assert sorted(x for f, n in found.bins for x in f * n) == sorted(sizes) and all(sum(f) <= 512 for f, _ in found.bins)
+    monkeypatch.undo()
+    for seed in range(4):
+        one = packing._searched(h, 512, 300, random.Random(seed))
+        assert sorted(x for f, n in one.bins for x in f * n) == sorted(sizes) and all(sum(f) <= 512 for f, _ in one.bins)
+    for _ in range(500):
+        items = [r.randint(10, 60) for _ in range(r.randint(1, 9))]
+        whole = packing.packing_of({x: items.count(x) for x in set(items)}, 100, None)
+        assert whole.proven and sum(n for _, n in whole.bins) == fewest_bins(items, 100)
