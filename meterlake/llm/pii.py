@@ -94,16 +94,17 @@ _HAS_NUMBER = re.compile(rf"(?i){_NUMBER}{_GAP}(?:{_BETWEEN}{_GAP})?(?:{_NUMBER}
 _BRACKETED = re.compile(r"(?i)[\x20]{0,2}[\[({<][\x20]?(at|ät|@|dot|punkt|punto|arroba|arr?obase|period|point|\.)[\x20]?[\])}>][\x20]{0,2}")
 
 
-#: Dots on each side of the at sign of a disguised address; a bound, so that no text takes time that grows with its square.
-ADDRESS_CUTS = 8
-
-
 def _worded(at: str, dot: str, but: str = "") -> str:
-    """An address with the words ``at`` and ``dot``; it ends in two or more letters of one case, and www is a host."""
+    """An address with the words ``at`` and ``dot`` and any number of dots; it ends in two or more letters of one case, and www is a host.
+
+    A match can't begin behind a dot in words, and what stands before the at sign is taken whole or not at all, so a long
+    chain of words and dots is gone through once.
+    """
     cut = rf"(?:\.|[\x20](?:{dot})[\x20])"
+    begin = "".join(rf"(?<![a-z0-9_%+-][\x20]{d}[\x20])" for d in dot.split("|"))
     return (
-        rf"(?<![A-Za-z0-9._%+-])[a-z0-9_%+-]+(?:{cut}[a-z0-9_%+-]+){{0,{ADDRESS_CUTS}}}(?:[\x20](?:{at})[\x20]|[\x20]?@[\x20]?)(?!www\.){but}[a-z0-9-]+"
-        rf"(?:{cut}[a-z0-9-]+){{0,{ADDRESS_CUTS}}}{cut}(?-i:[a-z]{{2,}}|[A-Z]{{2,}})(?![A-Za-z0-9-])"
+        rf"(?<![A-Za-z0-9._%+-]){begin}[a-z0-9_%+-]++(?:{cut}[a-z0-9_%+-]++)*+(?:[\x20](?:{at})[\x20]|[\x20]?@[\x20]?)(?!www\.){but}[a-z0-9-]+"
+        rf"(?:{cut}[a-z0-9-]+)*{cut}(?-i:[a-z]{{2,}}|[A-Z]{{2,}})(?![A-Za-z0-9-])"
     )
 
 

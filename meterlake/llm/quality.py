@@ -15,10 +15,11 @@ SYMBOLS = r"[^#*$%&|<>]+"
 KINDS = ("noise", "repetition", "shouting")
 #: Each rule: (name, SQL of a bad vote, SQL of a good vote, kind it was written for or None); neither: it abstains. Columns:
 #: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, n_exclaims, n_ends, n_letters, n_distinct.
+#: Distinct words are compared on the logarithmic scale, on which their share hardly falls with a text's length.
 RULES = (
     ("length", "n_words < 50", "n_words >= 60", None),
     ("repeated words", "100 * n_repeat_words > 40 * n_words", "100 * n_repeat_words < 10 * n_words", "repetition"),
-    ("distinct words", "100 * n_distinct < 45 * n_words and n_words <= 2000", "100 * n_distinct > 60 * n_words", "repetition"),
+    ("distinct words", "ln(n_distinct + 1) < 0.83 * ln(n_words + 1)", "ln(n_distinct + 1) > 0.9 * ln(n_words + 1)", "repetition"),
     ("repeated lines", "100 * n_dup_lines > 25 * n_lines", "100 * n_dup_lines < 5 * n_lines", "repetition"),
     ("symbols", "100 * n_symbols > 20 * n_words", "100 * n_symbols < 2 * n_words", "noise"),
     ("letters", "100 * n_letters < 90 * word_chars", "100 * n_letters > 94 * word_chars", "noise"),

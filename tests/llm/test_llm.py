@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from itertools import combinations
 
@@ -616,3 +617,25 @@ def test_new_starts_vary_what_a_search_fills_first(monkeypatch):
         items = [r.randint(10, 60) for _ in range(r.randint(1, 9))]
         whole = packing.packing_of({x: items.count(x) for x in set(items)}, 100, None)
         assert whole.proven and sum(n for _, n in whole.bins) == fewest_bins(items, 100)
+
+
+def test_addresses_with_any_number_of_dots():
+    name, host = " dot ".join(f"n{k}" for k in range(40)), " dot ".join(f"h{k}x" for k in range(40))
+    text = f"write to {name} at {host} dot org today"
+    (found,) = pii.find_all(text)[1]
+    assert text[found[1] : found[2]] == f"{name} at {host} dot org"
+    began = time.monotonic()
+    for chain in ("a dot " * 60_000, "a dot " * 30_000 + "at " + "b dot " * 30_000, "a.b dot " * 40_000 + "@ c", "x at y dot " * 30_000):
+        pii.find_all(chain)
+    assert time.monotonic() - began < 20
+
+
+def test_distinct_words_vote_alike_at_any_length(spark):
+    """The same share of new words on the logarithmic scale gets the same vote, whatever the number of words."""
+    rule = next(r for r in quality.RULES if r[0] == "distinct words")
+    sizes = [100, 1000, 1999, 2000, 2001, 5000, 100_000]
+    df = spark.createDataFrame([(n, int(n**e)) for n in sizes for e in (0.75, 0.86, 0.95)], "n_words long, n_distinct long")
+    votes = [(r.bad, r.good) for r in df.selectExpr(f"{rule[1]} as bad", f"{rule[2]} as good").collect()]
+    assert votes == [(True, False), (False, False), (False, True)] * len(sizes)
+    none = spark.createDataFrame([(0, 0)], "n_words long, n_distinct long").selectExpr(f"{rule[1]} as bad", f"{rule[2]} as good").first()
+    assert (none.bad, none.good) == (False, False)
