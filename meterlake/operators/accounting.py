@@ -32,6 +32,13 @@ def rate_card(spark: SparkSession, prices=USD_PER_MILLION, unit: str = "USD", ve
     return spark.createDataFrame(rows, "ai_agent_provider string, model_id string, usage_class string, currency string, rate_card_version string, rate_card_source string, pricing_scope string, value double")
 
 
+def rate_card_of(models: DataFrame, classes: dict[str, float], unit: str = "USD", version: str = "v1", source: str = "public-list-price", scope: str = "standard", provider: str = "openai") -> DataFrame:
+    """The card of a table (model_id, base): a rate for each model and class, the model's base times the factor of the class."""
+    cells = F.array(*(F.struct(F.lit(c).alias("usage_class"), (F.col("base") * F.lit(float(f))).alias("value")) for c, f in classes.items()))
+    fixed = {"ai_agent_provider": provider, "currency": unit, "rate_card_version": version, "rate_card_source": source, "pricing_scope": scope}
+    return models.select(F.col("model_id"), F.inline(cells)).withColumns({k: F.lit(v) for k, v in fixed.items()}).select("ai_agent_provider", "model_id", "usage_class", "currency", "rate_card_version", "rate_card_source", "pricing_scope", "value")
+
+
 def _kept(samples: DataFrame, metric: str) -> Column:
     return (F.col("metric") == metric) & (label(samples, "model_id") != "") & (label(samples, "agent_role") != "")
 

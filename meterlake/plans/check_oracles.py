@@ -5,6 +5,7 @@ from __future__ import annotations
 from meterlake.operators import accounting as A
 from meterlake.plans import envelopes as E
 from meterlake.plans.privacy_oracles import q
+from meterlake.plans.views import CLASS_FACTORS
 
 _KIND = "case event_type when 'click' then 'edit' when 'view' then 'validation' when 'signup' then 'wait' when 'error' then 'failure' else 'subagent' end"
 _WORK = f"with w as (select event_id, concat_ws('/', cast(user_id as varchar), strftime(ts, '%Y-%m-%d')) as session, {_KIND} as kind, ts, value from events)"
@@ -26,10 +27,10 @@ def _golden() -> str:
             rows.append(("ai_agent_estimated_cost_usd_total" if usd is not None else "ai_agent_unpriced_api_token_usage_total", ns, role, model, c, n * usd / 1e6 if usd is not None else n))
             rows.append(("ai_agent_estimated_credit_usage_total" if credit is not None else "ai_agent_unpriced_credit_token_usage_total", ns, role, model, c, n * credit / 1e6 if credit is not None else n))
     values = ", ".join(f"({', '.join(map(q, r[:-1]))}, cast({r[-1]!r} as double))" for r in rows)
-    return f"select rule, service_namespace, agent_role, model_id, usage_class, round(value, 9) as value from (values {values}) t(rule, service_namespace, agent_role, model_id, usage_class, value)"
+    return f"select rule, 'nation-' || n_nationkey || '-' || ns as service_namespace, agent_role, model_id, usage_class, round(value * (n_regionkey + 1), 9) as value from nation, (values {values}) t(rule, ns, agent_role, model_id, usage_class, value)"
 
 
-_rates = ", ".join(f"('openai', {q(m)}, {q(c)}, 'USD', 'v1', cast({p} as double))" for m, by in A.USD_PER_MILLION.items() for c, p in by.items())
+_factors = ", ".join(f"({q(c)}, cast({f} as double))" for c, f in CLASS_FACTORS.items())
 _word = "case event_id % 7 when 0 then '1' when 1 then ' Yes' when 2 then 'off' when 3 then 'TRUE' when 4 then '' when 5 then '0' else 'on' end"
 _url = "case event_id % 5 when 0 then 'http://localhost:4318/v1' when 1 then 'https://127.0.0.1/x' when 2 then 'http://example.com' when 3 then 'http://[::1]:80' else 'ftp://localhost' end"
 _native = "case event_id % 3 when 0 then 'antigravity_session_tokens' when 1 then 'antigravity_artifact_count' else 'antigravity_pending_input_count' end"
@@ -48,8 +49,16 @@ ORACLE: dict[str, str] = {
     "sm11_gauge_pairs": f"""
         with n as (select {_native} as metric, event_type as state, max(value) as value from events group by all)
         select metric, state, value as native, case when metric = 'antigravity_artifact_count' then value + 1 end as copied from n where metric <> 'antigravity_session_tokens'""",
+    "chk17_composition_faults": """
+        with faults as (select * from (values
+            (1, 'logs', 'initial', 'out of order'), (1, 'logs', 'initial', 'stage behind an export'), (2, 'traces/evaluation', 'routing clean-up', 'out of order'), (2, 'traces/evaluation', 'routing clean-up', 'stage behind an export'),
+            (3, 'metrics', 'finish', 'unknown stage'), (3, 'metrics', 'final', 'missing stage'), (4, 'traces', 'initial', 'repeated stage'), (4, 'traces', 'initial', 'repeated stage'), (4, 'traces', 'initial', 'out of order'), (4, 'traces', 'final', 'missing stage'),
+            (5, 'logs', 'log store', 'changed kind'), (5, 'logs', null, 'nothing exported'), (6, 'traces/evaluation', 'routed', 'changed detail'), (7, 'traces/evaluation', 'routing clean-up', 'changed detail'), (7, 'traces/evaluation', 'routing', 'key left behind'),
+            (8, 'logs', 'canonicalise', 'missing stage'), (8, 'metrics', 'canonicalise', 'missing stage'), (8, 'traces', 'canonicalise', 'missing stage'), (8, 'traces/evaluation', 'canonicalise', 'missing stage')) t(remainder, pipeline, stage, fault))
+        select n_nationkey, pipeline, stage, fault from nation join faults on n_nationkey % 9 = remainder""",
+    "chk08_mixed_contracts": "select r_regionkey, case r_regionkey when 1 then 'cu02' else 'cu06' end as panel, case r_regionkey when 1 then 'ai_agent,native' else 'none' end as contracts from region where r_regionkey in (1, 2)",
     "chk12_rubric_faults": "select * from (values ('other', 'unexpected name'), ('check 1', 'unknown type'), ('check 2', 'no labels'), ('check 3', 'repeated label')) t(name, fault)",
-    "src20_rate_files": f"select * from (values {_rates}) t(ai_agent_provider, model_id, usage_class, currency, rate_card_version, value)",
+    "src20_rate_files": f"select 'openai' as ai_agent_provider, p_brand as model_id, usage_class, 'USD' as currency, 'v1' as rate_card_version, min(p_size) * factor as value from part, (values {_factors}) f(usage_class, factor) group by p_brand, usage_class, factor",
     "chk16_late_preflight": f"{_WORK}, f as (select session, min(ts) filter (where kind = 'validation') as checked, min(ts) filter (where kind = 'edit') as acted from w group by session) select session from f where acted is not null and (checked is null or checked > acted)",
     "chk16_unattributed_waits": f"{_WORK} select event_id, session from w where kind = 'wait' and value <= 50",
     "chk16_context_budget": f"{_WORK} select session, round(sum(value), 6) as total from w group by session having sum(value) > 500",

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from meterlake.functions import text as T
 from meterlake.functions import timeseries as ts
 from meterlake.operators import accounting as A
-from meterlake.operators import checks, contracts, privacy, samples, sinks
+from meterlake.operators import checks, compositions, contracts, privacy, samples, sinks
 from meterlake.operators.canonical import COPIES, typed
+from meterlake.plans import catalog as C
 from meterlake.plans import envelopes as E
 from meterlake.plans import views as W
 from meterlake.plans.pipelines import evaluation_spans, process
@@ -60,9 +61,12 @@ GOLDEN = {
 
 @query("sm02_sm08_golden_numbers")
 def sm02(spark, d):
-    """The golden turns as documents through the core profile, to samples, to usage, cost, credits and what has no price."""
-    rows = [(ns, model, role, kind, float(n)) for ns, (model, role, tokens) in GOLDEN.items() for kind, n in tokens.items()]
-    turns = spark.createDataFrame(rows, "ns string, model string, role string, kind string, n double")
+    """The golden turns of each nation, as often as its region's number plus one, as documents through the core profile, to
+    samples, to usage, cost, credits and what has no price."""
+    cells = [(ns, model, role, kind, float(n)) for ns, (model, role, tokens) in GOLDEN.items() for kind, n in tokens.items()]
+    golden = F.array(*(F.struct(*(F.lit(x).cast("double" if name == "n" else "string").alias(name) for name, x in zip(("ns", "model", "role", "kind", "n"), cell))) for cell in cells))
+    turns = W.table(spark, d, "nation").select("n_nationkey", (F.col("n_regionkey") + 1).cast("double").alias("times"), F.inline(golden))
+    turns = turns.select(F.concat_ws("-", F.lit("nation"), F.col("n_nationkey").cast("string"), "ns").alias("ns"), "model", "role", "kind", (F.col("n") * F.col("times")).alias("n"))
     pair = lambda key, value: F.struct(F.lit(key).alias("key"), F.struct(value.alias("stringValue")).alias("value"))
     given = lambda *pairs: F.filter(F.array(*pairs), lambda a: a["value"]["stringValue"].isNotNull())
     point = F.struct(F.lit("1000").alias("timeUnixNano"), F.lit("1").alias("count"), F.col("n").alias("sum"), F.array(F.lit("1")).alias("bucketCounts"), given(pair("model", F.col("model")), pair("agent_role", F.col("role")), pair("token_type", F.col("kind"))).alias("attributes"))
@@ -128,13 +132,39 @@ def chk12(spark, d):
 
 @query("src20_rate_files")
 def src20(spark, d):
-    """Rate cards read from files by a pattern."""
+    """Rate cards, made of the part table and stored by model, read from files by a pattern."""
     path = scratch_path(spark, "rates")
-    card = A.rate_card(spark)
+    card = W.part_card(spark, d)
     card.write.partitionBy("model_id").json(path)
     return config.read_rates(spark, f"{path}/*/*.json", path).select("ai_agent_provider", "model_id", "usage_class", "currency", "rate_card_version", "value")
 
 
+#: What is done to the graph of the evaluation profile in each nation, by its key: SQL of the position and of the row, for both engines.
+ALTERED = {
+    "position": "case when n_nationkey % 9 = 1 and pipeline = 'logs' and stage = 'initial' then 7 when n_nationkey % 9 = 2 and stage = 'routing clean-up' then 9 else position end",
+    "stage": "case when n_nationkey % 9 = 3 and pipeline = 'metrics' and stage = 'final' then 'finish' when n_nationkey % 9 = 4 and pipeline = 'traces' and stage = 'final' then 'initial' else stage end",
+    "kind": "case when n_nationkey % 9 = 5 and stage = 'log store' then 'process' else kind end",
+    "detail": "case when n_nationkey % 9 = 6 and stage = 'routed' then 'never' when n_nationkey % 9 = 7 and stage = 'routing clean-up' then 'other.key' else detail end",
+}
+
+
+@query("chk17_composition_faults")
+def chk17(spark, d):
+    """Faults of a composition for each nation, altered in another way for each remainder of its key."""
+    rows = W.table(spark, d, "nation").select("n_nationkey", F.inline(compositions.cells()))
+    graphs = rows.where("not (n_nationkey % 9 = 8 and stage = 'canonicalise')").select("n_nationkey", "pipeline", *(F.expr(e).cast("int" if k == "position" else "string").alias(k) for k, e in ALTERED.items()))
+    return compositions.composition_faults(graphs, compositions.EVALUATION, "n_nationkey")
+
+
+@query("chk08_mixed_contracts")
+def chk08(spark, d):
+    """Panels of each region that read metrics of several contracts: one of the catalogue's panels also reads a native one, another none."""
+    panels = F.array(*(F.struct(F.lit(name).alias("panel"), F.lit(p.metric).alias("metric")) for name, p in sorted(C.PANELS.items())))
+    rows = W.table(spark, d, "region").select("r_regionkey", F.inline(panels))
+    also = F.when((F.col("r_regionkey") == 1) & (F.col("panel") == "cu02"), F.array("metric", F.lit("codex_tool_call"))).when((F.col("r_regionkey") == 2) & (F.col("panel") == "cu06"), F.array(F.lit("other_metric"))).otherwise(F.array("metric"))
+    return compositions.mixed_contracts(rows.select("r_regionkey", "panel", F.explode(also).alias("metric")), contracts.CONTRACTS | {"health": ("up", "otelcol_")}, "r_regionkey")
+
+
 # --- backlog checks -------------------------------------------------------------------------------------------------
 
 

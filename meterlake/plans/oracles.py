@@ -33,6 +33,11 @@ def card(prices: dict, unit: str) -> str:
     return f"(values {rows}) t(ai_agent_provider, model_id, usage_class, currency, rate_card_version, rate_card_source, pricing_scope, price)"
 
 
+def part_card(factors: dict[str, float], unit: str) -> str:
+    rows = ", ".join(f"({q(c)}, cast({f} as double))" for c, f in factors.items())
+    return f"with card as (select 'openai' as ai_agent_provider, p_brand as model_id, usage_class, '{unit}' as currency, 'v1' as rate_card_version, 'public-list-price' as rate_card_source, 'standard' as pricing_scope, min(p_size) * factor as value from part, (values {rows}) f(usage_class, factor) group by p_brand, usage_class, factor)"
+
+
 _CLASSES = {"input_uncached": 5.0, "input_cached": 0.5, "input_cache_write": 6.25, "output": 30.0}
 USD = card({f"Brand#{n}": _CLASSES for n in range(3, 15)}, "USD")
 CREDIT = card({f"Brand#{n}": {k: 25 * v for k, v in _CLASSES.items() if k != "input_cache_write"} for n in range(3, 15)}, "credit")
@@ -69,8 +74,8 @@ ALL = f"{NAMES}, {_MORE}, usage_class, accounting_schema"
 
 ORACLE |= {
     "priced_usage_by_model_and_class": f"{USAGE} select model_id, usage_class, rate_card_version, round(sum(value * (price / 1000000)), 9) as value from usage join {USD} {_RATE} where {NOT_FIXTURE} group by all",
-    "rr01_price_card": f"select {_CARRY}, ai_agent_provider, model_id, usage_class, price as value from {card(A.USD_PER_MILLION, 'USD')}",
-    "rr02_credit_card": f"select {_CARRY}, ai_agent_provider, model_id, usage_class, price as value from {card(A.CREDITS_PER_MILLION, 'credit')}",
+    "rr01_price_card": f"{part_card(W.CLASS_FACTORS, 'USD')} select * from card",
+    "rr02_credit_card": f"{part_card(W.CREDIT_FACTORS, 'credit')} select * from card",
     "rr03_rr06_token_usage": f"{USAGE} select {ALL}, value from usage",
     "rr07_estimated_cost": f"{USAGE} select {ALL}, {_CARRY}, round(value * (price / 1000000), 9) as value, 'estimated_api_list_price' as cost_source from usage join {USD} {_RATE}",
     "rr08_estimated_credits": f"{USAGE}, {_OWN} select {ALL}, {_CARRY}, round(value * (price / 1000000), 9) as value, 'estimated_public_codex_rate_card' as credit_source from own join {CREDIT} {_RATE}",
@@ -80,7 +85,7 @@ ORACLE |= {
     "cu04_cache_ratio": f"{USAGE} select round(sum(value) filter (where usage_class = 'input_cached') / sum(value), 6) as value from usage where {PX} and {NOT_FIXTURE} and usage_class like 'input_%'",
     "un05_priced_coverage": f"{USAGE} select round(sum(value) filter (where price is not null) / sum(value), 6) as value from usage left join {USD} {_RATE} where {NOT_FIXTURE}",
     "un06_cache_ratio": f"{USAGE} select round(sum(value) filter (where usage_class = 'input_cached') / sum(value), 6) as value from usage where {NOT_FIXTURE} and usage_class like 'input_%'",
-    "cu08_prices": f"select model_id, usage_class, {_CARRY}, price as value from {USD}",
+    "cu08_prices": f"{part_card(W.CLASS_FACTORS, 'USD')} select * exclude (ai_agent_provider) from card",
     "ar12_unpriced_api": f"{USAGE} select model_id, usage_class, sum(value) as value from usage anti join {USD} {_RATE} where {PX} and {AR} and {NOT_FIXTURE} group by all",
     "ar13_unpriced_credits": f"{USAGE}, {_OWN} select model_id, usage_class, sum(value) as value from own anti join {CREDIT} {_RATE} where {AR} and {NOT_FIXTURE} group by all",
     "un08_unpriced_credits": f"{USAGE}, {_OWN} select model_id, usage_class, sum(value) as value from own anti join {CREDIT} {_RATE} where {NOT_FIXTURE} group by all",
@@ -337,7 +342,12 @@ ORACLE |= {
     "ta01_trace_table": f"{_SPANS} select trace_id, min(start_ns) as start_ns, max(name) filter (where parent_span_id is null) as root_name, max(end_ns - start_ns) filter (where parent_span_id is null) as duration_ns, max(status_code) filter (where parent_span_id is null) as status_code, count(*) as span_count from spans group by trace_id",
     "ta02_longest_child": f"{_SPANS} select trace_id, name, duration_ns from (select trace_id, name, end_ns - start_ns as duration_ns, row_number() over (partition by trace_id order by end_ns - start_ns desc, span_id) as k from kids) where k = 1",
     "ta03_repeated_siblings": f"{_SPANS} select trace_id, parent_span_id, name, count(*) as n from spans where parent_span_id is not null group by all having count(*) > 1",
-    "ta04_error_spans": f"{_SPANS} select s.trace_id, s.span_id, s.name, coalesce(p.end_ns > s.end_ns, false) as parent_continued from spans s left join spans p on s.trace_id = p.trace_id and s.parent_span_id = p.span_id where s.status_code = 2 or not coalesce(s.success, true)",
+    "ta04_error_spans": """
+        with lines as (select l_orderkey, l_linenumber, min(l_shipdate) as ship, min(l_returnflag) as flag, min(l_suppkey) as supp from lineitem group by l_orderkey, l_linenumber)
+        select cast(o_orderkey as varchar) as trace_id, cast(o_orderkey as varchar) as span_id, 'order P' as name, false as parent_continued from orders where o_orderstatus = 'P'
+        union all
+        select cast(o_orderkey as varchar), concat_ws('-', cast(o_orderkey as varchar), cast(l_linenumber as varchar)), 'line ' || flag, o_orderdate + interval '90 days' > greatest(ship, o_orderdate) + interval '1 day' * (supp % 9 + 1)
+        from lines join orders on l_orderkey = o_orderkey where flag = 'R' or supp % 4 = 0""",
     "ta05_ta06_coverage": f"{_SPANS}, cut as (select trace_id, span_id, root_start, root_end, greatest(start_ns, root_start) as a, least(end_ns, root_end) as b from kids), seen as (select *, coalesce(max(b) over (partition by trace_id order by a, span_id rows between unbounded preceding and 1 preceding), root_start) as s from cut where b > a), per as (select trace_id, root_start, root_end, cast(sum(greatest(0, b - greatest(a, s))) as bigint) as covered_ns, cast(sum(b - a) as bigint) as summed_ns from seen group by all) select trace_id, root_end - root_start as root_ns, covered_ns, summed_ns, root_end - root_start - covered_ns as gap_ns, summed_ns > covered_ns as overlapping from per",
     "ta07_status": f"{_SPANS} select case status_code when 1 then 'ok' when 2 then 'error' else 'unset' end as status, count(*) as n from spans group by all",
     "tsf09_durations": f"{_SPANS} select name, cast(sum(greatest(0, (end_ns - start_ns) // 1000000)) as bigint) as ms from spans group by all",

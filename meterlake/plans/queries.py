@@ -50,12 +50,13 @@ def priced_usage(spark, d):
 
 @query("rr01_price_card")
 def rr01(spark, d):
-    return A.rate_card(spark)
+    """A card of the part table's brands and sizes."""
+    return W.part_card(spark, d)
 
 
 @query("rr02_credit_card")
 def rr02(spark, d):
-    return A.rate_card(spark, A.CREDITS_PER_MILLION, unit="credit")
+    return W.part_card(spark, d, credits=True)
 
 
 @query("rr03_rr06_token_usage")
@@ -105,7 +106,7 @@ for _name in ("ar02", "un04"):
 
 @query("cu08_prices")
 def cu08(spark, d):
-    card = W.prices(spark).withColumns({"metric": F.lit("ai_agent_token_price_usd_per_million"), "ts": F.lit(W.ORDERS_END).cast("timestamp")})
+    card = W.part_card(spark, d).withColumns({"metric": F.lit("ai_agent_token_price_usd_per_million"), "ts": F.lit(W.ORDERS_END).cast("timestamp")})
     return rounded(C.panel("cu08", card, W.ORDERS_END, W.ORDERS_RANGE))
 
 

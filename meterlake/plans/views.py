@@ -80,6 +80,17 @@ def turn_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("value", "accounting_schema").withColumnsRenamed({"turns": "value", "usage_class": "class"}).withColumns({"token_type": F.when(F.col("class") == "output", "total").otherwise("input"), "metric": F.lit("ai_agent_turn_token_usage_count")})
 
 
+#: Factors of the usage classes in rate cards over the part table; the credit card has no cache-write class.
+CLASS_FACTORS = {"input_uncached": 5.0, "input_cached": 0.5, "input_cache_write": 6.25, "output": 30.0}
+CREDIT_FACTORS = {"input_uncached": 125.0, "input_cached": 12.5, "output": 750.0}
+
+
+def part_card(spark: SparkSession, sf_dir: str, credits: bool = False) -> DataFrame:
+    """A rate card made of the part table: a brand is a model, its smallest size the base of its rates."""
+    models = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("model_id")).agg(F.min("p_size").cast("double").alias("base"))
+    return A.rate_card_of(models, CREDIT_FACTORS if credits else CLASS_FACTORS, unit="credit" if credits else "USD")
+
+
 def prices(spark: SparkSession, credits: bool = False) -> DataFrame:
     """Rates for some brands only (others stay unpriced); the credits card has no cache-write class."""
     classes = {"input_uncached": 5.0, "input_cached": 0.5, "input_cache_write": 6.25, "output": 30.0}
