@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from meterlake.functions import text as T
 from meterlake.functions import timeseries as ts
 from meterlake.operators import accounting as A
-from meterlake.operators import checks, compositions, contracts, privacy, samples, sinks
+from meterlake.operators import checks, compositions, contracts, privacy, rules, samples, sinks
 from meterlake.operators.canonical import COPIES, typed
 from meterlake.plans import catalog as C
 from meterlake.plans import envelopes as E
@@ -77,9 +78,9 @@ def sm02(spark, d):
     current, path = samples.to_samples(samples.reaggregate(samples.to_long(points)), [*A.REQUEST_LABELS, "token_type"]), scratch_path(spark, "golden")
     current.write.parquet(path)  # read by every rule
     current = spark.read.schema(current.schema).parquet(path)
-    rules = A.recording_rules(current, A.rate_card(spark), A.rate_card(spark, A.CREDITS_PER_MILLION, unit="credit"))
+    recorded = A.recording_rules(current, A.rate_card(spark), A.rate_card(spark, A.CREDITS_PER_MILLION, unit="credit"))
     names = ("ai_agent_token_usage_total", "ai_agent_estimated_cost_usd_total", "ai_agent_estimated_credit_usage_total", "ai_agent_unpriced_api_token_usage_total", "ai_agent_unpriced_credit_token_usage_total")
-    each = [rules[n].select(F.lit(n).alias("rule"), "service_namespace", "agent_role", "model_id", "usage_class", F.round("value", 9).alias("value")) for n in names]
+    each = [recorded[n].select(F.lit(n).alias("rule"), "service_namespace", "agent_role", "model_id", "usage_class", F.round("value", 9).alias("value")) for n in names]
     out = each[0]
     for table in each[1:]:
         out = out.union(table)
@@ -139,6 +140,25 @@ def src20(spark, d):
     return config.read_rates(spark, f"{path}/*/*.json", path).select("ai_agent_provider", "model_id", "usage_class", "currency", "rate_card_version", "value")
 
 
+@query("src20_rule_files")
+def src20_rules(spark, d):
+    """The accounting rules as documents in two files, read by a pattern and evaluated over the token counters."""
+    folder = scratch_path(spark, "rule-files")
+    docs = spark.createDataFrame([(n % 2, json.dumps(r)) for n, r in enumerate(rules.accounting_rules())], "file int, value string")
+    docs.coalesce(1).write.partitionBy("file").text(folder)
+
+    def stored(name: str, table: DataFrame) -> DataFrame:
+        path = scratch_path(spark, "series")
+        table.write.parquet(path)
+        return spark.read.schema(table.schema).parquet(path)
+
+    current = stored("current", W.current_tokens(spark, d))
+    found = rules.evaluate(rules.read_rules(spark, f"{folder}/*/*.txt"), current, {"ai_agent_token_price_usd_per_million": W.prices(spark)}, stored)
+    columns = [*W.TOKEN_LABELS, *W.REQUEST_ONLY, "usage_class", "accounting_schema"]
+    each = [table.select(F.lit(name).alias("rule"), *columns, F.round("value", 9).alias("value")) for name, table in found.items()]
+    return each[0].union(each[1]).union(each[2])
+
+
 #: What is done to the graph of the evaluation profile in each nation, by its key: SQL of the position and of the row, for both engines.
 ALTERED = {
     "position": "case when n_nationkey % 9 = 1 and pipeline = 'logs' and stage = 'initial' then 7 when n_nationkey % 9 = 2 and stage = 'routing clean-up' then 9 else position end",

@@ -91,6 +91,11 @@ ORACLE |= {
     "un08_unpriced_credits": f"{USAGE}, {_OWN} select model_id, usage_class, sum(value) as value from own anti join {CREDIT} {_RATE} where {NOT_FIXTURE} group by all",
 }
 
+ORACLE["src20_rule_files"] = f"""{USAGE}
+    select 'ai_agent_token_usage_total' as rule, {ALL}, value from usage
+    union all select 'ai_agent_estimated_cost_usd_total', {ALL}, round(value * (price / 1000000), 9) from usage join {USD} {_RATE}
+    union all select 'ai_agent_unpriced_api_token_usage_total', {ALL}, value from usage anti join {USD} {_RATE}"""
+
 RECORDED = f"""
 daily as (
     select {exprs(W.TOKEN_LABELS)}, {W.USAGE_CLASS} as usage_class, o_orderdate as ts, sum(cast(l_quantity as bigint)) as t, count(*) as c
