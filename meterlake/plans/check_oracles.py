@@ -49,6 +49,17 @@ ORACLE: dict[str, str] = {
     "sm11_gauge_pairs": f"""
         with n as (select {_native} as metric, event_type as state, max(value) as value from events group by all)
         select metric, state, value as native, case when metric = 'antigravity_artifact_count' then value + 1 end as copied from n where metric <> 'antigravity_session_tokens'""",
+    "sm13_route_presence": f"""
+        with s as (select event_id, event_id % 5 <> 0 and coalesce({E.OPT_OUT}, true) and coalesce({E.HEADER}, 'true') <> 'false' as chosen from events where event_id % 97 = 0)
+        select md5(cast(event_id as varchar)) as trace_id, 'traces' as store, 'unexpected' as fault from s union all select md5(cast(event_id as varchar)), 'evaluation', case when chosen then 'unexpected' else 'missing' end from s""",
+    "sm10_request_labels": """
+        with n as (select count(*) as n from events where event_id % 7 = 1)
+        select mode, label, n from n, (select unnest(['core', 'corporate']) as mode), (select unnest(['agent_role', 'model_family', 'model_id', 'evidence_class', 'skill_id', 'mcp_server_name', 'mcp_tool_name']) as label)
+        where mode = 'core' or label in ('agent_role', 'model_family', 'model_id', 'evidence_class')""",
+    "snk07_smoke_report": """
+        select '{"schema_version":"1.0","mode":"core","started_at":"' || strftime(min(ts), '%Y-%m-%dT%H:%M:%SZ') || '","completed_at":"' || strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') || '","checks":[{"name":"evaluation","status":"SKIP","detail":"not in this mode"},{"name":"languages","status":"' ||
+               (select case when count(*) = 0 then 'PASS' else 'FAIL' end || '","detail":"' || count(*) from documents where lang not in ('en', 'fr')) || ' failures"},{"name":"parts","status":"PASS","detail":"0 failures"}]}' as report from events""",
+    "src05_template_times": "select cast(event_id as varchar) as trace_id, event_type as name, case when event_id % 2 = 0 then 1699999999950000000 else 1700000000000000000 end as start_ns, 1700000000000000000 as end_ns from events",
     "chk17_composition_faults": """
         with faults as (select * from (values
             (1, 'logs', 'initial', 'out of order'), (1, 'logs', 'initial', 'stage behind an export'), (2, 'traces/evaluation', 'routing clean-up', 'out of order'), (2, 'traces/evaluation', 'routing clean-up', 'stage behind an export'),

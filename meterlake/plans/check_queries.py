@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from meterlake.functions import text as T
 from meterlake.functions import timeseries as ts
 from meterlake.operators import accounting as A
-from meterlake.operators import checks, compositions, contracts, privacy, rules, samples, sinks
+from meterlake.operators import checks, compositions, contracts, privacy, rules, samples, sinks, smoke
 from meterlake.operators.canonical import COPIES, typed
 from meterlake.plans import catalog as C
 from meterlake.plans import envelopes as E
@@ -159,6 +159,48 @@ def src20_rules(spark, d):
     return each[0].union(each[1]).union(each[2])
 
 
+@query("sm13_route_presence")
+def sm13(spark, d):
+    """Traces that the two stores should have and lack, or the other way round: every 97th is expected where it doesn't belong."""
+    raw = E.spans(spark, d)
+    chosen = F.expr(f"event_id % 5 <> 0 and coalesce({E.OPT_OUT}, true) and coalesce({E.HEADER}, 'true') <> 'false'")
+    routes = events(spark, d).select("event_id", F.md5(F.col("event_id").cast("string")).alias("trace_id"), F.inline(F.array(F.struct(F.lit("traces").alias("store"), F.lit(True).alias("due")), F.struct(F.lit("evaluation").alias("store"), chosen.alias("due")))))
+    expected = routes.select("trace_id", "store", F.when(F.col("event_id") % 97 == 0, ~F.col("due")).otherwise(F.col("due")).alias("expected"))
+    return smoke.route_faults(expected, {"traces": process(raw, "spans", "evaluation"), "evaluation": evaluation_spans(raw)})
+
+
+@query("sm10_request_labels")
+def sm10(spark, d):
+    """Labels of the canonical request counters by mode, and faults: attribution stays in core and goes in the corporate profile."""
+    raw, each = E.points(spark, d), []
+    for mode in ("core", "corporate"):
+        own = process(raw, "points", mode).where("metric = 'ai_agent.request.token_usage.total'")
+        given = own.select(F.explode(F.map_keys("attributes")).alias("label")).where(F.col("label").isin(*smoke.CANONICAL, *smoke.ATTRIBUTION))
+        faults = smoke.label_faults(own, mode == "corporate").select(F.col("fault").alias("label"))
+        each.append(given.union(faults).groupBy("label").agg(F.count(F.lit(1)).alias("n")).select(F.lit(mode).alias("mode"), "label", "n"))
+    return each[0].union(each[1])
+
+
+@query("snk07_smoke_report")
+def snk07_smoke(spark, d):
+    """The report of a run as one document, with mode and times; the times are those of the first and last event."""
+    e, docs = events(spark, d), W.table(spark, d, "documents")
+    times = e.agg(F.date_format(F.min("ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("a"), F.date_format(F.max("ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("b"))
+    found = smoke.smoke_report({"parts": checks.duplicates(W.table(spark, d, "part"), ["p_partkey"]), "languages": checks.outside_domain(docs, {"lang": ["en", "fr"]})}, "core", F.lit("{a}"), F.lit("{b}"), {"evaluation": "not in this mode"})
+    return times.join(found).select(F.replace(F.replace("report", F.lit("{a}"), F.col("a")), F.lit("{b}"), F.col("b")).alias("report"))
+
+
+@query("src05_template_times")
+def src05(spark, d):
+    """Span documents whose times are placeholders: all become one frozen time, starts 50 ms before it."""
+    document = F.concat(
+        F.lit('{"resourceSpans":[{"scopeSpans":[{"spans":[{"traceId":"'), F.col("event_id").cast("string"), F.lit('","name":"'), F.col("event_type"), F.lit('","startTimeUnixNano":"'),
+        F.when(F.col("event_id") % 2 == 0, "{{START_TIME_UNIX_NANO}}").otherwise("{{TIME_UNIX_NANO}}"), F.lit('","endTimeUnixNano":"{{END_TIME_UNIX_NANO}}"}]}]}]}'),
+    )
+    spans = otlp.spans(otlp.render_fixture(events(spark, d).select(document.alias("value")), "traces", 1_700_000_000_000_000_000))
+    return spans.select("trace_id", "name", "start_ns", "end_ns")
+
+
 #: What is done to the graph of the evaluation profile in each nation, by its key: SQL of the position and of the row, for both engines.
 ALTERED = {
     "position": "case when n_nationkey % 9 = 1 and pipeline = 'logs' and stage = 'initial' then 7 when n_nationkey % 9 = 2 and stage = 'routing clean-up' then 9 else position end",

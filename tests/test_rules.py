@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from meterlake.functions import timeseries as ts
 from meterlake.operators import accounting as A
-from meterlake.operators import compositions, contracts, rules, samples, status_line
+from meterlake.operators import compositions, contracts, rules, samples, smoke, status_line
 from meterlake.plans.pipelines import STAGES
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -135,3 +135,16 @@ def test_fingerprint_is_the_digest_of_sorted_json(spark):
         assert got[n] == hashlib.sha256(text.encode()).hexdigest()
     twice = df.union(df.withColumn("time_ns", F.col("time_ns") + 100))
     assert status_line.sent_snapshots(twice.where("time_ns in (0, 100)"), 10**12).count() == 1
+
+
+def test_smoke_checks(spark):
+    traces = lambda *ids: spark.createDataFrame([(i,) for i in ids], "trace_id string")
+    expected = spark.createDataFrame([("1", "a", True), ("2", "a", True), ("1", "b", False), ("2", "b", False), ("3", "b", True)], "trace_id string, store string, expected boolean")
+    assert sorted(map(tuple, smoke.route_faults(expected, {"a": traces("1", "1", "9"), "b": traces("2", "3")}).collect())) == [("2", "a", "missing"), ("2", "b", "unexpected")]
+    full = dict.fromkeys([*smoke.CANONICAL, *smoke.ATTRIBUTION], "x")
+    points = spark.createDataFrame([(1, full), (2, {k: v for k, v in full.items() if k not in ("model_id", "skill_id")})], "n int, attributes map<string,string>")
+    faults = lambda corporate: sorted((r.n, r.fault) for r in smoke.label_faults(points, corporate).collect())
+    assert faults(False) == [(2, "model_id is missing"), (2, "skill_id was lost")]
+    assert faults(True) == [(1, "mcp_server_name was kept"), (1, "mcp_tool_name was kept"), (1, "skill_id was kept"), (2, "mcp_server_name was kept"), (2, "mcp_tool_name was kept"), (2, "model_id is missing")]
+    report = smoke.smoke_report({"good": traces(), "bad": traces("1", "2")}, "core", F.lit("s"), F.lit("e"), {"later": "no"}).first().report
+    assert json.loads(report) == {"schema_version": "1.0", "mode": "core", "started_at": "s", "completed_at": "e", "checks": [{"name": "bad", "status": "FAIL", "detail": "2 failures"}, {"name": "good", "status": "PASS", "detail": "0 failures"}, {"name": "later", "status": "SKIP", "detail": "no"}]}
