@@ -263,3 +263,26 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
     assert sorted((x.doc_id, x.piece, np.frombuffer(x.ids, "<u4").tolist()) for x in pieces) == want
     lengths = [len(x[2]) for x in want]
     assert len({x.sequence_id for x in pieces}) == packing.lower_bound({x: lengths.count(x) for x in set(lengths)}, 2048)
+
+
+def test_values_of_odd_rows(spark):
+    """What null, empty, blank, very long and odd texts give, not only that they give something."""
+    texts = [None, "", " \t\n", LONG, "x" * 300_000, "é\x00😀"]
+    df = odd_docs(spark, texts)
+    library = Tokenizer.from_file(PATH)
+    library.no_truncation()
+    ids = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    rows = lambda out: sorted(out.collect(), key=lambda r: r.doc_id)
+    assert [(r.n_bytes, r.n_tokens, r.over_limit) for r in rows(token_counts.count_tokens(df))] == [(len((t or "").encode()), len(i), len(i) > 2048) for t, i in zip(texts, ids)]
+    trips = rows(bpe_codec.round_trip(df))
+    assert [r.ids_sha256 for r in trips] == [hashlib.sha256(" ".join(map(str, i)).encode()).hexdigest() for i in ids]
+    assert [r.decoded_sha256 for r in trips] == [hashlib.sha256(library.decode(i, skip_special_tokens=False).encode()).hexdigest() for i in ids]
+    same = rows(simhash.simhash_components(df))
+    assert [r.fingerprint for r in same[:3]] == ["0" * 16] * 3 and [r.component_id for r in same[:3]] == [0, 0, 0]
+    counts = rows(quality.score_quality(df, carry=["doc_id"]).select("doc_id", "quality.*"))
+    assert [(r.n_words, r.word_chars, r.kept) for r in counts] == [(n, c, k) for (n, c), k in zip([(0, 0)] * 3 + [(len(LONG.split()), len("".join(LONG.split()))), (1, 300_000), (1, 3)], [False] * 6)]
+    assert [(r.n_words, r.n_base, r.first_word, r.labels, r.score) for r in rows(licenses.scan_licenses(df))[:3]] == [(0, 0, None, "", 0.0)] * 3
+    empty = hashlib.sha256(b"").hexdigest()
+    assert [(r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256, r.spans) for r in rows(pii.find_pii(df))] == [(0, 0, 0, 0, empty, "")] * 6
+    pieces = rows(packing.pack(df))
+    assert [(r.doc_id, r.length) for r in pieces if r.doc_id in (0, 1)] == [(0, 1), (1, 1)] and sum(r.length for r in pieces) == sum(len(i) + 1 for i in ids)
