@@ -33,7 +33,7 @@ SEARCH_NODES, RESTARTS = 20_000, 24
 #: A new start looks at a fifth of the fillings and takes up to so many of the best fillings of a bin in another order.
 VARIED = 3
 #: Deepest frames of the search that keep their place in the list of fillings; others find it anew.
-KEPT_FRAMES = 128
+KEPT_FRAMES = 32
 
 
 def best_fit_fill(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:
@@ -176,12 +176,20 @@ def _searched(histogram: dict[int, int], capacity: int, nodes: int | None, rng:
     bound = lower_bound(histogram, capacity)
     best = best_fit_decreasing(histogram, capacity)
     best_bins = sum(n for _, n in best)
-    #: a frame: counts before it, waste and bins so far, how many choices were taken, the others (None: to be found anew)
+    #: a frame: waste and bins so far, how many choices were taken, the others (None: to be found anew); one table of counts
+    #: serves all frames, as the way to a frame is applied to it and taken back
     limit = (best_bins - 1) * capacity - total
     path: list[tuple[list[int], int]] = []
     frames: list[list] = []
+    counts = dict(histogram)
+
+    def apply(filling: list[int], times: int) -> None:
+        for x in set(filling):
+            counts[x] = counts.get(x, 0) - times * filling.count(x)
+            if not counts[x]:
+                del counts[x]
 
-    def choices(counts, limit):
+    def choices(limit):
         first = max(counts)
         rest = {x: n - (x == first) for x, n in counts.items() if n > (x == first)}
         for fewer in (False, True):
@@ -193,37 +201,35 @@ def _searched(histogram: dict[int, int], capacity: int, nodes: int | None, rng:
                     yield filling, 0
 
     if histogram and best_bins > bound:
-        frames.append([histogram, 0, 0, 0, None])
+        frames.append([0, 0, 0, None])
     while frames and nodes != 0 and best_bins > bound:
         top = frames[-1]
-        counts, waste, bins, taken, rest = top
+        waste, bins, taken, rest = top
         if rest is None:
-            rest = top[4] = islice(choices(counts, limit - waste), taken, None)
+            rest = top[3] = islice(choices(limit - waste), taken, None)
         filling, times = next(rest, (None, 0))
         if filling is None:
             frames.pop()
             if path:
-                path.pop()
+                filling, times = path.pop()
+                apply(filling, -times)
             continue
-        top[3] += 1
+        top[2] += 1
         nodes = None if nodes is None else nodes - 1
         wasted = waste + times * (capacity - sum(filling))
         if not times or wasted > (best_bins - 1) * capacity - total:
             continue
-        left = dict(counts)
-        for x in set(filling):
-            left[x] -= times * filling.count(x)
-            if not left[x]:
-                del left[x]
+        apply(filling, times)
         path.append((filling, times))
-        if not left:
+        if not counts:
             if bins + times < best_bins:
                 best, best_bins = list(path), bins + times
             path.pop()
+            apply(filling, -times)
             continue
-        frames.append([left, wasted, bins + times, 0, None])
+        frames.append([wasted, bins + times, 0, None])
         if len(frames) > KEPT_FRAMES:
-            frames[-1 - KEPT_FRAMES][4] = None
+            frames[-1 - KEPT_FRAMES][3] = None
     return Packing(best, bound, best_bins == bound or not frames and rng is None)  # a varied search may skip fillings
 
 
