@@ -201,7 +201,7 @@ def plain_quality(texts):
     from tests.llm.test_llm import brute_em
 
     counts = [plain_counts(t) for t in texts]
-    votes = ["".join("0" if eval(bad, {}, c) else "2" if eval(good, {}, c) else "1" for _, bad, good, _ in quality.RULES) for c in counts]  # the rules' SQL is Python as well
+    votes = ["".join("0" if eval(bad, {"ln": math.log}, c) else "2" if eval(good, {"ln": math.log}, c) else "1" for _, bad, good, _ in quality.RULES) for c in counts]  # the rules' SQL is Python as well
     p = brute_em({v: votes.count(v) for v in set(votes)})
     return [p[v] >= 0.5 and c["n_words"] >= 50 and 100 * c["n_repeat_words"] <= 50 * c["n_words"] for c, v in zip(counts, votes)]
 
