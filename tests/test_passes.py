@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from meterlake.operators import samples
 from meterlake.plans import envelopes as E
 from meterlake.plans.pipelines import evaluation_spans, process
 
@@ -28,3 +29,19 @@ def test_routing_does_not_repeat_the_stages_before_it(spark):
     branch = evaluation_spans(spans)
     assert times(spark, branch, "RLIKE") == times(spark, process(spans, "spans", "evaluation"), "RLIKE")
     assert times(spark, branch, "from_json") == 1
+
+
+def test_points_become_samples_in_one_pass(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    long = samples.to_long(process(E.points(spark, TABLES, temporality=samples.DELTA), "points")).drop("ts")
+    n = long.count()
+    schema = long.schema
+    out = samples.to_samples(long.mapInArrow(count, schema).selectExpr("*", "timestamp_micros(time_ns div 1000) as ts"), ["status"])
+    assert {r.metric.rsplit("_", 1)[-1] for r in out.where("metric like 'ai_agent_turn_token_usage%'").select("metric").distinct().collect()} >= {"bucket", "sum", "count"}
+    assert seen.value == n
