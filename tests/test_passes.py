@@ -7,6 +7,7 @@ import pytest
 
 from meterlake.operators import samples
 from meterlake.plans import envelopes as E
+from meterlake.plans import queries
 from meterlake.plans.pipelines import evaluation_spans, process
 
 TABLES = "/root/testdata/sf0.001"
@@ -31,6 +32,12 @@ def test_routing_does_not_repeat_the_stages_before_it(spark):
     assert times(spark, branch, "from_json") == 1
 
 
+def test_route_presence_computes_each_store_once(spark):
+    faults = queries.QUERIES["sm13_route_presence"](spark, TABLES)
+    assert times(spark, faults, "from_json") == 2  # one a store
+    assert times(spark, faults, "RLIKE") <= times(spark, evaluation_spans(E.spans(spark, TABLES)), "RLIKE")
+
+
 def test_points_become_samples_in_one_pass(spark):
     seen = spark.sparkContext.accumulator(0)
 
