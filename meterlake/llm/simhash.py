@@ -40,8 +40,13 @@ def shingle_hashes(text: str, words: int, seed: int):
 
 def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     """Unsigned 64-bit SimHash: a bit is 1 if it is set in over half of the hashes of the text's shingles; no words: 0."""
+    return fingerprint_of(shingle_hashes(text, words, seed))
+
+
+def fingerprint_of(runs) -> int:
+    """The SimHash of runs of shingle hashes."""
     counts, n = np.zeros(64, np.int64), 0
-    for h in shingle_hashes(text, words, seed):
+    for h in runs:
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         n += len(h)
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big") if n else 0
@@ -183,7 +188,11 @@ SHORT_SKETCH = 8
 
 def distinct_shingles(text: str, words: int, seed: int) -> np.ndarray:
     """Distinct shingle hashes of a text, ascending (as unsigned)."""
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(h.astype(np.uint64) for h in shingle_hashes(text, words, seed))]))
+    return distinct_of(shingle_hashes(text, words, seed))
+
+
+def distinct_of(runs) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(h.astype(np.uint64) for h in runs)]))
 
 
 def prefix_length(size: int, least: float) -> int:
@@ -222,11 +231,11 @@ def common_shingles(docs: DataFrame, words: int, seed: int = 42) -> tuple[np.nda
 
 
 def set_rows(docs: DataFrame, words: int, least: float, seed: int = 42) -> DataFrame:
-    """(doc_id, text_hash, c, key, size, prefix, sketch, short) of every row of ``docs``.
+    """(doc_id, text_hash, c, key, size, fp, prefix, sketch, short) of every row of ``docs``.
 
     ``key`` is a 128-bit digest of the set of shingle hashes, ``prefix`` its first hashes in one order of all hashes,
-    common ones last, ``sketch`` and ``short`` its parity sketch whole and folded, ``c`` a number of the row. The sets
-    themselves are not kept. Narrow; ``c`` holds for one evaluation only.
+    common ones last, ``sketch`` and ``short`` its parity sketch whole and folded, ``fp`` the text's SimHash over the same
+    hashes (repeats included), ``c`` a number of the row. The sets themselves are not kept. Narrow; ``c`` holds for one evaluation only.
     """
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words, seed))
 
@@ -245,17 +254,21 @@ def set_rows(docs: DataFrame, words: int, least: float, seed: int = 42) -> DataF
         c = TaskContext.get().partitionId() << 40
         longs = lambda arrays: pa.array(arrays, pa.list_(pa.int64()))
         for batch in slices(batches):
-            sets = [distinct_shingles(t, words, seed) for t in batch.column(1).to_pylist()]
+            fps, sets = np.zeros(batch.num_rows, np.uint64), []
+            for n, text in enumerate(batch.column(1).to_pylist()):
+                runs = list(shingle_hashes(text, words, seed))
+                fps[n] = fingerprint_of(runs)
+                sets.append(distinct_of(runs))
             sketches = [parity_sketch(h) for h in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(2), pa.array(range(c, c := c + len(sets)), pa.int64()), pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary()),
-                    pa.array([len(h) for h in sets], pa.int32()), longs([prefix(h) if len(h) else h.view(np.int64) for h in sets]), longs(sketches), longs([folded(x, SHORT_SKETCH) for x in sketches]),
+                    pa.array([len(h) for h in sets], pa.int32()), pa.array(fps.view(np.int64)), longs([prefix(h) if len(h) else h.view(np.int64) for h in sets]), longs(sketches), longs([folded(x, SHORT_SKETCH) for x in sketches]),
                 ],
-                ["doc_id", "text_hash", "c", "key", "size", "prefix", "sketch", "short"],
+                ["doc_id", "text_hash", "c", "key", "size", "fp", "prefix", "sketch", "short"],
             )
 
-    schema = "doc_id long, text_hash long, c long, key binary, size int, prefix array<long>, sketch array<long>, short array<long>"
+    schema = "doc_id long, text_hash long, c long, key binary, size int, fp long, prefix array<long>, sketch array<long>, short array<long>"
     return id_and_text(docs).withColumn("text_hash", F.xxhash64("doc_id", "text")).mapInArrow(run, schema)
 
 
@@ -302,15 +315,32 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, lea
     return out
 
 
-def similar_components(sets: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+def fingerprint_pairs(sets: DataFrame, bits: int) -> DataFrame:
+    """(a, b) with a < b: each set ``c`` with the first set of its class of linked SimHash fingerprints ``fp``.
+
+    Classes are those of ``op8``: deletion-variant links at ``bits`` or fewer differing bits, and their components. One pair
+    a set, so a family of near copies grows in proportion.
+    """
+    distinct = materialize(sets.select("fp").distinct(), "set-fingerprints")
+    classes = components(links(distinct, bits)).select(F.col("node").alias("fp"), "root")
+    own = materialize(sets.select("c", "fp").join(classes, "fp", "left").select("c", F.coalesce("root", "fp").alias("root")), "fingerprint-classes")
+    first = own.groupBy("root").agg(F.min("c").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return own.join(first, "root").where("c <> m").select(F.col("m").alias("a"), F.col("c").alias("b"))
+
+
+def similar_components(sets: DataFrame, docs: DataFrame, words: int, least: float, bits: int = 2) -> DataFrame:
     """(node, root): components of the sets ``c`` of which each pair with a Jaccard similarity of at least ``least`` is linked.
 
-    Exact prefix-filter join: similar sets share a hash of their prefixes, are of like size, and have enough hashes left
-    from there on. Sets that share a hot prefix hash are first compared with one set of their size only; what is then
-    linked already needs no further comparison, so only sets of different components meet, and of those only pairs whose
-    short sketches allow the similarity leave the join.
+    SimHash goes first: sets whose fingerprints are linked are compared with the first of their class, on the whole sets, and
+    those similar enough are linked. An exact prefix-filter join then finds the pairs that SimHash doesn't reach, between sets
+    that aren't linked yet: similar sets share a hash of their prefixes, are of like size, and have enough hashes left from
+    there on. Sets that share a hot prefix hash are first compared with one set of their size only; what is then linked
+    already needs no further comparison, so only sets of different components meet, and of those only pairs whose short
+    sketches allow the similarity leave the join.
     """
-    rows = sets.select("c", "size", F.posexplode("prefix").alias("pos", "h"))
+    near = verified(fingerprint_pairs(sets, bits), sets, docs, words, least)
+    roots = components(near).select(F.col("node").alias("c"), "root")
+    rows = sets.join(roots, "c", "left").select("c", "size", F.coalesce("root", "c").alias("first"), F.posexplode("prefix").alias("pos", "h"))
     rows = materialize(rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("n > 1"), "prefixes")
     fits = F.expr(
         f"least(a.size, b.size) >= {least} * greatest(a.size, b.size) - 1e-9 and "
@@ -318,15 +348,15 @@ def similar_components(sets: DataFrame, docs: DataFrame, words: int, least: floa
     )
     pair = [F.least("a.c", "b.c").alias("a"), F.greatest("a.c", "b.c").alias("b")]
     few, hot = rows.where(F.col("n") <= HOT_SHINGLE), rows.where(F.col("n") > HOT_SHINGLE)
-    plain = few.alias("a").join(few.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.c") < F.col("b.c")) & fits).select(*pair)
+    plain = few.alias("a").join(few.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.c") < F.col("b.c")) & (F.col("a.first") != F.col("b.first")) & fits).select(*pair)
     if hot.isEmpty():
-        return components(verified(plain, sets, docs, words, least))
+        return components(near.union(verified(plain, sets, docs, words, least)))
     hot = hot.withColumn("band", F.floor(F.log("size") / math.log(1 / least)))
-    leaders = hot.groupBy("h", "band").agg(F.min_by("c", F.xxhash64("c", "h")).alias("m"))
-    led = hot.join(leaders, ["h", "band"]).where("c <> m").select(F.least("c", "m").alias("a"), F.greatest("c", "m").alias("b"))
-    edges = verified(plain.union(led), sets, docs, words, least)
+    leaders = hot.groupBy("h", "band").agg(F.min_by(F.struct("c", "first"), F.xxhash64("c", "h")).alias("m"))
+    led = hot.join(leaders, ["h", "band"]).where("c <> m.c and first <> m.first").select(F.least("c", "m.c").alias("a"), F.greatest("c", "m.c").alias("b"))
+    edges = near.union(verified(plain.union(led), sets, docs, words, least))
     linked = materialize(components(edges), "linked")
-    placed = hot.drop("band").join(linked.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    placed = hot.drop("band", "first").join(linked.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     placed = materialize(placed.join(sets.select("c", "short"), "c"), "hot")
     major = placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max_by("root", F.struct("k", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
     mixed = materialize(placed.join(major, "h"), "mixed")
@@ -339,17 +369,18 @@ def similar_components(sets: DataFrame, docs: DataFrame, words: int, least: floa
     return linked if found.isEmpty() else components(edges.union(found))
 
 
-def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 2) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id (ties: smallest text hash); nulls lose.
 
     Texts are linked if the Jaccard similarity of their sets of ``words``-word shingles is at least ``similarity``, every
-    such pair (see ``similar_components``); texts without words, null or empty, are alike. Columns stay as they are,
+    such pair: SimHash fingerprints that differ in at most ``bits`` bits propose the first links, each verified on the sets,
+    and an exact join finds the others (see ``similar_components``); texts without words, null or empty, are alike. Columns stay as they are,
     whatever their names. Rows that agree in id and text count as one. An empty table gives none.
     """
     rows = materialize(set_rows(docs, words, similarity), "set-rows")
     distinct = materialize(rows.groupBy("key").agg(F.min("c").alias("c")), "distinct-sets")
     sets = materialize(rows.where("size > 0").drop("key").join(distinct.select("c"), "c", "left_semi"), "sets")
-    linked = similar_components(sets, docs, words, similarity)
+    linked = similar_components(sets, docs, words, similarity, bits)
     classes = distinct.join(linked.withColumnRenamed("node", "c"), "c", "left").select("key", F.coalesce("root", "c").alias("root"))
     each = rows.groupBy("key", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))  # repeated rows, before they meet
     named_rows = each.join(classes, "key").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "n")).alias("k"))

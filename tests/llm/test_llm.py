@@ -275,6 +275,23 @@ def test_keep_one_links_every_pair_at_the_similarity(spark, monkeypatch, hot):
     assert {x.doc_id for x in simhash.keep_one(docs(spark, texts)).collect()} == want
 
 
+def test_keep_one_links_by_simhash_first(spark, monkeypatch):
+    long = [f"w{k} v{k % 7}" for k in range(400)]
+    texts = [" ".join(long), " ".join(long).replace("w200", "zz"), " ".join(long[10:] + long[:10]), " ".join(f"other{k}" for k in range(300))]
+    sets = simhash.set_rows(docs(spark, texts), 5, 0.8).orderBy("doc_id").collect()
+    assert [s.fp % (1 << 64) for s in sets] == [simhash.fingerprint(t, 5) for t in texts]
+    bits = max((sets[0].fp ^ s.fp).bit_count() if (sets[0].fp ^ s.fp) >= 0 else ((sets[0].fp ^ s.fp) % (1 << 64)).bit_count() for s in sets[1:3])
+    compared, verified = [], simhash.verified
+
+    def recorded(pairs, *rest):
+        compared.append(pairs.distinct().count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "verified", recorded)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs(spark, texts), bits=bits).collect()) == [0, 3]
+    assert compared[0] == 2 and not any(compared[1:])  # the fingerprints found both; the set join had nothing left
+
+
 def repeated(words):
     grams = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
     return len({j for k, g in enumerate(grams) if grams.count(g) > 1 for j in (k, k + 1, k + 2)})
