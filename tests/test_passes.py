@@ -7,7 +7,7 @@ import pytest
 
 from meterlake.operators import samples
 from meterlake.plans import envelopes as E
-from meterlake.plans import queries
+from meterlake.plans import privacy_queries, queries
 from meterlake.plans.pipelines import evaluation_spans, process
 
 TABLES = "/root/testdata/sf0.001"
@@ -52,3 +52,9 @@ def test_points_become_samples_in_one_pass(spark):
     out = samples.to_samples(long.mapInArrow(count, schema).selectExpr("*", "timestamp_micros(time_ns div 1000) as ts"), ["status"])
     assert {r.metric.rsplit("_", 1)[-1] for r in out.where("metric like 'ai_agent_turn_token_usage%'").select("metric").distinct().collect()} >= {"bucket", "sum", "count"}
     assert seen.value == n
+
+
+@pytest.mark.parametrize("name", ["prc06_sent_snapshots", "prc06_sent_gauges"])
+def test_documents_are_parsed_once(spark, name):
+    df = privacy_queries.QUERIES[name](spark, TABLES)
+    assert times(spark, df, "from_json") <= (2 if name.startswith("prc06") else 1)
