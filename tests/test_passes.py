@@ -54,7 +54,7 @@ def test_points_become_samples_in_one_pass(spark):
     assert seen.value == n
 
 
-@pytest.mark.parametrize("name", ["prc06_sent_snapshots", "prc06_sent_gauges"])
+@pytest.mark.parametrize("name", ["prc_points_core", "prc_points_evaluation", "prc_points_corporate", "prc_spans_core", "prc_spans_evaluation", "prc_spans_corporate", "prc06_sent_snapshots", "prc06_sent_gauges"])
 def test_documents_are_parsed_once(spark, name):
     df = privacy_queries.QUERIES[name](spark, TABLES)
     assert times(spark, df, "from_json") <= (2 if name.startswith("prc06") else 1)
