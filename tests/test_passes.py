@@ -1,13 +1,14 @@
 """How often rows are computed: documents are parsed once, and what follows a costly stage doesn't repeat it."""
 
 import os
+import random
 import re
 
 import pytest
 
-from meterlake.operators import samples
+from meterlake.operators import privacy, privacy_names, samples
 from meterlake.plans import envelopes as E
-from meterlake.plans import privacy_queries, queries
+from meterlake.plans import check_queries, privacy_queries, queries
 from meterlake.plans.pipelines import evaluation_spans, process
 
 TABLES = "/root/testdata/sf0.001"
@@ -58,3 +59,9 @@ def test_points_become_samples_in_one_pass(spark):
 def test_documents_are_parsed_once(spark, name):
     df = privacy_queries.QUERIES[name](spark, TABLES)
     assert times(spark, df, "from_json") <= (2 if name.startswith("prc06") else 1)
+
+
+def test_file_of_one_row_group_is_dealt_over_the_cores(spark):
+    assert queries.QUERIES["prc_points_core"](spark, TABLES).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert E.spans(spark, TABLES).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert E.logs(spark, TABLES).rdd.getNumPartitions() > 1
