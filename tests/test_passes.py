@@ -65,3 +65,7 @@ def test_file_of_one_row_group_is_dealt_over_the_cores(spark):
     assert queries.QUERIES["prc_points_core"](spark, TABLES).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert E.spans(spark, TABLES).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert E.logs(spark, TABLES).rdd.getNumPartitions() > 1
+
+
+def test_rules_of_points_stay_short(spark):
+    assert times(spark, process(E.points(spark, TABLES), "points"), "approval_reviewer") <= 6
