@@ -69,3 +69,14 @@ def test_file_of_one_row_group_is_dealt_over_the_cores(spark):
 
 def test_rules_of_points_stay_short(spark):
     assert times(spark, process(E.points(spark, TABLES), "points"), "approval_reviewer") <= 6
+
+
+def test_quick_patterns_match_the_same_keys():
+    patterns = [v for v in vars(privacy_names).values() if isinstance(v, str) and v.startswith("(?i)")]
+    rnd = random.Random(1)
+    words = sorted(set(re.findall(r"[a-z]+", " ".join(patterns)))) + ["x", "msg"]
+    keys = ["", "\n"] + [rnd.choice(["", "_", "."]) + "".join(rnd.choice(words) + rnd.choice(["", "s", ".", "_", "-", "X"]) for _ in range(rnd.randint(1, 4))) for _ in range(5000)]
+    for pattern in patterns:
+        assert privacy.quick(pattern) != pattern
+        assert [k for k in keys if re.search(pattern, k)] == [k for k in keys if re.search(privacy.quick(pattern), k)]
+    assert privacy.quick(".*") == ".*" and privacy.quick("(?i)(a)|(b)") == "(?i)(a)|(b)"
