@@ -80,3 +80,10 @@ def test_quick_patterns_match_the_same_keys():
         assert privacy.quick(pattern) != pattern
         assert [k for k in keys if re.search(pattern, k)] == [k for k in keys if re.search(privacy.quick(pattern), k)]
     assert privacy.quick(".*") == ".*" and privacy.quick("(?i)(a)|(b)") == "(?i)(a)|(b)"
+
+
+@pytest.mark.parametrize("name", ["sm10_request_labels"])
+def test_rows_read_more_than_once_are_parsed_once(spark, name):
+    df = queries.QUERIES[name](spark, TABLES)
+    assert times(spark, df, "from_json") == 0  # the stored rows are read
+    assert times(spark, df, "Relation .* json") == 0
