@@ -82,7 +82,7 @@ def test_quick_patterns_match_the_same_keys():
     assert privacy.quick(".*") == ".*" and privacy.quick("(?i)(a)|(b)") == "(?i)(a)|(b)"
 
 
-@pytest.mark.parametrize("name", ["sm10_request_labels"])
+@pytest.mark.parametrize("name", ["sm10_request_labels", "chk02_forbidden_keys"])
 def test_rows_read_more_than_once_are_parsed_once(spark, name):
     df = queries.QUERIES[name](spark, TABLES)
     assert times(spark, df, "from_json") == 0  # the stored rows are read
