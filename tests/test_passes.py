@@ -87,3 +87,11 @@ def test_rows_read_more_than_once_are_parsed_once(spark, name):
     df = queries.QUERIES[name](spark, TABLES)
     assert times(spark, df, "from_json") == 0  # the stored rows are read
     assert times(spark, df, "Relation .* json") == 0
+
+
+def test_stores_share_the_processed_spans(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(check_queries, "process", lambda *a: calls.append(a) or process(*a))
+    monkeypatch.setattr(check_queries, "evaluation_spans", lambda t: calls.append(t) or evaluation_spans(t))
+    assert check_queries.QUERIES["snk04_evaluation_stores"](spark, TABLES).count() > 0
+    assert len(calls) == 1
