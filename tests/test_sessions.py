@@ -1,4 +1,5 @@
 import json
+import random
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -72,6 +73,33 @@ def test_status_line(spark):
     assert sorted(r.time_ns for r in status_line.emitted(marks, ["session"]).collect()) == [1, 3]
 
 
+def test_rows_that_are_sent_keep_their_columns_across_batches(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice("ab"), rnd.randrange(60) * 10**9, rnd.choice("xy")) for _ in range(80)]
+    rows = sorted(set(rows)) + [("c", 5 * 10**9, "x")]
+    want, now = [], None
+    for key, time, mark in rows:
+        if now is None or key != now[0] or mark != now[1] or time - now[2] >= 4 * 10**9:
+            want.append((key, mark, time, {key: time}))
+            last = time
+        now = key, mark, last
+    table = spark.createDataFrame([(*r, {r[0]: r[1]}) for r in rows], "k string, time_ns bigint, fingerprint string, bag map<string,bigint>")
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(setting, "3")
+    try:
+        sent = [tuple(r) for r in status_line.emitted(table, ["k"], 4 * 10**9).collect()]
+        ends = status_line.passed(table.withColumn("sent_ns", F.lit(None).cast("bigint")), ["k"], 4 * 10**9).where("last").collect()
+    finally:
+        spark.conf.unset(setting)
+    assert sorted(sent, key=str) == sorted(want, key=str)
+    assert sorted((r.k, r.time_ns, r.bag[r.k], r.sent_ns) for r in ends) == [(k, t, t, max(w[2] for w in want if w[0] == k)) for k, t in sorted({r[0]: r[1] for r in rows}.items())]
+
+
+def test_snapshots_without_a_time_are_not_sent(spark):
+    safe = status_line.safe_snapshot(snapshots(spark, [SNAPSHOT, SNAPSHOT, SNAPSHOT | {"time_ns": 2}, SNAPSHOT | {"time_ns": 2}, SNAPSHOT | {"time_ns": 3}]))
+    assert [r.time_ns for r in status_line.sent_snapshots(safe).collect()] == [2]
+
+
 def test_streams_equal_batches(spark, tmp_path):
     for n, part in enumerate((HOOKS[:2], HOOKS[2:5])):
         (tmp_path / "hooks").mkdir(exist_ok=True)
