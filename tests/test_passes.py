@@ -61,7 +61,7 @@ def test_documents_are_parsed_once(spark, name):
     assert times(spark, df, "from_json") <= (2 if name.startswith("prc06") else 1)
 
 
-@pytest.mark.parametrize("name", ["prc06_sent_gauges"])
+@pytest.mark.parametrize("name", ["prc06_sent_gauges", "prc06_sent_snapshots"])
 def test_snapshots_that_are_sent_need_no_join(spark, name):
     df = privacy_queries.QUERIES[name](spark, TABLES)
     assert times(spark, df, "Join ") == 0  # sizes of parsed rows are estimated far too small, so a join would broadcast them
