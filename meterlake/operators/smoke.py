@@ -14,9 +14,12 @@ CANONICAL = ("agent_role", "model_family", "model_id", "evidence_class")
 
 def route_faults(expected: DataFrame, stores: dict[str, DataFrame]) -> DataFrame:
     """(trace_id, store, fault) of traces (trace_id, store, expected boolean) that a store lacks or shouldn't have; each store is a
-    table with ``trace_id``. Traces of which nothing is expected are ignored."""
+    table with ``trace_id``. Traces of which nothing is expected are ignored.
+
+    The join is a merge: a store's size, when it is parsed from documents, is estimated far too small, so its ids would be broadcast.
+    """
     there = reduce(DataFrame.union, [t.select(F.col("trace_id").alias("_trace"), F.lit(name).alias("_store")) for name, t in stores.items()]).distinct()
-    both = expected.join(there, (F.col("trace_id") == F.col("_trace")) & (F.col("store") == F.col("_store")), "left")
+    both = expected.join(there.hint("merge"), (F.col("trace_id") == F.col("_trace")) & (F.col("store") == F.col("_store")), "left")
     fault = F.when(F.col("expected") & F.col("_trace").isNull(), "missing").when(~F.col("expected") & F.col("_trace").isNotNull(), "unexpected")
     return both.select("trace_id", "store", fault.alias("fault")).where("fault is not null")
 

@@ -39,6 +39,12 @@ def test_route_presence_computes_each_store_once(spark):
     assert times(spark, faults, "RLIKE") <= times(spark, evaluation_spans(E.spans(spark, TABLES)), "RLIKE")
 
 
+def test_ids_of_stores_are_not_broadcast(spark):
+    faults = queries.QUERIES["sm13_route_presence"](spark, TABLES)
+    plan = faults._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_points_become_samples_in_one_pass(spark):
     seen = spark.sparkContext.accumulator(0)
 
